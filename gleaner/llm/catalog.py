@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import bpe, decontaminate, exact, minhash
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op9_exact_dedup": exact.op9_exact_dedup,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": exact.OP9_SQL,
+}

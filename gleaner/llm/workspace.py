@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -50,5 +51,10 @@ class Workspace:
                 p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def extended(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    """A copy of ``schema`` with one more column (``StructType.add`` changes the frame's own)."""
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
