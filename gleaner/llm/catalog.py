@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, minhash
+from . import bpe, decontaminate, exact, minhash, quality
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op8_quality_importance_resampling": quality.op8_quality_importance_resampling,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
