@@ -54,9 +54,12 @@ def ingest(spark: SparkSession, path: str, schema: T.StructType, state_dir: str,
     stream = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     rows = stream.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("length"), F.left(F.sha2(normalised(F.col(text_col)), 256), F.lit(digest_bits // 4)).alias("digest"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     state = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "length", "file", "row"), _best()).alias("stays"))
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Without fallocate, a store with little in it takes little disk.
+    store = "spark.sql.streaming.stateStore"
+    wanted = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         query.awaitTermination()
