@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outer = F.transform(F.when(F.col("n_rest") > 0, other("n_rest")).otherwise(F.array().cast("array<int>")), lambda j: F.struct(F.lit(1).alias("kind"), F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     crossed = F.transform(other("n_apart"), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
     dealt = dealt.select("rep", "shingles", "cluster", F.explode(F.when(F.col("apart"), F.concat(inner, outer)).otherwise(crossed)).alias("at")).select("rep", "shingles", "cluster", "at.*")
-    blocks = ws.save(dealt.groupBy("cluster", "kind", "i", "j").applyInArrow(_block(percent), "a long, b long"), "links")
+    blocks = ws.save(dealt.repartition("cluster", "kind", "i", "j").groupBy("cluster", "kind", "i", "j").applyInArrow(_block(percent), "a long, b long"), "links")
     groups = components(linked.unionByName(blocks), ws)
     ws.drop(sets, shares, members)
 
