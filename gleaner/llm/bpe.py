@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from .workspace import extended
 
-#: Distinct pieces and token pairs that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces, prefixes and token pairs that a worker remembers of each before it
+#: starts anew, and the length of the prefixes.
+REMEMBERED, KNOWN_BYTES = 400_000, 32
 
 _FAR = 1 << 62
 
@@ -48,6 +49,8 @@ class Vocabulary:
         self._tree: dict[int, tuple[int, int] | None] = {}
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self._follows: dict[int, bool] = {}
+        #: The last token of prefixes met so far; words that begin alike share them.
+        self._ends: dict[bytes, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -75,56 +78,83 @@ class Vocabulary:
                 self._tree[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 and self.merge(data) == [data] else None
         return self._tree[token]
 
-    def _spine(self, token: int, side: int) -> list[int]:
-        """Tokens at one border of this one in the order in which merging makes them; side 1 is the right."""
+    def _spine(self, token: int, side: int) -> tuple[list[int], bool]:
+        """Tokens at one border of this one in the order in which merging makes them, and whether ranks rise; side 1 is the right."""
         known = self._spines[side]
         if token not in known:
             pair = self.tree(token)
-            known[token] = [token] if pair is None or pair[0] < 0 else [*self._spine(pair[side], side), token]
+            if pair is None or pair[0] < 0:
+                known[token] = [token], pair is not None
+            else:
+                inner, rising = self._spine(pair[side], side)
+                known[token] = [*inner, token], rising and (len(inner) == 1 or inner[-1] < token) and max(pair) < token
         return known[token]
 
-    def follows(self, a: int, b: int) -> bool:
-        key = a * len(self.bytes) + b
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) >= REMEMBERED:
-                self._follows.clear()
-            known = self._follows[key] = self._may_follow(a, b)
-        return known
-
     def _may_follow(self, a: int, b: int) -> bool:
-        left, right, names = self._spine(a, 1), self._spine(b, 0), self.bytes
-        if any(x >= y for s in (left, right) for x, y in zip(s, s[1:], strict=False) if len(names[x]) > 1):
+        (left, rising), (right, also), names = self._spine(a, 1), self._spine(b, 0), self.bytes
+        if not (rising and also):
             return self.merge(names[a] + names[b]) == [names[a], names[b]]
         i = j = 0
+        rank, ends = self.ranks.get, (len(left) - 1, len(right) - 1)
         while True:
-            grown_a = left[i + 1] if i + 1 < len(left) else _FAR
-            grown_b = right[j + 1] if j + 1 < len(right) else _FAR
-            across = self.ranks.get(names[left[i]] + names[right[j]], _FAR)
-            if across < _FAR and across < grown_a and across <= grown_b:
+            grown_a = left[i + 1] if i < ends[0] else _FAR
+            grown_b = right[j + 1] if j < ends[1] else _FAR
+            across = rank(names[left[i]] + names[right[j]], _FAR)
+            if across < grown_a and across <= grown_b and across < _FAR:
                 return False
-            if grown_a == grown_b == _FAR:
-                return True
             if grown_a <= grown_b:
+                if grown_a == _FAR:
+                    return True
                 i += 1
             else:
                 j += 1
 
-    def last_token(self, data: bytes, i: int, last: list[int]) -> int:
-        """The token that ends the encoding of ``data[:i]``; last[k] is that of ``data[:k]``."""
-        ranks = self.ranks
-        for size in range(min(i, self.longest), 0, -1):
-            token = ranks.get(data[i - size : i])
-            if token is None or self.tree(token) is None:
-                continue
-            if size == i or self.follows(last[i - size], token):
-                return token
-        raise ValueError("the vocabulary lacks a single byte")
+    def extend(self, data: bytes, last: list[int], end: int) -> None:
+        """Append the last tokens of the prefixes of ``data`` up to ``end``; last[k] is that of ``data[:k]``."""
+        rank, follows, width = self.ranks.get, self._follows, len(self.bytes)
+        for i in range(len(last), end + 1):
+            for j in range(max(0, i - self.longest), i):
+                token = rank(data[j:i])
+                if token is None or (token not in self._tree and self.tree(token) is None) or self._tree[token] is None:
+                    continue
+                if j:
+                    key = last[j] * width + token
+                    known = follows.get(key)
+                    if known is None:
+                        if len(follows) >= REMEMBERED:
+                            follows.clear()
+                        known = follows[key] = self._may_follow(last[j], token)
+                    if not known:
+                        continue
+                last.append(token)
+                break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else Prefixes(self, data).ids()
+        if whole is not None:
+            return [whole]
+        last, known = [-1], self._ends
+        for i in range(1, min(len(data), KNOWN_BYTES) + 1):
+            token = known.get(data[:i])
+            if token is None:
+                self.extend(data, last, i)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[data[:i]] = last[i]
+            else:
+                last.append(token)
+        self.extend(data, last, len(data))
+        return self.walk(last)
+
+    def walk(self, last: list[int]) -> list[int]:
+        out, i = [], len(last) - 1
+        while i:
+            out.append(last[i])
+            i -= len(self.bytes[last[i]])
+        return out[::-1]
 
 
 class Prefixes:
@@ -135,9 +165,8 @@ class Prefixes:
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        start, self.data = len(self.data), self.data + data
-        for i in range(start + 1, len(self.data) + 1):
-            self.last.append(self.vocabulary.last_token(self.data, i, self.last))
+        self.data += data
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def edit(self, start: int, end: int, data: bytes) -> int:
         """Replace ``[start:end]``; returns how many prefixes were redone."""
@@ -149,18 +178,13 @@ class Prefixes:
             if i > start + len(data) and same >= self.vocabulary.longest:
                 self.last += old[i - shift :]
                 break
-            token = self.vocabulary.last_token(self.data, i, self.last)
-            self.last.append(token)
+            self.vocabulary.extend(self.data, self.last, i)
             redone += 1
-            same = same + 1 if i > start + len(data) and old[i - shift] == token else 0
+            same = same + 1 if i > start + len(data) and old[i - shift] == self.last[i] else 0
         return redone
 
     def ids(self) -> list[int]:
-        out, i = [], len(self.data)
-        while i:
-            out.append(self.last[i])
-            i -= len(self.vocabulary.bytes[self.last[i]])
-        return out[::-1]
+        return self.vocabulary.walk(self.last)
 
 
 #: White space of Unicode; Python's own class has four control characters more.
