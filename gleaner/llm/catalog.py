@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, minhash, quality
+from . import bpe, decontaminate, exact, minhash, pii, quality
 
 QUERIES = {
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op8_quality_importance_resampling": quality.op8_quality_importance_resampling,
     "op9_exact_dedup": exact.op9_exact_dedup,
