@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, minhash, pii, quality
+from . import bpe, decontaminate, exact, lines, minhash, pii, quality
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": lines.OP1_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }
