@@ -18,8 +18,9 @@ Steps
    table is written; a block returns a spanning forest of its links.
 4. Components of the confirmed links give the groups.
 
-With 32 bands of 8 rows a pair at similarity 0.85 meets with probability
-0.99996, one at 0.9 with 1 - 1e-8; paths over third documents add to that.
+With 40 bands of 7 rows a pair at similarity 0.8 meets with probability
+0.9999; with 32 bands of 8 rows a pair at 0.85 does with 0.99996.  Paths over
+third documents add to that.
 
 Defined results
 ---------------
@@ -43,7 +44,7 @@ from . import kernel
 from .components import components
 from .workspace import Workspace
 
-BANDS, ROWS, BLOCK = 32, 8, 128
+BANDS, ROWS, BLOCK = 40, 7, 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -247,5 +248,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one document of each group; rows without id stay."""
+    gone = near_duplicates(docs, id_col, text_col, **how).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    mark = "_" * (1 + max((len(n) for n in docs.columns), default=0))
+    return docs.join(gone.withColumnRenamed("doc_id", mark), F.col(f"`{id_col}`").cast("long") == F.col(mark), "left_anti")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, bands=32, rows=8)
