@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality
+from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality, secrets
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_brown_class_lm": lm.op7_brown_class_lm,
     "op8_quality_importance_resampling": quality.op8_quality_importance_resampling,
     "op9_exact_dedup": exact.op9_exact_dedup,
