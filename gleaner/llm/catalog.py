@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality, secrets
+from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, substrings
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_suffix_array_dedup": substrings.op2_suffix_array_dedup,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_pii": pii.op4_pii,
     "op5_byte_bpe": bpe.op5_byte_bpe,
