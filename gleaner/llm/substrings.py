@@ -1,14 +1,14 @@
 """Removal of repeated strings of ``length`` bytes or more, wherever they start.
 
 1. Anchors.  In each window of ``length`` bytes the ``gram``-byte run with the
-   smallest hash is the window's anchor (windows alike choose alike), so a
-   repeated window is met at an anchor whose run recurs.  An anchor's segment
-   is all that windows around it can hold.
+   smallest hash is the window's anchor: windows alike choose alike.  Windows
+   in a row with one anchor make a segment, so each window is in one segment,
+   and windows alike are in segments of the same anchor.
 2. Segments that recur whole (by 128 bits) are repeated from end to end: the
    anchors are counted by run and segment, combined in each task.
 3. Of other runs that recur, each distinct segment is put into a bucket with
-   all segments of its run.  A bucket is concatenated, its suffixes sorted to
-   the needed depth, and its Burrows-Wheeler transform searched by threshold-
+   all segments of its run.  What its windows of like hash cover is
+   concatenated, the suffixes are sorted to the needed depth, and its Burrows-Wheeler transform searched by threshold-
    bounded interval expansion: intervals are extended backwards, breadth
    first, so that common prefixes come by increasing length; where ``length``
    steps have not parted two suffixes, they share ``length`` bytes.
@@ -68,32 +68,38 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(c: kernel.Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, position, hash of the run, digest of the segment, its start and end) of a chunk's anchors; bytes count from the document's start."""
+    """(document, hash of the run, digest of the segment, its start and end, whether it holds the run twice) of a chunk's segments; bytes count from the document's start.
+
+    A segment is what neighbouring windows with one smallest hash cover.
+    """
     n = len(c.data)
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    none = (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros(0, bool))
     if n < length:
         return none
     sums, sums2 = _sums(c.data, kernel._BASE), _sums(c.data, _BASE2)
     at = np.arange(n - gram + 1)
     h = _range_hash(sums, kernel._BASE_INV, at, at + gram)
-    end = np.repeat(c.bounds[1:], np.diff(c.bounds))
-    window = length - gram + 1
-    low = _slide(h, window, np.minimum)[: n - length + 1]
-    fits = np.arange(n - length + 1) + length <= end[: n - length + 1]
-    low = np.where(fits, low, 0)
-    # A run is an anchor if some window that holds it has it as its smallest.
-    pad = np.concatenate([np.zeros(window - 1, np.uint64), low, np.zeros(window - 1, np.uint64)])
-    top = _slide(pad, window, np.maximum)[: len(h)]
-    p = np.flatnonzero((top == h) & (h > 0))
-    p = p[p + gram <= end[p]]
-    if not len(p):
+    low = _slide(h, length - gram + 1, np.minimum)[: n - length + 1]
+    end = np.repeat(c.bounds[1:], np.diff(c.bounds))[: n - length + 1]
+    s = np.flatnonzero(np.arange(n - length + 1) + length <= end)
+    if not len(s):
         return none
-    doc = np.searchsorted(c.bounds, p, side="right") - 1
-    first, last = c.bounds[doc], c.bounds[doc + 1]
-    lo, hi = np.maximum(p - (length - gram), first), np.minimum(p + length, last)
+    fresh = np.ones(len(s), dtype=bool)
+    fresh[1:] = (s[1:] != s[:-1] + 1) | (low[s[1:]] != low[s[:-1]])
+    first = np.flatnonzero(fresh)
+    lo, hi = s[first], s[np.append(first[1:], len(s)) - 1] + length
+    doc = np.searchsorted(c.bounds, lo, side="right") - 1
     with np.errstate(over="ignore"):
-        d = kernel.mix(_range_hash(sums2, _BASE2_INV, lo, hi) + (p - lo).astype(np.uint64) * np.uint64(0x10001) + (hi - p).astype(np.uint64))
-    return doc, p - first, h[p].view(np.int64), d.view(np.int64), lo - first, hi - first
+        d = kernel.mix(_range_hash(sums2, _BASE2_INV, lo, hi) + (hi - lo).astype(np.uint64))
+    # A segment that holds its run twice may repeat itself.
+    runs = low[lo]
+    some = np.flatnonzero(h <= runs.max())
+    values, number = np.unique(runs, return_inverse=True)
+    of = np.minimum(np.searchsorted(values, h[some]), len(values) - 1)
+    hit = values[of] == h[some]
+    key = np.sort(of[hit] * n + some[hit])
+    own = np.searchsorted(key, number * n + hi - gram, "right") - np.searchsorted(key, number * n + lo, "left") > 1
+    return doc, runs.view(np.int64), d.view(np.int64), lo - c.bounds[doc], hi - c.bounds[doc], own
 
 
 def _anchors(length: int, gram: int):
@@ -101,8 +107,8 @@ def _anchors(length: int, gram: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for c in kernel.chunks(batch.column(1)):
-                doc, p, g, d, lo, hi = anchors(c, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(ids[c.first + doc]), pa.array(p), pa.array(lo), pa.array(hi)], ["g", "d", "id", "p", "lo", "hi"])
+                doc, g, d, lo, hi, own = anchors(c, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(ids[c.first + doc]), pa.array(lo), pa.array(hi), pa.array(own)], ["g", "d", "id", "lo", "hi", "own"])
 
     return run
 
@@ -229,13 +235,57 @@ def repeated(segments: list[bytes], owner: np.ndarray, at: np.ndarray, length: i
 
 
 def _search(length: int):
+    """(id, lo, segment) of a bucket to (id, lo, hi): what is repeated.
+
+    Windows whose hash is met at one place only cannot be repeated.  What the
+    others cover is cut out first, and of cuts alike two go through the
+    transform; the others share its answer.
+    """
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("id").to_numpy()
+        ids, los = table.column("id").to_numpy(), table.column("lo").to_numpy()
         _, owner = np.unique(ids, return_inverse=True)
-        at = table.column("lo").to_numpy()
-        k, lo, hi = repeated([x.as_py() for x in table.column("segment")], owner.astype(np.int64), at, length)
-        return pa.table({"id": pa.array(ids[k]), "lo": pa.array(at[k] + lo), "hi": pa.array(at[k] + hi)})
+        c = next(kernel.chunks(table.column("segment"), 1 << 40))
+        per = np.diff(c.bounds) - length + 1
+        which = np.repeat(np.arange(c.n), per)
+        start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        at = c.bounds[which] + start
+        sums = _sums(c.data, kernel._BASE)
+        h = _range_hash(sums, kernel._BASE_INV, at, at + length)
+        place = (owner[which].astype(np.int64) << np.int64(36)) | (los[which] + start)
+        order = np.argsort(h)
+        group = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        differ = np.minimum.reduceat(place[order], group) != np.maximum.reduceat(place[order], group)
+        maybe = np.sort(order[np.repeat(differ, np.diff(np.append(group, len(order))))])
+        if not len(maybe):
+            return pa.table({"id": pa.array(ids[:0]), "lo": pa.array(los[:0]), "hi": pa.array(los[:0])})
+        fresh = np.ones(len(maybe), dtype=bool)
+        fresh[1:] = (which[maybe[1:]] != which[maybe[:-1]]) | (start[maybe[1:]] > start[maybe[:-1]] + length)
+        first = np.flatnonzero(fresh)
+        lo, hi = at[maybe[first]], at[maybe[np.append(first[1:], len(maybe)) - 1]] + length
+        of, shift = which[maybe[first]], los[which[maybe[first]]] - c.bounds[which[maybe[first]]]
+        content = _range_hash(_sums(c.data, _BASE2), _BASE2_INV, lo, hi) ^ (hi - lo).astype(np.uint64)
+        order = np.lexsort((lo + shift, owner[of], content))
+        same = np.concatenate([[False], content[order][1:] == content[order][:-1]])
+        places = np.concatenate([[True], (owner[of[order]][1:] != owner[of[order]][:-1]) | ((lo + shift)[order][1:] != (lo + shift)[order][:-1])])
+        # The first cut of each content and the first at another place go on.
+        number = np.cumsum(~same) - 1
+        nth = np.cumsum(places | ~same)
+        nth -= nth[np.flatnonzero(~same)][number]
+        go = (~same) | (places & (nth == 1))
+        gone = order[go]
+        raw = c.data.tobytes()
+        k, a, b = repeated([raw[lo[x] : hi[x]] for x in gone], owner[of[gone]].astype(np.int64), (lo + shift)[gone], length)
+        # Answers by content, then for every cut of that content.
+        content_of = number[go][k]
+        answers = np.unique(np.stack([content_of, a, b], 1), axis=0)
+        begin, finish = np.searchsorted(answers[:, 0], np.arange(number[-1] + 2))[[*range(number[-1] + 1)]], np.searchsorted(answers[:, 0], np.arange(number[-1] + 1), "right")
+        reps = (finish - begin)[number]
+        cut = np.repeat(order, reps)
+        pick = np.repeat(begin[number], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        base = (lo + shift)[cut]
+        return pa.table({"id": pa.array(ids[of[cut]]), "lo": pa.array(base + answers[pick, 1]), "hi": pa.array(base + answers[pick, 2])})
 
     return run
 
@@ -299,14 +349,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ws = Workspace(spark, "substrings")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("id"), text.cast("binary").alias("text"))
-    found = ws.save(docs.select("id", "text").mapInArrow(_anchors(length, gram), "g long, d long, id long, p long, lo long, hi long"), "anchors")
+    found = ws.save(docs.select("id", "text").mapInArrow(_anchors(length, gram), "g long, d long, id long, lo long, hi long, own boolean"), "anchors")
 
-    cells = found.groupBy("g", "d").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo", "hi")).alias("one"))
-    groups = cells.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).filter("n > 1")
-    cells = ws.save(cells.join(groups, "g").select("g", "d", "c", "one", "kinds"), "cells")
+    cells = found.groupBy("g", "d").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo", "hi")).alias("one"), F.max("own").alias("own"))
+    groups = cells.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("n > 1 or any_own")
+    cells = ws.save(cells.join(groups, "g").select("g", "d", "c", "one", "kinds", "own"), "cells")
     whole = found.join(cells.filter("c > 1").select("g", "d"), ["g", "d"]).select("id", "lo", "hi")
 
-    wanted = cells.filter("kinds > 1").select("one.*", "g", (F.col("kinds") > most).alias("hot"))
+    wanted = cells.filter("kinds > 1 or own").select("one.*", "g", (F.col("kinds") > most).alias("hot"))
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("g", "lo", "hi", "hot")).alias("wanted"))
     segments = docs.select("id", "text").join(lists, "id").mapInArrow(_segments, "g long, id long, lo long, hot boolean, segment binary")
     segments = ws.save(segments, "segments")
