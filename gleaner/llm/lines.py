@@ -14,6 +14,8 @@ so a line that a third of all documents share costs a row for each task.  Only
 lines of leaves that recur have their words counted, each distinct line once
 with its number; a leaf that does not recur cannot hold a template that does.
 
+A leaf goes by a 64-bit hash, a line or template by 128 bits.
+
 Words are runs of characters other than ``[\\x20\\x09-\\x0D]`` within lines cut
 at ``\\n``.  Lines of fewer than ``min_words`` words are never dropped: such
 lines recur by chance.
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 DEPTH, MIN_LINES, MIN_WORDS, CONSTANT = 3, 3, 3, 0.7
+#: Rows of the broadcast bit table, 64 bits each.
+TABLE = 1 << 18
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,28 +58,32 @@ def _met(*n: Column) -> list[Column]:
 
 
 def recurring(docs: DataFrame, ws: Workspace, depth: int = DEPTH, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, constant: float = CONSTANT) -> DataFrame:
-    """(line, template, first) of ``docs(id, text)``: the lines that are dropped after document ``first``."""
+    """(key, template, first) of ``docs(id, text)``: the lines, by key, that are dropped after document ``first``."""
     recurs = (F.col("n") >= min_lines) & (F.col("lo") < F.col("hi"))
     lines = docs.filter("id is not null and text is not null").select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.select(F.col("id").alias("lo"), F.col("id").alias("hi"), "line", _words("line").alias("words")).filter(F.size("words") >= min_words)
-    lines = lines.select("lo", "hi", "line", _leaf(F.col("words"), depth).alias("leaf"))
+    lines = lines.select("lo", "hi", "line", F.xxhash64(_leaf(F.col("words"), depth)).alias("leaf"))
     busy = ws.save(lines.groupBy("leaf").agg(*_met()).filter(recurs).select("leaf"), "leaves")
-    distinct = ws.save(lines.join(busy, "leaf").groupBy("leaf", "line").agg(*_met()), "lines")
+    # A bit table of fixed size tells most lines of other leaves apart before anything is shuffled.
+    place, bit = F.col("leaf").bitwiseAND(TABLE - 1), F.shiftright("leaf", 32).bitwiseAND(63).cast("int")
+    table = busy.groupBy(place.alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    near = lines.withColumn("place", place).join(F.broadcast(table), "place").filter(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
+    distinct = ws.save(near.select("leaf", "lo", "hi", "line").join(busy, "leaf").groupBy("leaf", "line").agg(*_met()), "lines")
 
-    words = distinct.select("*", F.posexplode(_words("line")).alias("at", "word"))
+    words = distinct.select("leaf", "n", "lo", "hi", _key(F.col("line")).alias("key"), F.posexplode(_words("line")).alias("at", "word"))
     kept = words.groupBy("leaf", "at", "word").agg(*_met(F.col("n"))).filter(recurs).select("leaf", "at", "word", F.lit(True).alias("kept"))
     marked = words.join(kept, ["leaf", "at", "word"], "left")
-    shaped = marked.groupBy("leaf", "line", "n", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("word")).otherwise(F.lit("<*>")).alias("word")))).alias("at"), F.avg(F.coalesce(F.col("kept").cast("int"), F.lit(0))).alias("share"))
-    shaped = ws.save(shaped.filter(F.col("share") >= constant).select("leaf", "line", "n", "lo", "hi", F.array_join(F.transform("at", lambda x: x["word"]), " ").alias("template")), "templates")
-    found = shaped.groupBy("leaf", "template").agg(*_met(F.col("n"))).filter(recurs).select("leaf", "template", F.col("lo").alias("first"))
-    return shaped.join(found, ["leaf", "template"]).select("line", "template", "first")
+    shaped = marked.groupBy("leaf", "key", "n", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("word")).otherwise(F.lit("<*>")).alias("word")))).alias("at"), F.avg(F.coalesce(F.col("kept").cast("int"), F.lit(0))).alias("share"))
+    shaped = ws.save(shaped.filter(F.col("share") >= constant).select("leaf", "key", "n", "lo", "hi", F.array_join(F.transform("at", lambda x: x["word"]), " ").alias("template")).withColumn("same", _key(F.col("template"))), "templates")
+    found = shaped.groupBy("leaf", "same").agg(*_met(F.col("n"))).filter(recurs).select("leaf", "same", F.col("lo").alias("first"))
+    return shaped.join(found, ["leaf", "same"]).select("key", "template", "first")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str | None = None, counts: tuple[str, str] | None = None, depth: int = DEPTH, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, constant: float = CONSTANT) -> DataFrame:
     """``docs`` with the remaining lines in ``into`` (default: the text column) and, on request, numbers of lines and of dropped lines."""
     ws = Workspace(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    drops = ws.save(recurring(plain, ws, depth, min_lines, min_words, constant).select(_key(F.col("line")).alias("key"), "first"), "drops")
+    drops = ws.save(recurring(plain, ws, depth, min_lines, min_words, constant).select("key", "first"), "drops")
     lines = plain.filter("id is not null and text is not null").select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     gone = lines.select("id", _key(F.col("line")).alias("key")).join(drops, "key").filter(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("key").alias("gone"))
     mark = "_" * (1 + max((len(n) for n in docs.columns), default=0))
