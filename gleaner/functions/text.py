@@ -46,7 +46,7 @@ def partial_date(x: Column) -> Column:
 
 def title_from_text(x: Column) -> Column:
     """E-09: the first line that is neither blank nor a rule, without heading marks, 200 characters at most."""
-    lines = F.filter(F.transform(F.split(x, r"\r\n|\n|\r"), F.trim), lambda s: (s != "") & (s != "---"))
+    lines = F.filter(F.transform(F.split(x, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda s: (s != "") & (s != "---"))
     return F.when(F.size(lines) > 0, F.left(F.trim(F.regexp_replace(F.get(lines, F.lit(0)), "^[# ]+", "")), F.lit(200))).otherwise("")
 
 
@@ -76,7 +76,7 @@ def paragraphs(x: Column) -> Column:
     """E-14: paragraphs between blank lines, squashed; longer ones in windows of 500 characters at most."""
     blocks = F.filter(F.transform(F.split(x, r"(?U)\n\s*\n+"), squash), lambda b: b != "")
     windows = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(WINDOW), F.lit(0))))
-    return F.filter(F.transform(windows, F.trim), lambda w: w != "")
+    return F.filter(F.transform(windows, lambda x: F.trim(x)), lambda w: w != "")
 
 
 def overlap_tokens(x: Column) -> Column:

@@ -37,7 +37,7 @@ def gate_claims(x: Column, source_required: bool = True) -> Column:
         short = s.endswith(":") & (F.size(F.regexp_extract_all(s, F.lit("[A-Za-z0-9]+"), F.lit(0))) <= 8)
         return (s == "") | s.startswith("#") | s.startswith("```") | s.startswith("|") | short
 
-    claims = lambda line: F.filter(F.transform(F.split(line, SENTENCE), F.trim), lambda c: c != "")
+    claims = lambda line: F.filter(F.transform(F.split(line, SENTENCE), lambda x: F.trim(x)), lambda c: c != "")
     judged = F.transform(lines, lambda line: F.struct(line.alias("line"), skipped(line).alias("skip"), F.when(skipped(line), F.array().cast("array<struct<claim:string,why:string>>")).otherwise(F.transform(claims(line), lambda c: F.struct(c.alias("claim"), claim_reasons(c, source_required).alias("why")))).alias("claims")))
     kept = F.transform(judged, lambda j: F.when(j["skip"], j["line"]).otherwise(F.nullif(F.array_join(F.transform(F.filter(j["claims"], lambda c: c["why"] == ""), lambda c: c["claim"]), " "), F.lit(""))))
     flags = F.flatten(F.transform(judged, lambda j: F.transform(F.filter(j["claims"], lambda c: c["why"] != ""), lambda c: F.concat(c["why"], F.lit(": "), text.compact(c["claim"], 160)))))

@@ -128,9 +128,9 @@ def sessions_newest(spark, sf_dir):
     return sessions.index(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", since="1995-01-01").select("o_orderkey", "o_orderdate")
 
 
-@R.query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment")
+@R.query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY c_mktsegment")
 def new_sessions_anti(spark, sf_dir):
-    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    known = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return sessions.new_rows(table(spark, sf_dir, "customer"), known, "c_custkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
