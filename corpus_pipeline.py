@@ -41,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns, ids (packed little-endian unsigned 32 bits), n_tokens, and whether decoding gives the text again."""
     path, pattern = bpe.default_vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path)
+    coded = bpe.encode(docs, path, pattern, bytes_col="decoded")
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.withColumn("n_tokens", F.expr("octet_length(ids) div 4")).withColumn("round_trip", same).drop("decoded")
 

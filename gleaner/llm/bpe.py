@@ -32,7 +32,7 @@ from .workspace import extended
 
 #: Pieces, prefixes and token pairs that a worker remembers of each before it
 #: starts anew, and the length of the prefixes.
-REMEMBERED, KNOWN_BYTES = 400_000, 32
+REMEMBERED, KNOWN_BYTES = 200_000, 32
 
 _FAR = 1 << 62
 
@@ -233,7 +233,7 @@ def _encoder(vocabulary: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about ``limit`` bytes each."""
     step = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(1, batch.nbytes))))
     for i in range(0, batch.num_rows, step):
@@ -244,22 +244,28 @@ def _with(batch: pa.RecordBatch, name: str, values: list, kind: pa.DataType) ->
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], [*batch.schema.names, name])
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` and a binary column of ids; ``vocabulary`` is the path of a rank file that the driver can read."""
+def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
+    """``df`` and a binary column of ids; ``vocabulary`` is the path of a rank file that the driver can read.
+
+    With ``bytes_col`` the ids are decoded again by the same worker.
+    """
     spark = df.sparkSession
     ship(spark)
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    df = df.drop(ids_col)
+    df = df.drop(ids_col, *([bytes_col] if bytes_col else []))
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
         for whole in batches:
             for batch in _slices(whole):
-                yield _with(batch, ids_col, [encoder.encode(x) for x in batch.column(at).to_pylist()], pa.binary())
+                ids = [encoder.encode(x) for x in batch.column(at).to_pylist()]
+                out = _with(batch, ids_col, ids, pa.binary())
+                yield _with(out, bytes_col, [encoder.decode(x) for x in ids], pa.binary()) if bytes_col else out
 
-    return df.mapInArrow(run, extended(df.schema, ids_col, T.BinaryType()))
+    schema = extended(df.schema, ids_col, T.BinaryType())
+    return df.mapInArrow(run, extended(schema, bytes_col, T.BinaryType()) if bytes_col else schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -290,5 +296,5 @@ def default_vocabulary() -> tuple[str, str]:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = default_vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode(docs, path, pattern).select("doc_id", "ids")
-    return decode(coded, path).select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs, path, pattern, bytes_col="decoded")
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
