@@ -42,9 +42,11 @@ def _words(line: Column | str) -> Column:
     return F.regexp_extract_all(line, F.lit(_WORDS), F.lit(0))
 
 
-def _leaf(words: Column, depth: int) -> Column:
-    lead = F.transform(F.slice(words, 1, depth), lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))
-    return F.concat_ws(" ", F.size(words).cast("string"), lead)
+def _leaf(line: Column, n: Column, depth: int) -> Column:
+    """Number of words and the leading words; only these are taken out of the line."""
+    head = F.regexp_extract(line, rf"^(?:[\x20\x09-\x0D]*+{_WORDS}+){{1,{depth}}}", 0)
+    lead = F.transform(_words(head), lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))
+    return F.concat_ws(" ", n.cast("string"), lead)
 
 
 def _key(line: Column) -> Column:
@@ -61,8 +63,8 @@ def recurring(docs: DataFrame, ws: Workspace, depth: int = DEPTH, min_lines: int
     """(key, template, first) of ``docs(id, text)``: the lines, by key, that are dropped after document ``first``."""
     recurs = (F.col("n") >= min_lines) & (F.col("lo") < F.col("hi"))
     lines = docs.filter("id is not null and text is not null").select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.select(F.col("id").alias("lo"), F.col("id").alias("hi"), "line", _words("line").alias("words")).filter(F.size("words") >= min_words)
-    lines = lines.select("lo", "hi", "line", F.xxhash64(_leaf(F.col("words"), depth)).alias("leaf"))
+    lines = lines.select(F.col("id").alias("lo"), F.col("id").alias("hi"), "line", F.regexp_count("line", F.lit(_WORDS + "+")).alias("words")).filter(F.col("words") >= min_words)
+    lines = lines.select("lo", "hi", "line", F.xxhash64(_leaf(F.col("line"), F.col("words"), depth)).alias("leaf"))
     busy = ws.save(lines.groupBy("leaf").agg(*_met()).filter(recurs).select("leaf"), "leaves")
     # A bit table of fixed size tells most lines of other leaves apart before anything is shuffled.
     place, bit = F.col("leaf").bitwiseAND(TABLE - 1), F.shiftright("leaf", 32).bitwiseAND(63).cast("int")
