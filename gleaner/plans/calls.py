@@ -9,7 +9,6 @@ from .registry import Registry, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-OK = F.col("event_type") != "error"
 
 
 def _events(spark, sf_dir):
@@ -64,7 +63,7 @@ def budget_by_day(spark, sf_dir):
  f AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS n FROM r) SELECT user_id, event_id, CAST(n AS BIGINT) AS failures FROM f WHERE n >= 3 AND ts - begun <= INTERVAL 100 HOUR""")
 def breaker_open_intervals(spark, sf_dir):
     """Three errors in a row within a hundred hours: the log has an event of a user every few hours."""
-    e = _events(spark, sf_dir).withColumn("ok", OK)
+    e = _events(spark, sf_dir).withColumn("ok", F.expr("event_type <> 'error'"))
     return rollups.breaker(e, "user_id", "ts", "event_id", "ok", within="100 HOURS").filter("open").select("user_id", "event_id", "failures")
 
 
@@ -80,7 +79,7 @@ def round_robin(spark, sf_dir):
 
 @R.query("WITH s AS (SELECT event_id, user_id, event_type <> 'error' AS alive, lag(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) SELECT user_id, event_id, CASE WHEN was AND NOT alive THEN 'newly_dead' ELSE 'revived' END AS change FROM s WHERE was <> alive")
 def state_delta(spark, sf_dir):
-    return rollups.state_changes(_events(spark, sf_dir).withColumn("alive", OK), "user_id", "ts", "event_id", "alive").select("user_id", "event_id", "change")
+    return rollups.state_changes(_events(spark, sf_dir).withColumn("alive", F.expr("event_type <> 'error'")), "user_id", "ts", "event_id", "alive").select("user_id", "event_id", "change")
 
 
 @R.query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
@@ -91,4 +90,4 @@ def cold_starts(spark, sf_dir):
 @R.query("SELECT event_id, CASE WHEN value < 1 THEN 'killswitch' WHEN event_type = 'error' THEN 'breaker' WHEN value > 90 THEN 'ram' ELSE 'ok' END AS gate FROM events")
 def preflight_gates(spark, sf_dir):
     no = F.lit(False)
-    return _events(spark, sf_dir).select("event_id", rollups.preflight(F.col("value") < 1, ~OK, F.col("value") > 90, no, no, no, no).alias("gate"))
+    return _events(spark, sf_dir).select("event_id", rollups.preflight(F.col("value") < 1, F.expr("event_type = 'error'"), F.col("value") > 90, no, no, no, no).alias("gate"))

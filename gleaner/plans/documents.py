@@ -10,7 +10,6 @@ from .registry import Registry, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-T = F.col("text")
 
 _STOP = "('a','an','and','are','as','at','be','by','for','from','has','have','in','is','it','of','on','or','that','the','their','this','to','was','were','with')"
 SQL_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN " + _STOP + "))"
@@ -21,50 +20,50 @@ SQL_WINDOWS = "list_filter(list_transform(regexp_extract_all(regexp_replace(trim
 
 @R.query(r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), ' ' || chr(10) || chr(9))) AS chars FROM documents")
 def clean_text_len(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.clean(T)).cast("long").alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text.clean(F.col("text"))).cast("long").alias("chars"))
 
 
 @R.query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_hash_dupes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2(T, 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+    return table(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text"), 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
 
 
 @R.query(r"SELECT doc_id, left(trim(regexp_replace(trim(split_part(text, chr(10), 1)), '^[# ]+', '')), 200) AS title FROM documents")
 def title_from_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.title_from_text(T).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.title_from_text(F.col("text")).alias("title"))
 
 
 @R.query("SELECT doc_id, CAST(tier AS INT) AS tier, CAST(CASE WHEN tier = 3 THEN least(length(text), 1500) WHEN tier = 2 THEN least(length(text), 9000) ELSE length(text) END AS INT) AS chars, CASE WHEN tier = 3 THEN sha256(left(text, 1500)) WHEN tier = 2 AND length(text) > 9000 THEN sha256(left(text, 8000) || chr(10) || chr(10) || '[... trimmed ' || (length(text) - 9000) || ' chars ...]' || chr(10) || chr(10) || right(text, 1000)) ELSE sha256(text) END AS trimmed FROM documents, (VALUES (1), (2), (3)) t(tier)")
 def tier_trim_char_count(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("tier"))
-    return docs.select("doc_id", "tier", text.tier_chars(T, F.col("tier")).alias("chars"), F.sha2(text.tier_text(T, F.col("tier")), 256).alias("trimmed"))
+    return docs.select("doc_id", "tier", text.tier_chars(F.col("text"), F.col("tier")).alias("chars"), F.sha2(text.tier_text(F.col("text"), F.col("tier")), 256).alias("trimmed"))
 
 
 @R.query()
 def paragraph_windows(spark, sf_dir):
     """RE2 has no lookahead; held against a plain loop in the tests."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(T)).alias("pos", "paragraph"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
 @R.query(f"SELECT doc_id, array_to_string(list_sort({SQL_TOKENS.format(x='text')}), ' ') AS tokens FROM documents")
 def overlap_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.overlap_tokens(T)), " ").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.overlap_tokens(F.col("text"))), " ").alias("tokens"))
 
 
 @R.query(rf"SELECT doc_id, left(trim(regexp_extract({SQL_SQUASH.format(x='text')}, '^(?:.*?[.!?](?: |$)|.*$)')), 280) AS sentence FROM documents")
 def first_sentence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(T).alias("sentence"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
 
 
 @R.query(f"WITH s AS (SELECT doc_id, {SQL_SQUASH.format(x='text')} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE rtrim(left(t, 157)) || '...' END AS preview, CAST(greatest(1, length(t) // 4) AS INT) AS tokens_floor, CAST(CASE WHEN length(t) = 0 THEN 0 ELSE greatest(1, round_even(length(t) / 4.0, 0)) END AS INT) AS tokens_round FROM s")
 def previews_and_token_estimates(spark, sf_dir):
-    t = text.squash(T)
-    return table(spark, sf_dir, "documents").select("doc_id", text.compact(T, 160).alias("preview"), text.tokens_by_length(t).alias("tokens_floor"), text.tokens_rounded(t).cast("int").alias("tokens_round"))
+    t = text.squash(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text"), 160).alias("preview"), text.tokens_by_length(t).alias("tokens_floor"), text.tokens_rounded(t).cast("int").alias("tokens_round"))
 
 
 @R.query(r"SELECT doc_id, regexp_replace(text, '(?i)((?:api_key|token|authorization)=)[^&\s]+', '\1***', 'g') AS masked FROM documents")
 def masked_secrets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.mask_secrets(T).alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.mask_secrets(F.col("text")).alias("masked"))
 
 
 _CAPS = rf"""s AS (SELECT source, doc_id, {SQL_SQUASH.format(x='text')} AS t FROM documents), l AS (SELECT *, least(length(t), 12000) AS n FROM s WHERE t <> ''),
@@ -85,7 +84,7 @@ def source_fingerprint(spark, sf_dir):
 @R.query("WITH k AS (SELECT source, list(DISTINCT sha256(left(text, 500))) AS k FROM documents GROUP BY source) SELECT a.source AS left_source, b.source AS right_source, CAST(len(list_intersect(a.k, b.k)) AS BIGINT) AS shared, len(list_intersect(a.k, b.k)) / greatest(len(a.k), len(b.k)) >= 0.8 AS same FROM k a JOIN k b ON a.source < b.source")
 def sources_same(spark, sf_dir):
     """Pairs of the source families (a fixed few), each a set of keys."""
-    k = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set(F.sha2(F.left(T, F.lit(500)), 256)).alias("k"))
+    k = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set(F.sha2(F.left(F.col("text"), F.lit(500)), 256)).alias("k"))
     a, b = k.alias("a"), k.alias("b")
     pairs = a.join(b, F.col("a.source") < F.col("b.source"))
     return pairs.select(F.col("a.source").alias("left_source"), F.col("b.source").alias("right_source"), F.size(F.array_intersect("a.k", "b.k")).cast("long").alias("shared"), evidence.same_sources(F.col("a.k"), F.col("b.k")).alias("same"))

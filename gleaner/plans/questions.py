@@ -10,7 +10,6 @@ from .registry import Registry, table
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
-T = F.col("text")
 
 
 def _users(spark, sf_dir):
@@ -75,12 +74,12 @@ _PLAIN = "trim(regexp_replace(replace(lower(text), '''', ''), '\\s+', ' ', 'g'))
  SELECT conv_id, turn, CASE WHEN b AND NOT c AND NOT a THEN 'business' WHEN c AND NOT a AND NOT b THEN 'code' WHEN a AND NOT c AND NOT b THEN 'academic' WHEN c OR a THEN 'mixed' ELSE 'general' END AS topic,
    {_has(routing.EXAMPLE_ACTIONS)} AND {_has(routing.EXAMPLE_TARGETS)} AS examples, {_has(routing.META_MARKERS)} AS meta FROM k""")
 def topic_classify(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.question_topic(T).alias("topic"), routing.seeks_examples(T).alias("examples"), routing.is_meta(T).alias("meta"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.question_topic(F.col("text")).alias("topic"), routing.seeks_examples(F.col("text")).alias("examples"), routing.is_meta(F.col("text")).alias("meta"))
 
 
 @R.query("SELECT conv_id, turn, regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '') AS slug FROM conversations WHERE role = 'user'")
 def question_slugs(spark, sf_dir):
-    return _users(spark, sf_dir).select("conv_id", "turn", routing.slug(T).alias("slug"))
+    return _users(spark, sf_dir).select("conv_id", "turn", routing.slug(F.col("text")).alias("slug"))
 
 
 @R.query("""WITH p AS (SELECT conv_id, turn, list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1, 4) AS parts FROM conversations WHERE role = 'user'),
@@ -88,7 +87,7 @@ def question_slugs(spark, sf_dir):
  SELECT conv_id, turn, chr(CAST(65 + pos AS INT)) AS territory, description, 'searxng_general,tavily_direct' AS lanes, array_to_string(list_filter(list_transform(range(len(parts)), lambda i: chr(CAST(65 + i AS INT))), lambda x: x <> chr(CAST(65 + pos AS INT))), ',') AS not_overlap FROM e""")
 def territories(spark, sf_dir):
     """The first four words of a question stand for its parts."""
-    parts = F.slice(F.filter(F.split(T, r"\s+"), lambda w: w != ""), 1, 4)
+    parts = F.slice(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""), 1, 4)
     q = _users(spark, sf_dir).select("conv_id", "turn", parts.alias("parts"), F.array(F.lit("searxng_general")).alias("lanes"))
     out = routing.territories(q, ["conv_id", "turn"])
     return out.select("conv_id", "turn", "territory", "description", F.array_join("assigned_lanes", ",").alias("lanes"), F.array_join("not_overlap", ",").alias("not_overlap"))
@@ -98,8 +97,8 @@ def territories(spark, sf_dir):
  SELECT conv_id, turn, CAST(len(ts) AS INT) AS terms, concat_ws(',', CASE WHEN len(ts) < 2 THEN 'EMPTY_OR_TRIVIAL' END, CASE WHEN len(ts) > 14 THEN 'EXCESSIVE_LENGTH' END, CASE WHEN len(list_distinct(list_transform(ts, lambda t: lower(t)))) < len(ts) THEN 'DUPLICATE_TERMS' END) AS codes FROM q""")
 def query_issues(spark, sf_dir):
     """Turns with quotes, signs or operators are left to the unit tests, for which RE2 has no equal."""
-    plain = queries.annotate(table(spark, sf_dir, "conversations").filter(~T.rlike('["-]|site:|filetype:|intitle:|inurl:')), "text")
-    codes = F.array_join(F.transform(queries.issues(T, F.lit("searxng_general")), lambda i: i["code"]), ",")
+    plain = queries.annotate(table(spark, sf_dir, "conversations").filter(~F.col("text").rlike('["-]|site:|filetype:|intitle:|inurl:')), "text")
+    codes = F.array_join(F.transform(queries.issues(F.col("text"), F.lit("searxng_general")), lambda i: i["code"]), ",")
     return plain.select("conv_id", "turn", F.size("q_terms").alias("terms"), codes.alias("codes"))
 
 
@@ -113,14 +112,14 @@ def query_repair_and_broaden(spark, sf_dir):
 
 @R.query("SELECT conv_id, turn, text || ' failure OR problem OR criticism OR limitation OR bug' AS query FROM conversations WHERE role = 'user'")
 def counter_queries(spark, sf_dir):
-    return _users(spark, sf_dir).select("conv_id", "turn", queries.counter_query(T).alias("query"))
+    return _users(spark, sf_dir).select("conv_id", "turn", queries.counter_query(F.col("text")).alias("query"))
 
 
 @R.query()
 def claim_gate(spark, sf_dir):
     """Sentences are parted by lookaround; goldens in the tests."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return c.select("conv_id", "turn", gates.gate_claims(T).alias("g")).select("conv_id", "turn", "g.text", "g.dropped", F.array_join("g.flags", "\n").alias("flags"))
+    return c.select("conv_id", "turn", gates.gate_claims(F.col("text")).alias("g")).select("conv_id", "turn", "g.text", "g.dropped", F.array_join("g.flags", "\n").alias("flags"))
 
 
 @R.query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -129,7 +128,7 @@ def claim_gate(spark, sf_dir):
  SELECT doc_id, CAST(pos - 1 AS INT) AS pos, concat_ws('+', CASE WHEN claim AND NOT source AND hedge THEN 'hedging_without_source' END, CASE WHEN claim AND NOT source THEN 'missing_source' END) AS reasons FROM j""")
 def claim_gate_lines(spark, sf_dir):
     """The flags of whole lines."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(T, "\n")).alias("pos", "line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"))
     return lines.select("doc_id", "pos", gates.claim_reasons(F.col("line")).alias("reasons"))
 
 
@@ -148,7 +147,7 @@ _SIM = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(te
  SELECT conv_id, a, b, round(CASE WHEN least(len(x), len(y)) = 0 THEN 0 WHEN n = least(len(x), len(y)) THEN n / greatest(len(x), len(y)) ELSE n / (len(x) + len(y) - n) END, 9)::DOUBLE AS similarity FROM p""")
 def question_jaccard(spark, sf_dir):
     """Turns of one conversation, pairwise."""
-    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.similarity_tokens(T).alias("t"))
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.similarity_tokens(F.col("text")).alias("t"))
     a, b = q.alias("a"), q.alias("b")
     pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
     return pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("a"), F.col("b.turn").alias("b"), F.round(text.similarity(F.col("a.t"), F.col("b.t")), 9).alias("similarity"))
