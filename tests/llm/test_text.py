@@ -204,3 +204,13 @@ def test_pipeline(spark, table, prose):
     assert 100 not in out and 101 not in out
     assert all(r.round_trip for r in out.values()) and out[102].n_tokens == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
+
+
+def test_pipeline_drops_lines_of_two_documents(spark, prose):
+    shared = prose(77, 60)
+    rows = [(1, prose(1, 20) + "\n" + shared, "k", 0), (2, shared + "\n" + prose(2, 21), "k", 0), (3, shared, "k", 0), (4, " \n", "k", 2), (5, None, "k", None), (None, shared, "k", 0)]
+    for kept in (rows[:2], rows):
+        got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(kept, "doc_id long, text string, source string, n_chars long"), "").collect()}
+        assert got[1].text == rows[0][1] and got[2].text == prose(2, 21) and got[2].n_chars == len(prose(2, 21))
+    # Nothing is left of 3; what held no word before stays, and so does a row without doc_id.
+    assert set(got) == {1, 2, 4, 5, None} and got[4].text == " \n" and got[5].text is None and got[None].text == shared
