@@ -214,3 +214,10 @@ def test_pipeline_drops_lines_of_two_documents(spark, prose):
         assert got[1].text == rows[0][1] and got[2].text == prose(2, 21) and got[2].n_chars == len(prose(2, 21))
     # Nothing is left of 3; what held no word before stays, and so does a row without doc_id.
     assert set(got) == {1, 2, 4, 5, None} and got[4].text == " \n" and got[5].text is None and got[None].text == shared
+
+
+def test_pipeline_drops_short_lines(spark, prose):
+    rows = [(i, f"Les.\nown {i}\n{i}\n\nAnd ornd.\n{prose(i, 20 + i)}") for i in range(4)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    # Words that differ are no template by themselves, and neither is half a line; empty lines stay.
+    assert got == {i: t if i == 0 else f"own {i}\n{i}\n\n{prose(i, 20 + i)}" for i, t in rows}
