@@ -132,6 +132,18 @@ def test_exchange_finds_classes():
     assert len(set(of[:10])) == 1 and len(set(of[10:])) == 1 and of[0] != of[19]
 
 
+def test_lm_classes_outside_the_core(spark):
+    """Words outside the core have classes by what stands beside them, whatever their count."""
+    rng = random.Random(4)
+    some = lambda side: side + str(rng.randrange(6) if rng.random() < 0.7 else rng.randrange(6, 40))
+    rows = [(i, " ".join(some("l") + " " + some("r") for _ in range(30))) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in enumerate(["l20 r20 l30 r30", "r20 r30 l30 l20"])]
+    for block in (8_000_000, 20):
+        got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, DOCS), core=13, classes=4, block_words=block).collect()}
+        assert got[1000].base_score == pytest.approx(got[1001].base_score)
+        assert got[1000].score > got[1001].score + 2
+
+
 def test_lm_edges(spark):
     assert lm.score(spark.createDataFrame([], DOCS)).collect() == []
     assert lm.score(spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None)], DOCS)).count() == 3
