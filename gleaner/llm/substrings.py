@@ -2,32 +2,43 @@
 
 1. Anchors.  In each window of ``length`` bytes the ``gram``-byte run with the
    smallest hash is the window's anchor: windows alike choose alike.  Windows
-   in a row with one anchor make a segment, so each window is in one segment,
-   and windows alike are in segments of the same anchor.
-2. Segments that recur whole (by 128 bits) are repeated from end to end: the
-   anchors are counted by run and segment, combined in each task.
-3. Of other runs that recur, each distinct segment is put into a bucket with
-   all segments of its run.  What its windows of like hash cover is
-   concatenated, the suffixes are sorted to the needed depth, and its Burrows-Wheeler transform searched by threshold-
+   in a row with one anchor value make a cell (cut at an occurrence of the
+   anchor after ``piece`` windows, so a periodic text is many cells), and windows
+   alike are in cells of the same anchor.  Anchors and cells are counted by
+   anchor value and content (128 bits of BLAKE2), combined in each task.
+2. What may hold a repeat is dealt to buckets: of cells that recur whole, two
+   places (neighbouring cells with the same two documents at the same distance
+   go as one stretch); of anchors with several distinct cells, one place of
+   each.
+3. The strings of a bucket are concatenated, less what no repeat can touch
+   (runs of ``gram`` bytes met at one place only).  The suffixes are sorted to
+   the needed depth, and the Burrows-Wheeler transform is searched by threshold-
    bounded interval expansion: intervals are extended backwards, breadth
    first, so that common prefixes come by increasing length; where ``length``
-   steps have not parted two suffixes, they share ``length`` bytes.
-4. A run with more than ``most`` distinct segments would be too large a bucket
-   (the border of a passage that very many documents share).  Its windows are
-   counted by hash instead, combined in each task; no window is left out.
+   steps have not parted two suffixes, they share ``length`` bytes.  Only what
+   the expansion finds is removed: spans of the strings themselves and, for a
+   cell that recurs whole, the spans of its other places as well.
+4. An anchor with more than ``most`` distinct cells (the border of a passage that
+   very many documents share) is cut finer before it is dealt: into cells of 16
+   windows, then of one, by the place of the anchor in the window and by the
+   bytes that all windows at those places have in common.  Windows alike still
+   meet, and one window has one content, so no bucket grows with the corpus.
 5. The spans of a document are joined and cut from its bytes.
 
 Offsets are bytes of the UTF-8 text.  Strings are judged on the input and never
 cross documents; a document may match itself, overlapping.
 
 Defined results: null counts as the empty text; texts shorter than ``length``
-keep everything.  Rows without doc_id are told apart by their text.  Repeated
-rows are repeats of each other like any two documents.  Rows that share a
-doc_id but not the text share their spans.
+keep everything.  Each row is a document of its own, whatever its doc_id:
+repeated rows are repeats of each other, and rows that share a doc_id (or have
+none) but not the text have their own spans (rows go by doc_id and a 64-bit hash
+of the text).  An empty table gives an empty one.  Other columns are not read,
+so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +50,9 @@ from . import kernel
 from .workspace import Workspace
 
 LENGTH, GRAM, MOST, BUCKET = 400, 64, 512, 1 << 20
-_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE2_INV = np.uint64(pow(int(_BASE2), -1, 1 << 64))
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Windows of a cell before a periodic text is cut, windows of the finer cells, and bytes of a stretch.
+PIECE, FINER, STRETCH = 4096, (16, 1), 1 << 15
+_FOUND = "g long, d long, e long, id long, h long, lo long, hi long, own boolean"
 
 
 def _sums(data: np.ndarray, base: np.uint64) -> np.ndarray:
@@ -67,16 +78,19 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def anchors(c: kernel.Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, hash of the run, digest of the segment, its start and end, whether it holds the run twice) of a chunk's segments; bytes count from the document's start.
+def _digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """128 bits of each slice as two longs."""
+    hashed, view = hashlib.blake2b, memoryview(raw)
+    return np.frombuffer(b"".join([hashed(view[a:b], digest_size=16).digest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
-    A segment is what neighbouring windows with one smallest hash cover.
-    """
+
+def anchors(c: kernel.Chunk, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(document, anchor, digest, start and end, whether it holds the anchor twice) of a chunk's cells; bytes count from the document's start."""
     n = len(c.data)
-    none = (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros(0, bool))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     if n < length:
         return none
-    sums, sums2 = _sums(c.data, kernel._BASE), _sums(c.data, _BASE2)
+    sums = _sums(c.data, kernel._BASE)
     at = np.arange(n - gram + 1)
     h = _range_hash(sums, kernel._BASE_INV, at, at + gram)
     low = _slide(h, length - gram + 1, np.minimum)[: n - length + 1]
@@ -87,11 +101,21 @@ def anchors(c: kernel.Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     fresh = np.ones(len(s), dtype=bool)
     fresh[1:] = (s[1:] != s[:-1] + 1) | (low[s[1:]] != low[s[:-1]])
     first = np.flatnonzero(fresh)
-    lo, hi = s[first], s[np.append(first[1:], len(s)) - 1] + length
+    start, stop = s[first], s[np.append(first[1:], len(s)) - 1]
+    cuts = []
+    for k in np.flatnonzero(stop - start >= piece):
+        places = start[k] + np.flatnonzero(h[start[k] : stop[k] + 1] == low[start[k]])
+        x = start[k]
+        while (y := np.searchsorted(places, x + piece)) < len(places):
+            x = places[y]
+            cuts.append(x)
+    start = np.sort(np.concatenate([start, np.array(cuts, np.int64)]))
+    lo, hi = start, np.append(start[1:] - 1, stop[-1])
+    # A cell ends where the next begins, or where its windows end.
+    hi = np.minimum(hi, stop[np.searchsorted(stop, lo)]) + length
     doc = np.searchsorted(c.bounds, lo, side="right") - 1
-    with np.errstate(over="ignore"):
-        d = kernel.mix(_range_hash(sums2, _BASE2_INV, lo, hi) + (hi - lo).astype(np.uint64))
-    # A segment that holds its run twice may repeat itself.
+    d = _digests(c.data.tobytes(), lo, hi)
+    # A cell that holds its anchor twice may repeat itself.
     runs = low[lo]
     some = np.flatnonzero(h <= runs.max())
     values, number = np.unique(runs, return_inverse=True)
@@ -99,30 +123,86 @@ def anchors(c: kernel.Chunk, length: int, gram: int) -> tuple[np.ndarray, ...]:
     hit = values[of] == h[some]
     key = np.sort(of[hit] * n + some[hit])
     own = np.searchsorted(key, number * n + hi - gram, "right") - np.searchsorted(key, number * n + lo, "left") > 1
-    return doc, runs.view(np.int64), d.view(np.int64), lo - c.bounds[doc], hi - c.bounds[doc], own
+    return doc, runs.view(np.int64), d, lo - c.bounds[doc], hi - c.bounds[doc], own
+
+
+def _anchors(length: int, gram: int, piece: int):
+    """(id, h, text) to _FOUND."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for c in kernel.chunks(batch.column(2)):
+                doc, g, d, lo, hi, own = anchors(c, length, gram, piece)
+                row = c.first + doc
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, d[:, 0], d[:, 1], ids[row], hs[row], lo, hi, own)], ["g", "d", "e", "id", "h", "lo", "hi", "own"])
+
+    return run
+
+
+def finer(segment: bytes, length: int, gram: int, width: int) -> list[tuple]:
+    """(g, d, e, start, end, own) of the cells of at most ``width`` windows that a cell is cut into.
 
+    A window's place is that of its leftmost anchor in it, counted in steps of
+    ``width``; with it, the bytes that all windows at such a place share name the cell.
+    """
+    data = np.frombuffer(segment, np.uint8)
+    at = np.arange(len(data) - gram + 1)
+    h = _range_hash(_sums(data, kernel._BASE), kernel._BASE_INV, at, at + gram)
+    places = np.flatnonzero(h == h.min())
+    s = np.arange(len(data) - length + 1)
+    p = places[np.searchsorted(places, s)]
+    step = (p - s) // width
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (step[1:] != step[:-1])]))
+    last = np.append(first[1:], len(s)) - 1
+    core = p[first] - step[first] * width
+    out = []
+    for a, b, x, j in zip(first.tolist(), last.tolist(), core.tolist(), step[first].tolist(), strict=True):
+        # The windows at this place begin at x - width + 1 up to x; all hold what lies between.
+        g = hashlib.blake2b(segment[x : x - width + 1 + length], digest_size=8, salt=j.to_bytes(8, "little"), person=width.to_bytes(8, "little")).digest()
+        d = np.frombuffer(hashlib.blake2b(segment[a : b + length], digest_size=16).digest(), np.int64)
+        own = int(np.searchsorted(places, b + length - gram, "right") - np.searchsorted(places, a)) > 1
+        out.append((int.from_bytes(g, "little", signed=True), int(d[0]), int(d[1]), a, b + length, own))
+    return out
+
+
+def _finer(length: int, gram: int, width: int):
+    """(k, id, h, lo, segment) to _FOUND."""
 
-def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in kernel.chunks(batch.column(1)):
-                doc, g, d, lo, hi, own = anchors(c, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(ids[c.first + doc]), pa.array(lo), pa.array(hi), pa.array(own)], ["g", "d", "id", "lo", "hi", "own"])
+            rows = []
+            for _, i, h, lo, segment in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                rows += [(g, d, e, i, h, lo + a, lo + b, own) for g, d, e, a, b, own in finer(segment, length, gram, width)]
+                if len(rows) > 50_000:
+                    yield _rows(rows)
+                    rows = []
+            yield _rows(rows)
 
     return run
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 7, pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], ["g", "d", "e", "id", "h", "lo", "hi", "own"])
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, [(g, lo, hi, hot)]) to (g, id, lo, hot, segment)."""
+    """(id, h, text, rows, [(k, lo, hi)]) to (k, id, h, lo, segment); of a row that is there twice, two of each."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, (text, wanted) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+        ids, hs, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+        wanted = batch.column(4)
+        ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
+        flat = wanted.flatten()
+        k, lo, hi = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("k", "lo", "hi"))
+        for i, text in enumerate(batch.column(2)):
             data = text.as_buffer().to_pybytes()
-            rows = wanted.as_py()
-            for s in range(0, len(rows), 4096):
-                part = rows[s : s + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r["g"] for r in part], pa.int64()), pa.array(np.full(len(part), ids[i])), pa.array([r["lo"] for r in part], pa.int64()), pa.array([r["hot"] for r in part], pa.bool_()), pa.array([data[r["lo"] : r["hi"]] for r in part], pa.binary())], ["g", "id", "lo", "hot", "segment"])
+            for s in range(ends[i], ends[i + 1], 4096):
+                part = np.arange(s, min(s + 4096, ends[i + 1]))
+                cut = [data[a:b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)]
+                one = pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), hs[i])), pa.array(lo[part]), pa.array(cut, pa.binary())], ["k", "id", "h", "lo", "segment"])
+                for _ in range(min(2, int(rows[i]))):
+                    yield one
 
 
 def suffixes(text: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
@@ -149,7 +229,7 @@ def suffixes(text: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(open_):
         pos = sa[open_]
         key = rank[pos] << 32 | rank[pos + h]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         pos, key = pos[order], key[order]
         sa[open_] = pos
         fresh = np.ones(len(open_), dtype=bool)
@@ -234,93 +314,91 @@ def repeated(segments: list[bytes], owner: np.ndarray, at: np.ndarray, length: i
     return which[hit[start]], offset[hit[start]], offset[hit[final]] + length
 
 
-def _search(length: int):
-    """(id, lo, segment) of a bucket to (id, lo, hi): what is repeated.
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's group, its number within the group), rows alike in all keys being a group."""
+    order = np.lexsort(keys[::-1])
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    number, nth = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    nth[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    return number, nth
 
-    Windows whose hash is met at one place only cannot be repeated.  What the
-    others cover is cut out first, and of cuts alike two go through the
-    transform; the others share its answer.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids, los = table.column("id").to_numpy(), table.column("lo").to_numpy()
-        _, owner = np.unique(ids, return_inverse=True)
-        c = next(kernel.chunks(table.column("segment"), 1 << 40))
-        per = np.diff(c.bounds) - length + 1
-        which = np.repeat(np.arange(c.n), per)
-        start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        at = c.bounds[which] + start
-        sums = _sums(c.data, kernel._BASE)
-        h = _range_hash(sums, kernel._BASE_INV, at, at + length)
-        place = (owner[which].astype(np.int64) << np.int64(36)) | (los[which] + start)
-        order = np.argsort(h)
-        group = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        differ = np.minimum.reduceat(place[order], group) != np.maximum.reduceat(place[order], group)
-        maybe = np.sort(order[np.repeat(differ, np.diff(np.append(group, len(order))))])
-        if not len(maybe):
-            return pa.table({"id": pa.array(ids[:0]), "lo": pa.array(los[:0]), "hi": pa.array(los[:0])})
-        fresh = np.ones(len(maybe), dtype=bool)
-        fresh[1:] = (which[maybe[1:]] != which[maybe[:-1]]) | (start[maybe[1:]] > start[maybe[:-1]] + length)
-        first = np.flatnonzero(fresh)
-        lo, hi = at[maybe[first]], at[maybe[np.append(first[1:], len(maybe)) - 1]] + length
-        of, shift = which[maybe[first]], los[which[maybe[first]]] - c.bounds[which[maybe[first]]]
-        content = _range_hash(_sums(c.data, _BASE2), _BASE2_INV, lo, hi) ^ (hi - lo).astype(np.uint64)
-        order = np.lexsort((lo + shift, owner[of], content))
-        same = np.concatenate([[False], content[order][1:] == content[order][:-1]])
-        places = np.concatenate([[True], (owner[of[order]][1:] != owner[of[order]][:-1]) | ((lo + shift)[order][1:] != (lo + shift)[order][:-1])])
-        # The first cut of each content and the first at another place go on.
-        number = np.cumsum(~same) - 1
-        nth = np.cumsum(places | ~same)
-        nth -= nth[np.flatnonzero(~same)][number]
-        go = (~same) | (places & (nth == 1))
-        gone = order[go]
-        raw = c.data.tobytes()
-        k, a, b = repeated([raw[lo[x] : hi[x]] for x in gone], owner[of[gone]].astype(np.int64), (lo + shift)[gone], length)
-        # Answers by content, then for every cut of that content.
-        content_of = number[go][k]
-        answers = np.unique(np.stack([content_of, a, b], 1), axis=0)
-        begin, finish = np.searchsorted(answers[:, 0], np.arange(number[-1] + 2))[[*range(number[-1] + 1)]], np.searchsorted(answers[:, 0], np.arange(number[-1] + 1), "right")
-        reps = (finish - begin)[number]
-        cut = np.repeat(order, reps)
-        pick = np.repeat(begin[number], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        base = (lo + shift)[cut]
-        return pa.table({"id": pa.array(ids[of[cut]]), "lo": pa.array(base + answers[pick, 1]), "hi": pa.array(base + answers[pick, 2])})
-
-    return run
-
-
-def _windows(length: int):
-    """(g, id, lo, hot, segment) to (a, b, id, start): hashes of all windows of the segments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, los = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-            for c in kernel.chunks(batch.column(4), 1 << 18):
-                per = np.maximum(np.diff(c.bounds) - length + 1, 0)
-                which = np.repeat(np.arange(c.n), per)
-                s = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                at = c.bounds[which] + s
-                a = _range_hash(_sums(c.data, kernel._BASE), kernel._BASE_INV, at, at + length)
-                b = _range_hash(_sums(c.data, _BASE2), _BASE2_INV, at, at + length)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[c.first + which]), pa.array(los[c.first + which] + s)], ["a", "b", "id", "start"])
-
-    return run
 
+def cuts(c: kernel.Chunk, owner: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, end) of what is left of segments without the runs of ``gram`` bytes met at one place only.
 
-def _runs(length: int):
-    """(id, start) to (id, lo, hi): neighbouring windows of a batch joined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, start = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            order = np.lexsort((start, ids))
-            ids, start = ids[order], start[order]
-            first = np.ones(len(ids), dtype=bool)
-            first[1:] = (ids[1:] != ids[:-1]) | (start[1:] > start[:-1] + length)
-            at = np.flatnonzero(first)
-            final = np.append(at[1:], len(ids)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(start[at]), pa.array(start[final[: len(at)]] + length)], ["id", "lo", "hi"])
+    A string of ``length`` bytes met twice has no such run.
+    """
+    per = np.maximum(np.diff(c.bounds) - gram + 1, 0)
+    which = np.repeat(np.arange(c.n), per)
+    start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    place = c.bounds[which] + start
+    h = _range_hash(_sums(c.data, kernel._BASE), kernel._BASE_INV, place, place + gram)
+    order = np.argsort(h)
+    group = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    doc = ((owner[which] << np.int64(36)) | (at[which] + start))[order]
+    differ = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
+    again = np.zeros(len(h) + 2, dtype=np.int8)
+    again[1:-1][order[np.repeat(differ, np.diff(np.append(group, len(order))))]] = 1
+    # Runs of recurring places, cut where a segment ends.
+    edge = np.diff(again)
+    opens, closes = edge[:-1] == 1, edge[1:] == -1
+    border = np.cumsum(per)[per > 0]
+    inner = border[border < len(h)]
+    both = again[1:-1][inner - 1] & again[1:-1][inner]
+    opens[inner[both > 0]] = True
+    closes[inner[both > 0] - 1] = True
+    a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+    keep = b - a + gram >= length
+    a, b = a[keep], b[keep]
+    return which[a], start[a], start[b] + gram
+
+
+def _search(length: int, gram: int):
+    """Segments (k, id, h, lo, segment) and questions (k, id, h, lo, hi, g, d, e) of a bucket to what is repeated: (id, h, lo, hi, null, null, null) and, of each question whose whole cell is, (null, null, null, null, g, d, e)."""
+    kinds = {"id": 0, "h": 0, "lo": 0, "hi": 0, "g": 1, "d": 1, "e": 1}
+
+    def made(values: dict[str, np.ndarray], n: int) -> pa.Table:
+        return pa.table({name: pa.array(values[name], pa.int64()) if name in values else pa.nulls(n, pa.int64()) for name in kinds})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        k, ids, hs, los = (left.column(name).to_numpy() for name in ("k", "id", "h", "lo"))
+        c = next(kernel.chunks(left.column("segment"), 1 << 40), None)
+        if c is None or len(c.data) < length:
+            return made({}, 0)
+        # The same place of a row and of its copy are two places.
+        _, copy = _groups(k, ids, hs, los)
+        owner, _ = _groups(ids, hs, copy)
+        which, a, b = cuts(c, owner, los, length, gram)
+        if not len(which):
+            return made({}, 0)
+        raw = c.data.tobytes()
+        base = c.bounds[which]
+        part, lo, hi = repeated([raw[x:y] for x, y in zip((base + a).tolist(), (base + b).tolist(), strict=True)], owner[which], los[which] + a, length)
+        if not len(part):
+            return made({}, 0)
+        of, lo, hi = which[part], lo + a[part], hi + a[part]
+        spans = made({"id": ids[of], "h": hs[of], "lo": los[of] + lo, "hi": los[of] + hi}, len(of))
+        if not right.num_rows:
+            return spans
+        asked = {name: right.column(name).to_numpy() for name in ("k", "id", "h", "lo", "hi", "g", "d", "e")}
+        # The first segment of each stretch and document holds the asked cells.
+        number, _ = _groups(*(np.concatenate([x, asked[name]]) for x, name in ((k, "k"), (ids, "id"), (hs, "h"))))
+        low = np.lexsort((los, number[: len(k)]))
+        at = np.searchsorted(number[: len(k)][low], number[len(k) :])
+        have = at < len(k)
+        at = low[np.minimum(at, len(k) - 1)]
+        have &= number[: len(k)][at] == number[len(k) :]
+        begin, finish = c.bounds[of] + lo, c.bounds[of] + hi
+        order = np.argsort(begin)
+        begin, finish = begin[order], finish[order]
+        x = c.bounds[at] + asked["lo"] - los[at]
+        y = x + asked["hi"] - asked["lo"]
+        last = np.searchsorted(begin, x, "right") - 1
+        sure = have & (last >= 0) & (finish[np.maximum(last, 0)] >= y)
+        return pa.concat_tables([spans, made({name: asked[name][sure] for name in ("g", "d", "e")}, int(sure.sum()))])
 
     return run
 
@@ -343,37 +421,57 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.binary()) for k in range(4))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET, piece: int = PIECE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "substrings")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("id"), text.cast("binary").alias("text"))
-    found = ws.save(docs.select("id", "text").mapInArrow(_anchors(length, gram), "g long, d long, id long, lo long, hi long, own boolean"), "anchors")
-
-    cells = found.groupBy("g", "d").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo", "hi")).alias("one"), F.max("own").alias("own"))
-    groups = cells.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("n > 1 or any_own")
-    cells = ws.save(cells.join(groups, "g").select("g", "d", "c", "one", "kinds", "own"), "cells")
-    whole = found.join(cells.filter("c > 1").select("g", "d"), ["g", "d"]).select("id", "lo", "hi")
-
-    wanted = cells.filter("kinds > 1 or own").select("one.*", "g", (F.col("kinds") > most).alias("hot"))
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("g", "lo", "hi", "hot")).alias("wanted"))
-    segments = docs.select("id", "text").join(lists, "id").mapInArrow(_segments, "g long, id long, lo long, hot boolean, segment binary")
-    segments = ws.save(segments, "segments")
-
-    size = segments.filter("not hot").agg(F.sum(F.octet_length("segment"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket))
-    dealt = segments.filter("not hot").select("id", "lo", "segment", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"))
-    parted = dealt.groupBy("bucket").applyInArrow(_search(length), "id long, lo long, hi long")
-
-    windows = segments.filter("hot").mapInArrow(_windows(length), "a long, b long, id long, start long")
-    place = F.struct("id", "start")
-    twice = windows.groupBy("a", "b").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("a", "b")
-    hot = windows.join(twice, ["a", "b"]).select("id", "start").mapInArrow(_runs(length), "id long, lo long, hi long")
-
-    spans = ws.save(whole.unionByName(parted).unionByName(hot).distinct(), "spans")
-    per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(per_doc, "id", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own_id = F.col(f"`{id_col}`").cast("long")
+    docs = docs.select(own_id.alias("doc_id"), F.coalesce(own_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
+    rows = docs.filter(F.octet_length("text") >= length).groupBy("id", "h").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
+    place = F.struct("id", "h", "lo", "hi")
+    key = ["g", "d", "e"]
+
+    def take(wanted: DataFrame, name: str) -> DataFrame:
+        """The bytes of wanted (k, id, h, lo, hi)."""
+        lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("wanted"))
+        return ws.save(rows.join(lists, ["id", "h"]).select("id", "h", "text", "rows", "wanted").mapInArrow(_segments, "k long, id long, h long, lo long, segment binary"), name)
+
+    found = ws.save(docs.select("id", "h", "text").mapInArrow(_anchors(length, gram, piece), _FOUND), "anchors")
+    levels, asks, parts = [found], [], []
+    for width in (*(min(w, max(1, length // 2)) for w in FINER), 0):
+        cells = found.groupBy(*key).agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("two"), F.max("own").alias("own"))
+        groups = cells.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("n > 1 or any_own")
+        cells = ws.save(cells.join(groups, "g").select(*key, "c", "one", "two", "kinds", "own"), "cells")
+        pair = [F.col("one.id"), F.col("one.h"), F.col("two.id"), F.col("two.h"), F.col("two.lo") - F.col("one.lo")]
+        asks.append(cells.filter("c > 1").select(F.xxhash64(*pair, F.expr(f"one.lo div {STRETCH}")).alias("k"), "one", "two", *key))
+        several = cells.filter("kinds > 1 or own").select(F.col("g").alias("k"), "one.*", "kinds")
+        parts.append(several.filter(F.col("kinds") <= most).drop("kinds") if width else several.drop("kinds"))
+        hot = several.filter(F.col("kinds") > most).drop("kinds")
+        if not width or hot.isEmpty():
+            break
+        found = ws.save(take(hot, "hot").mapInArrow(_finer(length, gram, width), _FOUND), "finer")
+        levels.append(found)
+
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    asked = union(asks)
+    stretches = asked.groupBy("k", "one.id", "one.h", F.col("two.id").alias("id2"), F.col("two.h").alias("h2"), (F.col("two.lo") - F.col("one.lo")).alias("by")).agg(F.min("one.lo").alias("lo"), F.max("one.hi").alias("hi"))
+    stretches = ws.save(stretches, "stretches")
+    second = stretches.filter("id <> id2 or h <> h2 or by <> 0").select("k", F.col("id2").alias("id"), F.col("h2").alias("h"), (F.col("lo") + F.col("by")).alias("lo"), (F.col("hi") + F.col("by")).alias("hi"))
+    segments = take(union([stretches.select("k", "id", "h", "lo", "hi"), second, *parts]), "segments")
+
+    size = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    dealt = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-size // bucket)))).alias("bucket")
+    questions = asked.select("k", "one.id", "one.h", "one.lo", "one.hi", *key, dealt)
+    answers = segments.select("*", dealt).groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(_search(length, gram), "id long, h long, lo long, hi long, g long, d long, e long")
+    answers = ws.save(answers, "answers")
+
+    sure = answers.filter("g is not null").select(*key)
+    whole = [level.join(sure, key).select("id", "h", "lo", "hi") for level in levels]
+    spans = ws.save(union([answers.filter("g is null").select("id", "h", "lo", "hi"), *whole]).distinct(), "spans")
+    ws.drop_all(but=spans)
+    per_doc = spans.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return docs.join(per_doc, ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 They go below ``spark.checkpoint.dir``, the folder that driver and executors
 share, so a lost executor costs a reread and never a recomputation of the
-whole lineage.  Only where that setting is unset (tests, a laptop) a temporary
-folder of this machine is set instead.
+whole lineage.  Where that setting is unset, tables go below the session's
+warehouse, which is shared as well; only a local master (tests, a laptop), whose
+executors are the driver, uses a temporary folder of this machine.
 """
 
 from __future__ import annotations
@@ -17,16 +18,22 @@ from pyspark.sql import types as T
 from ..shipping import ship
 
 
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="gleaner-")
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = getattr(spark, "_gleaner_checkpoint_dir", None) or "file://" + tempfile.mkdtemp(prefix="gleaner-")
+            base = getattr(spark, "_gleaner_checkpoint_dir", None) or (_local() if spark.sparkContext.master.split("[")[0] == "local" else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gleaner")
             spark._gleaner_checkpoint_dir = base
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.made: dict[int, str] = {}
+        # Held, so that no other frame gets the id of a table's frame.
+        self.kept: list[DataFrame] = []
         self.count = 0
 
     def path(self, name: str) -> str:
@@ -39,6 +46,7 @@ class Workspace:
         df.write.parquet(where)
         back = self.spark.read.schema(df.schema).parquet(where)
         self.made[id(back)] = where
+        self.kept.append(back)
         return back
 
     def drop(self, *tables: DataFrame) -> None:
@@ -50,6 +58,10 @@ class Workspace:
                 p = jvm.org.apache.hadoop.fs.Path(where)
                 p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
+    def drop_all(self, but: DataFrame) -> None:
+        """Delete all tables but one, which no longer needs them."""
+        self.drop(*[df for df in self.kept if df is not but])
+
 
 def extended(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     """A copy of ``schema`` with one more column (``StructType.add`` changes the frame's own)."""

@@ -68,16 +68,48 @@ def test_repeats(spark, most):
     for i in range(150):
         parts = [rng.choice(base)[rng.randint(0, 30) :] if rng.random() < 0.5 else "".join(rng.choice("abcdefgé ") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 6))]
         rows.append((i, "".join(parts) if i % 37 else None))
-    rows += [(500, "a" * 300), (501, "ab" * 40), (502, "")]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS), length=40, gram=8, most=most, bucket=1 << 12).collect()}
+    rows += [(500, "a" * 300), (501, "ab" * 40), (502, ""), (503, "abc" * 100 + "x" + "abc" * 90)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS), length=40, gram=8, most=most, bucket=1 << 12, piece=64).collect()}
     assert got == repeats(rows, 40)
 
 
+def test_repeats_of_rows_that_share_an_id(spark, prose):
+    """Each row is a document of its own; texts without a copy keep everything."""
+    t, u, v = prose(1, 300), prose(2, 300), prose(3, 90)
+    rows = [(1, t), (1, u), (2, t), (2, v[:120]), (3, u[:500]), (None, v), (None, v), (None, v), (4, v[:399]), (5, t[50:450] + u[700:1200])]
+    want = sorted((str(i), *w) for i, w in [(rows[k][0], x) for k, x in repeats(list(enumerate(t for _, t in rows)), 400).items()])
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == want
+
+
+def test_repeats_in_long_and_periodic_texts(spark, prose):
+    """A text of 5 MB, periodic ones, and two strings that are alike to a polynomial hash modulo 2 ** 64."""
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    long = prose(11, 900_000)
+    rows = [(1, long), (2, prose(12, 100) + long[4_000_000:4_100_000]), (3, "a" * 100_000), (4, "xyz" * 30_000), (5, thue[:1024]), (6, thue[1024:] + "!"), (7, prose(13, 5000))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[3] == (100_000, 100_000, 1) and got[4] == (90_000, 90_000, 1)
+    assert got[2][1] >= 100_000 and got[1][1] >= 100_000 and got[2][0] - got[2][1] <= len(prose(12, 100))
+    assert got[7][1] == repeats([rows[6]], 400)[7][1]
+    small = [rows[4], rows[5]]
+    assert {i: got[i][:2] for i in (5, 6)} == {i: w[:2] for i, w in repeats(small, 400).items()}
+
+
+def test_repeats_border_of_a_common_passage(spark, prose):
+    """Very many documents share a passage, each with its own text around it: cells are cut finer, nothing is lost."""
+    passage = prose(50, 100)[:500]
+    rows = [(i, prose(100 + i, 12) + ("é" if i % 3 else " ") + passage + (" " if i % 2 else "x") + prose(400 + i, 15)) for i in range(60)]
+    for most in (3, 512):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS), most=most).collect()}
+        assert got == repeats(rows, 400)
+
+
 def test_repeats_edges(spark, prose):
     assert substrings.remove_repeats(spark.createDataFrame([], DOCS)).collect() == []
     t = prose(1, 300)
-    rows = [(None, t), (None, t), (3, "short"), (4, None)]
-    got = sorted((str(r.doc_id), r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect())
+    rows = [(None, t, 1, "a"), (None, t, 2, "b"), (3, "short", 3, "c"), (4, None, 4, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, h string")
+    got = sorted((str(r.doc_id), r.n_removed) for r in substrings.remove_repeats(df).collect())
     assert got == [("3", 0), ("4", 0), ("None", len(t.encode())), ("None", len(t.encode()))]
 
 
