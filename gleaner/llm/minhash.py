@@ -27,8 +27,8 @@ Defined results
 Null or blank texts have no shingles and link with nothing.  Rows that share a
 doc_id are one document.  Rows without doc_id join a group only as an equal
 set and are never its kept document, unless nothing identified is in it: then
-component_id is null and they are kept.  Other columns of the input are not
-read.
+component_id is null and they are kept.  An empty table gives an empty one.
+Other columns of the input are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = components(shares.select(F.col("rep").alias("a"), F.col("lead").alias("b")), ws)
     met = shares.groupBy(F.col("rep").alias("id")).agg(F.sum("met").alias("met"))
     members = ws.save(clusters.join(met, "id").select(F.col("id").alias("rep"), F.col("comp").alias("cluster"), "met"), "members")
-    centers = members.groupBy("cluster").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("center"))
+    centers = members.groupBy("cluster").agg(F.max_by("rep", F.struct("met", F.bitwise_not("rep"))).alias("center"))
     members = members.join(centers, "cluster").select("rep", "cluster", "center")
     texts = docs.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
     sets = ws.save(texts.mapInArrow(_sets(shingle), "rep long, shingles binary").join(members, "rep"), "sets")
