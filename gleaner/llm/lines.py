@@ -17,12 +17,18 @@ with its number; a leaf that does not recur cannot hold a template that does.
 A leaf goes by a 64-bit hash, a line or template by 128 bits.
 
 Words are runs of characters other than ``[\\x20\\x09-\\x0D]`` within lines cut
-at ``\\n``.  Lines of fewer than ``min_words`` words are never dropped: such
-lines recur by chance.
+at ``\\n``.  Lines of fewer than ``min_words`` words (those without a word, as a
+rule) are never dropped.
+
+What is dropped of a document is a sorted list of line numbers, and its text is
+put together from the slices between them, so a long document costs no more than
+its length.
 
 Defined results: null and empty texts come back as they are; rows without
 doc_id are neither counted nor changed; rows that share a doc_id count as one
-document.  Other columns stay as they are.
+document, and a line that goes goes from each of them.  An empty table gives an
+empty one.  Other columns stay as they are, but for one with the name of an
+added column, which is replaced; their names clash with nothing else.
 """
 
 from __future__ import annotations
@@ -30,11 +36,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bits
+from .matches import let
 from .workspace import Workspace
 
-DEPTH, MIN_LINES, MIN_WORDS, CONSTANT = 3, 3, 3, 0.7
-#: Rows of the broadcast bit table, 64 bits each.
-TABLE = 1 << 18
+DEPTH, MIN_LINES, MIN_WORDS, CONSTANT = 3, 2, 1, 0.7
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,10 +72,7 @@ def recurring(docs: DataFrame, ws: Workspace, depth: int = DEPTH, min_lines: int
     lines = lines.select(F.col("id").alias("lo"), F.col("id").alias("hi"), "line", F.regexp_count("line", F.lit(_WORDS + "+")).alias("words")).filter(F.col("words") >= min_words)
     lines = lines.select("lo", "hi", "line", F.xxhash64(_leaf(F.col("line"), F.col("words"), depth)).alias("leaf"))
     busy = ws.save(lines.groupBy("leaf").agg(*_met()).filter(recurs).select("leaf"), "leaves")
-    # A bit table of fixed size tells most lines of other leaves apart before anything is shuffled.
-    place, bit = F.col("leaf").bitwiseAND(TABLE - 1), F.shiftright("leaf", 32).bitwiseAND(63).cast("int")
-    table = busy.groupBy(place.alias("place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    near = lines.withColumn("place", place).join(F.broadcast(table), "place").filter(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
+    near = bits.near(lines, "leaf", busy, busy.count())
     distinct = ws.save(near.select("leaf", "lo", "hi", "line").join(busy, "leaf").groupBy("leaf", "line").agg(*_met()), "lines")
 
     words = distinct.select("leaf", "n", "lo", "hi", _key(F.col("line")).alias("key"), F.posexplode(_words("line")).alias("at", "word"))
@@ -86,18 +89,23 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ws = Workspace(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     drops = ws.save(recurring(plain, ws, depth, min_lines, min_words, constant).select("key", "first"), "drops")
-    lines = plain.filter("id is not null and text is not null").select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    gone = lines.select("id", _key(F.col("line")).alias("key")).join(drops, "key").filter(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("key").alias("gone"))
+    # A row goes by its doc_id and a hash of its text: the line numbers are those of that text.
+    lines = plain.filter("id is not null and text is not null").select("id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    gone = lines.select("id", "h", "at", _key(F.col("line")).alias("key")).join(drops, "key").filter(F.col("id") > F.col("first")).groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     mark = "_" * (1 + max((len(n) for n in docs.columns), default=0))
-    gone = gone.select(F.col("id").alias(mark + "id"), F.col("gone").alias(mark + "gone"))
-    text, split = F.col(f"`{text_col}`").cast("string"), F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    stay = F.filter(split, lambda x: ~F.array_contains(F.col(mark + "gone"), _key(x)))
-    new = F.when(F.col(mark + "gone").isNull(), text).otherwise(F.array_join(stay, "\n"))
-    joined = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(mark + "id"), "left")
+    gone = gone.select(F.col("id").alias(mark + "id"), F.col("h").alias(mark + "h"), F.col("gone").alias(mark + "gone"))
+    text, at = F.col(f"`{text_col}`").cast("string"), F.col(mark + "gone")
+
+    def rest(split: Column) -> Column:
+        starts, ends = F.concat(F.array(F.lit(0)), F.transform(at, lambda x: x + 1)), F.concat(at, F.array(F.size(split)))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(split, a + 1, b - a))), "\n")
+
+    new = F.when(at.isNull(), text).otherwise(let(F.split(text, "\n"), rest))
+    joined = docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(mark + "id")) & (F.xxhash64(text) == F.col(mark + "h")), "left")
     extra = []
     if counts:
-        n = F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long")
-        extra = [n.alias(counts[0]), (n - F.when(F.col(mark + "gone").isNull(), n).otherwise(F.size(stay))).cast("long").alias(counts[1])]
+        n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+        extra = [n.alias(counts[0]), F.when(at.isNull(), 0).otherwise(F.size(at)).cast("long").alias(counts[1])]
     name = into or text_col
     taken = {name, *(counts or ())}
     return joined.select(*[new.alias(n) if n == name else F.col(f"`{n}`") for n in docs.columns if n == name or n not in taken], *([] if name in docs.columns else [new.alias(name)]), *extra)
@@ -115,23 +123,23 @@ WITH lines AS (
 ), leaves AS (
   SELECT doc_id, line, words,
          len(words) || ' ' || array_to_string(list_transform(words[1:3], lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END), ' ') AS leaf
-  FROM lines WHERE len(words) >= 3
+  FROM lines WHERE len(words) >= 1
 ), busy AS (
-  SELECT leaf FROM leaves GROUP BY leaf HAVING count(*) >= 3 AND min(doc_id) < max(doc_id)
+  SELECT leaf FROM leaves GROUP BY leaf HAVING count(*) >= 2 AND min(doc_id) < max(doc_id)
 ), distinct_lines AS (
   SELECT leaf, line, first(words) AS words, count(*) AS n, min(doc_id) AS lo, max(doc_id) AS hi
   FROM leaves WHERE leaf IN (FROM busy) GROUP BY leaf, line
 ), placed AS (
   SELECT leaf, line, n, lo, hi, unnest(words) AS word, unnest(range(len(words))) AS place FROM distinct_lines
 ), kept AS (
-  SELECT leaf, place, word FROM placed GROUP BY leaf, place, word HAVING sum(n) >= 3 AND min(lo) < max(hi)
+  SELECT leaf, place, word FROM placed GROUP BY leaf, place, word HAVING sum(n) >= 2 AND min(lo) < max(hi)
 ), shaped AS (
   SELECT p.leaf, p.line, p.n, p.lo, p.hi,
          string_agg(CASE WHEN k.word IS NULL THEN '<*>' ELSE p.word END, ' ' ORDER BY p.place) AS template, count(k.word) / count(*) AS share
   FROM placed p LEFT JOIN kept k ON p.leaf = k.leaf AND p.place = k.place AND p.word = k.word GROUP BY p.leaf, p.line, p.n, p.lo, p.hi
 ), found AS (
   SELECT leaf, template, min(lo) AS first FROM shaped WHERE share >= 0.7
-  GROUP BY leaf, template HAVING sum(n) >= 3 AND min(lo) < max(hi)
+  GROUP BY leaf, template HAVING sum(n) >= 2 AND min(lo) < max(hi)
 ), gone AS (
   SELECT l.doc_id, list(DISTINCT l.line) AS gone
   FROM leaves l JOIN shaped s ON l.leaf = s.leaf AND l.line = s.line AND s.share >= 0.7
