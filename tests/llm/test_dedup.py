@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -135,7 +136,7 @@ def test_lines_against_sql(spark, table):
     con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
     want = {r[0]: (r[1], r[2], r[3]) for r in con.execute(f"select doc_id, n_lines, n_dropped, kept_text from ({lines.OP1_SQL})").fetchall()}
     assert got == want
-    assert got[0][1] == 0 and got[5][1] == 2 and got[22][1] == 2 and got[22][2] == ""
+    assert got[0][1] == 0 and got[5][1] == 3 and got[22][1] == 2 and got[22][2] == "" and got[5][2] == "Page 5 of 15 printed today"
 
 
 def test_lines_edges(spark):
@@ -144,6 +145,17 @@ def test_lines_edges(spark):
     assert sorted((str(r.doc_id), r.text, r.id) for r in lines.drop_lines(df).collect()) == [("1", "a b c", "k"), ("2", "", "k"), ("3", "", "k"), ("3", "", "k"), ("None", "a b c", "k")]
 
 
+def test_lines_of_long_texts(spark):
+    """Very many recurring lines in one text, shared ids with different texts, clashing names."""
+    common = [f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} shared by two" for i in range(8000)]
+    rows = [(1, "\n".join(common), "a", 1), (2, "own\n" + "\n".join(common) + "\n\nend of it", "b", 2), (2, common[5] + "\nother", "c", 3), (3, "nothing in common here", "d", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, n_lines int")
+    started = time.time()
+    got = sorted((r.doc_id, r.text, r.gone, r.n_lines, r.n_gone) for r in lines.drop_lines(df, counts=("n_lines", "n_gone")).collect())
+    assert got == [(1, rows[0][1], "a", 8000, 0), (2, "other", "c", 2, 1), (2, "own\n\nend of it", "b", 8003, 8000), (3, rows[3][1], "d", 1, 0)]
+    assert time.time() - started < 60
+
+
 @pytest.mark.parametrize("bits", [4, 256])
 def test_exact(spark, table, prose, bits):
     rows = [(i, prose(i % 7, 20).replace(" ", "  " if i % 3 else "\t")) for i in range(40)] + [(50, None), (51, ""), (52, " \n"), (53, "a b"), (54, "ab")]
@@ -167,6 +179,29 @@ def test_exact_goes_on(spark, table, tmp_path):
     assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
 
 
+def test_exact_compares_with_earlier_runs(spark, tmp_path):
+    """With a short digest, a document of an earlier run and another folder is read back by its locator."""
+    state = str(tmp_path / "state")
+    a, b = str(tmp_path / "a b.parquet"), str(tmp_path / "b.parquet")
+    spark.createDataFrame([(5, "first text")], DOCS).write.parquet(a)
+    texts = [f"other {i}" for i in range(40)]
+    spark.createDataFrame([(7 + i, t) for i, t in enumerate(texts)] + [(90, "firsttext")], DOCS).coalesce(1).write.parquet(b)
+    exact.exact_duplicates(spark, a, state_dir=state, digest_bits=4).collect()
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_duplicates(spark, b, state_dir=state, digest_bits=4).collect()}
+    assert got.pop(90) == (5, 2)
+    assert got == {7 + i: (7 + i, 1) for i in range(40)}
+
+
+def test_exact_edges(spark, table):
+    empty = table("empty", [], DOCS)
+    assert exact.exact_duplicates(spark, f"{empty}/empty.parquet").collect() == []
+    rows = [(-(2**63), "x", "f"), (2**63 - 1, "x", "f"), (None, "x", "f"), (None, "y", "g"), (3, "z" * 2_000_000, "h"), (3, "z" * 2_000_000 + " ", "h"), (4, "u", "i"), (4, "v", "i")]
+    folder = table("documents", rows, "doc_id long, text string, digest string")
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact.op9_exact_dedup(spark, folder).collect())
+    low, high = str(-(2**63)), str(2**63 - 1)
+    assert got == sorted([(low, low, 3, True), (high, low, 3, False), ("None", low, 3, False), ("None", "None", 1, True), ("3", "3", 2, True), ("3", "3", 2, True), ("4", "4", 1, True), ("4", "4", 1, True)])
+
+
 def test_shingle_counts():
     text = "A b c d e f a B c d e"
     data = np.frombuffer(text.encode(), np.uint8)
