@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import bits, kernel
 from .workspace import Workspace
 
 LENGTH, GRAM, MOST, BUCKET = 400, 64, 512, 1 << 20
@@ -428,13 +428,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     own_id = F.col(f"`{id_col}`").cast("long")
     docs = docs.select(own_id.alias("doc_id"), F.coalesce(own_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    rows = docs.filter(F.octet_length("text") >= length).groupBy("id", "h").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
+    docs = docs.withColumn("key", F.xxhash64("id", "h"))
     place = F.struct("id", "h", "lo", "hi")
     key = ["g", "d", "e"]
 
     def take(wanted: DataFrame, name: str) -> DataFrame:
         """The bytes of wanted (k, id, h, lo, hi)."""
-        lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("wanted"))
+        lists = ws.save(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("wanted")), "wanted")
+        # Only texts of which something is wanted are shuffled.
+        some = bits.near(docs, "key", lists.select(F.xxhash64("id", "h").alias("key")), lists.count())
+        rows = some.groupBy("id", "h").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
         return ws.save(rows.join(lists, ["id", "h"]).select("id", "h", "text", "rows", "wanted").mapInArrow(_segments, "k long, id long, h long, lo long, segment binary"), name)
 
     found = ws.save(docs.select("id", "h", "text").mapInArrow(_anchors(length, gram, piece), _FOUND), "anchors")
@@ -471,7 +474,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = ws.save(union([answers.filter("g is null").select("id", "h", "lo", "hi"), *whole]).distinct(), "spans")
     ws.drop_all(but=spans)
     per_doc = spans.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(per_doc, ["id", "h"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    flagged = bits.mark(docs, "key", spans.select(F.xxhash64("id", "h").alias("key")), "hit", spans.select("id", "h").distinct().count())
+    out = flagged.filter("hit").join(per_doc, ["id", "h"], "left").select("doc_id", "text", "spans")
+    bare = flagged.filter("not hit").select("doc_id", "text", F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans"))
+    return out.unionByName(bare).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
