@@ -10,9 +10,10 @@ To recur is to be met in ``min_lines`` lines or more (each distinct line of a
 document once) and in two documents at least.
 
 Everything is counted and nothing gathered: tasks combine before each shuffle,
-so a line that a third of all documents share costs a row for each task.  Only
-lines of leaves that recur have their words counted, each distinct line once
-with its number; a leaf that does not recur cannot hold a template that does.
+so a line that a third of all documents share costs a row for each task.  A leaf
+that does not recur cannot hold a template that does, and one whose lines are
+all the same has that line as its template.  Only lines of the other leaves have
+their words counted, each distinct line once with its number.
 
 A leaf goes by a 64-bit hash, a line or template by 128 bits.
 
@@ -44,15 +45,30 @@ DEPTH, MIN_LINES, MIN_WORDS, CONSTANT = 3, 2, 1, 0.7
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def _words(line: Column | str) -> Column:
-    return F.regexp_extract_all(line, F.lit(_WORDS), F.lit(0))
+_SPACES = "\t\x0b\x0c\r"
+
+
+def _plain(line: Column) -> Column:
+    """Whether single blanks are all the white space of a line that has a word; such lines need no pattern."""
+    odd = line.startswith(" ") | line.endswith(" ") | F.contains(line, F.lit("  "))
+    for c in _SPACES:
+        odd = odd | F.contains(line, F.lit(c))
+    return (line != "") & ~odd
+
+
+def _words(line: Column) -> Column:
+    return F.when(_plain(line), F.split(line, " ")).otherwise(F.regexp_extract_all(line, F.lit(_WORDS), F.lit(0)))
+
+
+def _count(line: Column) -> Column:
+    return F.when(_plain(line), F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(F.regexp_count(line, F.lit(_WORDS + "+")))
 
 
 def _leaf(line: Column, n: Column, depth: int) -> Column:
-    """Number of words and the leading words; only these are taken out of the line."""
+    """Hash of the number of words and the leading words; only these are taken out of the line."""
     head = F.regexp_extract(line, rf"^(?:[\x20\x09-\x0D]*+{_WORDS}+){{1,{depth}}}", 0)
-    lead = F.transform(_words(head), lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w))
-    return F.concat_ws(" ", n.cast("string"), lead)
+    lead = F.when(_plain(line), F.substring_index(line, " ", depth)).otherwise(F.array_join(F.regexp_extract_all(head, F.lit(_WORDS), F.lit(0)), " "))
+    return F.xxhash64(n, F.when(lead.rlike("[0-9]"), F.regexp_replace(lead, "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(lead))
 
 
 def _key(line: Column) -> Column:
@@ -66,29 +82,35 @@ def _met(*n: Column) -> list[Column]:
 
 
 def recurring(docs: DataFrame, ws: Workspace, depth: int = DEPTH, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, constant: float = CONSTANT) -> DataFrame:
-    """(key, template, first) of ``docs(id, text)``: the lines, by key, that are dropped after document ``first``."""
+    """(key, first) of ``docs(id, text)``: the lines, by key, that are dropped after document ``first``."""
     recurs = (F.col("n") >= min_lines) & (F.col("lo") < F.col("hi"))
     lines = docs.filter("id is not null and text is not null").select("id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.select(F.col("id").alias("lo"), F.col("id").alias("hi"), "line", F.regexp_count("line", F.lit(_WORDS + "+")).alias("words")).filter(F.col("words") >= min_words)
-    lines = lines.select("lo", "hi", "line", F.xxhash64(_leaf(F.col("line"), F.col("words"), depth)).alias("leaf"))
-    busy = ws.save(lines.groupBy("leaf").agg(*_met()).filter(recurs).select("leaf"), "leaves")
+    lines = lines.select(F.col("id").alias("lo"), F.col("id").alias("hi"), "line", _count(F.col("line")).alias("words")).filter(F.col("words") >= min_words)
+    lines = lines.select("lo", "hi", "line", _leaf(F.col("line"), F.col("words"), depth).alias("leaf"))
+    one = _key(F.col("line"))
+    leaves = lines.select("leaf", "lo", "hi", one["a"].alias("a"), one["b"].alias("b")).groupBy("leaf").agg(*_met(), F.min("a").alias("a"), F.max("a").alias("a2"), F.max("b").alias("b"))
+    leaves = ws.save(leaves.filter(recurs), "leaves")
+    # In a leaf of one line all words stay: the line is the template.
+    alone = leaves.filter("a = a2").select(F.struct("a", "b").alias("key"), F.col("lo").alias("first"))
+    busy = leaves.filter("a <> a2").select("leaf")
     near = bits.near(lines, "leaf", busy, busy.count())
     distinct = ws.save(near.select("leaf", "lo", "hi", "line").join(busy, "leaf").groupBy("leaf", "line").agg(*_met()), "lines")
 
-    words = distinct.select("leaf", "n", "lo", "hi", _key(F.col("line")).alias("key"), F.posexplode(_words("line")).alias("at", "word"))
+    words = distinct.select("leaf", "n", "lo", "hi", _key(F.col("line")).alias("key"), F.posexplode(_words(F.col("line"))).alias("at", "word"))
     kept = words.groupBy("leaf", "at", "word").agg(*_met(F.col("n"))).filter(recurs).select("leaf", "at", "word", F.lit(True).alias("kept"))
     marked = words.join(kept, ["leaf", "at", "word"], "left")
     shaped = marked.groupBy("leaf", "key", "n", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kept"), F.col("word")).otherwise(F.lit("<*>")).alias("word")))).alias("at"), F.avg(F.coalesce(F.col("kept").cast("int"), F.lit(0))).alias("share"))
     shaped = ws.save(shaped.filter(F.col("share") >= constant).select("leaf", "key", "n", "lo", "hi", F.array_join(F.transform("at", lambda x: x["word"]), " ").alias("template")).withColumn("same", _key(F.col("template"))), "templates")
     found = shaped.groupBy("leaf", "same").agg(*_met(F.col("n"))).filter(recurs).select("leaf", "same", F.col("lo").alias("first"))
-    return shaped.join(found, ["leaf", "same"]).select("key", "template", "first")
+    return shaped.join(found, ["leaf", "same"]).select("key", "first").unionByName(alone)
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str | None = None, counts: tuple[str, str] | None = None, depth: int = DEPTH, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, constant: float = CONSTANT) -> DataFrame:
     """``docs`` with the remaining lines in ``into`` (default: the text column) and, on request, numbers of lines and of dropped lines."""
     ws = Workspace(docs.sparkSession, "lines")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    drops = ws.save(recurring(plain, ws, depth, min_lines, min_words, constant).select("key", "first"), "drops")
+    drops = ws.save(recurring(plain, ws, depth, min_lines, min_words, constant), "drops")
+    ws.drop_all(but=drops)
     # A row goes by its doc_id and a hash of its text: the line numbers are those of that text.
     lines = plain.filter("id is not null and text is not null").select("id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     gone = lines.select("id", "h", "at", _key(F.col("line")).alias("key")).join(drops, "key").filter(F.col("id") > F.col("first")).groupBy("id", "h").agg(F.array_sort(F.collect_set("at")).alias("gone"))
