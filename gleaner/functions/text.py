@@ -5,6 +5,8 @@ All are Column to Column and stay in the JVM.  IDs name the operator inventory.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ SIMILARITY_STOPWORDS = ["the", "and", "for", "with", "from", "that", "this"]
 WINDOW = r"(?s).{1,500}\z|.{251,499}(?= )|.{500}"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, which is computed once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def squash(x: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -50,6 +57,16 @@ def title_from_text(x: Column) -> Column:
     return F.when(F.size(lines) > 0, F.left(F.trim(F.regexp_replace(F.get(lines, F.lit(0)), "^[# ]+", "")), F.lit(200))).otherwise("")
 
 
+def title_from_markdown(x: Column) -> Column:
+    """E-09: the title that front matter gives in its first lines, without quotes; else that of the text."""
+    lines = F.transform(F.split(x, r"\r\n|\n|\r"), lambda s: F.trim(s))
+    matter = lambda all_: F.slice(all_, F.lit(2), F.lit(39))
+    end = lambda all_: F.array_position(matter(all_), F.lit("---"))
+    named = lambda all_: F.get(F.filter(F.when(end(all_) > 0, F.slice(matter(all_), F.lit(1), (end(all_) - 1).cast("int"))).otherwise(matter(all_)), lambda s: F.lower(s).startswith("title:")), F.lit(0))
+    given = let(lines, lambda all_: F.when(F.get(all_, F.lit(0)) == "---", named(all_)))
+    return F.coalesce(F.left(F.regexp_replace(F.trim(F.regexp_replace(given, "^[^:]*:", "")), "^['\"]+|['\"]+$", ""), F.lit(200)), title_from_text(x))
+
+
 def payload(title: Column, body: Column, author: Column, published: Column) -> Column:
     """E-10: title, author, date and body as one cleaned text; missing parts are left out."""
     part = lambda label, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(label), F.trim(x)))
@@ -135,6 +152,12 @@ def compact(x: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(most - 3))), F.lit("...")))
 
 
+def preview(x: Column, most: int = 500) -> Column:
+    """E-21: squashed, and after ``most`` characters an ellipsis."""
+    text = squash(x)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("...")))
+
+
 def mask_secrets(x: Column, known: list[str] | None = None) -> Column:
     """E-23: known values of six characters or more and values of keys, tokens and authorizations as ``***``."""
     for value in known or []:
@@ -149,6 +172,42 @@ def json_object(x: Column) -> Column:
     return F.when(found != "", found)
 
 
+def json_array(x: Column) -> Column:
+    """E-24: the strings of the array from the first bracket to the last, squashed, empty ones left out; null if there is none."""
+    found = F.regexp_extract(F.regexp_replace(x, r"(?m)^```[a-zA-Z]*\s*$", ""), r"(?s)\[.*\]", 0)
+    parsed = F.from_json(found, "array<string>")
+    return F.when(found != "", F.filter(F.transform(parsed, squash), lambda s: s != ""))
+
+
+def grounding_reply(x: Column) -> Column:
+    """E-25: struct of status, answer and confidence of a model's JSON reply; null for another status or an answer that is missing."""
+    body = json_object(x)
+    get = lambda name: F.get_json_object(body, f"$.{name}")
+    status, answer = get("status"), squash(F.coalesce(get("answer"), F.lit("")))
+    made = lambda a, c: F.struct(status.alias("status"), a.alias("answer"), c.alias("confidence"))
+    return F.when(status == "not_found", made(F.lit(""), F.lit(0.0))).when(status.isin("grounded", "partial") & (answer != ""), made(answer, confidence(get("confidence"))))
+
+
+def missing_list(x: Column, most: int = 8) -> Column:
+    """E-26: of a JSON value (null, a string, an array or anything else) the squashed strings, empty ones left out; of an array ``most`` at most."""
+    value = F.try_parse_json(x)
+    kind = F.schema_of_variant(value)
+    one = squash(F.coalesce(F.try_variant_get(value, "$", "string"), x))
+    some = F.filter(F.transform(F.from_json(x, "array<string>"), squash), lambda s: s != "")
+    none = F.array().cast("array<string>")
+    return F.when(value.isNull() | (kind == "VOID"), none).when(kind.startswith("ARRAY"), F.slice(some, 1, most)).when(one == "", none).otherwise(F.array(one))
+
+
+def result_count(body: Column) -> Column:
+    """E-28: how many results a body holds: a JSON array, an id list, the first list under a known name (or its hits), or a feed's entries; null if its shape is unknown."""
+    size = lambda path: F.size(F.from_json(F.get_json_object(body, path), "array<string>"))
+    listed = lambda path: F.when(F.ltrim(F.get_json_object(body, path)).startswith("["), size(path))
+    names = ("results", "items", "data", "hits", "papers")
+    feed = F.when(body.rlike(r"(?i)<(?:\w+:)?feed\b"), F.regexp_count(body, F.lit(r"(?i)<(?:\w+:)?entry\b")))
+    whole = F.when(F.ltrim(body).startswith("[") & F.try_parse_json(body).isNotNull(), F.size(F.from_json(body, "array<string>")))
+    return F.coalesce(whole, listed("$.esearchresult.idlist"), *[c for n in names for c in (listed(f"$.{n}"), listed(f"$.{n}.hits"))], feed)
+
+
 def confidence(x: Column) -> Column:
     """E-25: a number between 0 and 1; 0 for anything else."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.try_cast("double"), F.lit(0.0))))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..shipping import ship
 
 _DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "head", "template"}
@@ -28,6 +29,33 @@ def title(page: Column) -> Column:
     return F.trim(F.regexp_replace(raw, r"\s+", " "))
 
 
+# Where pages say their title, author and date, in order.
+TITLE_KEYS = ["og:title", "twitter:title", "parsely-title", "citation_title"]
+AUTHOR_KEYS = ["author", "article:author", "parsely-author", "citation_author"]
+DATE_KEYS = ["article:published_time", "date", "pubdate", "citation_publication_date", "parsely-pub-date"]
+
+
+def _unescaped(x: Column) -> Column:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return x
+
+
+def meta(page: Column) -> Column:
+    """E-08: struct of title (of the meta elements, else the title element), author and normalised date."""
+    attribute = lambda tag, name: F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1))
+    tags = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0)), lambda t: F.struct(attribute(t, "property").alias("property"), attribute(t, "name").alias("name"), F.trim(_unescaped(attribute(t, "content"))).alias("content")))
+
+    def of(found: Column) -> Column:
+        def first(keys: list[str]) -> Column:
+            by = lambda field, key: F.get(F.filter(found, lambda t: (t[field] == key) & (t["content"] != "")), F.lit(0))["content"]
+            return F.coalesce(*[x for k in keys for x in (by("property", k), by("name", k))])
+
+        return F.struct(F.coalesce(first(TITLE_KEYS), title(page)).alias("title"), first(AUTHOR_KEYS).alias("author"), text.norm_date(first(DATE_KEYS)).alias("published_date"))
+
+    return text.let(tags, of)
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

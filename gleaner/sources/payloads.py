@@ -20,6 +20,24 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def request(endpoint: Column, values: dict[str, Column], headers: dict[str, str], env: dict[str, str | None], body: Column | None = None) -> Column:
+    """A-04: struct of address, headers and body of a lane's request.
+
+    ``{name}`` in the endpoint is replaced by quoted values.  A header
+    ``env:NAME`` takes what the environment gives and is left out if that is not set.  A body template gets its values as JSON texts.
+    """
+    given = {name: env.get(spec[4:]) if spec.startswith("env:") else spec for name, spec in headers.items()}
+    pairs = [F.lit(x) for name, value in given.items() if value for x in (name, value)]
+    made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    filled = F.lit(None).cast("string")
+    if body is not None:
+        filled = body
+        for name, value in values.items():
+            # The JSON text of a one-element array, without its brackets.
+            filled = F.replace(filled, F.lit('"{' + name + '}"'), F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", ""))
+    return F.struct(fill(endpoint, values).alias("url"), made.alias("headers"), filled.alias("body"))
+
+
 def provider(x: Column) -> Column:
     """A-02: ``name_direct`` as ``name``."""
     return F.regexp_replace(x, PROVIDER_SUFFIX + "$", "")
@@ -37,6 +55,19 @@ def stream_of(query: Column) -> Column:
     return F.when(q.contains("spinoff"), "spinoff").when(q.contains("software") | q.contains("open source"), "software").otherwise("patent")
 
 
+def resource_of(query: Column) -> Column:
+    """A-05: whether a code host is searched for code or for repositories."""
+    q = F.lower(query)
+    words = ["code", "implementation", "source file", "function", "class", "module"]
+    return F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(q, w)), "code").otherwise("repositories")
+
+
+def org_clause(query: Column, resource: Column, org: str) -> Column:
+    """A-05: the quoted query with its organisation, which leads where repositories are searched."""
+    q = quote(F.trim(query))
+    return F.when(resource == "repositories", F.concat(F.lit(f"org:{org}+"), q)).otherwise(F.concat(q, F.lit(f"+org:{org}")))
+
+
 def items(payload: Column) -> Column:
     """A-08: the first list of a JSON payload under results, data, hits or items, as JSON texts; ids of an id list as items with title and id."""
     lists = [F.from_json(F.get_json_object(payload, f"$.{name}"), "array<string>") for name in ("results", "data", "hits", "items")]
@@ -47,24 +78,65 @@ def items(payload: Column) -> Column:
 def item_url(item: Column, lane: Column) -> Column:
     """A-09: the first address of an item, else one made from its id."""
     get = lambda name: F.nullif(F.get_json_object(item, f"$.{name}"), F.lit(""))
-    made = F.when(lane == "semantic_scholar", F.concat(F.lit("https://www.semanticscholar.org/paper/"), get("paperId"))).when(lane == "hn_algolia", F.concat(F.lit("https://news.ycombinator.com/item?id="), get("objectID")))
+    made = F.when(lane == "semantic_scholar", F.concat(F.lit("https://www.semanticscholar.org/paper/"), get("paperId"))).when(lane == "hn_algolia", F.concat(F.lit("https://news.ycombinator.com/item?id="), get("objectID"))).when(lane == "courtlistener", F.concat(F.lit("https://www.courtlistener.com/?q=id:"), get("id")))
     return F.coalesce(*[get(n) for n in ("url", "absolute_url", "html_url", "paper_url", "story_url")], made)
 
 
-def compact_results(df: DataFrame, key: str, pos: str, n: int = 10) -> DataFrame:
-    """A-10: results with address and title, the first ``n`` of each key; snippet from content, snippet or description."""
+def compact_results(items_: DataFrame, key: str, pos: str, item: str = "item", n: int = 10) -> DataFrame:
+    """A-10: of JSON items those with address (url, else link) and title, the first ``n`` of each key: url, title, snippet (content, snippet or description), engine, published_date and score."""
     from ..operators.routing import newest
 
-    return newest(df.filter((F.coalesce("url", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")), [F.col(pos)], n, [key])
+    get = lambda *names: F.coalesce(*[F.nullif(F.trim(F.get_json_object(F.col(item), f"$.{x}")), F.lit("")) for x in names])
+    made = items_.select(key, pos, get("url", "link").alias("url"), get("title").alias("title"), F.coalesce(get("content", "snippet", "description"), F.lit("")).alias("snippet"), get("engine").alias("engine"), get("published_date", "publishedDate").alias("published_date"), get("score").try_cast("double").alias("score"))
+    return newest(made.filter(F.col("url").isNotNull() & F.col("title").isNotNull()), [F.col(pos)], n, [key])
 
 
 def atom(xml: Column) -> Column:
-    """A-07: array of title, url and author of a feed's entries that have title and address."""
-    of = lambda path: F.xpath(xml, F.lit(f"/*[local-name()='feed']/*[local-name()='entry']/{path}"))
-    title, url, author = of("*[local-name()='title']/text()"), of("*[local-name()='link']/@href"), of("*[local-name()='author']/*[local-name()='name']/text()")
-    rows = F.arrays_zip(title.alias("title"), url.alias("url"), author.alias("author"))
-    made = F.transform(rows, lambda r: F.struct(F.trim(r["title"]).alias("title"), r["url"].alias("url"), F.regexp_replace(r["author"], "^/u/", "").alias("author")))
-    return F.filter(made, lambda r: (F.coalesce(r["title"], F.lit("")) != "") & (F.coalesce(r["url"], F.lit("")) != ""))
+    """A-07: array of title, url and author of a feed's entries that have title and address, each from its own entry."""
+    parts = F.slice(F.split(xml, r"(?i)<(?:\w+:)?entry\b"), F.lit(2), F.greatest(F.size(F.split(xml, r"(?i)<(?:\w+:)?entry\b")) - 1, F.lit(0)))
+    inner = lambda e, tag: _plain(F.regexp_extract(e, rf"(?is)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}>", 1))
+    link = lambda e: _plain(F.regexp_extract(e, r"(?is)<(?:\w+:)?link\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1))
+    author = lambda e: F.regexp_replace(inner(F.regexp_extract(e, r"(?is)<(?:\w+:)?author\b[^>]*>(.*?)</(?:\w+:)?author>", 1), "name"), "^/u/", "")
+    made = F.transform(parts, lambda e: F.struct(inner(e, "title").alias("title"), link(e).alias("url"), F.nullif(author(e), F.lit("")).alias("author")))
+    return F.filter(made, lambda r: (r["title"] != "") & (r["url"] != ""))
+
+
+def _plain(x: Column) -> Column:
+    """Text of an XML element: CDATA opened, basic entities undone, trimmed."""
+    x = F.regexp_replace(x, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return F.trim(x)
+
+
+def memory_results(records: DataFrame, questions: DataFrame, scan: int = 200, n: int = 5) -> DataFrame:
+    """A-11: of the newest ``scan`` records(id, project, topic, content, created_at, stale) that are not stale the ``n`` that support each question(question_id, question) best, with a score above 0: best first, then by id.
+
+    The scan is the lane's own limit; what it leaves is a fixed number of rows.
+    """
+    from ..operators import evidence
+
+    text_ = F.trim(F.concat_ws("\n", F.concat(F.lit("Project: "), F.col("project")), F.concat(F.lit("Topic: "), F.col("topic")), F.trim(F.coalesce("content", F.lit("")))))
+    recent = records.filter(~F.col("stale")).orderBy(F.desc("created_at"), F.desc("id")).limit(scan).select("id", text_.alias("text"))
+    return _supporting(recent, questions, "id", evidence, n)
+
+
+def file_results(files: DataFrame, questions: DataFrame, n: int = 5) -> DataFrame:
+    """A-12: of files(path, content) the ``n`` that support each question best, with a score above 0: best first, then by path."""
+    from ..operators import evidence
+
+    return _supporting(files.filter(F.trim("content") != "").select("path", F.col("content").alias("text")), questions, "path", evidence, n)
+
+
+def _supporting(rows: DataFrame, questions: DataFrame, id_col: str, evidence, n: int) -> DataFrame:
+    from ..operators.routing import newest
+
+    claims = questions.select(F.col("question_id"), F.lit(0).alias("pos"), F.col("question").alias("claim"))
+    # The questions of a batch are a stated, small set: their ids go to each row as one array.
+    asked = questions.groupBy(F.lit(0).alias("_k")).agg(F.array_sort(F.collect_set("question_id")).alias("_q"))
+    pairs = rows.withColumn("_k", F.lit(0)).join(asked, "_k").select(id_col, "text", F.explode("_q").alias("question_id"))
+    best = evidence.best_paragraphs(pairs, claims, "question_id", "text").filter("score > 0")
+    return newest(best.select("question_id", id_col, F.col("paragraph").alias("snippet"), "score"), [F.desc("score"), F.col(id_col)], n, ["question_id"])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Folders for what a query writes on its way: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+"""Folders for what a query writes on its way: below ``spark.checkpoint.dir``.
+
+Where that is unset they are below the warehouse, which a cluster's executors
+share; only a local master, whose executors are the driver, gets a temporary one.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,10 @@ from pyspark.sql import SparkSession
 
 class Folder:
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleaner-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            local = spark.sparkContext.master.split("[")[0] == "local"
+            base = "file://" + tempfile.mkdtemp(prefix="gleaner-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gleaner"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

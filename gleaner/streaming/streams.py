@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.stages import Folder
 
 
@@ -41,3 +45,85 @@ def sessions(stream: DataFrame, ts: str, gap: str, late: str, key: str) -> DataF
 def first_seen(stream: DataFrame, *keys: str) -> DataFrame:
     """L-01, L-10: one row of each key, ever."""
     return stream.dropDuplicates(list(keys))
+
+
+def _keyed(stream: DataFrame, ts: str, late: str, keys: list[str], schema: str, state_schema: str, step) -> DataFrame:
+    """A keyed state machine: ``step(state, micros, rows)`` walks a key's rows in order of time and returns (state or None, micros at which it is over, output columns).
+
+    A state is dropped when it is None or, by an event-time timer, when the
+    watermark has passed its end, so what is held does not grow with keys that are gone.
+    """
+    ship(stream.sparkSession)
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["_us", "_order"])
+        held, end, out = step(state.get if state.exists else None, rows)
+        if held is None or end // 1000 + 1 <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(held)
+            state.setTimeoutTimestamp(end // 1000 + 1)
+        for name, value in zip(keys, key, strict=True):
+            out[name] = value
+        yield out
+
+    return stream.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cache(stream: DataFrame, ts: str, order: str, late: str, key: str, seconds: int, touch: bool = True) -> DataFrame:
+    """L-03, L-04, L-09: (order, key, hit) of requests to a cache that forgets a key ``seconds`` after it was written or, with ``touch``, last read."""
+    life = seconds * 1_000_000
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.select(ts, key, F.col(order).cast("long").alias("_order"), F.unix_micros(ts).alias("_us"))
+
+    def step(held: tuple | None, rows: pd.DataFrame):
+        until, hits = held[0] if held else None, []
+        for us in rows["_us"]:
+            hit = until is not None and us <= until
+            hits.append(hit)
+            if touch or not hit:
+                until = us + life
+        return (int(until),), int(until), pd.DataFrame({"event": rows["_order"].to_numpy(), "hit": hits})
+
+    return _keyed(rows, ts, late, [key], f"event long, hit boolean, {key} {kind}", "until long", step)
+
+
+def breaker(stream: DataFrame, ts: str, order: str, late: str, key: str, ok: str, failures: int = 3, seconds: int = 3600) -> DataFrame:
+    """L-05 as a stream: (event, failures before it, open, key): a circuit that ``failures`` in a row open until ``seconds`` after the last of them; a success resets it."""
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.select(ts, key, F.col(ok).alias("_ok"), F.col(order).cast("long").alias("_order"), F.unix_micros(ts).alias("_us"))
+
+    def step(held: tuple | None, rows: pd.DataFrame):
+        n, last = held if held else (0, 0)
+        before, opened = [], []
+        for us, good in zip(rows["_us"], rows["_ok"], strict=True):
+            before.append(n)
+            opened.append(n >= failures and us < last + seconds * 1_000_000)
+            n, last = (0, 0) if good else (n + 1, int(us))
+        # A count outlives the circuit's time: failures in a row may be far apart.
+        return ((int(n), int(last)) if n else None), 1 << 62, pd.DataFrame({"event": rows["_order"].to_numpy(), "failures": before, "open": opened})
+
+    return _keyed(rows, ts, late, [key], f"event long, failures long, open boolean, {key} {kind}", "n long, last long", step)
+
+
+def leases(stream: DataFrame, ts: str, order: str, late: str, key: str, cap: int, seconds: int = 1800) -> DataFrame:
+    """L-08, H-11: (event, granted, key): a lease is granted while those of its key that are not over, each for ``seconds``, are fewer than ``cap``."""
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.select(ts, key, F.col(order).cast("long").alias("_order"), F.unix_micros(ts).alias("_us"))
+
+    def step(held: tuple | None, rows: pd.DataFrame):
+        live = list(held[0]) if held else []
+        granted = []
+        for us in rows["_us"]:
+            live = [t for t in live if t > us]
+            granted.append(len(live) < cap)
+            if granted[-1]:
+                live.append(int(us) + seconds * 1_000_000)
+        return ((live,) if live else None), (max(live) if live else 0), pd.DataFrame({"event": rows["_order"].to_numpy(), "granted": granted})
+
+    return _keyed(rows, ts, late, [key], f"event long, granted boolean, {key} {kind}", "ends array<long>", step)

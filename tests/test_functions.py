@@ -109,3 +109,12 @@ def test_answers(spark):
     assert value(spark, text.mask_secrets(F.lit("api_key=abc&token=d known-value"), ["known-value"])) == "api_key=***&token=*** ***"
     assert [value(spark, text.status_class(F.lit(c))) for c in (204, 403, 402, 429, 503, 302)] == ["alive", "dead_auth", "dead_credits", "alive_limited", "provider_error", "unknown"]
     assert value(spark, text.json_object(F.lit('say ```json\n{"a": 1}\n``` end'))) == '{"a": 1}'
+
+
+def test_titles_previews_and_replies(spark):
+    front = '---\ntitle: "A title"\n---\nbody'
+    assert [value(spark, text.title_from_markdown(F.lit(t))) for t in (front, "---\nx: y\n---\n# Head", "  \n## Two  ", "")] == ["A title", "x: y", "Two", ""]
+    assert value(spark, text.preview(F.lit("a  b" * 200), 10)) == "a ba ba ba..."
+    assert value(spark, text.grounding_reply(F.lit('{"status": "sure"}'))) is None
+    assert value(spark, text.missing_list(F.lit('["a", null, 3]'))) == ["a", "3"]
+    assert value(spark, text.result_count(F.lit("{}"))) is None
