@@ -9,6 +9,22 @@ from ..functions import text
 
 MOST_LOOPS, COST_CAP, LANE_CAP = 3, 1.50, 2
 GAP = ["session", "ordinal", "topic", "reason", "severity"]
+# Lanes to go on with, by reason; limits of the recursion by protocol and tier (depth, questions a node, leaves, dollars).
+LANES_FOR = {
+    "single-source claim": ["paid_proxy", "searxng_general"],
+    "weak source pool": ["paid_proxy", "searxng_general"],
+    "no counter-evidence": ["reddit_failures", "searxng_forums"],
+    "stale data": ["x_pulse", "bluesky_jetstream", "searxng_general"],
+    "sub-topic missed": ["searxng_general", "paid_proxy"],
+    "no 3-lens verification": ["paid_proxy", "searxng_general"],
+}
+LIMITS = {
+    ("research", "deep"): (2, 3, 12, 0.50),
+    ("research", "one_llm"): (0, 0, 4, 0.15),
+    ("deep_research", "deep"): (3, 4, 25, 1.50),
+    ("deep_research", "one_llm"): (1, 2, 6, 0.30),
+}
+DEEP_MODELS = 3
 
 
 def _gap(df: DataFrame, ordinal: int, topic: Column, reason: str, severity: str) -> DataFrame:
@@ -27,15 +43,19 @@ def weak_pool(chunks: DataFrame) -> DataFrame:
     return _gap(weak, 1, F.lit("weak post-rerank source pool"), "weak source pool", "high")
 
 
-def no_counter_evidence(sessions: DataFrame, sources: DataFrame) -> DataFrame:
-    """G-32: sessions without a source flagged as counter-evidence."""
-    return _gap(sessions.join(sources.filter("counter").select("session").distinct(), "session", "left_anti"), 2, F.lit("counter-evidence not checked"), "counter-evidence gap", "medium")
+def no_counter_evidence(sessions: DataFrame, sources: DataFrame, disagreements: DataFrame | None = None) -> DataFrame:
+    """G-32: sessions with neither a source flagged as counter-evidence nor a disagreement of workers."""
+    checked = sources.filter("counter").select("session")
+    checked = checked.unionByName(disagreements.select("session")) if disagreements is not None else checked
+    return _gap(sessions.join(checked.distinct(), "session", "left_anti"), 2, F.lit("counter-evidence not checked"), "no counter-evidence", "medium")
 
 
-def stale_sources(sources: DataFrame, now: str, hours: int) -> DataFrame:
-    """G-33: sources published more than ``hours`` before ``now``."""
-    old = sources.filter(F.col("published") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    return _gap(old, 3, F.concat(F.lit("stale source "), F.col("source").cast("string")), "stale source", "medium")
+def stale_sources(sources: DataFrame, now: str, hours: Column) -> DataFrame:
+    """G-33: sources(session, domain, title, published as a partial ISO date) published more than ``hours`` before ``now``; null hours set no limit, and what is no date is not stale."""
+    published = text.partial_date(F.trim("published")).cast("timestamp_ntz")
+    limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=hours.cast("int"))
+    topic = F.concat(F.lit("stale source "), F.col("domain"), F.lit(": "), text.compact(F.col("title"), 80))
+    return _gap(sources.filter(F.coalesce(published < limit, F.lit(False))), 3, topic, "stale data", "medium")
 
 
 def missed_topics(questions: DataFrame) -> DataFrame:
@@ -44,6 +64,11 @@ def missed_topics(questions: DataFrame) -> DataFrame:
     return _gap(each, 4, F.concat(F.lit("sub-topic missed: "), text.compact(F.col("q"), 80)), "sub-topic missed", "low")
 
 
+def missing_lenses(sessions: DataFrame) -> DataFrame:
+    """G-34: deep sessions(session, protocol, verifications) without a verification by other models."""
+    return _gap(sessions.filter((F.col("protocol") == "deep_research") & (F.coalesce("verifications", F.lit(0)) == 0)), 5, F.lit("missing 3-lens cross-model verification"), "no 3-lens verification", "medium")
+
+
 def all_gaps(*gaps: DataFrame) -> DataFrame:
     """G-35: all gaps in their fixed order."""
     out = gaps[0]
@@ -52,36 +77,77 @@ def all_gaps(*gaps: DataFrame) -> DataFrame:
     return out.select(*GAP)
 
 
-def decide(sessions: DataFrame, gaps: DataFrame, triggers: list[str]) -> DataFrame:
-    """G-36: per session(session, loops, cost) whether to go on, and why (the first three triggering gaps)."""
-    hit = gaps.filter(F.col("severity").isin(triggers)).groupBy("session").agg(F.slice(F.array_sort(F.collect_set(F.struct("ordinal", "topic", "reason"))), 1, 3).alias("first"))
-    reason = F.when(F.col("loops") >= MOST_LOOPS, "max loops reached").when(F.col("cost") >= COST_CAP, "cost cap hit").when(F.col("first").isNull(), "no triggering gaps").otherwise(F.concat(F.lit("triggering gaps detected: "), F.array_join(F.transform("first", lambda g: g["reason"]), ", ")))
-    go = (F.col("loops") < MOST_LOOPS) & (F.col("cost") < COST_CAP) & F.col("first").isNotNull()
-    return sessions.join(hit, "session", "left").select("session", go.alias("iterate"), reason.alias("reason"), (F.col("loops") + 1).alias("next"), F.greatest(F.lit(0.0), F.lit(COST_CAP) - F.col("cost")).alias("cost_left"))
+def lanes_for(reasons: Column, routed: Column, cap: int = LANE_CAP) -> Column:
+    """G-36: the lanes of the reasons in order, each followed by the routed ones, without repeats, ``cap`` at most."""
+    known = F.create_map(*[x for name, lanes in LANES_FOR.items() for x in (F.lit(name), F.array(*map(F.lit, lanes)))])
+    none = F.array().cast("array<string>")
+    every = F.flatten(F.transform(reasons, lambda r: F.concat(F.coalesce(F.try_element_at(known, r), none), F.coalesce(routed, none))))
+    return F.slice(F.array_distinct(every), 1, cap)
+
+
+def decide(sessions: DataFrame, gaps: DataFrame, triggers: list[str], loops: int = MOST_LOOPS, cost: float = COST_CAP) -> DataFrame:
+    """G-36: per session(session, loops, cost, lanes) whether to go on, why (the first three triggering gaps), on which lanes, and what is left to spend."""
+    hit = gaps.filter(F.col("severity").isin(triggers)).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "topic", "reason"))), lambda g: g["reason"]).alias("_reasons"))
+    go = (F.col("loops") < loops) & (F.col("cost") < cost) & F.col("_reasons").isNotNull()
+    reason = F.when(F.col("loops") >= loops, "max loops reached").when(F.col("cost") >= cost, "cost cap hit").when(F.col("_reasons").isNull(), "no triggering gaps").otherwise(F.concat(F.lit("triggering gaps detected: "), F.array_join(F.slice("_reasons", 1, 3), ", ")))
+    lanes = F.when(go, lanes_for(F.col("_reasons"), F.col("lanes"))).otherwise(F.array().cast("array<string>"))
+    return sessions.join(hit, "session", "left").select("session", go.alias("iterate"), reason.alias("reason"), lanes.alias("lanes"), (F.col("loops") + 1).alias("next"), F.greatest(F.lit(0.0), F.lit(cost) - F.col("cost")).alias("cost_left"))
 
 
 def answering_models(calls: DataFrame, key: str) -> DataFrame:
-    """G-37, G-38: distinct models that gave results without error, and the tier that follows."""
-    n = F.count_distinct(F.when((F.col("results") > 0) & F.col("error").isNull(), F.col("model")))
-    return calls.groupBy(key).agg(n.alias("models")).withColumn("tier", F.when(F.col("models") >= 3, "deep").otherwise("one_llm"))
+    """G-37: distinct models that gave results without error, and the tier that follows."""
+    n = F.count_distinct(F.when((F.col("results") > 0) & (F.coalesce("error", F.lit("")) == ""), F.col("model")))
+    return calls.groupBy(key).agg(n.alias("models")).withColumn("tier", F.when(F.col("models") >= DEEP_MODELS, "deep").otherwise("one_llm"))
+
+
+def recursion_limits(protocol: Column, models: Column) -> Column:
+    """G-38: struct of tier, depth, questions a node, leaves and dollars; a protocol without recursion is flat, all zero."""
+    made = lambda tier, d, q, n, b: F.struct(F.lit(tier).alias("tier"), F.lit(d).alias("depth"), F.lit(q).alias("questions"), F.lit(n).alias("leaves"), F.lit(b).alias("budget"))
+    tier = F.when(models >= DEEP_MODELS, "deep").otherwise("one_llm")
+    out = made("flat", 0, 0, 0, 0.0)
+    for (name, kind), limits in LIMITS.items():
+        out = F.when((protocol == name) & (tier == kind), made(kind, *limits)).otherwise(out)
+    return out
+
 
+def dedupe_questions(questions: Column, most: int | None = None, least: float = 0.86) -> Column:
+    """G-39: of an ordered array of questions those that are not too similar to one kept before, ``most`` at most if it is given.  The tokens of each are made once."""
 
-def dedupe_questions(questions: Column, most: int, least: float = 0.86) -> Column:
-    """G-39: of an ordered array of questions those that are not too similar to one kept before, ``most`` at most."""
     def keep(kept: Column, q: Column) -> Column:
-        near = F.exists(kept, lambda k: text.similarity(text.similarity_tokens(k), text.similarity_tokens(q)) >= least)
-        return F.when(near | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(q)))
+        near = F.exists(kept, lambda k: text.similarity(k["t"], q["t"]) >= least)
+        full = F.lit(False) if most is None else F.size(kept) >= most
+        return F.when(near | full, kept).otherwise(F.concat(kept, F.array(q)))
 
-    return F.aggregate(questions, F.array().cast("array<string>"), keep)
+    with_tokens = F.transform(questions, lambda q: F.struct(q.alias("q"), text.similarity_tokens(q).alias("t")))
+    return F.aggregate(with_tokens, F.array().cast("array<struct<q:string,t:array<string>>>"), keep, lambda kept: F.transform(kept, lambda k: k["q"]))
 
 
-def plan_tree(roots: DataFrame, depth: int, width: int) -> DataFrame:
-    """G-40: nodes of a recursion plan, breadth first: each node has ``width`` children down to ``depth``."""
-    out = level = roots.select("session", F.lit("0").alias("node"), F.lit(0).alias("depth"))
+def similar_pairs(questions: DataFrame, key: str, id_col: str, text_col: str, least: float = 0.86) -> DataFrame:
+    """G-39: (key, a, b, similarity) of the pairs of a key's questions from ``least`` on.
+
+    Such pairs share that part of the larger one's tokens, so they meet over the
+    first few of each in a fixed order; the rest of the key's pairs are never formed.
+    """
+    tokens = questions.select(key, F.col(id_col).alias("i"), text.similarity_tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
+    head = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * F.lit(least)).cast("int") + 1)
+    met = tokens.select(key, "i", "t", F.explode(head).alias("w"))
+    pairs = met.select(key, "w", F.col("i").alias("a"), F.col("t").alias("x")).join(met.select(key, "w", F.col("i").alias("b"), F.col("t").alias("y")), [key, "w"]).filter("a < b")
+    scored = pairs.select(key, "a", "b", text.similarity(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
+    return scored.distinct()
+
+
+def plan_tree(roots: DataFrame, depth: int, width: int, leaves: int | None = None, budget: float | None = None) -> DataFrame:
+    """G-40: nodes (session, node, depth, leaf, budget) of a recursion plan, breadth first: each node has ``width`` children down to ``depth``, the last level the first ``leaves`` only, and a node an even slice of its level's budget.
+
+    The tree's shape is the same for all sessions and of fixed size, so it is one literal array.
+    """
+    levels, count = [["0"]], 1
     for d in range(1, depth + 1):
-        level = level.select("session", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.concat_ws(".", F.col("node"), i.cast("string")))).alias("node"), F.lit(d).alias("depth"))
-        out = out.unionByName(level)
-    return out
+        level = [f"{node}.{i}" for node in levels[-1] for i in range(width)]
+        levels.append(level[:leaves] if d == depth and leaves is not None else level)
+        count += len(levels[-1])
+    nodes = [F.struct(F.lit(node).alias("node"), F.lit(d).alias("depth"), F.lit(d == depth).alias("leaf"), F.lit(None if budget is None else budget / len(level)).cast("double").alias("budget")) for d, level in enumerate(levels) for node in level]
+    return roots.select("session", F.explode(F.array(*nodes)).alias("n")).select("session", "n.*")
 
 
 def rank_by(df: DataFrame, key: str, *order: Column) -> DataFrame:

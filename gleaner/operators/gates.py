@@ -15,9 +15,9 @@ SENTENCE = r"(?<=[.!?])\s+(?=(?!https?://)[A-Z0-9\"'“‘])"
 NEGATIVE = ["no study", "does not exist", "doesn't exist", "not found", "nothing found", "measurement vacuum", "couldn't find"]
 AFFIRMATIVE = ["arxiv", "doi", "paper", "study", "comparison", "vs", "0."]
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-DATES = [rf"(?i)\b{MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,\s*\d{{4}})?\b", r"\b\d{4}-\d{1,2}-\d{1,2}\b", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", rf"(?i)\b\d{{1,2}}\s+{MONTH}\.?(?:\s+\d{{4}})?\b"]
+DATES = [rf"(?iU)\b{MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,\s*\d{{4}})?\b", r"(?U)\b\d{4}-\d{1,2}-\d{1,2}\b", r"(?U)\b\d{1,2}/\d{1,2}/\d{2,4}\b", rf"(?iU)\b\d{{1,2}}\s+{MONTH}\.?(?:\s+\d{{4}})?\b"]
 UNIT = r"(?:\s?(?:%|percent|million|billion|trillion|thousand|k|m|bn))?"
-NUMBER = rf"(?i)(?<![\w/])(?:[$€£]\s*)?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?{UNIT}|(?<![\w/])(?:[$€£]\s*)?\d+(?:\.\d+)?{UNIT}|\b(?:19|20)\d{{2}}\b"
+NUMBER = rf"(?iU)(?<![\w/])(?:[$€£]\s*)?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?{UNIT}|(?<![\w/])(?:[$€£]\s*)?\d+(?:\.\d+)?{UNIT}|\b(?:19|20)\d{{2}}\b"
 
 
 def claim_reasons(claim: Column, source_required: bool = True) -> Column:
@@ -45,27 +45,169 @@ def gate_claims(x: Column, source_required: bool = True) -> Column:
     return F.struct(F.when(F.size(flags) == 0, x).otherwise(gated).alias("text"), F.size(flags).alias("dropped"), flags.alias("flags"))
 
 
-def evidence_gate(kind: Column, confidence: Column, judged: Column, sources: Column) -> Column:
-    """G-16: struct of kind and confidence once the pool of sources is judged: none or exhausted abstains, partial caps at 0.5."""
-    made = lambda k, c: F.struct(k.alias("kind"), c.alias("confidence"))
-    applies = kind.isin("full", "partial")
-    return F.when(~applies, made(kind, confidence)).when((sources == 0) | (judged == "exhausted"), made(F.lit("abstain"), F.lit(0.0))).when(judged == "partial", made(F.lit("partial"), F.least(F.coalesce(confidence, F.lit(0.0)), F.lit(0.5)))).otherwise(made(kind, confidence))
+#: Statuses of sessions whose answer is committed, verdicts of judges, reasons.
+COMMITTED = ["complete", "weak_sources", "insufficient_evidence"]
+VERDICTS, RELEVANCE = ["sufficient", "partial", "insufficient"], ["relevant", "irrelevant"]
+PARTIAL_CAP = 0.5
+STOPS = ["sufficient", "no_retriever", "max_recovery_iterations", "reformulation_failed", "reformulation_repeated", "same_items"]
+
+
+def enforced(kind: Column, status: Column, answer: Column) -> Column:
+    """G-16: whether the gate applies: a full or partial answer (one without kind counts as full) of a committed status."""
+    given = F.coalesce(kind, F.when(F.coalesce(answer, F.lit("")) != "", "full"))
+    return F.coalesce(given.isin("full", "partial") & status.isin(COMMITTED), F.lit(False))
+
+
+def evidence_gate(kind: Column, status: Column, answer: Column, confidence: Column, judged: Column, sources: Column) -> Column:
+    """G-16: struct of kind, status, answer, confidence and reason once the pool of sources is judged.
+
+    It fails closed: no sources abstain, sufficient passes, partial caps the
+    confidence (0 if there is none), and whatever else was said, or nothing, abstains.
+    """
+    made = lambda k, s, a, c, r: F.struct(k.alias("kind"), s.alias("status"), a.alias("answer"), c.alias("confidence"), F.lit(r).alias("reason"))
+    none = F.lit(None).cast("string")
+    abstain = lambda r: made(F.lit("abstain"), F.lit("insufficient_evidence"), none, F.lit(0.0), r)
+    capped = made(F.lit("partial"), F.lit("weak_sources"), answer, F.least(F.coalesce(confidence, F.lit(0.0)), F.lit(PARTIAL_CAP)), "partial")
+    return (
+        F.when(~enforced(kind, status, answer), made(kind, status, answer, confidence, "not_applicable"))
+        .when(F.coalesce(sources, F.lit(0)) == 0, abstain("empty_evidence_pool"))
+        .when(judged == "sufficient", made(kind, status, answer, confidence, "passed"))
+        .when(judged == "partial", capped)
+        .otherwise(abstain("sufficiency_exhausted"))
+    )
+
+
+def judge_findings(chunks: Column, gated: Column) -> Column:
+    """G-41: struct of kept and dropped chunk ids and the reason, from the gate's result: all are dropped if it abstains, all kept otherwise."""
+    rejected = gated["reason"].isin("empty_evidence_pool", "sufficiency_exhausted")
+    none = F.array().cast("array<bigint>")
+    return F.struct(F.when(rejected, none).otherwise(chunks).alias("kept"), F.when(rejected, chunks).otherwise(none).alias("dropped"), F.when(rejected, gated["reason"]).alias("reason"))
+
+
+def relevant(primary: Column, fallback: Column) -> Column:
+    """G-14: whether a source passes the relevance filter: the first checker that gives a valid verdict decides; null if none does."""
+    valid = lambda v: F.when(F.lower(F.trim(v)).isin(RELEVANCE), F.lower(F.trim(v)))
+    return F.coalesce(valid(primary), valid(fallback)) == "relevant"
+
+
+def judge(verdict: Column, fallback: Column, unfiltered: Column, ambiguous: Column) -> Column:
+    """G-14: struct of verdict, route and reason of a pool: primary, else fallback, else it fails closed; so it does if a source could not be filtered (``unfiltered``).  A sufficient verdict on an ambiguous phrase is not enough."""
+    valid = lambda v: F.when(F.lower(F.trim(v)).isin(VERDICTS), F.lower(F.trim(v)))
+    said = F.coalesce(valid(verdict), valid(fallback))
+    route = F.when(F.coalesce(unfiltered, F.lit(False)) | said.isNull(), "failed-closed").when(valid(verdict).isNotNull(), "primary").otherwise("fallback")
+    vague = (said == "sufficient") & F.coalesce(ambiguous, F.lit(False))
+    return F.struct(F.when((route == "failed-closed") | vague, "insufficient").otherwise(said).alias("verdict"), route.alias("route"), F.when(route == "failed-closed", "checker_failed_closed").when(vague, "ambiguous_phrase").alias("reason"))
 
 
 def terminal(attempts: DataFrame, key: str, most: int = 2) -> DataFrame:
-    """G-15: per key the first attempt (``pos`` from 0, ``verdict``) that is sufficient within ``most`` recoveries, else the best verdict met."""
-    score = F.when(F.col("verdict") == "sufficient", 2).when(F.col("verdict") == "partial", 1).otherwise(0)
-    end = attempts.filter(F.col("pos") <= most).groupBy(key).agg(F.max(F.struct(score.alias("s"), (-F.col("pos")).alias("p"))).alias("b"), F.max("pos").alias("last"))
-    return end.select(key, F.when(F.col("b.s") == 2, "sufficient").when(F.col("b.s") == 1, "partial").otherwise("exhausted").alias("terminal"), F.when(F.col("b.s") == 2, "sufficient").when(F.col("last") >= most, "max_recovery_iterations").otherwise("no_retriever").alias("stopped"), (-F.col("b.p")).alias("at"))
+    """G-15: how the recovery loop of each key ends, from its attempts (``pos`` from 0, ``verdict``, ``query`` as judged, ``fingerprint`` of its sources).
+
+    It stops at the first sufficient verdict; at an attempt without query (the
+    reformulation failed), with one met before, or whose sources are those of an
+    earlier attempt (none of these is judged); after ``most`` recoveries; and
+    where the attempts end because nothing retrieves more.  What was judged last says whether the end is partial or exhausted.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.coalesce(F.array_contains(F.collect_set(c).over(so_far), F.col(c)), F.lit(False))
+    # A loop has most + 1 attempts at most, so its windows are short.
+    rows = attempts.filter(F.col("pos") <= most)
+    later = F.col("pos") > 0
+    blocked = F.when(later & (F.coalesce(F.trim("query"), F.lit("")) == ""), "reformulation_failed").when(later & seen("query"), "reformulation_repeated").when(later & seen("fingerprint"), "same_items")
+    stop = F.coalesce(blocked, F.when(F.col("verdict") == "sufficient", "sufficient"), F.when(F.col("pos") >= most, "max_recovery_iterations"))
+    rows = rows.withColumn("_blocked", blocked.isNotNull()).withColumn("_stop", stop).withColumn("_end", F.min(F.when(F.col("_stop").isNotNull(), F.col("pos"))).over(Window.partitionBy(key)))
+    live = rows.filter(F.col("_end").isNull() | (F.col("pos") <= F.col("_end")))
+    last = F.max_by("verdict", F.when(~F.col("_blocked"), F.col("pos")))
+    out = live.groupBy(key).agg(last.alias("_verdict"), F.coalesce(F.max_by("_stop", F.when(F.col("_stop").isNotNull(), F.col("pos"))), F.lit("no_retriever")).alias("stopped"), F.max("pos").alias("at"))
+    return out.select(key, F.when(F.col("stopped") == "sufficient", "sufficient").when(F.col("_verdict") == "partial", "partial").otherwise("exhausted").alias("terminal"), "stopped", "at")
+
+
+def reformulation(query: Column, tried: Column, most: int = 300) -> Column:
+    """N-19: the new query squashed and cut; null if there is none or it was tried before."""
+    new = F.left(text.squash(query), F.lit(most))
+    return F.when((new != "") & ~F.array_contains(tried, new), new)
+
+
+def envelope(sources: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """N-20: per key the number of its sources, their characters and their fingerprint."""
+    from . import evidence
+
+    sizes = sources.groupBy(key).agg(F.count("*").alias("source_count"), F.sum(F.length(text_col)).alias("total_chars"))
+    return sizes.join(evidence.fingerprint(sources, key, id_col, text_col).select(key, "fingerprint"), key)
+
+
+#: Headings of sections whose tokens are not checked.
+UNCERTAIN = ["uncertain", "unknown", "open question", "open questions", "still unknown", "what we don't know", "what we do not know", "limitation", "limitations", "caveat", "caveats"]
+
+
+def certain(x: Column) -> Column:
+    """G-19: the text without its uncertain sections; a heading begins with ``#``, or ends with a colon and has 80 characters at most."""
+
+    def step(state: Column, line: Column) -> Column:
+        s = F.trim(line)
+        heading = s.startswith("#") | (s.endswith(":") & (F.length(s) <= 80))
+        name = F.lower(F.trim(F.regexp_replace(s, "^#+", "")))
+        named = F.exists(F.array(*map(F.lit, UNCERTAIN)), lambda m: F.contains(name, m))
+        skip = F.when(heading, named).otherwise(state["skip"])
+        return F.struct(skip.alias("skip"), F.when(skip, state["kept"]).otherwise(F.concat(state["kept"], F.array(line))).alias("kept"))
+
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
+    return F.array_join(F.aggregate(F.split(x, r"\r\n|\n|\r"), start, step, lambda s: s["kept"]), "\n")
+
+
+def _placed(x: Column, pattern: str, kind: str, group: int = 0) -> Column:
+    """Matches as structs of type, token, what stands before them on their line's sentence, and after: the offsets come from the pieces between."""
+    found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+
+    def rows(m: Column) -> Column:
+        between = F.split(x, pattern, -1)
+        sides = F.zip_with(F.slice(between, F.lit(1), F.size(m)), F.slice(between, F.lit(2), F.size(m)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
+        token = (lambda t: F.regexp_extract(t, pattern, group)) if group else (lambda t: t)
+        return F.zip_with(m, sides, lambda t, s: F.struct(F.lit(kind).alias("type"), F.trim(token(t)).alias("token"), s["before"].alias("before"), t.alias("match"), s["after"].alias("after")))
+
+    none = F.array().cast("array<struct<type:string,token:string,before:string,match:string,after:string>>")
+    return text.let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(rows(m)))
 
 
 def verbatim_tokens(x: Column) -> Column:
-    """G-19: array of (type, token) of quotes, dates and numbers outside uncertain sections, distinct, without list numbers."""
-    plain = F.translate(x, "“”‘’", "\"\"''")
-    take = lambda kind, pattern, group=0: F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(group)), lambda t: F.struct(F.lit(kind).alias("type"), F.trim(t).alias("token")))
-    bare = F.regexp_replace(plain, r"(?m)(^\s*\d(?=\.))|((?<=\()\d(?=\)))", "")
-    numbers = F.transform(F.regexp_extract_all(bare, F.lit(NUMBER), F.lit(0)), lambda t: F.struct(F.lit("number").alias("type"), F.trim(t).alias("token")))
-    return F.array_distinct(F.concat(take("quote", r'"([^"\n]{3,240})"', 1), *[take("date", d) for d in DATES], numbers))
+    """G-19: array of (type, token, context) of quotes, dates and numbers outside uncertain sections, each (type, token, context) once.
+
+    The context is what stands around the token up to the next sentence end,
+    line end or token of its kind.  Single digits that number a line or stand alone in parentheses do not count.
+    """
+
+    def of(plain: Column) -> Column:
+        numbers = F.filter(_placed(plain, NUMBER, "number"), lambda r: ~(r["token"].rlike(r"^[$€£]?\s*\d$") & ((r["before"].rlike(r"(?:^|\n)\s{0,3}$") & r["after"].startswith(".")) | (r["before"].endswith("(") & r["after"].startswith(")")))))
+        every = F.concat(_placed(F.translate(plain, "“”‘’", "\"\"''"), r'"([^"\n]{3,240})"', "quote", 1), *[_placed(plain, d, "date") for d in DATES], numbers)
+        context = lambda r: F.concat(F.regexp_extract(r["before"], r"[^.!?\n]*\z", 0), r["match"], F.regexp_extract(r["after"], r"^[^.!?\n]*[.!?\n]?", 0))
+        return F.array_distinct(F.transform(F.filter(every, lambda r: r["token"] != ""), lambda r: F.struct(r["type"].alias("type"), r["token"].alias("token"), text.compact(context(r), 260).alias("context"))))
+
+    return text.let(certain(x), of)
+
+
+def verbatim_check(answers: DataFrame, sources: DataFrame, key: str, answer: str, body: str) -> DataFrame:
+    """G-19: per key checked and supported tokens, the unsupported ones and the pass rate.
+
+    The tokens of the answers are exploded and meet their key's sources, which
+    are few and are compared where they stand; no text is gathered.
+    """
+    tokens = answers.select(key, F.explode(verbatim_tokens(F.coalesce(answer, F.lit("")))).alias("t")).select(key, "t.*")
+    numbered = tokens.withColumn("_c", comparable(F.col("token")))
+    # Which distinct tokens of a key a source holds: each source looks for all of its key's tokens at once.
+    asked = numbered.groupBy(key).agg(F.collect_set("_c").alias("_asked"))
+    held = sources.join(asked, key).select(key, F.explode(F.filter("_asked", lambda t: (t != "") & F.contains(comparable(F.coalesce(F.col(body), F.lit(""))), t))).alias("_c")).distinct()
+    judged = numbered.join(held.withColumn("_held", F.lit(True)), [key, "_c"], "left")
+    out = judged.groupBy(key).agg(F.count("*").alias("checked"), F.count_if(F.col("_held").isNotNull()).alias("supported"), F.array_sort(F.collect_list(F.when(F.col("_held").isNull(), F.struct("type", "token", "context")))).alias("unsupported"))
+    out = answers.select(key).join(out, key, "left").withColumn("checked", F.coalesce("checked", F.lit(0).cast("long"))).withColumn("supported", F.coalesce("supported", F.lit(0).cast("long")))
+    return out.withColumn("unsupported", F.coalesce("unsupported", F.array().cast("array<struct<type:string,token:string,context:string>>"))).withColumn("pass_rate", pass_rate(F.col("supported"), F.col("checked")))
+
+
+def audit(checked: DataFrame, models: DataFrame, key: str, model: str) -> DataFrame:
+    """G-20: flagged claims (token, model, check) of verbatim results: the model is the only one that was used, else "unknown"."""
+    used = models.filter(F.coalesce(model, F.lit("")) != "").groupBy(key).agg(F.min(model).alias("_a"), F.max(model).alias("_b"))
+    who = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise("unknown")
+    made = F.transform("unsupported", lambda u: F.struct(u["token"].alias("claim"), F.coalesce(who, F.lit("unknown")).alias("model"), F.lit("verbatim").alias("check")))
+    return checked.join(used, key, "left").select(key, (F.size("unsupported") > 0).alias("flagged"), made.alias("claims"))
 
 
 def comparable(x: Column) -> Column:
@@ -88,7 +230,7 @@ def disagreements(runs: DataFrame, key: str, pos: str, summary: str) -> DataFram
 
 def needs_follow_up(kind: Column, status: Column, sources: Column) -> Column:
     """G-23."""
-    return (kind == "abstain") | (status == "weak_sources") | (sources < 2)
+    return (kind == "abstain") | status.isin("weak_sources", "insufficient_evidence") | (sources < 2)
 
 
 def weakest(df: DataFrame, key: str, pos: str, sources: str) -> DataFrame:
@@ -96,27 +238,41 @@ def weakest(df: DataFrame, key: str, pos: str, sources: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(pos, F.struct(sources, pos)).alias("weakest"))
 
 
-def interlock(protocol: Column, status: Column, runs: Column, allowed: str) -> Column:
-    """G-17: whether a session may be saved: research needs a successful scout with the allowed model or a successful final synthesis."""
-    fine = F.exists(runs, lambda r: ((r["role"] == "scout") & r["ok"] & (r["model"] == allowed)) | ((r["role"] == "final") & r["ok"]))
-    return ~protocol.isin("research", "deep_research") | (status == "in_progress") | fine
+def interlock(protocol: Column, status: Column, runs: Column, allowed: list[str]) -> Column:
+    """G-17: whether a session may be saved: research needs a successful scout whose model is an allowed one (or begins with it and a blank or a bracket), or a successful final or fallback synthesis."""
+    known = lambda m: F.exists(F.array(*map(F.lit, allowed)), lambda a: (m == a) | m.startswith(F.concat(a, F.lit(" "))) | m.startswith(F.concat(a, F.lit("["))))
+    fine = F.exists(runs, lambda r: ((r["role"] == "scout") & r["ok"] & F.coalesce(known(r["model"]), F.lit(False))) | (r["role"].isin("final", "fallback") & r["ok"]))
+    return ~protocol.isin("research", "deep_research") | F.coalesce(status == "in_progress", F.lit(False)) | F.coalesce(fine, F.lit(False))
+
+
+#: The mark of a source below tier 1, and what tells that a worker failed.
+NON_TIER_ONE = "[NON-T1] "
+FAILURES = ["error:", "timeout waiting for response", "authentication failed", "invalid_grant", "no response received"]
 
 
 def tier_one_title(title: Column, required: Column, tier: Column) -> Column:
-    """G-24: marks the title of a source below tier 1 where tier 1 is required."""
-    return F.when(required & (tier > 1), F.concat(F.lit("[NON-T1] "), title)).otherwise(title)
+    """G-24: marks the title of a source below tier 1 where tier 1 is required, once."""
+    return F.when(required & (tier > 1) & ~title.startswith(NON_TIER_ONE), F.concat(F.lit(NON_TIER_ONE), title)).otherwise(title)
+
+
+def tier_one_error(domain: Column, required: Column, tier: Column, authority: Column) -> Column:
+    """G-24: what is logged of it; null where nothing is wrong."""
+    from .evidence import two_places
+
+    return F.when(required & (tier > 1), F.concat(F.lit("tier-1 required but "), domain, F.lit(" scored T"), tier.cast("string"), F.lit(" (authority="), two_places(authority), F.lit(")")))
 
 
 def backend_output(x: Column) -> Column:
-    """G-25: struct of the answer block and the distinct addresses, right punctuation stripped."""
-    answer = F.regexp_extract(x, r"(?is)ANSWER:\s*(.*?)(?:\n\s*SOURCES:|\z)", 1)
+    """G-25: struct of the answer between its label and that of the sources (empty if it says that nothing was found) and the distinct addresses, right punctuation stripped."""
+    answer = F.trim(F.regexp_extract(x, r"(?s)ANSWER:\s*(.*?)\s*(?:SOURCES:|\z)", 1))
     found = F.transform(F.regexp_extract_all(x, F.lit(r"https?://[^\s<>()\]]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;\])>]+$", ""))
-    return F.struct(F.trim(answer).alias("answer"), F.array_distinct(found).alias("urls"))
+    return F.struct(F.when(F.upper(answer) == "NOT_FOUND", "").otherwise(answer).alias("answer"), F.array_distinct(F.filter(found, lambda u: u != "")).alias("urls"))
 
 
 def failed_run(x: Column) -> Column:
-    """G-22: whether a worker's text tells of a failure."""
-    return F.lower(x).rlike("timed out|timeout|rate limit|unauthorized|forbidden|quota|traceback|unavailable|failed")
+    """G-22: whether a worker's text tells of a failure; no text does."""
+    low = F.lower(F.trim(F.coalesce(x, F.lit(""))))
+    return (low == "") | F.exists(F.array(*map(F.lit, FAILURES)), lambda m: F.contains(low, m))
 
 
 def first_success(df: DataFrame, key: str, pos: str, ok: str) -> DataFrame:

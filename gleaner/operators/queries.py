@@ -117,3 +117,76 @@ def second_wins(v1: Column, n1: Column, d1: Column, s1: Column, v2: Column, n2:
 def counter_query(query: Column) -> Column:
     """D-14: the query that looks for the opposite."""
     return F.concat(query, F.lit(" failure OR problem OR criticism OR limitation OR bug"))
+
+
+# Names under which a request carries its query, in order.
+QUERY_NAMES = ["query", "q", "search_query", "term", "text", "keyword"]
+
+
+def _parameter(form: Column, name: str) -> Column:
+    """The first value of a parameter of form-encoded text, decoded; null if there is none or what it says cannot be decoded."""
+    raw = F.regexp_extract(F.concat(F.lit("&"), form), f"[&]{name}=([^&#]*)", 1)
+    return F.nullif(F.trim(F.try_url_decode(raw)), F.lit(""))
+
+
+def _unwrapped(x: Column) -> Column:
+    """Without a ``prefix:`` that is no search operator, if several words follow it."""
+    said = F.trim(F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
+    rest = F.trim(F.regexp_replace(said, "^[^:]*:", ""))
+    prefix = F.lower(F.split_part(said, F.lit(":"), F.lit(1)))
+    return F.when(F.contains(said, F.lit(":")) & ~prefix.isin(OPERATORS) & F.contains(F.regexp_replace(said, "^[^:]*:", ""), F.lit(" ")) & (rest != ""), rest).otherwise(said)
+
+
+def request_query(url: Column, body: Column) -> Column:
+    """D-11: the query that a request carries: a field of its JSON body, of its form body, of its address, else the last part of its path if it holds several words; null if none."""
+    from ..functions import urls
+
+    text_of = lambda name: F.nullif(F.trim(F.get_json_object(body, f"$.{name}")), F.lit(""))
+    json = [F.when(F.ltrim(body).startswith("{"), text_of(n)) for n in QUERY_NAMES]
+    last = F.nullif(F.trim(F.try_url_decode(F.replace(F.regexp_extract(urls.part(url, 3), "([^/]+)/*$", 1), F.lit("+"), F.lit("%2B")))), F.lit(""))
+    return _unwrapped(F.coalesce(*json, *[_parameter(body, n) for n in QUERY_NAMES], *[_parameter(urls.part(url, 4), n) for n in QUERY_NAMES], F.when(F.contains(last, F.lit(" ")), last)))
+
+
+def substituted(request: Column, old: Column, new: Column) -> Column:
+    """D-11: an address or body with another query in place of its own, encoded or not."""
+    from ..sources.payloads import quote
+
+    return F.replace(F.replace(request, quote(old), quote(new)), old, new)
+
+
+def call_rows(calls: DataFrame) -> DataFrame:
+    """D-12: one log row per call (ts, protocol, topic, lane, error, result_count, duration_ms, agent and, where they are known, verdict, domains, top_share, prior_count, prior_verdict, transforms); ok without error, retries told apart."""
+    agent = F.coalesce(F.nullif(F.trim("agent"), F.lit("")), F.lit("unknown"))
+    retry = F.col("prior_verdict").isNotNull()
+    return calls.select(
+        "ts", "protocol", "topic", "lane", F.col("error").isNull().alias("ok"), "duration_ms", "result_count", "error", agent.alias("agent"),
+        F.col("verdict").alias("retrieval_verdict"), (F.col("verdict") == "EMPTY").alias("retrieval_empty"), F.col("domains").alias("retrieval_unique_domain_count"),
+        F.col("top_share").alias("retrieval_top_domain_share"), (F.col("verdict") == "ERROR").alias("retrieval_has_error"),
+        retry.alias("query_retry"), F.when(retry, F.col("transforms")).alias("query_retry_transforms"), F.when(retry, F.col("prior_count")).alias("query_retry_prior_result_count"), F.col("prior_verdict").alias("query_retry_prior_verdict"),
+    )
+
+
+def query_calls(payloads: DataFrame, question: str, model: str = "haiku") -> DataFrame:
+    """D-13: one row per payload(key, question, lane, payload JSON, skipped): its results are counted, its error kept if it is a text; skipped payloads give none."""
+    body = F.col("payload")
+    error = F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), "$.error", "variant")) == "STRING", F.get_json_object(body, "$.error"))
+    held = F.from_json(F.get_json_object(body, "$.results"), "array<string>")
+    n = F.size(F.filter(F.coalesce(held, F.array().cast("array<string>")), lambda r: F.ltrim(r).startswith("{")))
+    return payloads.filter(~F.coalesce("skipped", F.lit(False))).select("key", F.col(question).alias("query_text"), "lane", F.lit(model).alias("worker_model"), F.lit(0).alias("duration_ms"), n.alias("result_count"), error.alias("error"))
+
+
+def search_error(payload: Column) -> Column:
+    """N-10: what is noted of a search: it gave no object, an error, or no results; null if all is well."""
+    error = F.nullif(F.trim(F.get_json_object(payload, "$.error")), F.lit(""))
+    n = F.size(F.coalesce(F.from_json(F.get_json_object(payload, "$.results"), "array<string>"), F.array().cast("array<string>")))
+    return F.when(~F.coalesce(F.ltrim(payload).startswith("{"), F.lit(False)) | F.try_parse_json(payload).isNull(), "search returned a non-object payload").when(error.isNotNull(), F.concat(F.lit("search degraded: "), error)).when(n == 0, "search degraded: 0 results")
+
+
+def free_lanes(df: DataFrame, keys: list[str], lanes: str, config: DataFrame) -> DataFrame:
+    """N-11: one row per key and distinct lane in order, with its config's error (an unknown lane is one of its own row and stops no other) or none if it is a free api lane; other lanes go."""
+    from .routing import is_free_api
+
+    each = df.select(*keys, F.posexplode(F.array_distinct(lanes)).alias("pos", "lane"))
+    met = each.join(config.select("lane", "type", "cost_per_call_usd"), "lane", "left")
+    unknown = F.col("type").isNull()
+    return met.filter(unknown | is_free_api(F.col("type"), F.col("cost_per_call_usd"))).select(*keys, "pos", "lane", F.when(unknown, F.concat(F.col("lane"), F.lit(" api lane config failed"))).alias("error"))

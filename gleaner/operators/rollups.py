@@ -33,12 +33,48 @@ def top_domains(log: DataFrame, domain: str, n: int = 5) -> DataFrame:
 
 
 def scorecard(runs: DataFrame, method: str, ok: str, elapsed: str, chars: str) -> DataFrame:
-    """H-06: attempts, success in percent, medians and verdict by method."""
+    """H-06: attempts, success in percent, medians and verdict by method.
+
+    The medians are exact, from counts of distinct values that are combined
+    before they meet: a method's values are its distinct milliseconds and sizes, not its rows.
+    """
     out = runs.groupBy(F.col(method).alias("method")).agg(F.count("*").alias("attempts"), (F.count_if(ok) / F.count("*") * 100).alias("success_pct"), F.median(elapsed).alias("median_ms"), F.median(chars).alias("median_chars"))
     v = F.when(F.col("success_pct") >= 50, "KEEP").when((F.col("success_pct") >= 25) & (F.col("median_ms") > 15000), "SLOW-LOW-YIELD").when(F.col("success_pct") < 25, "DROP-CANDIDATE").otherwise("LOW-YIELD")
     return out.withColumn("verdict", v)
 
 
+def status_counts(log: DataFrame, status: str, *keys: str) -> DataFrame:
+    """H-07: how many of each status, and in all (status null), by ``keys``."""
+    return log.groupingSets([[*keys, status], [*keys]], *keys, status).agg(F.count("*").alias("n")) if keys else log.rollup(status).agg(F.count("*").alias("n"))
+
+
+def checker_usage(calls: DataFrame, key: str, prompt: str, output: str) -> DataFrame:
+    """H-10: per key calls, characters of prompts and outputs, and estimated tokens: a quarter of them, halves to even, 1 at least where there are any."""
+    tokens = lambda n: F.when(F.col(n) == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(F.col(n) / 4))).cast("long")
+    out = calls.groupBy(key).agg(F.count("*").alias("calls"), F.sum(F.length(F.coalesce(prompt, F.lit("")))).alias("prompt_chars"), F.sum(F.length(F.coalesce(output, F.lit("")))).alias("output_chars"))
+    return out.withColumn("prompt_tokens", tokens("prompt_chars")).withColumn("output_tokens", tokens("output_chars"))
+
+
+def still_dead(dead: DataFrame, alive: DataFrame, *keys: str) -> DataFrame:
+    """F-12: dead keys that no test has found alive."""
+    return dead.join(alive.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def engine_detail(requested: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """F-16: per key the requested engines(key, pos, engine) that the registry(engine, enabled) does not know, and those it has disabled, in order."""
+    met = requested.join(registry, "engine", "left")
+    names = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "engine")))), lambda x: x["engine"]), ",")
+    shown = lambda x: F.when(x == "", "-").otherwise(x)
+    out = met.groupBy(key).agg(names(F.col("enabled").isNull()).alias("u"), names(~F.col("enabled")).alias("d"))
+    return out.select(key, F.concat(F.lit("UNKNOWN="), shown(F.col("u")), F.lit(" DISABLED="), shown(F.col("d"))).alias("detail"))
+
+
+def report(rows: DataFrame, key: str, title: str, pos: str, line: Column) -> DataFrame:
+    """B-08: one Markdown text per key: a heading and its lines in order.  For reports, whose lines are few."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), line.alias("l")))), lambda x: F.concat(F.lit("- "), x["l"]))
+    return rows.groupBy(key).agg(F.concat(F.lit(f"## {title}\n\n"), F.array_join(said, "\n")).alias("report"))
+
+
 def payload_domains(results: DataFrame, key: str, domain: str) -> DataFrame:
     """H-08: results, distinct domains and the share of the most frequent one, per payload: counted by domain first, so a hot payload is combined early."""
     by = results.groupBy(key, domain).agg(F.count("*").alias("n"))
@@ -58,13 +94,17 @@ def session_row(calls: DataFrame, key: str, lane: str, ok: str, model: str) -> D
 
 
 def breaker(log: DataFrame, key: str, ts: str, order: str, ok: str, failures: int = 3, within: str = "1 HOUR") -> DataFrame:
-    """L-05: whether the circuit is open after each event: ``failures`` in a row, the last ``failures`` of them within an hour; a success resets."""
+    """L-05: the circuit as each event finds it: open if ``failures`` or more came in a row before it and the last of them less than ``within`` ago; a success resets.
+
+    ``failures`` counts those before the event.  The state of a key is a running
+    count over its own events; many keys, each with a log of its own size, are the case this is for.
+    """
     w = Window.partitionBy(key).orderBy(ts, order)
     run = log.withColumn("_reset", F.sum(F.when(F.col(ok), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = Window.partitionBy(key, "_reset").orderBy(ts, order)
-    count = F.sum(F.when(F.col(ok), 0).otherwise(1)).over(r.rowsBetween(Window.unboundedPreceding, 0))
-    begin = F.lag(ts, failures - 1).over(w)
-    return run.withColumn("failures", count).withColumn("open", (F.col("failures") >= failures) & (F.col(ts) - begin <= F.expr(f"INTERVAL {within}"))).drop("_reset")
+    count = F.sum(F.when(F.col(ok), 0).otherwise(1)).over(Window.partitionBy(key, "_reset").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, 0))
+    run = run.withColumn("_count", count)
+    before = F.coalesce(F.lag("_count").over(w), F.lit(0))
+    return run.withColumn("failures", before.cast("long")).withColumn("open", (F.col("failures") >= failures) & F.coalesce(F.col(ts) < F.lag(ts).over(w) + F.expr(f"INTERVAL {within}"), F.lit(False))).drop("_reset", "_count")
 
 
 def too_fast(log: DataFrame, key: str, ts: str, order: str, seconds: float) -> DataFrame:
@@ -84,6 +124,21 @@ def round_robin(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("slot", F.pmod(F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, F.lit(n)))
 
 
+def least_used(accounts: DataFrame, key: str, used: str, last: str, cap: float = 4.90) -> DataFrame:
+    """A-23: per key the account below the cap that was used longest ago (never used first, then by name)."""
+    return accounts.filter(F.col(used) < cap).groupBy(key).agg(F.min_by("account", F.struct(F.col(last).isNotNull().alias("n"), F.col(last).alias("t"), F.col("account").alias("a"))).alias("account"))
+
+
+def cache_hits(log: DataFrame, key: str, ts: str, order: str, ttl: str) -> DataFrame:
+    """L-03: whether each request finds its key in a cache that forgets ``ttl`` after the last request for it; :func:`streaming.streams.cache` does the same, and caches that reading does not extend, as a stream."""
+    return log.withColumn("hit", F.coalesce(F.col(ts) <= F.lag(ts).over(Window.partitionBy(key).orderBy(ts, order)) + F.expr(f"INTERVAL {ttl}"), F.lit(False)))
+
+
+def newest_entries(entries: DataFrame, ts: str, order: str, keep: int = 500) -> DataFrame:
+    """L-03: the entries that stay when a cache is pruned to its ``keep`` newest."""
+    return entries.orderBy(F.desc(ts), F.desc(order)).limit(keep)
+
+
 def first_of(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """I-01, L-12: the first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

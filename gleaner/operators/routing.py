@@ -66,23 +66,31 @@ def pattern_regex(pattern: str) -> str:
 def route(questions: DataFrame, question: str = "question", rules: list | None = None) -> DataFrame:
     """C-03: ``questions`` with rule, topic and lanes.
 
-    The rules are literal expressions of one projection, so no join or shuffle
-    is needed whatever the number of questions.
+    The rules are literal expressions, so no join or shuffle is needed whatever
+    the number of questions, and each pattern is matched once: the lengths of
+    those that match are one array, from which a rule's count and size follow.
     """
+    rules = rules or RULES
     text = normalise_question(F.col(question))
-    scored = []
-    for idx, (name, patterns, lanes, topic, skip) in enumerate(rules or RULES):
-        hits = [F.when(text.rlike(pattern_regex(p)), 1).otherwise(0) for p in patterns if p != ALWAYS]
-        sizes = [F.when(text.rlike(pattern_regex(p)), len(p)).otherwise(0) for p in patterns if p != ALWAYS]
-        total = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0)
-        open_ = ALWAYS in patterns
-        scored.append(F.struct((-total(hits)).alias("n"), (-total(sizes)).alias("size"), F.lit(idx).alias("idx"), F.lit(name).alias("name"), F.lit(topic).alias("topic"), F.array(*map(F.lit, lanes)).alias("lanes"), F.lit(skip).alias("skip"), F.lit(open_).alias("always")))
-    matched = F.array_sort(F.filter(F.array(*scored), lambda r: (r["n"] < 0) | r["always"]))
-    out = questions.withColumn("_m", matched).withColumn("_first", F.get("_m", F.lit(0)))
-    others = F.filter("_m", lambda r: (~r["always"]) | (r["idx"] == F.col("_first")["idx"]))
-    lanes = F.array_distinct(F.flatten(F.transform(others, lambda r: r["lanes"])))
-    lanes = F.when(F.col("_first")["skip"], lanes).otherwise(F.array_union(lanes, F.array(*map(F.lit, WEB_LANES))))
-    return out.withColumn("rule", F.col("_first")["name"]).withColumn("topic", F.col("_first")["topic"]).withColumn("lanes", F.slice(lanes, 1, MOST_LANES)).drop("_m", "_first")
+    sizes = lambda t: [F.array_compact(F.array(*[F.when(t.rlike(pattern_regex(p)), len(p)) for p in patterns if p != ALWAYS], F.lit(None).cast("int"))) for _, patterns, *_ in rules]
+    hits = F.element_at(F.transform(F.array(text), lambda t: F.array(*sizes(t))), 1)
+    known = [F.struct(F.lit(i).alias("idx"), F.lit(name).alias("name"), F.lit(topic).alias("topic"), F.array(*map(F.lit, lanes)).alias("lanes"), F.lit(skip).alias("skip"), F.lit(ALWAYS in patterns).alias("always")) for i, (name, patterns, lanes, topic, skip) in enumerate(rules)]
+
+    def chosen(h: Column) -> Column:
+        scored = F.zip_with(h, F.array(*known), lambda x, r: F.struct((-F.size(x)).alias("n"), (-F.aggregate(x, F.lit(0), lambda a, b: a + b)).alias("size"), r["idx"].alias("idx"), r.alias("rule")))
+        matched = F.array_sort(F.filter(scored, lambda r: (r["n"] < 0) | r["rule"]["always"]))
+
+        def result(m: Column) -> Column:
+            first = F.get(m, F.lit(0))["rule"]
+            others = F.filter(m, lambda r: (~r["rule"]["always"]) | (r["idx"] == first["idx"]))
+            lanes = F.array_distinct(F.flatten(F.transform(others, lambda r: r["rule"]["lanes"])))
+            lanes = F.when(first["skip"], lanes).otherwise(F.array_union(lanes, F.array(*map(F.lit, WEB_LANES))))
+            return F.struct(first["name"].alias("rule"), first["topic"].alias("topic"), F.slice(lanes, 1, MOST_LANES).alias("lanes"))
+
+        return F.element_at(F.transform(F.array(matched), result), 1)
+
+    out = questions.withColumn("_r", F.element_at(F.transform(F.array(hits), chosen), 1))
+    return out.withColumn("rule", F.col("_r.rule")).withColumn("topic", F.col("_r.topic")).withColumn("lanes", F.col("_r.lanes")).drop("_r")
 
 
 def authority_table(spark: SparkSession) -> DataFrame:
@@ -186,6 +194,68 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.left(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(80)), "-+$", "")
 
 
+# Providers of models, the model that takes over where a quota is not to be used, and where roles lead.
+MODEL_PROVIDERS = {"haiku": "haiku_subagent", "sonnet": "sonnet_inline", "opus": "opus_subagent", "grok": "grok_cli", "mistral": "mistral_free_api", "gemini-flash": "agy_cli", "gemini-pro": "agy_cli"}
+DEFAULT_PROVIDER = "haiku_subagent"
+UNATTENDED = ["1", "true", "yes", "cron", "launchd", "nightly"]
+
+
+def safe_name(x: Column) -> Column:
+    """C-14: a part of a path: other characters than letters, digits, ``._-`` as single hyphens, none at the ends; "topic" if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+    return F.when(name == "", "topic").otherwise(name)
+
+
+def dispatch(role: Column, model: Column, providers: dict[str, str] | None = None) -> Column:
+    """C-14: struct of model and provider: verifiers use opus if it is asked for, else sonnet; counter-evidence uses grok; all others the model they are given."""
+    table = providers or MODEL_PROVIDERS
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    made = lambda m, p: F.struct(m.alias("model"), p.alias("provider"))
+    asked = F.lower(F.trim(model))
+    return (
+        F.when((role == "cross_model_verifier") & (asked == "opus"), made(F.lit("opus"), F.lit("opus_subagent")))
+        .when(role == "cross_model_verifier", made(F.lit("sonnet"), F.lit("sonnet_inline")))
+        .when(role == "counter_evidence", made(F.lit("grok"), F.lit("grok_cli")))
+        .otherwise(made(asked, F.coalesce(F.try_element_at(known, asked), F.lit(DEFAULT_PROVIDER))))
+    )
+
+
+def work_paths(topic: Column, role: Column, territory: Column, kind: str) -> Column:
+    """C-14: where a worker's brief or output goes."""
+    return F.concat_ws("/", F.lit("work"), safe_name(topic), F.concat(safe_name(role), F.lit("-"), safe_name(territory), F.lit(f".{kind}.md")))
+
+
+def uses_quota(model: Column) -> Column:
+    """C-18: whether a model's name is of the family whose calls are counted."""
+    return F.lower(F.trim(F.coalesce(model, F.lit("")))).rlike("^gemini[ -]")
+
+
+def resolve_model(model: Column, default: str, scheduled: str, budget_left: Column, unattended: Column) -> Column:
+    """C-18: the model that runs: the default if none is asked for; the scheduled one in place of a counted one when nobody watches or the budget is gone."""
+    asked = F.coalesce(F.nullif(model, F.lit("")), F.lit(default))
+    return F.when(uses_quota(asked) & (F.lower(F.trim(F.coalesce(unattended, F.lit("")))).isin(UNATTENDED) | ~budget_left), scheduled).otherwise(asked)
+
+
+def with_cost(lanes: DataFrame, config: DataFrame, lane: str = "lane") -> DataFrame:
+    """F-08: ``lanes`` with the cost of a call, null where the lane is unknown or its cost is no number."""
+    return lanes.join(config.select(F.col("lane").alias(lane), F.col("cost_per_call_usd").try_cast("double").alias("cost")), lane, "left")
+
+
+def paired(questions: Column, *others: Column) -> Column:
+    """F-14: arrays of one question each side by side (named by number); an error if their lengths differ."""
+    rows = F.arrays_zip(*[x.alias(str(i)) for i, x in enumerate((questions, *others))])
+    same = F.lit(True)
+    for x in others:
+        same = same & (F.size(x) == F.size(questions))
+    return F.when(same, rows).otherwise(F.raise_error(F.lit("lists of different lengths")))
+
+
+def fleet_errors(df: DataFrame, key: str, count: str, declared: str, lanes: str) -> DataFrame:
+    """C-15: keys whose workers are not as many as declared, or as the lanes of the plan."""
+    sums = df.groupBy(key).agg(F.sum(F.greatest(F.col(count), F.lit(0))).alias("workers"), F.max(declared).alias("declared"), F.max(F.size(lanes)).alias("lanes"))
+    return sums.filter((F.col("workers") != F.col("declared")) | (F.col("workers") != F.col("lanes")))
+
+
 def expand_fleet(df: DataFrame, model: str = "model", count: str = "count") -> DataFrame:
     """C-15: a row per worker."""
     return df.withColumn("worker", F.explode(F.sequence(F.lit(1), F.greatest(F.col(count), F.lit(1))))).filter(F.col(count) > 0)

@@ -23,15 +23,27 @@ def test_paths(spark):
 
 def test_routes(spark):
     route = lambda u, t=None: one(spark, assembly.reader_route(F.lit(u), F.lit(t).cast("string")))
-    assert [route("https://a.org/x.pdf"), route("https://a.org/x.pdf", "text/html"), route("https://a.org/x", "application/pdf"), route("https://github.com/a/b"), route("https://www.tiktok.com/@x"), route("https://a.org")] == ["document", "web", "document", "repository", "social", "web"]
+    urls = [("https://a.org/x.pdf", None), ("https://a.org/x.pdf", "text/html"), ("https://a.org/x", "application/pdf; q"), ("https://a.org/x.docx", "text/html"), ("https://a.org/x", "image/png"), ("https://github.com/a/b", None), ("https://www.tiktok.com/@x", None), ("https://a.org", None)]
+    assert [route(*u) for u in urls] == ["maybe_pdf", "maybe_pdf", "document", "document", "document", "repository", "social", "web"]
+    assert one(spark, assembly.web_ladder(F.lit(3), F.lit(True)))[-3:] == ["agent_browser", "publisher_oa", "wayback"]
+    assert one(spark, assembly.web_ladder(F.lit(1), F.lit(None).cast("boolean"))) == [*assembly.RUNGS, "wayback"]
     assert one(spark, assembly.protocol(F.lit("deep-research"))) == "deep_research"
     assert one(spark, assembly.is_block(F.lit(451), F.lit(False), F.lit(False)))
 
 
 def test_spread(spark):
-    assert assembly.spread_domains(["a", "a", "a", "b", "a"]) == [0, 1, 3, 2, 4]
-    df = spark.createDataFrame([(1, i, d) for i, d in enumerate("aaab")], "q int, pos int, d string")
-    assert [r.pos for r in assembly.spread(df, "q", "pos", "d").orderBy("spread").collect()] == [0, 1, 3, 2]
+    rows = [(q, i, d) for q, ds in ((1, "aaab"), (2, "aaaba"), (3, "aaa"), (4, "a")) for i, d in enumerate(ds)]
+    got = {}
+    for r in assembly.spread(spark.createDataFrame(rows, "q int, pos int, d string"), "q", "pos", "d").orderBy("q", "spread").collect():
+        got.setdefault(r.q, []).append(r.pos)
+    assert got == {1: [0, 1, 3, 2], 2: [0, 1, 3, 2, 4], 3: [0, 1, 2], 4: [0]}
+
+
+def test_save_decision(spark):
+    rows = [(1, 0, "scout", True, "s"), (1, 1, "final", False, "f"), (1, 2, "fallback", True, "b"), (2, 0, "scout", False, "s"), (2, 1, "final", True, "f"), (3, 0, "scout", True, "s")]
+    df = spark.createDataFrame(rows, "k int, pos int, kind string, ok boolean, answer string")
+    got = {r.k: (r.decision, r.answer, r.bypass_gate) for r in assembly.save_decision(df, "k").collect()}
+    assert got == {1: ("fallback", "b", False), 2: ("abstain", None, True), 3: ("abstain", None, True)}
 
 
 def test_assemble(spark):
