@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gates, queries, routing
+from ..operators import evidence, gaps, gates, queries, rollups, routing
+from .documents import SQL_SQUASH
 from .registry import Registry, table
 
 R = Registry()
@@ -82,43 +83,95 @@ def question_slugs(spark, sf_dir):
     return _users(spark, sf_dir).select("conv_id", "turn", routing.slug(F.col("text")).alias("slug"))
 
 
-@R.query("""WITH p AS (SELECT conv_id, turn, list_slice(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), 1, 4) AS parts FROM conversations WHERE role = 'user'),
- e AS (SELECT conv_id, turn, parts, unnest(parts) AS description, unnest(range(len(parts))) AS pos FROM p)
- SELECT conv_id, turn, chr(CAST(65 + pos AS INT)) AS territory, description, 'searxng_general,tavily_direct' AS lanes, array_to_string(list_filter(list_transform(range(len(parts)), lambda i: chr(CAST(65 + i AS INT))), lambda x: x <> chr(CAST(65 + pos AS INT))), ',') AS not_overlap FROM e""")
+_OFFERED = "[['arxiv', 'linkup_direct'], ['exa_direct'], ['x_pulse', 'youcom_direct', 'exa_direct'], ['searxng_general']][1 + turn % 4]"
+
+
+@R.query(f"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '.'), lambda s: trim(s, ' ')), lambda s: s <> '') AS parts, {_OFFERED} AS lanes FROM conversations),
+ q AS (SELECT *, coalesce(list_filter(list_transform(lanes, lambda x: regexp_extract(x, 'tavily|linkup|exa|youcom')), lambda x: x <> '')[1], 'tavily') AS provider FROM p),
+ e AS (SELECT *, unnest(parts) AS description, unnest(range(len(parts))) AS pos FROM q)
+ SELECT conv_id, turn, chr(CAST(65 + pos AS INT)) AS territory, description, array_to_string(CASE WHEN lanes[1] = 'searxng_general' THEN ['searxng_general', provider || '_direct'] WHEN lanes[1] = provider || '_direct' THEN [lanes[1], 'searxng_general'] ELSE [lanes[1], 'searxng_general', provider || '_direct'] END, ',') AS lanes,
+   array_to_string(list_filter(list_transform(range(len(parts)), lambda i: chr(CAST(65 + i AS INT))), lambda x: x <> chr(CAST(65 + pos AS INT))), ',') AS not_overlap FROM e""")
 def territories(spark, sf_dir):
-    """The first four words of a question stand for its parts."""
-    parts = F.slice(F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != ""), 1, 4)
-    q = _users(spark, sf_dir).select("conv_id", "turn", parts.alias("parts"), F.array(F.lit("searxng_general")).alias("lanes"))
+    """What stands between full stops is a part of its turn; the lanes offered name every provider and none."""
+    parts = F.filter(F.transform(F.split(F.col("text"), r"\."), lambda s: F.trim(s)), lambda s: s != "")
+    offered = F.get(F.array(*[F.array(*map(F.lit, x)) for x in (["arxiv", "linkup_direct"], ["exa_direct"], ["x_pulse", "youcom_direct", "exa_direct"], ["searxng_general"])]), (F.col("turn") % 4).cast("int"))
+    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", parts.alias("parts"), offered.alias("lanes"))
     out = routing.territories(q, ["conv_id", "turn"])
     return out.select("conv_id", "turn", "territory", "description", F.array_join("assigned_lanes", ",").alias("lanes"), F.array_join("not_overlap", ",").alias("not_overlap"))
 
 
-@R.query("""WITH q AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> ''), lambda t: regexp_replace(t, '^[.,;:!?()\\[\\]{}<>]+|[.,;:!?()\\[\\]{}<>]+$', '', 'g')), lambda t: regexp_matches(t, '[A-Za-z0-9]')) AS ts FROM conversations WHERE NOT regexp_matches(text, '["-]|site:|filetype:|intitle:|inurl:'))
- SELECT conv_id, turn, CAST(len(ts) AS INT) AS terms, concat_ws(',', CASE WHEN len(ts) < 2 THEN 'EMPTY_OR_TRIVIAL' END, CASE WHEN len(ts) > 14 THEN 'EXCESSIVE_LENGTH' END, CASE WHEN len(list_distinct(list_transform(ts, lambda t: lower(t)))) < len(ts) THEN 'DUPLICATE_TERMS' END) AS codes FROM q""")
+_ADDED = "CASE turn % 6 WHEN 0 THEN text || ' site:a.org' WHEN 1 THEN text || ' \"open quote' WHEN 2 THEN 'cotton Cotton cotton ' || text WHEN 3 THEN text || ' - filetype:p -no' WHEN 4 THEN left(text, 12) ELSE 'a \"b c\" inurl:x' END"
+_OPS = "('site', 'filetype', 'intitle', 'inurl')"
+_QUERY = f"""q0 AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'arxiv' ELSE 'searxng_general' END AS lane, {_ADDED} AS q FROM conversations),
+ q1 AS (SELECT *, list_transform(list_filter(string_split_regex(q, '\\s+'), lambda t: t <> ''), lambda t: {{'t': t, 'core': regexp_replace(regexp_replace(t, '^-', ''), '^"+|"+$', '', 'g')}}) AS a FROM q0),
+ q2 AS (SELECT * EXCLUDE (a), list_transform(a, lambda x: {{'t': x.t, 'op': CASE WHEN x.t = '-' THEN '-' ELSE regexp_extract(lower(x.core), '^(site|filetype|intitle|inurl):', 1) END, 'bare': regexp_replace(x.core, '^[.,;:!?()\\[\\]{{}}<>]+|[.,;:!?()\\[\\]{{}}<>]+$', '', 'g'), 'v': regexp_replace(trim(regexp_replace(x.core, '^[^:]*:', '')), '^"+|"+$', '', 'g')}}) AS a FROM q1),
+ q3 AS (SELECT * EXCLUDE (a), list_transform(a, lambda x: {{'t': x.t, 'op': x.op, 'bare': CASE WHEN x.op = '' AND regexp_matches(x.bare, '[A-Za-z0-9]') THEN x.bare END, 'cut': regexp_replace(x.t, '^"+|"+$', '', 'g') = '-' OR (x.op IN {_OPS} AND (x.v = '' OR CASE x.op WHEN 'site' THEN NOT contains(x.v, '.') WHEN 'filetype' THEN length(regexp_replace(x.v, '^\\.+|\\.+$', '', 'g')) < 2 ELSE length(x.v) < 2 END))}}) AS a FROM q2),
+ q4 AS (SELECT *, list_filter(list_transform(a, lambda x: x.bare), lambda b: b IS NOT NULL) AS terms FROM q3),
+ q5 AS (SELECT *, list_transform(terms, lambda t: lower(t)) AS low FROM q4),
+ q6 AS (SELECT *, list_filter(low, lambda x, i: list_position(low, x) = i) AS dist FROM q5),
+ q7 AS (SELECT *, length(q) - length(replace(q, '"', '')) AS quotes FROM q6)"""
+
+
+def _asked(spark, sf_dir):
+    """The turns, with operators, open quotes, repeats and short ones among them."""
+    t, n = F.col("text"), F.col("turn") % 6
+    q = F.when(n == 0, F.concat(t, F.lit(" site:a.org"))).when(n == 1, F.concat(t, F.lit(' "open quote'))).when(n == 2, F.concat(F.lit("cotton Cotton cotton "), t)).when(n == 3, F.concat(t, F.lit(" - filetype:p -no"))).when(n == 4, F.left(t, F.lit(12))).otherwise('a "b c" inurl:x')
+    return queries.annotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, "arxiv").otherwise("searxng_general").alias("lane"), q.alias("q")), "q")
+
+
+@R.query(f"""WITH {_QUERY} SELECT conv_id, turn, CAST(len(terms) AS INT) AS terms, array_to_string(list_concat(list_transform(list_filter(a, lambda x: x.cut), lambda x: 'TRUNCATED_OPERATOR ' || x.t),
+  CASE WHEN quotes % 2 = 1 THEN ['UNBALANCED_QUOTES "'] ELSE [] END, CASE WHEN len(terms) < 2 THEN ['EMPTY_OR_TRIVIAL ' || len(terms)] ELSE [] END, CASE WHEN len(terms) > 14 THEN ['EXCESSIVE_LENGTH ' || len(terms)] ELSE [] END,
+  CASE WHEN len(dist) < len(low) THEN ['DUPLICATE_TERMS ' || array_to_string(list_transform(list_filter(dist, lambda x: len(list_filter(low, lambda y: y = x)) >= 2), lambda x: terms[list_position(low, x)]), ',')] ELSE [] END,
+  CASE WHEN lane = 'arxiv' AND len(list_filter(a, lambda x: x.op IN ('site', 'filetype'))) > 0 THEN ['UNSUPPORTED_OPERATOR_FOR_LANE ' || array_to_string(list_transform(list_filter(a, lambda x: x.op IN ('site', 'filetype')), lambda x: x.t), ',')] ELSE [] END), '; ') AS codes FROM q7""")
 def query_issues(spark, sf_dir):
-    """Turns with quotes, signs or operators are left to the unit tests, for which RE2 has no equal."""
-    plain = queries.annotate(table(spark, sf_dir, "conversations").filter(~F.col("text").rlike('["-]|site:|filetype:|intitle:|inurl:')), "text")
-    codes = F.array_join(F.transform(queries.issues(F.col("text"), F.lit("searxng_general")), lambda i: i["code"]), ",")
-    return plain.select("conv_id", "turn", F.size("q_terms").alias("terms"), codes.alias("codes"))
+    codes = F.array_join(F.transform(queries.issues(F.col("q"), F.col("lane")), lambda i: F.concat_ws(" ", i["code"], i["detail"])), "; ")
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.size("q_terms").alias("terms"), codes.alias("codes"))
 
 
-@R.query()
+@R.query(f"""WITH {_QUERY}, r AS (SELECT *, list_filter(a, lambda x: NOT x.cut) AS kept, list_filter(dist, lambda x: len(list_filter(low, lambda y: y = x)) >= 3) AS many, coalesce(list_position(list_transform(a, lambda x: (starts_with(x.t, '-') AND x.t <> '-') OR x.op IN ('site', 'filetype', 'inurl')), true), 0) AS place FROM q7),
+ s AS (SELECT *, list_transform(kept, lambda x: coalesce(lower(x.bare), '')) AS lows FROM r),
+ t AS (SELECT *, array_to_string(list_transform(list_filter(kept, lambda x, i: NOT (list_contains(many, coalesce(lower(x.bare), '')) AND list_position(lows, coalesce(lower(x.bare), '')) <> i)), lambda x: x.t), ' ') AS fixed,
+  coalesce(CASE WHEN place > 0 AND len(a) > 1 THEN array_to_string(list_transform(list_filter(a, lambda x, i: i <> place), lambda x: x.t), ' ') END, CASE WHEN regexp_matches(q, '"[^"\n]+"') THEN regexp_replace(q, '"([^"\n]+)"', '\\1') END, CASE WHEN len(a) > 1 AND len(terms) >= 5 THEN array_to_string(list_transform(a[:-2], lambda x: x.t), ' ') END) AS wide FROM s)
+ SELECT conv_id, turn, CASE WHEN (length(fixed) - length(replace(fixed, '"', ''))) % 2 = 1 THEN fixed || '"' ELSE fixed END AS repaired, nullif(wide, q) AS broadened FROM t""")
 def query_repair_and_broaden(spark, sf_dir):
-    """Sequences over tokens; goldens in the tests."""
-    c = queries.annotate(table(spark, sf_dir, "conversations"), "text")
-    out = queries.broaden(queries.repair(c, "repaired"), "text", F.lit("THIN"), "broadened")
+    out = queries.broaden(queries.repair(_asked(spark, sf_dir), "repaired"), "q", F.lit("THIN"), "broadened")
     return out.select("conv_id", "turn", "repaired", "broadened")
 
 
+@R.query("""SELECT conv_id, turn, ['EMPTY', 'THIN', 'GOOD', 'ERROR'][1 + turn % 4] IN ('EMPTY', 'THIN') AND conv_id % 3 <> 0 AND conv_id % 3 <> 2 AS retry FROM conversations""")
+def retry_allowed(spark, sf_dir):
+    """D-09: lanes that are paid, free, and without a number for their cost."""
+    of = F.get(F.array(*map(F.lit, ("EMPTY", "THIN", "GOOD", "ERROR"))), (F.col("turn") % 4).cast("int"))
+    lane = F.when(F.col("conv_id") % 3 == 0, "paid_proxy").otherwise("arxiv")
+    cost = F.when(F.col("conv_id") % 3 == 2, "free").otherwise("0")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", queries.may_retry(of, lane, cost, ["paid_proxy"]).alias("retry"))
+
+
 @R.query("SELECT conv_id, turn, text || ' failure OR problem OR criticism OR limitation OR bug' AS query FROM conversations WHERE role = 'user'")
 def counter_queries(spark, sf_dir):
     return _users(spark, sf_dir).select("conv_id", "turn", queries.counter_query(F.col("text")).alias("query"))
 
 
-@R.query()
+_WORDISH = "len(regexp_extract_all({x}, '[A-Za-z0-9]+'))"
+_VERB = "(?i)(?:^|[^\\pL\\pN_])(is|are|was|were|has|have|had|will|would|can|could|did|does|released|announced|launched|reported|confirmed|said|found|showed|shipped|reached|reach|grew|fell|rose|declined|increased|decreased)(?:$|[^\\pL\\pN_])"
+_HEDGE = "(?i)(?:^|[^\\pL\\pN_])(probably|i think|likely|seems|might)(?:$|[^\\pL\\pN_])"
+_SOURCE = "(?i)https?://[^\\s<>()\\]]+|\"[^\"]{6,}\"|“[^”]{6,}”|''[^'']{6,}''|‘[^’]{6,}’"
+_BARE = f"({_WORDISH.format(x='c')} >= 4 AND (regexp_matches(c, '{_VERB}') OR regexp_matches(c, '\\d')) AND NOT regexp_matches(c, '{_SOURCE}'))"
+_SAID = "CASE turn % 3 WHEN 0 THEN '# ' || text WHEN 1 THEN text || chr(10) || 'It probably was found in 2020. See \"a quoted source\" of 12 words. Nothing here:' ELSE replace(text, ' la ', ' is ') END"
+
+
+@R.query(f"""WITH t AS (SELECT conv_id, turn, {_SAID} AS text FROM conversations), l AS (SELECT conv_id, turn, text, list_transform(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: {{'line': x, 's': trim(x)}}) AS ls FROM t),
+ k AS (SELECT conv_id, turn, text, list_transform(ls, lambda x: {{'line': x.line, 'skip': x.s = '' OR starts_with(x.s, '#') OR starts_with(x.s, '```') OR starts_with(x.s, '|') OR (ends_with(x.s, ':') AND {_WORDISH.format(x='x.s')} <= 8),
+   'cs': list_filter(list_transform(string_split(regexp_replace(x.line, '([.!?])\\s+([A-Z0-9"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda c: trim(c)), lambda c: c <> '')}}) AS ls FROM l),
+ j AS (SELECT conv_id, turn, text, list_transform(ls, lambda x: {{'line': x.line, 'skip': x.skip, 'cs': list_transform(x.cs, lambda c: {{'c': c, 'why': CASE WHEN {_BARE} THEN CASE WHEN regexp_matches(c, '{_HEDGE}') THEN 'hedging_without_source+missing_source' ELSE 'missing_source' END ELSE '' END}})}}) AS ls FROM k),
+ f AS (SELECT conv_id, turn, text, list_transform(ls, lambda x: CASE WHEN x.skip THEN x.line ELSE nullif(array_to_string(list_transform(list_filter(x.cs, lambda c: c.why = ''), lambda c: c.c), ' '), '') END) AS kept,
+   flatten(list_transform(ls, lambda x: CASE WHEN x.skip THEN [] ELSE list_transform(list_filter(x.cs, lambda c: c.why <> ''), lambda c: c.why || ': ' || CASE WHEN length({SQL_SQUASH.format(x='c.c')}) <= 160 THEN {SQL_SQUASH.format(x='c.c')} ELSE rtrim(left({SQL_SQUASH.format(x='c.c')}, 157)) || '...' END) END)) AS flags FROM j)
+ SELECT conv_id, turn, CASE WHEN len(flags) = 0 THEN text ELSE regexp_replace(array_to_string(list_filter(kept, lambda x: x IS NOT NULL), chr(10)), '^\\s+|\\s+$', '', 'g') END AS text, CAST(len(flags) AS INT) AS dropped, array_to_string(flags, chr(10)) AS flags FROM f""")
 def claim_gate(spark, sf_dir):
-    """Sentences are parted by lookaround; goldens in the tests."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """The turns, with headings, hedged and quoted sentences among them."""
+    t, n = F.col("text"), F.col("turn") % 3
+    said = F.when(n == 0, F.concat(F.lit("# "), t)).when(n == 1, F.concat(t, F.lit('\nIt probably was found in 2020. See "a quoted source" of 12 words. Nothing here:'))).otherwise(F.replace(t, F.lit(" la "), F.lit(" is ")))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("text"))
     return c.select("conv_id", "turn", gates.gate_claims(F.col("text")).alias("g")).select("conv_id", "turn", "g.text", "g.dropped", F.array_join("g.flags", "\n").alias("flags"))
 
 
@@ -132,31 +185,130 @@ def claim_gate_lines(spark, sf_dir):
     return lines.select("doc_id", "pos", gates.claim_reasons(F.col("line")).alias("reasons"))
 
 
-@R.query("""WITH s AS (SELECT conv_id, turn, lower(trim(text)) AS t FROM conversations WHERE trim(text) <> ''),
+_SPOKEN = "CASE conv_id % 3 WHEN 0 THEN text ELSE CASE turn % 4 WHEN 1 THEN 'Nothing found. ' || text WHEN 2 THEN text || ' The DOI is 10.1' ELSE text END END"
+
+
+@R.query(f"""WITH s AS (SELECT conv_id, turn, lower(trim({_SPOKEN})) AS t FROM conversations),
  m AS (SELECT conv_id, turn, contains(t, 'no study') OR contains(t, 'does not exist') OR contains(t, 'doesn''t exist') OR contains(t, 'not found') OR contains(t, 'nothing found') OR contains(t, 'measurement vacuum') OR contains(t, 'couldn''t find') AS no,
-   contains(t, 'arxiv') OR contains(t, 'doi') OR contains(t, 'paper') OR contains(t, 'study') OR contains(t, 'comparison') OR contains(t, 'vs') OR contains(t, '0.') AS yes FROM s),
+   contains(t, 'arxiv') OR contains(t, 'doi') OR contains(t, 'paper') OR contains(t, 'study') OR contains(t, 'comparison') OR contains(t, 'vs') OR contains(t, '0.') AS yes FROM s WHERE t <> ''),
  g AS (SELECT conv_id, min(turn) FILTER (no) AS denies, min(turn) FILTER (yes) AS affirms, count(*) AS n FROM m GROUP BY conv_id) SELECT conv_id, denies, affirms FROM g WHERE n > 1 AND denies <> affirms""")
 def disagreement_pairs(spark, sf_dir):
-    return gates.disagreements(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    """Two of three conversations have turns that deny and affirm."""
+    t, n = F.col("text"), F.col("turn") % 4
+    said = F.when(F.col("conv_id") % 3 == 0, t).when(n == 1, F.concat(F.lit("Nothing found. "), t)).when(n == 2, F.concat(t, F.lit(" The DOI is 10.1"))).otherwise(t)
+    return gates.disagreements(table(spark, sf_dir, "conversations").withColumn("text", said), "conv_id", "turn", "text")
 
 
 _SIM = "list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g'), ' '), lambda t: length(t) > 2 AND t NOT IN ('the','and','for','with','from','that','this'))))"
+_RATIO = "CASE WHEN least(len({x}), len({y})) = 0 THEN 0 WHEN len(list_intersect({x}, {y})) = least(len({x}), len({y})) THEN len(list_intersect({x}, {y})) / greatest(len({x}), len({y})) ELSE len(list_intersect({x}, {y})) / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END"
 
 
-@R.query(f"""WITH q AS (SELECT conv_id, turn, {_SIM} AS t FROM conversations), p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, a.t AS x, b.t AS y, len(list_intersect(a.t, b.t)) AS n FROM q a JOIN q b ON a.conv_id = b.conv_id AND a.turn < b.turn)
- SELECT conv_id, a, b, round(CASE WHEN least(len(x), len(y)) = 0 THEN 0 WHEN n = least(len(x), len(y)) THEN n / greatest(len(x), len(y)) ELSE n / (len(x) + len(y) - n) END, 9)::DOUBLE AS similarity FROM p""")
+@R.query(f"""WITH q AS (SELECT conv_id, turn, {_SIM} AS t FROM conversations), p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, {_RATIO.format(x='a.t', y='b.t')} AS similarity FROM q a JOIN q b ON a.conv_id = b.conv_id AND a.turn < b.turn)
+ SELECT conv_id, a, b, round(similarity, 9)::DOUBLE AS similarity FROM p WHERE similarity >= 0.2""")
 def question_jaccard(spark, sf_dir):
-    """Turns of one conversation, pairwise."""
-    q = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.similarity_tokens(F.col("text")).alias("t"))
-    a, b = q.alias("a"), q.alias("b")
-    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn")))
-    return pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("a"), F.col("b.turn").alias("b"), F.round(text.similarity(F.col("a.t"), F.col("b.t")), 9).alias("similarity"))
+    """Turns of one conversation that are alike to a fifth or more."""
+    return gaps.similar_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.2).withColumn("similarity", F.round("similarity", 9))
 
 
-@R.query()
+@R.query(f"""WITH q AS (SELECT conv_id, list(struct_pack(q := text, t := {_SIM}) ORDER BY turn) AS qs FROM conversations GROUP BY conv_id)
+ SELECT conv_id, array_to_string(list_transform(list_reduce(qs, lambda kept, q: CASE WHEN len(list_filter(kept, lambda k: {_RATIO.format(x='k.t', y='q.t')} >= 0.2)) > 0 THEN kept ELSE list_append(kept, q) END, []::STRUCT(q VARCHAR, t VARCHAR[])[]), lambda k: k.q), chr(10)) AS kept FROM q""")
 def question_dedupe_greedy(spark, sf_dir):
-    """What is kept depends on the order; held against a plain loop in the tests."""
-    from ..operators import gaps
+    q = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("q"))
+    return q.select("conv_id", F.array_join(gaps.dedupe_questions(F.transform("q", lambda x: x["text"]), least=0.2), "\n").alias("kept"))
+
+
+_FAILED = "CASE turn % 5 WHEN 0 THEN 'Error: ' || text WHEN 1 THEN '  ' WHEN 2 THEN text || ' No response received.' WHEN 3 THEN 'The study failed. ' || text ELSE text END"
+
+
+@R.query(f"SELECT conv_id, turn, trim(x) = '' OR contains(lower(x), 'error:') OR contains(lower(x), 'timeout waiting for response') OR contains(lower(x), 'authentication failed') OR contains(lower(x), 'invalid_grant') OR contains(lower(x), 'no response received') AS failed FROM (SELECT conv_id, turn, {_FAILED} AS x FROM conversations)")
+def failed_runs(spark, sf_dir):
+    """G-22."""
+    t, n = F.col("text"), F.col("turn") % 5
+    x = F.when(n == 0, F.concat(F.lit("Error: "), t)).when(n == 1, "  ").when(n == 2, F.concat(t, F.lit(" No response received."))).when(n == 3, F.concat(F.lit("The study failed. "), t)).otherwise(t)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.failed_run(x).alias("failed"))
+
+
+_PHRASE = "CASE turn % 4 WHEN 0 THEN lower(left(text, 14)) WHEN 1 THEN 'the Cat of paris' WHEN 2 THEN 'latest cat news' ELSE 'c++ and re-use' END"
+_PLAINWORDS = "list_filter(regexp_extract_all(lower(x), '[a-z0-9]+'), lambda t: t NOT IN ('a', 'an', 'and', 'for', 'of', 'the', 'to', 'with'))"
+
+
+@R.query(f"WITH p AS (SELECT conv_id, turn, {_PHRASE} AS x FROM conversations), w AS (SELECT *, {_PLAINWORDS} AS ws FROM p) SELECT conv_id, turn, len(ws) BETWEEN 1 AND 4 AND x = lower(x) AND NOT regexp_matches(x, '\\d') AND NOT coalesce(ws[1] IN ('what', 'why', 'how', 'when', 'where', 'who', 'which', 'compare', 'latest'), false) AND conv_id % 3 < 2 AS ambiguous FROM w")
+def ambiguous_phrases(spark, sf_dir):
+    """G-13: short beginnings of turns and some phrases; the sources are of none, one or two families."""
+    t, n = F.col("text"), F.col("turn") % 4
+    x = F.when(n == 0, F.lower(F.left(t, F.lit(14)))).when(n == 1, "the Cat of paris").when(n == 2, "latest cat news").otherwise("c++ and re-use")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", evidence.ambiguous_phrase(x, F.col("conv_id") % 3).alias("ambiguous"))
+
+
+_SENTENCE = f"left(trim(regexp_extract({SQL_SQUASH.format(x='{x}')}, '^(?:.*?[.!?](?: |$)|.*$)')), 280)"
+_TERMS = "list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{3,}}'), lambda t: t NOT IN ('" + "', '".join(text.QUERY_STOPWORDS) + "'))"
+_FITS = "({s} <> '' AND (len(terms) = 0 OR len(list_filter(terms, lambda t: contains(lower({s}), t))) >= CASE WHEN len(terms) = 1 THEN 1 ELSE greatest(2, (len(terms) + 1) // 2) END))"
+
+
+@R.query(f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS xs, left(arg_min(text, turn), 40) AS question, CASE WHEN conv_id % 4 = 0 THEN 'ANSWER: ' || arg_min(text, turn) WHEN conv_id % 4 = 1 THEN 'NOT_FOUND' END AS said FROM conversations GROUP BY conv_id),
+ t AS (SELECT *, {_TERMS.format(x='question')} AS terms, list_transform(xs, lambda x: {_SENTENCE.format(x='x')}) AS ss FROM c)
+ SELECT conv_id, coalesce(CASE WHEN conv_id % 4 = 0 AND {SQL_SQUASH.format(x='xs[1]')} <> '' THEN {_SENTENCE.format(x='xs[1]')} END, list_filter(ss[2:], lambda s: {_FITS.format(s='s')})[1], list_filter(ss, lambda s: {_FITS.format(s='s')})[1], '') AS answer FROM t""")
+def heuristic_answers(spark, sf_dir):
+    """G-09: the first turn's beginning is the question, the later turns are snippets, all turns texts; some backends answer."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("xs"))
+    first = F.get("xs", F.lit(0))
+    said = F.when(F.col("conv_id") % 4 == 0, F.array(F.concat(F.lit("ANSWER: "), first))).when(F.col("conv_id") % 4 == 1, F.array(F.lit("NOT_FOUND"))).otherwise(F.array().cast("array<string>"))
+    return c.select("conv_id", evidence.heuristic_answer(said, F.slice("xs", F.lit(2), F.size("xs")), F.col("xs"), F.left(first, F.lit(40))).alias("answer"))
+
+
+@R.query(f"""WITH t AS (SELECT conv_id, turn, {_TERMS.format(x='text')} AS terms, lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS hay FROM conversations)
+ SELECT conv_id, turn, CAST(len(terms) AS INT) AS terms, CAST(CASE WHEN len(terms) = 0 THEN 0 WHEN len(terms) = 1 THEN 1 ELSE greatest(2, (len(terms) + 1) // 2) END AS INT) AS least, CAST(len(list_filter(terms, lambda t: contains(hay, t))) AS INT) AS matches FROM t WHERE hay IS NOT NULL""")
+def query_term_matches(spark, sf_dir):
+    """E-18: the terms of a turn in the next one."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.query_terms(F.col("text")).alias("t"), F.lower(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("hay")).filter("hay is not null")
+    return c.select("conv_id", "turn", F.size("t").alias("terms"), text.min_matches(F.col("t")).alias("least"), text.term_matches(F.col("hay"), F.col("t")).alias("matches"))
+
+
+_BACK = "'Note. ANSWER: ' || CASE WHEN turn % 5 = 0 THEN 'not_found' ELSE text END || chr(10) || 'SOURCES: https://a.org/' || turn || '), https://b.org/x. https://a.org/' || turn"
+
+
+@R.query(f"SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN '' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS answer, 'https://a.org/' || turn || ' https://b.org/x' AS urls FROM conversations")
+def backend_outputs(spark, sf_dir):
+    """G-25."""
+    x = F.concat(F.lit("Note. ANSWER: "), F.when(F.col("turn") % 5 == 0, "not_found").otherwise(F.col("text")), F.lit("\nSOURCES: https://a.org/"), F.col("turn"), F.lit("), https://b.org/x. https://a.org/"), F.col("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.backend_output(x).alias("b")).select("conv_id", "turn", "b.answer", F.array_join("b.urls", " ").alias("urls"))
+
+
+_TRIED = f"{SQL_SQUASH.format(x='text')}"
+
+
+@R.query(f"WITH w AS (SELECT conv_id, turn, left({_TRIED}, 300) AS q, list(left({_TRIED}, 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tried FROM conversations) SELECT conv_id, turn, CASE WHEN q <> '' AND NOT coalesce(list_contains(tried, q), false) THEN q END AS query FROM w")
+def reformulations(spark, sf_dir):
+    """N-19: each turn as a new query after those before it."""
+    from pyspark.sql import Window
+
+    before = F.collect_list(F.left(text.squash(F.col("text")), F.lit(300))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", before.alias("tried"))
+    return c.select("conv_id", "turn", gates.reformulation(F.col("text"), F.col("tried")).alias("query"))
+
+
+@R.query(f"WITH r AS (SELECT conv_id, '- ' || role || ': ' || left({SQL_SQUASH.format(x='text')}, 20) AS line, turn FROM conversations) SELECT conv_id, '## Turns' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS report FROM r GROUP BY conv_id")
+def conversation_reports(spark, sf_dir):
+    """B-08."""
+    rows = table(spark, sf_dir, "conversations")
+    return rollups.report(rows, "conv_id", "Turns", "turn", F.concat_ws(": ", F.col("role"), F.left(text.squash(F.col("text")), F.lit(20))))
+
+
+@R.query("""WITH u AS (SELECT conv_id, count(*) AS calls, CAST(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS prompt_chars, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END) AS BIGINT) AS output_chars FROM conversations GROUP BY conv_id)
+ SELECT *, CAST(CASE WHEN prompt_chars = 0 THEN 0 ELSE greatest(1, round_even(prompt_chars / 4.0, 0)) END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN output_chars = 0 THEN 0 ELSE greatest(1, round_even(output_chars / 4.0, 0)) END AS BIGINT) AS output_tokens FROM u""")
+def checker_usage(spark, sf_dir):
+    """H-10."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("role") == "user", F.col("text")).alias("p"), F.when(F.col("role") != "user", F.col("text")).alias("o"))
+    return rollups.checker_usage(c, "conv_id", "p", "o")
+
 
-    q = _users(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("q"))
-    return q.select("conv_id", F.array_join(gaps.dedupe_questions(F.transform("q", lambda x: x["text"]), 8), "\n").alias("kept"))
+@R.query("""SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'q-' || conv_id WHEN 2 THEN 'q-' || conv_id WHEN 4 THEN 'q-' || conv_id WHEN 6 THEN 'q-' || conv_id WHEN 3 THEN 'a b ' || conv_id WHEN 5 THEN 'site:x y' WHEN 7 THEN 'two words' END AS query FROM conversations""")
+def request_queries(spark, sf_dir):
+    """D-11: queries in JSON bodies, form bodies, addresses and paths, with and without a prefix, and requests without any."""
+    i, n = F.col("conv_id").cast("string"), F.col("turn") % 8
+    q = F.concat(F.lit("q-"), i)
+    url = F.when(n == 0, F.lit("http://x.org/s")).when(n == 2, F.lit("http://x.org/s?a=1")).when(n == 4, F.concat(F.lit("http://x.org/s?a=1&q="), q)).when(n == 6, F.concat(F.lit("http://x.org/s?search_query="), q, F.lit("&x=2"))).when(n == 3, F.concat(F.lit("http://x.org/a%20b%20"), i, F.lit("/"))).when(n == 5, "http://x.org/?keyword=site:x+y").when(n == 7, "http://x.org/?q=ask:+two%20words").otherwise("http://x.org/plain")
+    body = F.when(n == 0, F.concat(F.lit('{"query": "'), q, F.lit('"}'))).when(n == 2, F.concat(F.lit("x=1&term="), q))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", queries.request_query(url, body).alias("query"))

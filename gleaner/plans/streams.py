@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import streams
+from .calls import SQL_BREAKER, SQL_CACHE
 from .registry import Registry
 
 R = Registry()
@@ -38,3 +39,25 @@ def stream_session(spark, sf_dir):
 @R.query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     return streams.run(streams.first_seen(_stream(spark, sf_dir).select("user_id", "event_type"), "user_id", "event_type"), "seen")
+
+
+@R.query(f"WITH {SQL_CACHE} SELECT event_id, user_id, hit FROM h")
+def stream_cache(spark, sf_dir):
+    """L-03, L-04, L-09 as state that ends: six hours from the last request of a user."""
+    out = streams.run(streams.cache(_stream(spark, sf_dir), "ts", "event_id", "10 minutes", "user_id", 6 * 3600), "cache")
+    return out.select(F.col("event").alias("event_id"), "user_id", "hit")
+
+
+@R.query(f"WITH {SQL_BREAKER} SELECT event_id, user_id, failures, open FROM c")
+def stream_breaker(spark, sf_dir):
+    """L-05 as state."""
+    log = _stream(spark, sf_dir).withColumn("ok", F.expr("event_type <> 'error'"))
+    out = streams.run(streams.breaker(log, "ts", "event_id", "10 minutes", "user_id", "ok", 3, 100 * 3600), "breaker")
+    return out.select(F.col("event").alias("event_id"), "user_id", "failures", "open")
+
+
+@R.query()
+def stream_leases(spark, sf_dir):
+    """L-08 as state; a walk that SQL cannot take, held against a plain loop in the tests."""
+    out = streams.run(streams.leases(_stream(spark, sf_dir), "ts", "event_id", "10 minutes", "user_id", 2, 12 * 3600), "leases")
+    return out.select(F.col("event").alias("event_id"), "user_id", "granted")
