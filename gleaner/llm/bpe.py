@@ -10,8 +10,9 @@ before the merges that finish the two tokens.
 
 Texts are cut by the vocabulary's pattern, each match is encoded by itself
 (a match that is a token is that token), and special tokens have no meaning.
-Null and empty texts give no tokens.  The input's other columns stay as they are,
-but for one that has the name of the added column: that one is replaced.
+Null and empty texts give no tokens, repeated rows theirs again, and an empty
+table an empty one.  The input's other columns stay as they are, but for one that
+has the name of the added column: that one is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,18 @@ from ..shipping import ship
 from .workspace import extended
 
 #: Pieces, prefixes and token pairs that a worker remembers of each before it
-#: starts anew, and the length of the prefixes.
+#: forgets the older half, and the length of the prefixes.
 REMEMBERED, KNOWN_BYTES = 200_000, 32
 
 _FAR = 1 << 62
 
 
+def _halve(known: dict) -> None:
+    """Forget the older half."""
+    for key in list(islice(known, len(known) // 2)):
+        del known[key]
+
+
 class Vocabulary:
     """Ranks of byte strings, and what follows from them about pairs."""
 
@@ -122,7 +130,7 @@ class Vocabulary:
                     known = follows.get(key)
                     if known is None:
                         if len(follows) >= REMEMBERED:
-                            follows.clear()
+                            _halve(follows)
                         known = follows[key] = self._may_follow(last[j], token)
                     if not known:
                         continue
@@ -142,7 +150,7 @@ class Vocabulary:
             if token is None:
                 self.extend(data, last, i)
                 if len(known) >= REMEMBERED:
-                    known.clear()
+                    _halve(known)
                 known[data[:i]] = last[i]
             else:
                 last.append(token)
@@ -206,7 +214,7 @@ class Encoder:
         class Known(dict):
             def __missing__(self, piece: str) -> bytes:
                 if len(self) >= REMEMBERED:
-                    self.clear()
+                    _halve(self)
                 ids = self[piece] = np.array(vocabulary.piece(piece.encode()), "<u4").tobytes()
                 return ids
 

@@ -333,16 +333,66 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, 0) is None
 
 
-def test_tiles_against_brute_force():
+def runs_of(item, doc, least):
+    items = decontaminate.Items([1], [" ".join(item)], least)
+    data = np.frombuffer(" ".join(doc).encode(), np.uint8)
+    w = kernel.words(kernel.Chunk(0, 1, data, np.array([0, len(data)])))
+    if len(w.hash) < least or not len(items.hash):
+        return [np.zeros(0, np.int64)] * 4
+    h, _ = kernel.grams(w, least)
+    left, right = np.searchsorted(items.hash, h, "left"), np.searchsorted(items.hash, h, "right")
+    some = np.flatnonzero(right > left)
+    return decontaminate.matches(items, some, left[some], right[some]) if len(some) else [np.zeros(0, np.int64)] * 4
+
+
+@pytest.mark.parametrize("size", [3, 1_000_000])
+def test_tiles_against_brute_force(monkeypatch, size):
+    """Covered words and tiles, whatever the slices in which seeds are expanded."""
+    monkeypatch.setattr(decontaminate, "SLICE", size)
     rng = random.Random(6)
-    for _ in range(60):
-        item = [rng.randrange(4) for _ in range(rng.randint(3, 25))]
-        doc = [rng.randrange(4) for _ in range(rng.randint(0, 40))]
-        seeds = [(i, j) for i in range(len(item) - 2) for j in range(len(doc) - 2) if item[i : i + 3] == doc[j : j + 3]]
-        i, j = (np.array([s[k] for s in seeds], np.int64) for k in (0, 1))
-        covered, n = decontaminate.tile(np.array(item), np.array(doc), i, j, 3)
-        want, _ = tiles(item, doc, 3)
-        assert covered == want or abs(covered - want) <= 3
+    for _ in range(80):
+        item = [rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(3, 25))]
+        doc = [rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 40))]
+        _, i, j, n = runs_of(item, doc, 3)
+        assert decontaminate.tile(item, doc, i, j, n + 2, 3) == tiles(item, doc, 3)
+
+
+def test_tiles_of_repetitive_texts(spark):
+    """As many matches as diagonals, not as many as pairs of places."""
+    df = spark.createDataFrame([(1, "a b " * 40_000), (2, "a b " * 4 + "c")], DOCS)
+    benchmark = spark.createDataFrame([(7, "a b " * 300)], "item_id long, text string")
+    started = time.time()
+    got = {r.doc_id: r.contamination for r in decontaminate.measure(df, benchmark).collect()}
+    assert got[1].coverage == 1.0 and got[1].contaminated and got[2].coverage == 8 / 600
+    assert time.time() - started < 120
+
+
+def test_tiles_compare_words():
+    """A match that only its hashes make is no tile."""
+    assert decontaminate.tile(list("abcdef"), list("abxdef"), np.array([0]), np.array([0]), np.array([6]), 3) == (3, 1)
+
+
+def test_decontamination_against_brute_force(spark, prose):
+    rng = random.Random(12)
+    bench = [(i, prose(700 + i, 25)) for i in range(6)] + [(9, "too short"), (8, None)]
+    docs = []
+    for d in range(40):
+        words_ = []
+        for _ in range(rng.randint(0, 5)):
+            i = rng.randrange(6)
+            w = bench[i][1].split()
+            a = rng.randint(0, 15)
+            words_ += w[a : a + rng.randint(3, 20)] if rng.random() < 0.6 else prose(900 + d, 12).split()
+        docs.append((d, " ".join(words_)))
+    got = {r.doc_id: tuple(r.contamination) for r in decontaminate.measure(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for d, t in docs:
+        best = (None, 0.0, 0)
+        for i, item in bench:
+            if item and len(words(item)) >= 5:
+                covered, n = tiles(words(item), words(t), 5)
+                if covered and covered / len(words(item)) > best[1]:
+                    best = (i, covered / len(words(item)), n)
+        assert got[d] == (best[0], pytest.approx(best[1]), best[2], best[1] >= 0.5)
 
 
 def test_decontamination(spark, prose):
