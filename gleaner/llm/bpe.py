@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,9 +33,9 @@ from pyspark.sql import types as T
 from ..shipping import ship
 from .workspace import extended
 
-#: Pieces, prefixes and token pairs that a worker remembers of each before it
-#: forgets the older half, and the length of the prefixes.
-REMEMBERED, KNOWN_BYTES = 200_000, 32
+#: Pieces and token pairs that a worker remembers (some 250 and 100 bytes each)
+#: before it forgets the older half.
+PIECES, PAIRS = 800_000, 400_000
 
 _FAR = 1 << 62
 
@@ -54,11 +55,15 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.longest = max(map(len, ranks))
+        # The longest token that ends with these three bytes: none of more than two bytes ends otherwise.
+        self._reach: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > 2:
+                self._reach[token[-3:]] = max(len(token), self._reach.get(token[-3:], 2))
         self._tree: dict[int, tuple[int, int] | None] = {}
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self._follows: dict[int, bool] = {}
         #: The last token of prefixes met so far; words that begin alike share them.
-        self._ends: dict[bytes, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -119,17 +124,17 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], end: int) -> None:
         """Append the last tokens of the prefixes of ``data`` up to ``end``; last[k] is that of ``data[:k]``."""
-        rank, follows, width = self.ranks.get, self._follows, len(self.bytes)
+        rank, reach, follows, tree, width = self.ranks.get, self._reach.get, self._follows, self._tree, len(self.bytes)
         for i in range(len(last), end + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(max(0, i - reach(data[i - 3 : i], 2)) if i > 2 else 0, i):
                 token = rank(data[j:i])
-                if token is None or (token not in self._tree and self.tree(token) is None) or self._tree[token] is None:
+                if token is None or (token not in tree and self.tree(token) is None) or tree[token] is None:
                     continue
                 if j:
                     key = last[j] * width + token
                     known = follows.get(key)
                     if known is None:
-                        if len(follows) >= REMEMBERED:
+                        if len(follows) >= PAIRS:
                             _halve(follows)
                         known = follows[key] = self._may_follow(last[j], token)
                     if not known:
@@ -144,16 +149,7 @@ class Vocabulary:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        last, known = [-1], self._ends
-        for i in range(1, min(len(data), KNOWN_BYTES) + 1):
-            token = known.get(data[:i])
-            if token is None:
-                self.extend(data, last, i)
-                if len(known) >= REMEMBERED:
-                    _halve(known)
-                known[data[:i]] = last[i]
-            else:
-                last.append(token)
+        last = [-1]
         self.extend(data, last, len(data))
         return self.walk(last)
 
@@ -213,10 +209,11 @@ class Encoder:
 
         class Known(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= REMEMBERED:
+                if len(self) >= PIECES:
                     _halve(self)
-                ids = self[piece] = np.array(vocabulary.piece(piece.encode()), "<u4").tobytes()
-                return ids
+                ids = vocabulary.piece(piece.encode())
+                packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                return packed
 
         known = Known()
         self.known = known.__getitem__
