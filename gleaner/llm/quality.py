@@ -6,28 +6,34 @@ document a log importance weight: the sum over its n-grams of the log ratio of
 their probabilities.  Gumbel top-k turns the weights into a sample without
 replacement: the k documents with the largest weight plus Gumbel noise stay.
 
+* The n-grams are words, pairs of neighbouring words and, under one symbol
+  whatever the words, repeats of a word.  Words and pairs have models of their
+  own (``buckets`` and ``pairs`` places of one table).
 * Target text is taken from at most ``LABELS`` labelled documents (by hash of
   their id), whose ids are broadcast; the raw model counts over all documents.  A task folds its documents into at
-  most ``buckets`` rows of counts before they are shuffled, so what is shuffled and
+  most one row of counts a place before they are shuffled, so what is shuffled and
   what reaches the driver (one fixed-size table) do not grow with the corpus.
 * A document's own n-grams are taken out of both models before it is weighed,
   so labelled documents have no advantage over others.
-* The ratio of a bucket is ``(t + c) / (r T / R + c)`` for counts t of T target
-  and r of R raw n-grams; its log is moved towards 0 by ``margin`` standard
-  errors and ``DEAD``, so rare and ordinary n-grams say nothing.
+* The ratio of a place is ``(t + c) / (r T / R + c)`` for counts t of T target
+  and r of R raw n-grams.  Its log is moved towards 0 by ``MARGIN`` standard
+  errors and ``DEAD``, so rare and ordinary n-grams say nothing.  Plain log ratios
+  do not give right results here: the many rare words of a long document outweigh
+  the few that tell it is toxic (the README has the figures).
 * The ratios are centred on their median over target text.  Otherwise each
   ordinary word would add the same small amount (what odd words take away from
   the raw model) and long documents would win for their length.
-* k is the number of documents whose keys reach the key that ``recall`` of the
-  labelled good documents reach, unless ``keep`` gives a share of documents.
+* k is given as a share of the documents (``keep``), or it is the number of
+  documents whose keys reach the key that ``recall`` of the labelled good documents reach.
 * The k-th largest key is found by counting: four rounds, each a histogram of
   16 further bits of the sortable key, so no sort and no task sees all rows.
   The noise is a hash of doc_id and ``seed``; rows that tie with the k-th stay.
 
 Defined results: null and empty texts have weight 0; null doc_id counts as -1
-for the noise; without labelled good documents all weights are 0 and all rows
+for the noise; rows that repeat count again; without labelled good documents all weights are 0 and all rows
 stay, and an empty table gives an empty one.  Labels with a null doc_id, quality or toxic value are skipped;
-if labels of a document contradict each other it is not target text.
+if labels of a document contradict each other it is not target text.  The
+input's other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,47 +50,54 @@ from ..shipping import ship
 from . import kernel
 from .workspace import Workspace, extended
 
-BUCKETS, SMOOTHING, MARGIN, DEAD, RECALL, LABELS, SEED = 1 << 20, 0.5, 4.0, 0.25, 0.98, 1_000_000, 7
+BUCKETS, PAIRS, SMOOTHING, RECALL, LABELS, SEED = 1 << 21, 1 << 20, 0.5, 0.98, 1_000_000, 7
+#: Of words and of pairs: standard errors, and the part of a ratio that says nothing.
+MARGIN, DEAD = np.array([4.0, 8.0]), np.array([0.25, 1.0])
 _ID = np.uint64(0x2545F4914F6CDD1D)
 
 
-def features(c: kernel.Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, count) of a chunk's hashed n-grams, sorted by document.
+def features(c: kernel.Chunk, buckets: int = BUCKETS, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, count) of a chunk's hashed n-grams, sorted by document.
 
-    The n-grams are the single words (case kept; n of one word in a document
-    count as 1 + floor(log2 n), or one babbling document would make its words
-    rare in target text) and, under one symbol whatever the words, repeats of a word that are the third
-    of five pairs or more (``a a a a``, ``a a b b c c``), which all count.
+    Words (case kept) have the places below ``buckets`` but for the last, which is
+    that of repeats: words like the one before them that are the third of five
+    such pairs or more (``a a a a``, ``a a b b c c``); pairs of words have the
+    places from ``buckets`` on.  n of one word or pair in a document count as
+    1 + floor(log2 n), or one babbling document would make its words rare in
+    target text; repeats all count.
     """
     w = kernel.words(c, lower=False)
-    docs = np.repeat(np.arange(c.n), w.per_doc)
-    keys = []
-    if len(w.hash):
-        keys.append(docs * buckets + (w.hash % np.uint64(buckets - 1)).astype(np.int64))
-        again = np.zeros(len(docs) + 4, dtype=np.int8)
-        again[5:] = (w.hash[1:] == w.hash[:-1]) & (docs[1:] == docs[:-1])
-        again = np.flatnonzero((again[4:] > 0) & (again[4:] + again[3:-1] + again[2:-2] + again[1:-3] + again[:-4] >= 3))
-        keys.append(docs[again] * buckets + buckets - 1)
-    if not keys:
+    if not len(w.hash):
         zero = np.zeros(0, np.int64)
         return zero, zero, zero
+    size = buckets + pairs
+    docs = np.repeat(np.arange(c.n), w.per_doc)
+    keys = [docs * size + (w.hash % np.uint64(buckets - 1)).astype(np.int64)]
+    same = docs[1:] == docs[:-1]
+    with np.errstate(over="ignore"):
+        both = kernel.mix(w.hash[:-1] * kernel._GRAM + w.hash[1:])[same]
+    keys.append(docs[:-1][same] * size + buckets + (both % np.uint64(pairs)).astype(np.int64))
+    again = np.zeros(len(docs) + 4, dtype=np.int8)
+    again[5:] = (w.hash[1:] == w.hash[:-1]) & same
+    again = np.flatnonzero((again[4:] > 0) & (again[4:] + again[3:-1] + again[2:-2] + again[1:-3] + again[:-4] >= 3))
+    keys.append(docs[again] * size + buckets - 1)
     key, count = np.unique(np.concatenate(keys), return_counts=True)
-    bucket = key % buckets
-    return key // buckets, bucket, np.where(bucket == buckets - 1, count, np.frexp(count)[1])
+    place = key % size
+    return key // size, place, np.where(place == buckets - 1, count, np.frexp(count)[1])
 
 
-def _counts(buckets: int, shared):
-    """(id, text) to (bucket, target, raw): one row per bucket that a task has met."""
+def _counts(buckets: int, pairs: int, shared):
+    """(id, text) to (bucket, target, raw): one row per place that a task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target = np.zeros(buckets + pairs, np.int64), np.zeros(buckets + pairs, np.int64)
         for batch in batches:
             good = among(batch.column(0), shared.value)
             for c in kernel.chunks(batch.column(1)):
-                d, b, n = features(c, buckets)
-                raw += np.bincount(b, n, buckets).astype(np.int64)
+                d, b, n = features(c, buckets, pairs)
+                np.add.at(raw, b, n)
                 chosen = good[c.first + d]
-                target += np.bincount(b[chosen], n[chosen], buckets).astype(np.int64)
+                np.add.at(target, b[chosen], n[chosen])
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(target[met]), pa.array(raw[met])], ["bucket", "target", "raw"])
 
@@ -92,29 +105,34 @@ def _counts(buckets: int, shared):
 
 
 class Model:
-    def __init__(self, buckets: int, smoothing: float, margin: float, good: np.ndarray, target: np.ndarray, raw: np.ndarray):
-        self.buckets, self.smoothing, self.margin, self.good = buckets, smoothing, margin, good
+    """Counts of the places in target and raw text; words and pairs are two models side by side."""
+
+    def __init__(self, buckets: int, pairs: int, smoothing: float, good: np.ndarray, target: np.ndarray, raw: np.ndarray):
+        self.buckets, self.pairs, self.smoothing, self.good = buckets, pairs, smoothing, good
         self.target, self.raw = target.astype(np.float64), raw.astype(np.float64)
-        self.scale = self.target.sum() / max(1.0, self.raw.sum())
-        self.center = 0.0
-        if self.scale:
-            ratio = np.log((self.target + smoothing) / (self.raw * self.scale + smoothing))
-            order = np.argsort(ratio)
-            self.center = float(ratio[order[np.searchsorted(np.cumsum(self.target[order]), self.target.sum() / 2)]])
-
-    def _sure(self, t: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Centred log ratios, moved towards 0 by ``DEAD`` and ``margin`` standard errors."""
-        ratio = np.log((t + self.smoothing) / (r + self.smoothing)) - self.center
-        slack = DEAD + self.margin * np.sqrt((1 - self.scale) / (r + self.smoothing))
+        self.scale, self.center = np.zeros(2), np.zeros(2)
+        for k, part in enumerate((slice(0, buckets), slice(buckets, buckets + pairs))):
+            t, r = self.target[part], self.raw[part]
+            self.scale[k] = t.sum() / max(1.0, r.sum())
+            if self.scale[k]:
+                ratio = np.log((t + smoothing) / (r * self.scale[k] + smoothing))
+                order = np.argsort(ratio)
+                self.center[k] = ratio[order[np.searchsorted(np.cumsum(t[order]), t.sum() / 2)]]
+
+    def _sure(self, t: np.ndarray, r: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Centred log ratios, moved towards 0 by DEAD and MARGIN standard errors."""
+        ratio = np.log((t + self.smoothing) / (r + self.smoothing)) - self.center[kind]
+        slack = DEAD[kind] + MARGIN[kind] * np.sqrt(np.maximum(1 - self.scale[kind], 0) / (r + self.smoothing))
         return np.sign(ratio) * np.maximum(np.abs(ratio) - slack, 0)
 
     def weights(self, c: kernel.Chunk, good: np.ndarray) -> np.ndarray:
-        d, b, n = features(c, self.buckets)
-        if not self.scale:
+        d, b, n = features(c, self.buckets, self.pairs)
+        if not self.scale[0]:
             return np.zeros(c.n)
+        kind = (b >= self.buckets).astype(np.int64)
         t = self.target[b] - np.where(good[d], n, 0)
-        r = (self.raw[b] - n) * self.scale
-        ratio = self._sure(np.maximum(t, 0), np.maximum(r, 0))
+        r = (self.raw[b] - n) * self.scale[kind]
+        ratio = np.where(self.scale[kind] > 0, self._sure(np.maximum(t, 0), np.maximum(r, 0), kind), 0)
         return np.bincount(d, n * ratio, c.n)
 
 
@@ -148,15 +166,15 @@ def among(ids: pa.Array, good: np.ndarray) -> np.ndarray:
     return known & (good[np.minimum(np.searchsorted(good, ids), len(good) - 1)] == ids)
 
 
-def fit(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS, smoothing: float = SMOOTHING, margin: float = MARGIN) -> Model:
+def fit(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS, pairs: int = PAIRS, smoothing: float = SMOOTHING) -> Model:
     """The two models of ``docs(id, text)``; ``good``: sorted ids of the target text."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.mapInArrow(_counts(buckets, spark.sparkContext.broadcast(good)), "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
-    target, raw = np.zeros(buckets), np.zeros(buckets)
+    rows = docs.mapInArrow(_counts(buckets, pairs, spark.sparkContext.broadcast(good)), "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
+    target, raw = np.zeros(buckets + pairs), np.zeros(buckets + pairs)
     met = rows.column("bucket").to_numpy()
     target[met], raw[met] = rows.column("target").to_numpy(), rows.column("raw").to_numpy()
-    return Model(buckets, smoothing, margin, good, target, raw)
+    return Model(buckets, pairs, smoothing, good, target, raw)
 
 
 def weigh(docs: DataFrame, model: Model, seed: int = SEED, id_col: str = "_id", text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -209,11 +227,11 @@ def limit_of(keys: DataFrame, keep: float | None, recall: float) -> int | None:
     return kth_largest(good, -int(-n * recall // 1)) if n else -(1 << 63)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float | None = None, recall: float = RECALL, buckets: int = BUCKETS, smoothing: float = SMOOTHING, margin: float = MARGIN, seed: int = SEED, most: int = LABELS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float | None = None, recall: float = RECALL, buckets: int = BUCKETS, pairs: int = PAIRS, smoothing: float = SMOOTHING, seed: int = SEED, most: int = LABELS) -> DataFrame:
     """(doc_id, log_weight, sample_key, kept) of every row of ``docs``."""
     ws = Workspace(docs.sparkSession, "quality")
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    model = fit(rows, target_ids(labels, most), buckets, smoothing, margin)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    model = fit(rows, target_ids(labels, most), buckets, pairs, smoothing)
     keys = ws.save(weigh(rows, model, seed).select("_id", "log_weight", "sample_key", "_key", "_good"), "keys")
     limit = limit_of(keys, keep, recall)
     return keys.select(F.col("_id").alias("doc_id"), "log_weight", "sample_key", (F.col("_key") >= F.lit(limit).cast("long") if limit is not None else F.lit(False)).alias("kept"))

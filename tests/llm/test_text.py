@@ -17,6 +17,7 @@ import corpus_pipeline
 from gleaner.llm import bpe, decontaminate, kernel, lm, pii, quality, secrets
 from gleaner.llm.workspace import Workspace
 
+from . import brute
 from .brute import tiles, unigram_counts, words
 
 DOCS = "doc_id long, text string"
@@ -315,6 +316,25 @@ def test_quality(spark, prose):
     assert {r.doc_id for r in quality.keep_good(docs, known).collect()} == {i for i, k in got.items() if k}
 
 
+def test_quality_against_plain_models(spark, prose):
+    """Weights, noise and the chosen documents are those of plain Python."""
+    rng = random.Random(5)
+    rows = [(i, prose(i % 50, 30) + " " + " ".join(rng.choice(["odd", "Odd", "foo", "bar"]) for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    rows += [(900 + i, "same same same same same " + prose(i, 5)) for i in range(10)] + [(None, "no id"), (990, None), (991, ""), (992, "one")]
+    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 150, 2)] + [(3, 1, 0), (3, 0, 0), (None, 1, 0), (5, None, 0)]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    how = {"buckets": 512, "pairs": 256}
+    weights, keys, good = brute.quality(rows, labels, **how)
+    got = {r.doc_id: r for r in quality.classify(docs, known, recall=0.9, **how).collect()}
+    assert {i: r.log_weight for i, r in got.items()} == pytest.approx(weights, abs=1e-6)
+    assert {i: r.sample_key for i, r in got.items()} == pytest.approx(keys, abs=1e-6)
+    limit = sorted((keys[i] for i in good), reverse=True)[math.ceil(0.9 * len(good)) - 1]
+    assert {i for i, r in got.items() if r.kept} == {i for i, k in keys.items() if k >= limit - 1e-9}
+    # A share of the documents: exactly the k largest keys.
+    got = {r.doc_id: r.kept for r in quality.classify(docs, known, keep=0.3, **how).collect()}
+    assert {i for i, k in got.items() if k} == set(sorted(keys, key=keys.get, reverse=True)[: round(0.3 * len(rows))])
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = [(1, None, "a"), (None, "", "b"), (2, "x y", "c"), (2, "x y", "c")]
@@ -322,6 +342,9 @@ def test_quality_edges(spark):
     assert quality.keep_good(df, none).count() == 4
     assert quality.keep_good(df, none).columns == ["doc_id", "text", "_id"]
     assert quality.classify(spark.createDataFrame([], DOCS), none).count() == 0
+    assert quality.keep_good(spark.createDataFrame([], DOCS), none).count() == 0
+    long = spark.createDataFrame([(1, "a b " * 500_000), (2, "c d")], DOCS)
+    assert quality.classify(long, spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")).count() == 2
 
 
 def test_kth_largest(spark):
@@ -421,6 +444,61 @@ def test_pipeline(spark, table, prose):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
 
 
+def test_pipeline_against_plain_stages(spark, table, prose):
+    """All five stages in plain Python, row by row."""
+    tiktoken = pytest.importorskip("tiktoken")
+    rng = random.Random(21)
+    bench = [(i, prose(800 + i, 20)) for i in range(3)]
+    rows = []
+    for i in range(120):
+        text_ = "\n".join(prose(rng.randrange(400), rng.randint(3, 30)) for _ in range(rng.randint(1, 4)))
+        kind = rng.random()
+        if kind < 0.1:
+            text_ += "\n" + bench[rng.randrange(3)][1]
+        elif kind < 0.25 and rows:
+            text_ = rows[rng.randrange(len(rows))][1].replace("the", "THE", 1)
+        elif kind < 0.35:
+            text_ += "\nAll rights reserved by all of us.\nNotice " + str(i) + " of this page was printed today"
+        elif kind < 0.42:
+            text_ = "spam eggs " * 20
+        rows.append((i, text_))
+    rows += [(200, None), (201, ""), (202, " \n\t"), (203, "É ü 😀 " * 3)]
+    labels = [(i, int("spam" not in (t or "")), int(i % 17 == 0)) for i, t in rows if i % 2]
+    folder = table("documents", [(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table("labels", labels, "doc_id long, quality int, toxic int")
+    table("benchmark", bench, "item_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+
+    _, keys, good = brute.quality(rows, labels)
+    limit = sorted((keys[i] for i in good), reverse=True)[math.ceil(0.98 * len(good)) - 1]
+    left = [(i, t) for i, t in rows if keys[i] >= limit]
+    some = re.compile(r"[^\x20\x09-\x0D]")
+    texts = brute.drop_lines(left)
+    left = [(i, texts[i]) for i, t in left if not (t and some.search(t) and not some.search(texts[i]))]
+    groups = brute.groups(left, 80)
+    left = [(i, t) for i, t in left if groups[i][1] == i]
+    clean = [(i, t) for i, t in left if all(tiles(words(x), words(t), 5)[0] < 0.5 * len(words(x)) for _, x in bench)]
+    assert 60 < len(clean) < len(left) < len(rows)
+    path, pattern = bpe.default_vocabulary()
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.Vocabulary.load(path).ranks, special_tokens={})
+    want = {i: (t, coder.encode_ordinary(t or "")) for i, t in clean}
+    assert {i: (r.text, np.frombuffer(bytes(r.ids), "<u4").tolist()) for i, r in got.items()} == want
+    assert all(r.round_trip and r.n_tokens == len(want[i][1]) for i, r in got.items())
+
+
+def test_pipeline_edges(spark, table):
+    """Empty tables, clashing names, a very long text and repeated rows go through all stages."""
+    schema = "doc_id long, text string, ids string, id int, h int, n_tokens string"
+    table("labels", [], "doc_id long, quality int, toxic int")
+    table("benchmark", [], "item_id long, text string")
+    out = corpus_pipeline.run(spark, table("documents", [], schema))
+    assert out.collect() == [] and {"text", "ids", "n_tokens", "round_trip", "id", "h"} <= set(out.columns)
+    long = "many words of a long text go on and on " * 60_000
+    rows = [(1, long, "x", 7, 8, "y"), (2, "short one", "x", 7, 8, "y"), (2, "short one", "x", 7, 8, "y"), (None, "short one", "x", 7, 8, "y")]
+    got = sorted((str(r.doc_id), len(r.text), r.id, r.h) for r in corpus_pipeline.run(spark, table("documents", rows, schema)).collect())
+    assert got == [("1", len(long), 7, 8), ("2", 9, 7, 8), ("2", 9, 7, 8), ("None", 9, 7, 8)]
+
+
 def test_pipeline_drops_lines_of_two_documents(spark, prose):
     shared = prose(77, 60)
     rows = [(1, prose(1, 20) + "\n" + shared, "k", 0), (2, shared + "\n" + prose(2, 21), "k", 0), (3, shared, "k", 0), (4, " \n", "k", 2), (5, None, "k", None), (None, shared, "k", 0)]
