@@ -29,12 +29,20 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(part(url, 2)), "^.*@", ""), ":.*$", "")
 
 
+def form_encoded(x: Column) -> Column:
+    """Form encoding that leaves letters, digits and ``-_.~``; a blank becomes a plus."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _decoded(x: Column) -> Column:
+    return F.coalesce(F.try_url_decode(x), x)
+
+
 def canonical(url: Column) -> Column:
-    """E-01: no fragment, tracking parameters or trailing slashes; scheme and host in lower case; parameters sorted."""
-    pairs = F.filter(F.split(part(url, 4), "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(TRACKING))
-    whole = F.transform(pairs, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
-    ordered = F.array_sort(F.transform(whole, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), F.regexp_replace(p, "^[^=]*=", "").alias("v"))))
-    query = F.replace(F.array_join(F.transform(ordered, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&"), F.lit("%20"), F.lit("+"))
+    """E-01: no fragment, tracking parameters or trailing slashes; scheme and host in lower case; parameters decoded, sorted and encoded alike, with a sign of equality each."""
+    pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), _decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(form_encoded(p["k"]), F.lit("="), form_encoded(p["v"]))), "&")
     scheme, place = F.lower(part(url, 1)), F.lower(part(url, 2))
     return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(place != "", F.concat(F.lit("//"), place)).otherwise(""), F.regexp_replace(part(url, 3), "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
@@ -71,6 +79,22 @@ def doi(url: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+def doi_route(url: Column) -> Column:
+    """A-21: struct of how a DOI is found and by what: in the address itself, by journal, volume, issue and page, by an article number, or by a title in the path; null if nothing leads to one."""
+    path = part(url, 3)
+    journal = F.regexp_extract(path, r"(?i)^/(\d{4}-\d{3}[\dX])/(\d+)/(\d+)/([^/]+)/?$", 0)
+    parts = [F.regexp_extract(path, r"(?i)^/(\d{4}-\d{3}[\dX])/(\d+)/(\d+)/([^/]+)/?$", k) for k in (1, 2, 3, 4)]
+    number = F.regexp_extract(path, r"(?i)S\d{15,17}", 0)
+    title = F.regexp_extract(_decoded(path), r"(?i)/publication/\d+_([^/?#]+)", 1)
+    made = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    return (
+        F.when(doi(_decoded(url)).isNotNull(), made("doi", doi(_decoded(url))))
+        .when(host(url).endswith("mdpi.com") & (journal != ""), made("journal", F.concat_ws(" ", *parts)))
+        .when(number != "", made("number", number))
+        .when(title != "", made("title", F.trim(F.replace(title, F.lit("_"), F.lit(" ")))))
+    )
+
+
 def repository(url: Column) -> Column:
     """E-05: struct of owner, repo and branch of a repository's root or tree; null for anything else."""
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(part(url, 3), "/+$", ""), r"\.git$", ""), "/"), lambda s: s != "")

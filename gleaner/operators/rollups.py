@@ -139,6 +139,20 @@ def newest_entries(entries: DataFrame, ts: str, order: str, keep: int = 500) ->
     return entries.orderBy(F.desc(ts), F.desc(order)).limit(keep)
 
 
+def latest_snapshots(log: DataFrame, url: str, ts: str, status: str, since: str = "2020-01-01") -> DataFrame:
+    """A-20: per address its newest good snapshot since a day."""
+    good = log.filter((F.col(status) == 200) & (F.col(ts) >= F.lit(since).cast("timestamp_ntz")))
+    return good.groupBy(url).agg(F.max(ts).alias("snapshot"))
+
+
+def reapable(now: Column, last_request: Column, locked: Column, last_reap: Column, idle: int = 300, fresh: int = 600) -> Column:
+    """L-07: whether idle helpers may be stopped: the last request is ``idle`` seconds ago, no lock younger than ``fresh`` seconds, and not reaped since that request."""
+    age = lambda x: F.unix_micros(now.cast("timestamp")) - F.unix_micros(x.cast("timestamp"))
+    held = F.coalesce(age(locked) < fresh * 1_000_000, F.lit(False))
+    done = F.coalesce(last_request <= last_reap, F.lit(False))
+    return F.coalesce(age(last_request) >= idle * 1_000_000, F.lit(False)) & ~held & ~done
+
+
 def first_of(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """I-01, L-12: the first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")

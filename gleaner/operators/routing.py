@@ -266,3 +266,15 @@ def newest(df: DataFrame, order: list[Column], n: int, keys: list[str] | None =
     if not keys:
         return df.orderBy(*order).limit(n)
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def rule_errors(rules: DataFrame, lanes: DataFrame, models: list[str]) -> DataFrame:
+    """C-16: (name, error) of rules(name, patterns, lanes, worker_model, topic): required fields that are missing, lists that are empty, lanes and models that nobody knows."""
+    name = F.coalesce("name", F.lit("<unnamed rule>"))
+    gone = [F.when(F.col(c).isNull(), F.lit(f"missing required field '{c}'")) for c in ("name", "patterns", "lanes", "worker_model", "topic")]
+    empty = [F.when(F.size(c) == 0, F.lit(f"empty list '{c}'")) for c in ("patterns", "lanes")]
+    model = F.when(~F.col("worker_model").isin(models), F.concat(F.lit("unknown model "), F.col("worker_model")))
+    own = rules.select(name.alias("name"), F.explode(F.array_compact(F.array(*gone, *empty, model))).alias("error"))
+    asked = rules.select(name.alias("name"), F.explode("lanes").alias("lane"))
+    lost = asked.join(lanes.select("lane").distinct(), "lane", "left_anti").select("name", F.concat(F.lit("unknown lane "), F.col("lane")).alias("error"))
+    return own.unionByName(lost).distinct()

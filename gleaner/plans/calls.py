@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, gaps, queries, rollups, routing
+from ..operators import assembly, gaps, queries, rollups, routing, sessions
 from .registry import Registry, table
 
 R = Registry()
@@ -305,3 +305,50 @@ def protocols(spark, sf_dir):
     """N-17."""
     mode = F.get(F.array(*map(F.lit, ("deep-research", "research", "search", "odd"))), (F.col("event_id") % 4).cast("int"))
     return _events(spark, sf_dir).select("event_id", assembly.protocol(mode).alias("protocol"))
+
+
+@R.query("SELECT user_id, max(ts) AS snapshot FROM events WHERE event_type <> 'error' AND ts >= TIMESTAMP '2024-01-05' GROUP BY user_id")
+def latest_snapshots(spark, sf_dir):
+    """A-20: events as snapshots of users."""
+    log = _events(spark, sf_dir).withColumn("status", F.when(F.expr("event_type = 'error'"), 404).otherwise(200))
+    return rollups.latest_snapshots(log, "user_id", "ts", "status", "2024-01-05")
+
+
+@R.query("""WITH e AS (SELECT event_id, ts, lag(ts) OVER w AS before, lag(ts, 2) OVER w AS older, event_id % 3 = 0 AS locked, event_id % 5 = 0 AS reaped FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+ SELECT event_id, coalesce(epoch_us(ts) - epoch_us(before) >= 300000000, false) AND NOT coalesce(locked AND epoch_us(ts) - epoch_us(older) < 600000000, false) AND NOT coalesce(reaped AND before <= before, false) AS reap FROM e""")
+def reapable(spark, sf_dir):
+    """L-07: at each event of a user the one before is the last request, the one before that a lock's time; a fifth was reaped since."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _events(spark, sf_dir).select("event_id", "ts", F.lag("ts").over(w).alias("before"), F.lag("ts", 2).over(w).alias("older"))
+    return e.select("event_id", rollups.reapable(F.col("ts"), F.col("before"), F.when(F.col("event_id") % 3 == 0, F.col("older")), F.when(F.col("event_id") % 5 == 0, F.col("before"))).alias("reap"))
+
+
+@R.query("SELECT event_id, ['a', 'b', 'c'][1 + (event_id + 4) % 3] AS lane, CASE WHEN event_type = 'error' THEN 'x' ELSE 'y' END AS fallback FROM events")
+def cyclic_lanes(spark, sf_dir):
+    """C-11: a lane for a running number, and the fallback of an empty sequence."""
+    e, spare = _events(spark, sf_dir), F.when(F.expr("event_type = 'error'"), "x").otherwise("y")
+    return e.select("event_id", routing.cyclic_lane(F.col("event_id") + 5, ["a", "b", "c"], spare).alias("lane"), routing.cyclic_lane(F.col("event_id"), [], spare).alias("fallback"))
+
+
+@R.query("SELECT o_orderkey, o_orderkey % 4 = 0 AND o_orderstatus = 'F' AS deleted FROM orders")
+def soft_deleted(spark, sf_dir):
+    """B-03."""
+    o = table(spark, sf_dir, "orders")
+    return sessions.soft_delete(o, o.filter("o_orderkey % 4 = 0 and o_orderstatus = 'F'"), "o_orderkey").select("o_orderkey", "deleted")
+
+
+@R.query("""SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ';') AS lanes, '{"n":' || count(*) || '}' AS totals FROM events GROUP BY user_id""")
+def csv_cells(spark, sf_dir):
+    """B-06: cells as they are written."""
+    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("lanes"), F.struct(F.count("*").alias("n")).alias("totals"))
+    return sessions.to_csv_cells(rows)
+
+
+@R.query("""WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (value > 20)) AS a, list_sort(list(DISTINCT event_type) FILTER (value < 30)) AS b FROM events GROUP BY user_id)
+ SELECT user_id, array_to_string(list_sort(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))), ',') AS less, len(list_intersect(coalesce(a, []), coalesce(b, []))) = len(coalesce(a, [])) AS subset, array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))), ',') AS both FROM s""")
+def lane_sets(spark, sf_dir):
+    """K: difference, subset and union of the lanes of slow and of fast calls."""
+    s = _events(spark, sf_dir).groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 20, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("value") < 30, F.col("event_type"))).alias("b"))
+    return s.select("user_id", F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("less"), (F.size(F.array_except("a", "b")) == 0).alias("subset"), F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("both"))

@@ -342,3 +342,20 @@ def memory_results(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("p").alias("project"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("topic"), F.left("text", F.lit(400)).alias("content"), F.col("doc_id").alias("created_at"), (F.col("doc_id") % 4 == 0).alias("stale"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.left("text", F.lit(200)).alias("question"))
     return payloads.memory_results(d, q).select("question_id", "id", F.round("score", 9).alias("score"))
+
+
+@R.query("SELECT page_id, ['doi', 'journal', 'number', 'title', 'doi', NULL][1 + page_id % 6] AS kind, CASE page_id % 6 WHEN 0 THEN '10.1234/p' || page_id WHEN 1 THEN '2072-666X 9 3 ' || page_id WHEN 2 THEN 'S0123456789012345' WHEN 3 THEN 'A title here' WHEN 4 THEN '10.5555/q' || page_id END AS value FROM pages")
+def doi_routes(spark, sf_dir):
+    """A-21: addresses of all kinds."""
+    i, n = F.col("page_id").cast("string"), F.col("page_id") % 6
+    made = F.when(n == 0, F.concat(F.lit("https://doi.org/10.1234/p"), i, F.lit(")."))).when(n == 1, F.concat(F.lit("https://www.mdpi.com/2072-666X/9/3/"), i)).when(n == 2, "https://x.com/science/article/pii/S0123456789012345").when(n == 3, F.concat(F.lit("https://www.researchgate.net/publication/"), i, F.lit("_A_title%20here"))).when(n == 4, F.concat(F.lit("https://x.org/?d=10.5555%2Fq"), i)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.doi_route(made).alias("d")).select("page_id", "d.kind", "d.value")
+
+
+@R.query("""WITH r AS (SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN 'r' || page_id END AS name FROM pages), n AS (SELECT page_id, coalesce(name, '<unnamed rule>') AS name FROM r)
+ SELECT DISTINCT name, error FROM (SELECT name, 'missing required field ' || chr(39) || 'name' || chr(39) AS error FROM n WHERE page_id % 4 = 0 UNION ALL SELECT name, 'empty list ' || chr(39) || 'patterns' || chr(39) FROM n WHERE page_id % 5 = 0 UNION ALL SELECT name, 'unknown model gpt' FROM n WHERE page_id % 3 = 0 UNION ALL SELECT name, 'unknown lane l' || page_id % 7 FROM n WHERE page_id % 7 > 4 UNION ALL SELECT name, 'missing required field ' || chr(39) || 'topic' || chr(39) FROM n WHERE page_id % 11 = 0)""")
+def rule_errors(spark, sf_dir):
+    """C-16."""
+    i = F.col("page_id")
+    rules = table(spark, sf_dir, "pages").select(F.when(i % 4 != 0, F.concat(F.lit("r"), i)).alias("name"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("p"))).alias("patterns"), F.array(F.concat(F.lit("l"), i % 7)).alias("lanes"), F.when(i % 3 == 0, "gpt").otherwise("haiku").alias("worker_model"), F.when(i % 11 != 0, "code").alias("topic"))
+    return routing.rule_errors(rules, spark.range(5).select(F.concat(F.lit("l"), F.col("id")).alias("lane")), ["haiku"])

@@ -312,3 +312,40 @@ def request_queries(spark, sf_dir):
     url = F.when(n == 0, F.lit("http://x.org/s")).when(n == 2, F.lit("http://x.org/s?a=1")).when(n == 4, F.concat(F.lit("http://x.org/s?a=1&q="), q)).when(n == 6, F.concat(F.lit("http://x.org/s?search_query="), q, F.lit("&x=2"))).when(n == 3, F.concat(F.lit("http://x.org/a%20b%20"), i, F.lit("/"))).when(n == 5, "http://x.org/?keyword=site:x+y").when(n == 7, "http://x.org/?q=ask:+two%20words").otherwise("http://x.org/plain")
     body = F.when(n == 0, F.concat(F.lit('{"query": "'), q, F.lit('"}'))).when(n == 2, F.concat(F.lit("x=1&term="), q))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", queries.request_query(url, body).alias("query"))
+
+
+def _checked(spark, sf_dir):
+    """Answers with a quote, dates, numbers, list numbers and an uncertain section; sources that hold some of them."""
+    c = table(spark, sf_dir, "conversations").filter("turn = 0")
+    plain = F.regexp_replace("text", "[0-9\"“”‘’']", "")
+    answer = F.concat(F.lit('It had 42 looms and "ten long years" of work (3) on June 2, 2021.\n1. It cost $1,200.\nCaveats:\nPerhaps 77 of them.\n## So\n'), F.replace(plain, F.lit(":"), F.lit(";")))
+    body = F.concat(F.lit("the 42  looms, TEN LONG\nyears"), F.when(F.col("conv_id") % 2 == 0, " cost $1,200 on june 2, 2021").otherwise(""))
+    return c.select("conv_id", answer.alias("answer")), c.select("conv_id", body.alias("body"))
+
+
+@R.query("SELECT conv_id, 6 AS checked, CASE WHEN conv_id % 2 = 0 THEN 6 ELSE 3 END AS supported, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'date June 2, 2021; number $1,200; number 2021' END AS unsupported, CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS pass_rate FROM conversations WHERE turn = 0")
+def verbatim_pass_rate(spark, sf_dir):
+    """G-19."""
+    out = gates.verbatim_check(*_checked(spark, sf_dir), "conv_id", "answer", "body")
+    return out.select("conv_id", "checked", "supported", F.array_join(F.transform("unsupported", lambda u: F.concat_ws(" ", u["type"], u["token"])), "; ").alias("unsupported"), "pass_rate")
+
+
+@R.query("SELECT conv_id, conv_id % 2 <> 0 AS flagged, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'June 2, 2021|$1,200|2021' END AS claims, CASE WHEN conv_id % 2 <> 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'm' ELSE 'unknown' END END AS model FROM conversations WHERE turn = 0")
+def audit_flags(spark, sf_dir):
+    """G-20: a third of the answers is one model's."""
+    checked = gates.verbatim_check(*_checked(spark, sf_dir), "conv_id", "answer", "body")
+    models = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.explode(F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("m"), F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("n")))).alias("model"))
+    a = gates.audit(checked, models, "conv_id", "model")
+    return a.select("conv_id", "flagged", F.array_join(F.transform("claims", lambda c: c["claim"]), "|").alias("claims"), F.get("claims", F.lit(0))["model"].alias("model"))
+
+
+_FIRSTS = "[text || ' named examples', text || ' list of examples', text || ' real named cases', text || ' real-world instances', text || ' documented examples', text || ' specific cases with names']"
+
+
+@R.query(f"""WITH q AS (SELECT conv_id, turn, list_concat(['which firms' || turn], {_FIRSTS}) AS direct, text FROM conversations WHERE NOT regexp_matches(text, '["''“”‘’]'))
+ SELECT conv_id, turn, array_to_string(list_concat(direct, [text || ' named examples evidence source 8', text || ' named examples evidence source 9']), '|') AS questions FROM q""")
+def subquestions(spark, sf_dir):
+    """C-10, C-12: one of two candidates is about the question; nine in all."""
+    c = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[\"'“”‘’]"))
+    offered = F.array(F.concat(F.lit("which firms"), F.col("turn")), F.lit("What does it mean"))
+    return c.select("conv_id", "turn", F.array_join(routing.fill_subquestions(F.col("text"), offered, 9), "|").alias("questions"))

@@ -16,10 +16,10 @@ _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> None:
     """Send a zip of the package's modules to the executors, once a context.
 
-    Also bounds what a Python worker holds at once: unless the session asks for
-    something else, Arrow batches have at most ``BATCH_ROWS`` rows.
+    Also bounds what a Python worker holds at once: unless the session has set
+    that itself, Arrow batches have at most ``BATCH_ROWS`` rows.
     """
-    if spark.conf.get(_ROWS, "10000") == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(_ROWS):
         spark.conf.set(_ROWS, str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_gleaner_shipped", False):

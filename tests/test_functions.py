@@ -19,6 +19,8 @@ def value(spark, column, **given):
         ("HTTPS://WWW.Example.com:8080/A/b/?utm_source=x&b=2&a=1#frag", "https://www.example.com:8080/A/b?a=1&b=2"),
         ("http://x.org/", "http://x.org"),
         ("http://x.org/p?flag&ref=1&q=a%20b", "http://x.org/p?flag=&q=a+b"),
+        ("http://x.org/p?b=%7E*&a=%2F%c3%a9&a=1+2&UTM%5Fsource=x", "http://x.org/p?a=%2F%C3%A9&a=1+2&b=~%2A"),
+        ("http://x.org/p?a=%zz", "http://x.org/p?a=%25zz"),
     ],
 )
 def test_canonical(spark, url, want):
