@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Longest table of powers that a worker keeps.
+KEPT_POWERS = 1 << 22
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -38,7 +40,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept."""
+    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept, but for those of a very long text."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
@@ -50,7 +52,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
                 step = min(done, size - done)
                 have[done : done + step] = have[:step] * np.uint64(pow(int(base), done, 1 << 64))
                 done += step
-        _powers[int(base)] = have
+        if size <= KEPT_POWERS:
+            _powers[int(base)] = have
     return have[:n]
 
 

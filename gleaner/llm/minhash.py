@@ -45,6 +45,8 @@ from .components import components
 from .workspace import Workspace
 
 BANDS, ROWS, BLOCK = 40, 7, 128
+#: Bytes of text whose signatures are made together: each of their shingles has a permutation of the slots.
+CHUNK = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -96,7 +98,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _profile(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in kernel.chunks(batch.column(1)):
+            for c in kernel.chunks(batch.column(1), CHUNK):
                 h, at = kernel.gram_sets(kernel.words(c), shingle)
                 sums = np.zeros(len(h) + 1, dtype=np.uint64)
                 sums2 = np.zeros(len(h) + 1, dtype=np.uint64)

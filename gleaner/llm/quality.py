@@ -90,16 +90,18 @@ def _counts(buckets: int, pairs: int, shared):
     """(id, text) to (bucket, target, raw): one row per place that a task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets + pairs, np.int64), np.zeros(buckets + pairs, np.int64)
+        # A task's counts: half the room of longs, and far from their end.
+        raw, target = np.zeros(buckets + pairs, np.int32), np.zeros(buckets + pairs, np.int32)
         for batch in batches:
             good = among(batch.column(0), shared.value)
             for c in kernel.chunks(batch.column(1)):
                 d, b, n = features(c, buckets, pairs)
+                n = n.astype(np.int32)
                 np.add.at(raw, b, n)
                 chosen = good[c.first + d]
                 np.add.at(target, b[chosen], n[chosen])
         met = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(target[met]), pa.array(raw[met])], ["bucket", "target", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(target[met].astype(np.int64)), pa.array(raw[met].astype(np.int64))], ["bucket", "target", "raw"])
 
     return run
 
@@ -118,6 +120,8 @@ class Model:
                 ratio = np.log((t + smoothing) / (r * self.scale[k] + smoothing))
                 order = np.argsort(ratio)
                 self.center[k] = ratio[order[np.searchsorted(np.cumsum(t[order]), t.sum() / 2)]]
+        # What travels: four bytes a count are exact to seven digits.
+        self.target, self.raw = self.target.astype(np.float32), self.raw.astype(np.float32)
 
     def _sure(self, t: np.ndarray, r: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Centred log ratios, moved towards 0 by DEAD and MARGIN standard errors."""
@@ -130,8 +134,8 @@ class Model:
         if not self.scale[0]:
             return np.zeros(c.n)
         kind = (b >= self.buckets).astype(np.int64)
-        t = self.target[b] - np.where(good[d], n, 0)
-        r = (self.raw[b] - n) * self.scale[kind]
+        t = self.target[b].astype(np.float64) - np.where(good[d], n, 0)
+        r = (self.raw[b].astype(np.float64) - n) * self.scale[kind]
         ratio = np.where(self.scale[kind] > 0, self._sure(np.maximum(t, 0), np.maximum(r, 0), kind), 0)
         return np.bincount(d, n * ratio, c.n)
 
