@@ -35,7 +35,7 @@ from .workspace import extended
 
 #: Pieces and token pairs that a worker remembers (some 250 and 100 bytes each)
 #: before it forgets the older half.
-PIECES, PAIRS = 800_000, 400_000
+PIECES, PAIRS = 500_000, 300_000
 
 _FAR = 1 << 62
 
