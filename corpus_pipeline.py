@@ -4,7 +4,9 @@ copies and benchmark passages, as tokens.
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last
 return the columns of ``docs``.  Nulls, empty and repeated rows fare as the
 operators' docstrings say: a null text has no lines, shingles or tokens and
-stays null until it is encoded as no tokens; a row without doc_id passes.
+stays null until it is encoded as no tokens; a row without doc_id passes.  An
+empty table gives an empty one.  Columns with the names of the last stage's are
+replaced by them; others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur in two documents or more go from all documents but the first, and documents left
-    without a word with them; n_chars follows the text.  Lines of one word count, too.  (:func:`lines.drop_lines` itself
-    asks for three documents and three words, as OP1_SQL does.)"""
+    without a word with them; n_chars follows the text."""
     mark, word = "_" * (1 + max(map(len, docs.columns))), r"[^\x20\x09-\x0D]"
-    out = lines.drop_lines(docs, into=mark, min_lines=2, min_words=1)
+    out = lines.drop_lines(docs, into=mark)
     bare = F.coalesce(F.col("text").rlike(word) & ~F.col(mark).rlike(word), F.lit(False))
     out = out.filter(~bare).withColumn("text", F.col(mark)).drop(mark)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -78,19 +78,21 @@ def masked_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.mask_secrets(F.col("text")).alias("masked"))
 
 
-_CAPS = rf"""s AS (SELECT source, doc_id, {SQL_SQUASH.format(x='text')} AS t FROM documents), l AS (SELECT *, least(length(t), 12000) AS n FROM s WHERE t <> ''),
+_CAPS = rf"""s AS (SELECT doc_id // 50 AS source, doc_id, {SQL_SQUASH.format(x='text')} AS t FROM documents), l AS (SELECT *, least(length(t), 12000) AS n FROM s WHERE t <> ''),
  c AS (SELECT *, greatest(0, least(n, 60000 - coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS clip FROM l)"""
 
 
 @R.query(f"WITH {_CAPS} SELECT source, doc_id, CAST(clip AS BIGINT) AS clip, sha256(left(t, CAST(clip AS BIGINT))) AS capped FROM c WHERE clip > 0")
 def source_caps(spark, sf_dir):
-    out = evidence.cap_texts(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text")
+    """Fifty documents are the sources of a session."""
+    out = evidence.cap_texts(table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("source"), "doc_id", "text"), "source", "doc_id", "text")
     return out.select("source", "doc_id", "clip", F.sha2("capped", 256).alias("capped"))
 
 
-@R.query(f"SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint, count(*) AS n FROM (SELECT source, doc_id || ':' || left(sha256({SQL_SQUASH.format(x='text')}), 16) AS line FROM documents) GROUP BY source")
+@R.query(f"SELECT source, sha256(string_agg(line, chr(10) ORDER BY line)) AS fingerprint, count(*) AS n FROM (SELECT doc_id // 10 AS source, doc_id || ':' || left(sha256({SQL_SQUASH.format(x='text')}), 16) AS line FROM documents) GROUP BY source")
 def source_fingerprint(spark, sf_dir):
-    return evidence.fingerprint(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    """Ten documents are the sources of a session."""
+    return evidence.fingerprint(table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("source"), "doc_id", "text"), "source", "doc_id", "text")
 
 
 _KEY = f"sha256(lang || '|' || lower({SQL_SQUASH.format(x='left(text, 40)')}) || '|' || left(lower({SQL_SQUASH.format(x='text')}), 500))"
@@ -166,10 +168,10 @@ def judge_verdicts(spark, sf_dir):
     return d.select("doc_id", gates.judge(first, second, i % 13 == 0, i % 4 == 1).alias("j")).select("doc_id", "j.*")
 
 
-@R.query(f"WITH s AS (SELECT source, doc_id, {SQL_SQUASH.format(x='text')} AS t, text FROM documents) SELECT source, count(*) AS source_count, CAST(sum(length(text)) AS BIGINT) AS total_chars, sha256(string_agg(doc_id || ':' || left(sha256(t), 16), chr(10) ORDER BY doc_id || ':' || left(sha256(t), 16))) AS fingerprint FROM s GROUP BY source")
+@R.query(f"WITH s AS (SELECT doc_id // 10 AS source, doc_id, {SQL_SQUASH.format(x='text')} AS t, text FROM documents) SELECT source, count(*) AS source_count, CAST(sum(length(text)) AS BIGINT) AS total_chars, sha256(string_agg(doc_id || ':' || left(sha256(t), 16), chr(10) ORDER BY doc_id || ':' || left(sha256(t), 16))) AS fingerprint FROM s GROUP BY source")
 def decision_envelopes(spark, sf_dir):
-    """N-20."""
-    return gates.envelope(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    """N-20: ten documents are the sources of a session."""
+    return gates.envelope(table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("source"), "doc_id", "text"), "source", "doc_id", "text")
 
 
 _STATUS = "CAST([200, 401, 403, 402, 429, 503, 302, 204][1 + doc_id % 8] AS INT)"

@@ -309,3 +309,44 @@ def test_html(spark):
     rows = html.with_text(df).select(html.title(F.col("html")).alias("t"), "text").collect()
     assert rows[0].t == "A & B" and rows[0].text == "One two\nthree"
     assert rows[1].text == "" and rows[2].text == ""
+
+
+def test_local_lanes(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Nothing here.\n\nThe mill spins organic cotton.")
+    (tmp_path / "b.txt").write_text("cotton only")
+    (tmp_path / "c.txt").write_text("  ")
+    asked = spark.createDataFrame([(1, "who spins organic cotton"), (2, "zebra crossing")], "question_id int, question string")
+    got = payloads.file_results(payloads.local_files(spark, str(tmp_path / "*.txt")), asked).orderBy("question_id", F.desc("score")).collect()
+    assert [(r.question_id, r.path[-5:], r.snippet) for r in got] == [(1, "a.txt", "The mill spins organic cotton."), (1, "b.txt", "cotton only")]
+    records = [(i, "p", "t", "organic cotton" if i % 2 else "other", f"2024-01-{i:02d}", i == 3) for i in range(1, 10)]
+    memory = spark.createDataFrame(records, "id int, project string, topic string, content string, created_at string, stale boolean")
+    assert [r.id for r in payloads.memory_results(memory, asked, scan=4).orderBy("id").collect()] == [7, 9]
+
+
+def test_request(spark):
+    made = payloads.request(F.lit("http://h/{query}?t={token}"), {"query": F.lit("a b"), "token": F.lit("x/y")}, {"A": "env:SET", "B": "env:NOT", "C": "plain"}, {"SET": "v"}, F.lit('{"q": "{query}"}'))
+    r = spark.range(1).select(made.alias("r")).first().r
+    assert (r.url, r.headers, r.body) == ("http://h/a%20b?t=x%2Fy", {"A": "v", "C": "plain"}, '{"q": "a b"}')
+
+
+def test_sessions_saved_and_read(spark, tmp_path):
+    """What the gate and the interlock let pass is written by day and read back; the rest is handed back."""
+    runs = [("scout", True, "pro-1")]
+    rows = [(1, "full", "complete", "a", 0.9, "sufficient", 2, "research", runs), (2, "full", "complete", "a", 0.9, "odd", 2, "research", runs), (3, "full", "complete", "a", 0.9, "sufficient", 2, "research", [("scout", False, "pro-1")]), (4, "full", "complete", " ", 0.9, "sufficient", 1, "search", [])]
+    schema = "session int, kind string, status string, answer string, confidence double, judged string, sources int, protocol string, runs array<struct<role:string,ok:boolean,model:string>>"
+    df = spark.createDataFrame(rows, schema).withColumn("created", F.lit("2024-02-03 04:05:06").cast("timestamp_ntz"))
+    path = str(tmp_path / "sessions")
+    rest = sessions.save(df, path, "created", ["pro-1"])
+    assert {r.session: r.problem for r in rest.collect()} == {3: "model_interlock", 4: "complete_without_answer"}
+    (tmp_path / "sessions" / "created_date=2024-02-03" / "s.evidence-gate-decision.json").write_text('{"session": 9}')
+    back = sessions.load(spark, path, "session int, kind string, answer string, confidence double")
+    assert {tuple(r) for r in back.collect()} == {(1, "full", "a", 0.9), (2, "abstain", None, 0.0)}
+    known = sessions.gate_decisions(df, "session")
+    assert {r.session: (r.reason, r.overridden) for r in known.collect()}[2] == ("sufficiency_exhausted", True)
+
+
+def test_page_meta(spark):
+    page = """<head><title>T</title><META name='twitter:title' content='Tw'><meta property="og:title" content="Og &amp; x"><meta content="2024-05-06T07:08" property="article:published_time"></head>"""
+    rows = spark.createDataFrame([(page,), ("<title> Only </title>",), ("",)], "p string").select(html.meta(F.col("p")).alias("m")).collect()
+    assert tuple(rows[0].m) == ("Og & x", None, "2024-05-06T07:08")
+    assert tuple(rows[1].m) == ("Only", None, None) and tuple(rows[2].m) == ("", None, None)
