@@ -111,17 +111,15 @@ class Model:
 
     def __init__(self, buckets: int, pairs: int, smoothing: float, good: np.ndarray, target: np.ndarray, raw: np.ndarray):
         self.buckets, self.pairs, self.smoothing, self.good = buckets, pairs, smoothing, good
-        self.target, self.raw = target.astype(np.float64), raw.astype(np.float64)
+        self.target, self.raw = target, raw
         self.scale, self.center = np.zeros(2), np.zeros(2)
         for k, part in enumerate((slice(0, buckets), slice(buckets, buckets + pairs))):
-            t, r = self.target[part], self.raw[part]
+            t, r = target[part].astype(np.float64), raw[part].astype(np.float64)
             self.scale[k] = t.sum() / max(1.0, r.sum())
             if self.scale[k]:
                 ratio = np.log((t + smoothing) / (r * self.scale[k] + smoothing))
                 order = np.argsort(ratio)
                 self.center[k] = ratio[order[np.searchsorted(np.cumsum(t[order]), t.sum() / 2)]]
-        # What travels: four bytes a count are exact to seven digits.
-        self.target, self.raw = self.target.astype(np.float32), self.raw.astype(np.float32)
 
     def _sure(self, t: np.ndarray, r: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Centred log ratios, moved towards 0 by DEAD and MARGIN standard errors."""
@@ -174,10 +172,14 @@ def fit(docs: DataFrame, good: np.ndarray, buckets: int = BUCKETS, pairs: int =
     """The two models of ``docs(id, text)``; ``good``: sorted ids of the target text."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.mapInArrow(_counts(buckets, pairs, spark.sparkContext.broadcast(good)), "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
-    target, raw = np.zeros(buckets + pairs), np.zeros(buckets + pairs)
-    met = rows.column("bucket").to_numpy()
-    target[met], raw[met] = rows.column("target").to_numpy(), rows.column("raw").to_numpy()
+    counts = docs.mapInArrow(_counts(buckets, pairs, spark.sparkContext.broadcast(good)), "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    # Twelve bytes a place: four-byte counts are exact to seven digits.
+    rows = counts.select(F.col("bucket").cast("int"), F.col("target").cast("float"), F.col("raw").cast("float")).toArrow()
+    target, raw = np.zeros(buckets + pairs, np.float32), np.zeros(buckets + pairs, np.float32)
+    for batch in rows.to_batches():
+        met = batch.column(0).to_numpy()
+        target[met], raw[met] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    del rows
     return Model(buckets, pairs, smoothing, good, target, raw)
 
 
