@@ -46,7 +46,7 @@ from .workspace import Workspace
 
 BANDS, ROWS, BLOCK = 40, 7, 128
 #: Bytes of text whose signatures are made together: each of their shingles has a permutation of the slots.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 

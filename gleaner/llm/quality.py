@@ -51,6 +51,8 @@ from . import kernel
 from .workspace import Workspace, extended
 
 BUCKETS, PAIRS, SMOOTHING, RECALL, LABELS, SEED = 1 << 21, 1 << 20, 0.5, 0.98, 1_000_000, 7
+#: Bytes of text whose n-grams are sorted together.
+CHUNK = 1 << 19
 #: Of words and of pairs: standard errors, and the part of a ratio that says nothing.
 MARGIN, DEAD = np.array([4.0, 8.0]), np.array([0.25, 1.0])
 _ID = np.uint64(0x2545F4914F6CDD1D)
@@ -94,7 +96,7 @@ def _counts(buckets: int, pairs: int, shared):
         raw, target = np.zeros(buckets + pairs, np.int32), np.zeros(buckets + pairs, np.int32)
         for batch in batches:
             good = among(batch.column(0), shared.value)
-            for c in kernel.chunks(batch.column(1)):
+            for c in kernel.chunks(batch.column(1), CHUNK):
                 d, b, n = features(c, buckets, pairs)
                 n = n.astype(np.int32)
                 np.add.at(raw, b, n)
@@ -192,7 +194,7 @@ def weigh(docs: DataFrame, model: Model, seed: int = SEED, id_col: str = "_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = among(batch.column(i), shared.value.good)
-            parts = [shared.value.weights(c, good[c.first : c.last]) for c in kernel.chunks(batch.column(t))]
+            parts = [shared.value.weights(c, good[c.first : c.last]) for c in kernel.chunks(batch.column(t), CHUNK)]
             weight = np.concatenate(parts) if parts else np.zeros(0)
             key = weight + gumbel(batch.column(i), seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(key), pa.array(ordered(key)), pa.array(good)], [*batch.schema.names, *made])
