@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, substrings
+from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, spelling, substrings
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_quality_importance_resampling": quality.op8_quality_importance_resampling,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": lines.OP1_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
