@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, spelling, substrings
+from . import bpe, cohorts, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, spelling, substrings
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_quality_importance_resampling": quality.op8_quality_importance_resampling,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_cohort_retention": cohorts.op11_cohort_retention,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": lines.OP1_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
+    "op11_cohort_retention": cohorts.OP11_SQL,
     "op13_spelling_variants": spelling.OP13_SQL,
 }
