@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, cohorts, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, spelling, substrings
+from . import bpe, cohorts, decontaminate, exact, lines, lm, minhash, pii, quality, secrets, spelling, substrings, urlfilter
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_cohort_retention": cohorts.op11_cohort_retention,
+    "op12_url_filter": urlfilter.op12_url_filter,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
