@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import containment
 
 # Pass threshold, weights and limits.
 PASS, FULL, PARTIAL = 0.45, 0.70, 0.35
@@ -15,32 +16,24 @@ SOURCE_TARGET, W_SOURCES, W_AUTHORITY, W_SCORE, W_SUPPORT = 3, 0.2, 0.3, 0.3, 0.
 SOURCE_CHARS, TOTAL_CHARS, MOST_SOURCES = 12_000, 60_000, 3
 
 
-def asked(claims: DataFrame, key: str, pos: str, claim: str) -> DataFrame:
-    """(key, _asked): the claims of each key in order, with their tokens.  The claims of one answer are few."""
-    return claims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(claim).alias("claim"), text.overlap_tokens(F.col(claim)).alias("of")))).alias("_asked"))
-
-
-def best_paragraphs(sources: DataFrame, claims: DataFrame, key: str, text_col: str, pos: str = "pos", claim: str = "claim") -> DataFrame:
+def best_paragraphs(sources: DataFrame, claims: DataFrame, key: str, text_col: str, ids: list[str], pos: str = "pos", claim: str = "claim") -> DataFrame:
     """F-03, G-01: ``sources`` with paragraph (300 characters at most), claim and score: of all pairs of a source's paragraphs and its key's claims the first with the largest score.
 
-    A source meets the claims of its own key only, and all of its pairs are
-    looked at where it stands: neither paragraphs nor pairs are shuffled, and of
-    the sources not even the texts where the claims are small enough for the
-    optimiser to broadcast.  Without a score above 0 the paragraph is "n/a" and
-    the claim the first one; without claims that is "n/a", too.
+    ``ids`` tell sources of a key apart.  The best pair is found from counts of
+    shared tokens (see :mod:`.containment`); a source's text meets nothing but its one best pair.  Without
+    a score above 0 the paragraph is "n/a" and the claim the first one; without claims that is "n/a", too.
     """
-    joined = sources.join(asked(claims, key, pos, claim), key, "left")
-    none = F.array().cast("array<struct<text:string,tokens:array<string>>>")
-    split = F.when(F.col("_asked").isNull(), none).otherwise(F.transform(text.paragraphs(F.col(text_col)), lambda p: F.struct(p.alias("text"), text.overlap_tokens(p).alias("tokens"))))
-
-    def best(paras: Column) -> Column:
-        of_one = lambda p, i: F.array_max(F.transform("_asked", lambda c, j: F.struct(text.containment(p["tokens"], c["of"]).alias("score"), (-i).alias("para"), (-j).alias("claim"))))
-        top = F.array_max(F.transform(paras, of_one))
-        shown = lambda t: F.struct(F.when(t["score"] > 0, F.left(F.get(paras, -t["para"])["text"], F.lit(300))).otherwise("n/a").alias("paragraph"), F.when(t["score"] > 0, F.get(F.col("_asked"), -t["claim"])["claim"]).otherwise(F.coalesce(F.get(F.col("_asked"), F.lit(0))["claim"], F.lit("n/a"))).alias("claim"), F.coalesce(t["score"], F.lit(0.0)).alias("score"))
-        return text.let(top, shown)
-
-    out = joined.withColumn("_best", text.let(split, best))
-    return out.select(*[F.col(f"`{c}`") for c in sources.columns], F.col("_best.paragraph").alias("paragraph"), F.col("_best.claim").alias("claim"), F.col("_best.score").alias("score"))
+    top = containment.best_pairs(sources.filter(F.col(key).isNotNull()), [key, *ids], text_col, claims, [key, pos], claim, [key], [key, *ids])
+    said = claims.groupBy(key, pos).agg(F.min(claim).alias("_said"))
+    first = claims.groupBy(key).agg(F.min(F.struct(pos, claim)).alias("_first")).select(key, F.col(f"_first.`{claim}`").alias("_first"))
+    named = top.select(key, *ids, F.col("para").alias("_para"), F.col(pos).alias("_pos"), F.col("score").alias("_score")).join(said.withColumnRenamed(pos, "_pos"), [key, "_pos"], "left")
+    out = sources.join(named, [key, *ids], "left").join(first, key, "left")
+    return out.select(
+        *[F.col(f"`{c}`") for c in sources.columns],
+        F.when(F.col("_para").isNotNull(), F.left(F.get(text.paragraphs(F.col(text_col)), F.col("_para")), F.lit(300))).otherwise("n/a").alias("paragraph"),
+        F.coalesce("_said", "_first", F.lit("n/a")).alias("claim"),
+        F.coalesce("_score", F.lit(0.0)).alias("score"),
+    )
 
 
 def chunks(best: DataFrame, threshold: float = PASS) -> DataFrame:

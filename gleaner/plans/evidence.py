@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evidence, gaps, gates, routing, sessions
+from ..operators import containment, evidence, gaps, gates, routing, sessions
+from ..sources.stages import Folder
 from .documents import SQL_SQUASH, SQL_TOKENS
 from .registry import Registry, table
 
@@ -60,17 +61,17 @@ def _claims(spark, sf_dir):
 
 
 def _best(spark, sf_dir):
-    return evidence.best_paragraphs(_sources(spark, sf_dir).select("doc", "session", "text"), _claims(spark, sf_dir), "session", "text").drop("text")
+    return evidence.best_paragraphs(_sources(spark, sf_dir).select("doc", "session", "text"), _claims(spark, sf_dir), "session", "text", ["doc"]).drop("text")
 
 
-def _measured(spark, sf_dir):
+def _measured(spark, sf_dir, best=None):
     authority = routing.with_authority(_sources(spark, sf_dir).select("doc", "session", "domain", "topic"), keys=["doc", "session"])
-    out = evidence.measured(authority, evidence.chunks(_best(spark, sf_dir)), "session")
+    out = evidence.measured(authority, evidence.chunks(best or _best(spark, sf_dir)), "session")
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-def _decided(spark, sf_dir):
-    return _measured(spark, sf_dir).select("session", "sources", "passed", "failed", evidence.decision(F.col("confidence")).alias("d")).select("session", "sources", "passed", "failed", "d.*")
+def _decided(spark, sf_dir, best=None):
+    return _measured(spark, sf_dir, best).select("session", "sources", "passed", "failed", evidence.decision(F.col("confidence")).alias("d")).select("session", "sources", "passed", "failed", "d.*")
 
 
 @R.query(f"WITH RECURSIVE {SQL_WINDOWS} SELECT doc_id, CAST(pos AS INT) AS pos, paragraph FROM windows")
@@ -78,12 +79,22 @@ def paragraph_windows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
-@R.query(f"WITH {_SOURCES}, t AS (SELECT doc_id, session, {SQL_TOKENS.format(x='text')} AS ts FROM src) SELECT doc_id AS doc, pos AS claim, round(CASE WHEN len(of_) = 0 OR len(ts) = 0 THEN 0 ELSE len(list_intersect(ts, of_)) / len(of_) END, 9)::DOUBLE AS score FROM t JOIN cl USING (session)")
+@R.query(f"WITH {_SOURCES}, t AS (SELECT doc_id, session, {SQL_TOKENS.format(x='text')} AS ts FROM src) SELECT doc_id AS doc, pos AS claim, round(len(list_intersect(ts, of_)) / len(of_), 9)::DOUBLE AS score FROM t JOIN cl USING (session) WHERE list_has_any(ts, of_)")
 def containment_pairs(spark, sf_dir):
-    """Whole documents against each claim of their session."""
+    """Whole documents and the claims of their session that they share a token with."""
     docs = _sources(spark, sf_dir).select("doc", "session", text.overlap_tokens(F.col("text")).alias("tokens"))
-    claims = _claims(spark, sf_dir).select("session", F.col("pos").alias("claim"), text.overlap_tokens(F.col("claim")).alias("of"))
-    return docs.join(claims, "session").select("doc", "claim", F.round(text.containment(F.col("tokens"), F.col("of")), 9).alias("score"))
+    sets = containment.claim_tokens(_claims(spark, sf_dir), ["session", "pos"], "claim")
+    pairs = containment.shared(docs, ["doc", "session"], sets, ["session", "pos"], ["session"])
+    return pairs.select("doc", F.col("pos").alias("claim"), F.round(F.col("shared") / F.col("size"), 9).alias("score"))
+
+
+@R.query(f"WITH RECURSIVE {_BEST} SELECT doc_id AS doc, para, cpos AS claim, round(score, 9)::DOUBLE AS score FROM sc WHERE score >= 0.45")
+def supported_claims(spark, sf_dir):
+    """F-03 from the pass threshold on: every paragraph and claim, found by the claim's rarest tokens."""
+    units = containment.paragraph_tokens(_sources(spark, sf_dir), ["session", "doc"], "text")
+    sets = containment.claim_tokens(_claims(spark, sf_dir), ["session", "pos"], "claim")
+    pairs = containment.supported(units, ["session", "doc", "para"], sets, ["session", "pos"], ["session"], evidence.PASS)
+    return pairs.select("doc", F.col("para").cast("long").alias("para"), F.col("pos").alias("claim"), F.round("score", 9).alias("score"))
 
 
 @R.query(f"WITH RECURSIVE {_BEST} SELECT doc_id AS doc, paragraph, claim, round(score, 9) AS score FROM best")
@@ -127,10 +138,11 @@ _GAPS = f"""{_DECISION}, single AS (SELECT session, 0 AS ordinal, 'single-source
 
 
 def _parts(spark, sf_dir):
-    """The gaps in their order, and the sessions."""
-    src, best = _sources(spark, sf_dir), _best(spark, sf_dir)
+    """The gaps in their order, and the sessions.  The best pairs and the sessions are written once and read by each gap."""
+    folder = Folder(spark, "gaps")
+    src, best = _sources(spark, sf_dir), folder.save(_best(spark, sf_dir).drop("paragraph"), "best")
     chunks = evidence.chunks(best).select("session", "claim", F.col("doc").alias("source"), "passed")
-    decided = _decided(spark, sf_dir)
+    decided = folder.save(_decided(spark, sf_dir, best), "decided")
     known = decided.select("session", F.when(F.col("session") % 2 == 0, "deep_research").otherwise("research").alias("protocol"), F.when(F.col("session") % 4 == 0, 1).otherwise(0).alias("verifications"))
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("doc")).distinct()
     flagged = src.join(toxic, "doc", "left_semi").select("session", F.lit(True).alias("counter"))

@@ -8,6 +8,7 @@ from ..functions import text, urls
 from ..operators import assembly, evidence, gates, rollups, routing
 from ..sources import html, payloads
 from .documents import SQL_SQUASH, SQL_TOKENS
+from .evidence import SQL_WINDOWS
 from .registry import Registry, table
 
 R = Registry()
@@ -332,15 +333,15 @@ def unconfigured_lanes(spark, sf_dir):
     return payloads.unconfigured(need, spark.range(4).select(F.concat(F.lit("l"), F.col("id")).alias("lane"))).select("error")
 
 
-_MEMORY = f"""f AS (SELECT doc_id, 'Project: p' || chr(10) || 'Topic: t' || doc_id % 3 || chr(10) || trim(left(text, 400)) AS text FROM documents WHERE doc_id % 4 <> 0 ORDER BY doc_id DESC LIMIT 200)"""
+_MEMORY = f"""f AS (SELECT doc_id, 'Project: p' || chr(10) || 'Topic: t' || doc_id % 3 || chr(10) || trim(text) AS text FROM documents WHERE doc_id % 4 <> 0 ORDER BY doc_id DESC LIMIT 200)"""
 
 
-@R.query(f"""WITH {_MEMORY}, q AS (SELECT item_id, {SQL_TOKENS.format(x='left(text, 200)')} AS of_ FROM benchmark), w AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n+'), lambda b: {SQL_SQUASH.format(x='b')}), lambda b: b <> '')) AS p FROM f),
- s AS (SELECT item_id, doc_id, max(len(list_intersect({SQL_TOKENS.format(x='p')}, of_)) / len(of_)) AS score FROM w, q GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0) SELECT item_id AS question_id, doc_id AS id, round(score, 9)::DOUBLE AS score FROM r WHERE n <= 5""")
+@R.query(f"""WITH RECURSIVE {_MEMORY}, {SQL_WINDOWS.replace('FROM documents', 'FROM f')}, q AS (SELECT item_id, {SQL_TOKENS.format(x='text')} AS of_ FROM benchmark),
+ s AS (SELECT item_id, doc_id, max(len(list_intersect({SQL_TOKENS.format(x='paragraph')}, of_)) / len(of_)) AS score FROM windows, q GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0) SELECT item_id AS question_id, doc_id AS id, round(score, 9)::DOUBLE AS score FROM r WHERE n <= 5""")
 def memory_results(spark, sf_dir):
     """A-11: the newest two hundred records that are not stale; 200 and 5 are the lane's limits."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("p").alias("project"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("topic"), F.left("text", F.lit(400)).alias("content"), F.col("doc_id").alias("created_at"), (F.col("doc_id") % 4 == 0).alias("stale"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.left("text", F.lit(200)).alias("question"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("p").alias("project"), F.concat(F.lit("t"), F.col("doc_id") % 3).alias("topic"), F.col("text").alias("content"), F.col("doc_id").alias("created_at"), (F.col("doc_id") % 4 == 0).alias("stale"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return payloads.memory_results(d, q).select("question_id", "id", F.round("score", 9).alias("score"))
 
 

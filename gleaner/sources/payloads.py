@@ -114,29 +114,25 @@ def memory_results(records: DataFrame, questions: DataFrame, scan: int = 200, n:
 
     The scan is the lane's own limit; what it leaves is a fixed number of rows.
     """
-    from ..operators import evidence
-
     text_ = F.trim(F.concat_ws("\n", F.concat(F.lit("Project: "), F.col("project")), F.concat(F.lit("Topic: "), F.col("topic")), F.trim(F.coalesce("content", F.lit("")))))
     recent = records.filter(~F.col("stale")).orderBy(F.desc("created_at"), F.desc("id")).limit(scan).select("id", text_.alias("text"))
-    return _supporting(recent, questions, "id", evidence, n)
+    return _supporting(recent, questions, "id", n)
 
 
 def file_results(files: DataFrame, questions: DataFrame, n: int = 5) -> DataFrame:
     """A-12: of files(path, content) the ``n`` that support each question best, with a score above 0: best first, then by path."""
-    from ..operators import evidence
-
-    return _supporting(files.filter(F.trim("content") != "").select("path", F.col("content").alias("text")), questions, "path", evidence, n)
+    return _supporting(files.filter(F.trim("content") != "").select("path", F.col("content").alias("text")), questions, "path", n)
 
 
-def _supporting(rows: DataFrame, questions: DataFrame, id_col: str, evidence, n: int) -> DataFrame:
+def _supporting(rows: DataFrame, questions: DataFrame, id_col: str, n: int) -> DataFrame:
+    """The ``n`` rows that support each question best, from counts of shared tokens; a text meets the questions only that it is best for."""
+    from ..functions import text as texts
+    from ..operators import containment
     from ..operators.routing import newest
 
-    claims = questions.select(F.col("question_id"), F.lit(0).alias("pos"), F.col("question").alias("claim"))
-    # The questions of a batch are a stated, small set: their ids go to each row as one array.
-    asked = questions.groupBy(F.lit(0).alias("_k")).agg(F.array_sort(F.collect_set("question_id")).alias("_q"))
-    pairs = rows.withColumn("_k", F.lit(0)).join(asked, "_k").select(id_col, "text", F.explode("_q").alias("question_id"))
-    best = evidence.best_paragraphs(pairs, claims, "question_id", "text").filter("score > 0")
-    return newest(best.select("question_id", id_col, F.col("paragraph").alias("snippet"), "score"), [F.desc("score"), F.col(id_col)], n, ["question_id"])
+    pairs = containment.best_pairs(rows, [id_col], "text", questions, ["question_id"], "question", [], ["question_id", id_col])
+    best = newest(pairs, [F.desc("score"), F.col(id_col)], n, ["question_id"])
+    return best.join(rows, id_col).select("question_id", id_col, F.left(F.get(texts.paragraphs(F.col("text")), F.col("para")), F.lit(300)).alias("snippet"), "score")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

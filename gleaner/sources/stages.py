@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Folder:
@@ -22,3 +22,8 @@ class Folder:
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        """The same rows, read back from a written table."""
+        df.write.parquet(self.path(name))
+        return df.sparkSession.read.schema(df.schema).parquet(self.path(name))

@@ -114,7 +114,7 @@ def test_two_places(spark):
 def test_best_paragraphs(spark):
     sources = spark.createDataFrame([(1, "s", "Nothing here at all.\n\nThe mill spins organic cotton daily."), (2, "s", ""), (3, "s", "zebra"), (4, "t", "The mill spins cotton"), (5, "s", None)], "doc int, session string, text string")
     claims = spark.createDataFrame([("s", 1, "mill spins organic cotton"), ("s", 0, "unrelated claim words")], "session string, pos int, claim string")
-    got = {r.doc: (r.paragraph, r.claim, r.score) for r in evidence.best_paragraphs(sources, claims, "session", "text").collect()}
+    got = {r.doc: (r.paragraph, r.claim, r.score) for r in evidence.best_paragraphs(sources, claims, "session", "text", ["doc"]).collect()}
     none = ("n/a", "unrelated claim words", 0.0)
     assert got == {1: ("The mill spins organic cotton daily.", "mill spins organic cotton", 1.0), 2: none, 3: none, 4: ("n/a", "n/a", 0.0), 5: none}
 
