@@ -41,14 +41,18 @@ def stream_dedupe(spark, sf_dir):
     return streams.run(streams.first_seen(_stream(spark, sf_dir).select("user_id", "event_type"), "user_id", "event_type"), "seen")
 
 
-@R.query(f"WITH {SQL_CACHE} SELECT event_id, user_id, hit FROM h")
+#: Keyed state answers for rows that the watermark has passed.
+_CLOSED = "(SELECT epoch_us(date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE) FROM events)"
+
+
+@R.query(f"WITH {SQL_CACHE} SELECT event_id, user_id, hit FROM h JOIN (SELECT event_id, ts FROM events) USING (event_id) WHERE epoch_us(ts) < {_CLOSED}")
 def stream_cache(spark, sf_dir):
     """L-03, L-04, L-09 as state that ends: six hours from the last request of a user."""
     out = streams.run(streams.cache(_stream(spark, sf_dir), "ts", "event_id", "10 minutes", "user_id", 6 * 3600), "cache")
     return out.select(F.col("event").alias("event_id"), "user_id", "hit")
 
 
-@R.query(f"WITH {SQL_BREAKER} SELECT event_id, user_id, failures, open FROM c")
+@R.query(f"WITH {SQL_BREAKER} SELECT event_id, user_id, failures, open FROM c JOIN (SELECT event_id, ts FROM events) USING (event_id) WHERE epoch_us(ts) < {_CLOSED}")
 def stream_breaker(spark, sf_dir):
     """L-05 as state."""
     log = _stream(spark, sf_dir).withColumn("ok", F.expr("event_type <> 'error'"))
@@ -56,8 +60,30 @@ def stream_breaker(spark, sf_dir):
     return out.select(F.col("event").alias("event_id"), "user_id", "failures", "open")
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'view' THEN 'reserve' WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'click' THEN 'failure' WHEN event_type = 'signup' AND event_id % 20 = 0 THEN 'corrupt' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ walk(user_id, n, event_id, us, granted, day, used, live, corrupt) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN, -1::BIGINT, 0::BIGINT, []::BIGINT[], false FROM events
+  UNION ALL
+  SELECT user_id, n, event_id, us, CASE WHEN kind = 'reserve' THEN u + len(l) < 2 END, us // 86400000000, CASE WHEN kind = 'success' THEN u + 1 WHEN kind = 'corrupt' THEN 2 ELSE u END,
+   CASE WHEN kind = 'reserve' AND u + len(l) < 2 THEN list_append(l, us) WHEN kind IN ('success', 'failure') THEN l[2:] WHEN kind = 'corrupt' THEN [] ELSE l END, CASE WHEN kind IN ('success', 'failure') THEN false ELSE c OR coalesce(kind = 'corrupt', false) END
+  FROM (SELECT e.*, w.corrupt AS c, CASE WHEN w.corrupt THEN 2 WHEN w.day <> e.us // 86400000000 THEN 0 ELSE w.used END AS u, CASE WHEN w.corrupt OR w.day <> e.us // 86400000000 THEN [] ELSE list_filter(w.live, lambda t: t > e.us - 43200000000) END AS l FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+ SELECT event_id, user_id, granted, used, len(live)::BIGINT AS reserved FROM walk WHERE n > 0 AND us < {_CLOSED}""")
 def stream_leases(spark, sf_dir):
-    """L-08 as state; a walk that SQL cannot take, held against a plain loop in the tests."""
-    out = streams.run(streams.leases(_stream(spark, sf_dir), "ts", "event_id", "10 minutes", "user_id", 2, 12 * 3600), "leases")
-    return out.select(F.col("event").alias("event_id"), "user_id", "granted")
+    """L-08, H-11: a user's two calls a day: leases of twelve hours that calls end, a new budget each day, and counters that cannot be read."""
+    kind = F.expr("CASE WHEN event_type = 'view' THEN 'reserve' WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'click' THEN 'failure' WHEN event_type = 'signup' AND event_id % 20 = 0 THEN 'corrupt' END")
+    log = _stream(spark, sf_dir).withColumn("kind", kind)
+    out = streams.run(streams.leases(log, "ts", "event_id", "10 minutes", "user_id", "kind", 2, 12 * 3600), "leases")
+    return out.select(F.col("event").alias("event_id"), "user_id", "granted", "used", "reserved")
+
+
+@R.query(f"""WITH RECURSIVE l AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
+ r AS (SELECT user_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_type <> 'view'),
+ walk(user_id, us, nxt, t) AS (SELECT user_id, us, nxt, us + 21600000000 FROM r UNION ALL
+  SELECT w.user_id, w.us, w.nxt, max(l.us) + 43200000000 FROM walk w JOIN l ON l.user_id = w.user_id AND l.us <= w.t GROUP BY w.user_id, w.us, w.nxt, w.t HAVING max(l.us) + 43200000000 > w.t),
+ f AS (SELECT user_id, us, nxt, max(t) AS t FROM walk GROUP BY ALL)
+ SELECT user_id, make_timestamp(us) AS requested, make_timestamp(t) AS reaped FROM f WHERE (nxt IS NULL OR t < nxt) AND t < {_CLOSED}""")
+def stream_reaper(spark, sf_dir):
+    """L-07: users without a request for six hours, unless a view locks them for twelve."""
+    log = _stream(spark, sf_dir).withColumn("lock", F.expr("event_type = 'view'"))
+    out = streams.run(streams.reaper(log, "ts", "event_id", "10 minutes", "user_id", "lock", 6 * 3600, 12 * 3600), "reaper")
+    return out.select("user_id", F.col("requested").cast("timestamp_ntz").alias("requested"), F.col("reaped").cast("timestamp_ntz").alias("reaped"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..shipping import ship
 from ..sources.stages import Folder
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY = 86_400_000_000
+
 
 def events(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
     """A Parquet table as a stream, its time as an event time that takes watermarks."""
@@ -47,83 +52,174 @@ def first_seen(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.dropDuplicates(list(keys))
 
 
-def _keyed(stream: DataFrame, ts: str, late: str, keys: list[str], schema: str, state_schema: str, step) -> DataFrame:
-    """A keyed state machine: ``step(state, micros, rows)`` walks a key's rows in order of time and returns (state or None, micros at which it is over, output columns).
+class Ordered(StatefulProcessor):
+    """Walks each key's rows in the order of (time, order), however they were dealt into batches.
+
+    Rows wait in list state until the watermark has passed them: whatever comes
+    later is late or stands behind them.  An event-time timer stands at the
+    first of them, and behind them at the moment at which the key's state is
+    over, so a state goes with its key.
 
-    A state is dropped when it is None or, by an event-time timer, when the
-    watermark has passed its end, so what is held does not grow with keys that are gone.
+    ``step(held, us, row)`` returns (held, output tuple or None); ``held`` is a tuple or None.  ``due(held)`` is the moment at which
+    ``end(held)``, which returns (held, output tuple or None), must be called, or None: then the state stays, one row a key.
     """
-    ship(stream.sparkSession)
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["_us", "_order"])
-        held, end, out = step(state.get if state.exists else None, rows)
-        if held is None or end // 1000 + 1 <= state.getCurrentWatermarkMs():
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-            state.setTimeoutTimestamp(end // 1000 + 1)
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        yield out
-
-    return stream.withWatermark(ts, late).groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def __init__(self, fields: list[str], state: str, schema: T.StructType, names: list[str], step, due, end):
+        self.fields, self.state, self.schema, self.names = fields, state, schema, names
+        self.step, self.due, self.end = step, due, end
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.held = handle.getValueState("held", self.state)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for frame in rows for r in frame[self.fields].itertuples(index=False, name=None)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(r[0] for r in new) // 1000)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        ready = [r for r in rows if r[0] < now]
+        before = tuple(self.held.get()) if self.held.exists() else None
+        held, made = before, []
+
+        def until(us: int) -> None:
+            nonlocal held
+            while held is not None and (over := self.due(held)) is not None and over < us:
+                held, out = self.end(held)
+                if out is not None:
+                    made.append(out)
+
+        for us, order, *row in ready:
+            until(us)
+            held, out = self.step(held, us, row)
+            if out is not None:
+                made.append((order, *out))
+        until(now)
+        if ready:
+            self.waiting.put(rows[len(ready) :]) if len(ready) < len(rows) else self.waiting.clear()
+        if held is None:
+            self.held.clear()
+        elif held != before:
+            self.held.update(held)
+        ahead = [rows[len(ready)][0]] if len(ready) < len(rows) else []
+        over = None if held is None else self.due(held)
+        for us in ahead + ([] if over is None else [over]):
+            self.handle.registerTimer(us // 1000)
+        if made:
+            yield pd.DataFrame([(*key, *m) for m in made], columns=self.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def _ordered(stream: DataFrame, ts: str, order: str, late: str, key: str, columns: dict[str, Column], state: str, out: str, step, due=lambda held: None, end=lambda held: (None, None)) -> DataFrame:
+    """``stream`` through :class:`Ordered`: (key, out).  The key travels as a string, so that a null is one key like others."""
+    spark = stream.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Workers rename columns that begin with an underscore.
+    rows = stream.withWatermark(ts, late).filter(F.col(ts).isNotNull())
+    rows = rows.select(F.col(key).cast("string").alias("grouped"), F.col(ts).alias("time"), F.unix_micros(ts).alias("us"), F.col(order).cast("long").alias("ordinal"), *[c.alias(n) for n, c in columns.items()])
+    fields = ["us", "ordinal", *columns]
+    waiting = T.StructType([rows.schema[f] for f in fields])
+    schema = T.StructType([T.StructField(key, T.StringType()), *T._parse_datatype_string(out).fields])
+    walk = Ordered(fields, state, waiting, schema.names, step, due, end)
+    return rows.groupBy("grouped").transformWithStateInPandas(walk, schema, "Append", "EventTime").withColumn(key, F.col(key).cast(stream.schema[key].dataType))
 
 
 def cache(stream: DataFrame, ts: str, order: str, late: str, key: str, seconds: int, touch: bool = True) -> DataFrame:
-    """L-03, L-04, L-09: (order, key, hit) of requests to a cache that forgets a key ``seconds`` after it was written or, with ``touch``, last read."""
+    """L-03, L-04, L-09: (key, event, hit) of requests to a cache that forgets a key ``seconds`` after it was written or, with ``touch``, last read."""
     life = seconds * 1_000_000
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(ts, key, F.col(order).cast("long").alias("_order"), F.unix_micros(ts).alias("_us"))
 
-    def step(held: tuple | None, rows: pd.DataFrame):
-        until, hits = held[0] if held else None, []
-        for us in rows["_us"]:
-            hit = until is not None and us <= until
-            hits.append(hit)
-            if touch or not hit:
-                until = us + life
-        return (int(until),), int(until), pd.DataFrame({"event": rows["_order"].to_numpy(), "hit": hits})
+    def step(held: tuple | None, us: int, row: list):
+        # What is over has been dropped before: whatever is held is still good.
+        return (held if held and not touch else (us + life,)), (held is not None,)
 
-    return _keyed(rows, ts, late, [key], f"event long, hit boolean, {key} {kind}", "until long", step)
+    return _ordered(stream, ts, order, late, key, {}, "until long", "event long, hit boolean", step, lambda held: held[0])
 
 
 def breaker(stream: DataFrame, ts: str, order: str, late: str, key: str, ok: str, failures: int = 3, seconds: int = 3600) -> DataFrame:
-    """L-05 as a stream: (event, failures before it, open, key): a circuit that ``failures`` in a row open until ``seconds`` after the last of them; a success resets it."""
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(ts, key, F.col(ok).alias("_ok"), F.col(order).cast("long").alias("_order"), F.unix_micros(ts).alias("_us"))
-
-    def step(held: tuple | None, rows: pd.DataFrame):
-        n, last = held if held else (0, 0)
-        before, opened = [], []
-        for us, good in zip(rows["_us"], rows["_ok"], strict=True):
-            before.append(n)
-            opened.append(n >= failures and us < last + seconds * 1_000_000)
-            n, last = (0, 0) if good else (n + 1, int(us))
-        # A count outlives the circuit's time: failures in a row may be far apart.
-        return ((int(n), int(last)) if n else None), 1 << 62, pd.DataFrame({"event": rows["_order"].to_numpy(), "failures": before, "open": opened})
-
-    return _keyed(rows, ts, late, [key], f"event long, failures long, open boolean, {key} {kind}", "n long, last long", step)
-
-
-def leases(stream: DataFrame, ts: str, order: str, late: str, key: str, cap: int, seconds: int = 1800) -> DataFrame:
-    """L-08, H-11: (event, granted, key): a lease is granted while those of its key that are not over, each for ``seconds``, are fewer than ``cap``."""
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(ts, key, F.col(order).cast("long").alias("_order"), F.unix_micros(ts).alias("_us"))
-
-    def step(held: tuple | None, rows: pd.DataFrame):
-        live = list(held[0]) if held else []
-        granted = []
-        for us in rows["_us"]:
-            live = [t for t in live if t > us]
-            granted.append(len(live) < cap)
-            if granted[-1]:
-                live.append(int(us) + seconds * 1_000_000)
-        return ((live,) if live else None), (max(live) if live else 0), pd.DataFrame({"event": rows["_order"].to_numpy(), "granted": granted})
-
-    return _keyed(rows, ts, late, [key], f"event long, granted boolean, {key} {kind}", "ends array<long>", step)
+    """L-05 as a stream: (key, event, failures before it, open): a circuit that ``failures`` in a row open until ``seconds`` after the last of them; a success resets it.
+
+    Failures in a row may be far apart, so a count stays until a success: one row for each key whose last call failed.
+    """
+
+    def step(held: tuple | None, us: int, row: list):
+        n, last = held or (0, 0)
+        return (None if row[0] else (n + 1, us)), (n, n >= failures and us < last + seconds * 1_000_000)
+
+    return _ordered(stream, ts, order, late, key, {"good": F.coalesce(F.col(ok), F.lit(False))}, "n long, last long", "event long, failures long, open boolean", step)
+
+
+def leases(stream: DataFrame, ts: str, order: str, late: str, key: str, kind: str, cap: int, seconds: int = 1800) -> DataFrame:
+    """L-08, H-11: (key, event, granted, used, reserved) of a day's budget of ``cap`` calls.
+
+    ``kind`` is "reserve" (a lease of ``seconds`` is granted while used and leased calls are fewer than ``cap``), "success" or "failure" (the oldest
+    lease ends; a success is used up) or "corrupt": the counter cannot be read, and
+    the budget is exhausted until a call's end writes it anew.  A new day begins with nothing used or leased, unless the
+    counter is corrupt.  Leases and day are those at the row's time.  ``granted`` is null unless the row asks for a lease; other
+    kinds change nothing.  Without a positive ``cap`` everything is granted and nothing counted.
+    """
+    life = seconds * 1_000_000
+
+    def loaded(held: tuple | None, us: int) -> tuple:
+        day = us // DAY
+        if held and held[3]:
+            return day, max(0, cap), [], True
+        if not held or held[0] != day:
+            return day, 0, [], False
+        return day, held[1], [t for t in held[2] if t > us - life], False
+
+    def step(held: tuple | None, us: int, row: list):
+        if cap <= 0:
+            return None, (True if row[0] == "reserve" else None, 0, 0)
+        day, used, live, corrupt = loaded(held, us)
+        granted = None
+        if row[0] == "reserve":
+            granted = used + len(live) < cap
+            live = [*live, us] if granted else live
+        elif row[0] in ("success", "failure"):
+            live, used, corrupt = live[1:], used + (row[0] == "success"), False
+        elif row[0] == "corrupt":
+            corrupt, live, used = True, [], cap
+        return (day, used, live, corrupt), (granted, used, len(live))
+
+    # A day's counter is over with the day; a corrupt one stays.
+    due = lambda held: None if held[3] else (held[0] + 1) * DAY - 1
+    return _ordered(stream, ts, order, late, key, {"kind": F.col(kind)}, "day long, used long, live array<long>, corrupt boolean", "event long, granted boolean, used long, reserved long", step, due)
+
+
+def reaper(stream: DataFrame, ts: str, order: str, late: str, key: str, lock: str, idle: int = 300, fresh: int = 600) -> DataFrame:
+    """L-07: (key, requested, reaped) of keys that no request came for in ``idle`` seconds.
+
+    Rows with ``lock`` are not requests but locks: while the last one is younger than ``fresh`` seconds, the key is not reaped.  A timer
+    reaps it, once until the next request, as soon as the watermark has passed the moment.
+    """
+
+    def due(held: tuple) -> int | None:
+        asked, locked = held
+        over = None if asked is None else asked + idle * 1_000_000
+        if locked is not None:
+            over = max(over or 0, locked + fresh * 1_000_000)
+        return over
+
+    def step(held: tuple | None, us: int, row: list):
+        asked, locked = held or (None, None)
+        return ((asked, us) if row[0] else (us, locked)), None
+
+    def end(held: tuple):
+        asked, _ = held
+        # Behind the last moment at which its lock is fresh, a key without request is forgotten.
+        return None, (None if asked is None else (None, _at(asked), _at(due(held))))
+
+    out = _ordered(stream, ts, order, late, key, {"lock": F.coalesce(F.col(lock), F.lit(False))}, "asked long, locked long", "event long, requested timestamp, reaped timestamp", step, due, end)
+    return out.drop("event")
+
+
+def _at(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
