@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stages import Folder
 
 MOST_LOOPS, COST_CAP, LANE_CAP = 3, 1.50, 2
 GAP = ["session", "ordinal", "topic", "reason", "severity"]
@@ -136,18 +137,71 @@ def similar_pairs(questions: DataFrame, key: str, id_col: str, text_col: str, le
     return scored.distinct()
 
 
-def plan_tree(roots: DataFrame, depth: int, width: int, leaves: int | None = None, budget: float | None = None) -> DataFrame:
-    """G-40: nodes (session, node, depth, leaf, budget) of a recursion plan, breadth first: each node has ``width`` children down to ``depth``, the last level the first ``leaves`` only, and a node an even slice of its level's budget.
+_ASKED = "array<struct<q:string,t:array<string>>>"
+_NODES = "array<struct<node:string,depth:int,question:string,budget:double>>"
 
-    The tree's shape is the same for all sessions and of fixed size, so it is one literal array.
+
+def _accepted(asked: Column, proposed: Column, limit: Column, least: float) -> Column:
+    """Struct of ``new``, the proposed questions that are taken, and ``dropped``, those too similar to one asked or taken before.  Once ``limit`` are taken, the rest is not looked at."""
+
+    def take(acc: Column, q: Column) -> Column:
+        near = F.exists(F.concat(asked, acc["new"]), lambda k: text.similarity(k["t"], q["t"]) >= least)
+        full = (F.size(acc["new"]) >= limit) & (F.size(acc["new"]) > 0)
+        as_is = F.struct(acc["new"].alias("new"), acc["dropped"].alias("dropped"))
+        return F.when(full | (q["q"] == ""), as_is).when(near, F.struct(acc["new"].alias("new"), F.concat(acc["dropped"], F.array(q["q"])).alias("dropped"))).otherwise(F.struct(F.concat(acc["new"], F.array(q)).alias("new"), acc["dropped"].alias("dropped")))
+
+    offered = F.transform(F.coalesce(proposed, F.array().cast("array<string>")), lambda q: F.struct(text.squash(q).alias("q"), text.similarity_tokens(q).alias("t")))
+    return F.aggregate(offered, F.struct(F.array().cast(_ASKED).alias("new"), F.array().cast("array<string>").alias("dropped")), take)
+
+
+def _ordered_questions(df: DataFrame, *keys: str) -> DataFrame:
+    """The questions of each key in the order of ``pos``; what one model proposes at one time is a short list."""
+    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("question", F.lit("")).alias("q")))), lambda x: x["q"]).alias("_proposed"))
+
+
+def plan_recursion(sessions: DataFrame, scout: DataFrame, proposals: DataFrame, least: float = 0.86) -> DataFrame:
+    """G-40: (session, nodes, leaves, dropped, remaining) of each of sessions(session, protocol, models, cost).
+
+    ``scout(session, pos, question)`` proposes the first level and ``proposals(session, parent, pos, question)`` what
+    is asked below a question.  Level by level, parents in their order, a session's plan carries the questions asked so
+    far, the number of its nodes and each node's slice of the budget: proposals too similar to
+    one asked before are dropped; a parent takes as many as its tier allows and as there is room for below the cap on all
+    nodes; its slice is dealt evenly to those that it takes.  Once the cost has reached the tier's budget, or where the tier has no
+    depth, nothing is planned.  Nodes are named by their place: 0.2 is the third child of the first.
     """
-    levels, count = [["0"]], 1
-    for d in range(1, depth + 1):
-        level = [f"{node}.{i}" for node in levels[-1] for i in range(width)]
-        levels.append(level[:leaves] if d == depth and leaves is not None else level)
-        count += len(levels[-1])
-    nodes = [F.struct(F.lit(node).alias("node"), F.lit(d).alias("depth"), F.lit(d == depth).alias("leaf"), F.lit(None if budget is None else budget / len(level)).cast("double").alias("budget")) for d, level in enumerate(levels) for node in level]
-    return roots.select("session", F.explode(F.array(*nodes)).alias("n")).select("session", "n.*")
+    limits = sessions.select("session", F.coalesce("cost", F.lit(0.0)).alias("_cost"), recursion_limits(F.col("protocol"), F.col("models")).alias("_l"))
+    limits = limits.withColumn("remaining", F.greatest(F.lit(0.0), F.col("_l.budget") - F.col("_cost"))).withColumn("_open", (F.col("_cost") < F.col("_l.budget")) & (F.col("_l.depth") > 0) & (F.col("_l.leaves") > 0))
+    plan = limits.join(_ordered_questions(scout, "session"), "session", "left")
+
+    def with_roots(a: Column) -> Column:
+        roots = F.transform(a["new"], lambda k, i: F.struct(i.cast("string").alias("node"), F.lit(1).alias("depth"), k["q"].alias("question"), (F.col("remaining") / F.size(a["new"])).alias("budget")))
+        return F.struct(a["new"].alias("asked"), roots.cast(_NODES).alias("nodes"), a["dropped"].alias("dropped"))
+
+    none = F.struct(F.array().cast(_ASKED).alias("asked"), F.array().cast(_NODES).alias("nodes"), F.array().cast("array<string>").alias("dropped"))
+    first = text.let(_accepted(F.array().cast(_ASKED), F.col("_proposed"), F.col("_l.leaves"), least), with_roots)
+    # Each level is written once: the next one reads it for its parents and for the plan.
+    folder = Folder(sessions.sparkSession, "recursion")
+    plan = folder.save(plan.withColumn("_plan", F.when(F.col("_open"), first).otherwise(none)).drop("_proposed"), "level1")
+
+    for depth in range(2, max(d for d, *_ in LIMITS.values()) + 1):
+        parents = plan.filter(F.col("_l.depth") >= depth).select("session", F.explode(F.filter("_plan.nodes", lambda n: n["depth"] == depth - 1)).alias("n"))  # noqa: B023
+        below = _ordered_questions(parents.select("session", "n.node", F.col("n.question").alias("parent")).join(proposals.withColumn("parent", text.squash(F.col("parent"))), ["session", "parent"]), "session", "node")
+        # At most as many lists as the cap on all nodes.
+        lists = below.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("node", "_proposed"))).alias("_lists"))
+
+        def grow(acc: Column, parent: Column) -> Column:
+            room = F.col("_l.leaves") - F.size(acc["nodes"])
+            taken = _accepted(acc["asked"], F.try_element_at("_lists", parent["node"]), F.least(F.col("_l.questions"), room), least)
+
+            def added(a: Column) -> Column:
+                children = F.transform(a["new"], lambda k, i: F.struct(F.concat(parent["node"], F.lit("."), i.cast("string")).alias("node"), (parent["depth"] + 1).alias("depth"), k["q"].alias("question"), (parent["budget"] / F.size(a["new"])).alias("budget")))
+                return F.struct(F.concat(acc["asked"], a["new"]).alias("asked"), F.concat(acc["nodes"], children.cast(_NODES)).alias("nodes"), F.concat(acc["dropped"], a["dropped"]).alias("dropped"))
+
+            return F.when(room <= 0, acc).otherwise(text.let(taken, added))
+
+        grown = F.aggregate(F.filter("_plan.nodes", lambda n: n["depth"] == depth - 1), F.col("_plan"), grow)  # noqa: B023
+        plan = folder.save(plan.join(lists, "session", "left").withColumn("_plan", F.when(F.col("_lists").isNotNull(), grown).otherwise(F.col("_plan"))).drop("_lists"), f"level{depth}")
+    return plan.select("session", F.col("_plan.nodes").alias("nodes"), F.size("_plan.nodes").alias("leaves"), F.col("_plan.dropped").alias("dropped"), "remaining")
 
 
 def rank_by(df: DataFrame, key: str, *order: Column) -> DataFrame:

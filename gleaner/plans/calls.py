@@ -168,14 +168,6 @@ def recursion_limits(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", gaps.recursion_limits(protocol, F.col("user_id") % 5).alias("l")).select("event_id", "l.*")
 
 
-@R.query("""WITH RECURSIVE n(node, depth) AS (SELECT '0', 0 UNION ALL SELECT node || '.' || i, depth + 1 FROM n, range(3) r(i) WHERE depth < 3), k AS (SELECT *, row_number() OVER (PARTITION BY depth ORDER BY node) AS place FROM n), f AS (SELECT * FROM k WHERE depth < 3 OR place <= 25), c AS (SELECT depth, count(*) AS c FROM f GROUP BY depth)
- SELECT s.user_id AS session, node, CAST(f.depth AS INT) AS depth, f.depth = 3 AS leaf, round(1.5 / c, 9)::DOUBLE AS budget FROM f JOIN c USING (depth), (SELECT DISTINCT user_id FROM events) s""")
-def recursion_plan(spark, sf_dir):
-    """G-40."""
-    s = _events(spark, sf_dir).select(F.col("user_id").alias("session")).distinct()
-    return gaps.plan_tree(s, 3, 3, 25, 1.5).withColumn("budget", F.round("budget", 9))
-
-
 @R.query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'SKIP' WHEN 1 THEN CASE WHEN event_type = 'error' OR value > 40 THEN 'FAIL' WHEN user_id % 4 = 0 THEN 'EMPTY' WHEN user_id % 4 = 1 THEN 'CHECK' ELSE 'OK' END WHEN 2 THEN CASE WHEN value > 20 THEN 'OK' ELSE 'FAIL' END WHEN 3 THEN CASE WHEN value > 20 THEN 'OK' ELSE 'CHECK' END ELSE 'CHECK' END AS status, CASE WHEN user_id % 3 = 0 THEN 'FAIL' ELSE 'OK' END AS rung FROM events")
 def lane_health(spark, sf_dir):
     """N-21."""

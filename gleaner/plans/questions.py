@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -349,3 +350,22 @@ def subquestions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[\"'“”‘’]"))
     offered = F.array(F.concat(F.lit("which firms"), F.col("turn")), F.lit("What does it mean"))
     return c.select("conv_id", "turn", F.array_join(routing.fill_subquestions(F.col("text"), offered, 9), "|").alias("questions"))
+
+
+def recursion_inputs(spark, sf_dir):
+    """Sessions, what their scouts propose, and what is proposed below a question: a conversation's sentences; below each the six that follow, every third for the scout."""
+    c = table(spark, sf_dir, "conversations")
+    said = c.select(F.col("conv_id").alias("session"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "question"))
+    placed = said.withColumn("i", F.row_number().over(Window.partitionBy("session").orderBy("turn", "k")) - 1)
+    ahead = placed.select("session", F.col("question").alias("parent"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"), "i")
+    below = ahead.select("session", "parent", (F.col("i") * 10 + F.col("step")).alias("pos"), (F.col("i") + F.col("step")).alias("i")).join(placed.select("session", "i", "question"), ["session", "i"]).select("session", "parent", "pos", "question")
+    i = F.col("conv_id")
+    sessions = c.select("conv_id").distinct().select(i.alias("session"), F.when(i % 5 == 0, "search").when(i % 2 == 0, "research").otherwise("deep_research").alias("protocol"), (i % 7).cast("int").alias("models"), (i % 4 * F.lit(0.2)).alias("cost"))
+    return sessions, placed.filter("i % 3 = 0").select("session", F.col("i").alias("pos"), "question"), below
+
+
+@R.query()
+def recursion_plan(spark, sf_dir):
+    """G-40 over conversations; folds that SQL cannot take, held against a plain loop in the tests."""
+    plan = gaps.plan_recursion(*recursion_inputs(spark, sf_dir))
+    return plan.select("session", "leaves", F.size("dropped").alias("dropped"), F.explode("nodes").alias("n")).select("session", "leaves", "dropped", "n.*")
