@@ -10,6 +10,7 @@ TRACKING = ["_ga", "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "utm
 PUBLISHERS = ["sciencedirect.com", "researchgate.net", "mdpi.com", "springer.com", "wiley.com", "tandfonline.com", "sagepub.com", "nature.com", "cell.com", "jstor.org", "academic.oup.com"]
 LISTICLE_TITLE = r"(?i)(?:\b(?:best|top|cheapest|worst|greatest)\b[^.]{0,40}?\b(?:\d{1,3}|picks|list|roundup)\b)|(?:\b\d{1,3}\s+(?:best|top|greatest)\b)|(?:\b(?:best|top)\s+\d{1,3}\b)"
 LISTICLE_PATH = r"(?:/(?:top|best)(?:[-/]|$))|(?:/(?:top|best)-\d{1,3}(?:-|/|$))|(?:-vs-)"
+JOURNAL = r"^/([^/]+)/(\d+)/(\d+)/(\d+)(?:/|$)"
 DOI = r"10\.\d{4,9}/[^\s\"'<>&]+"
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -75,15 +76,14 @@ def paper_like(url: Column) -> Column:
 
 def doi(url: Column) -> Column:
     """A-21: the DOI of an address without closing punctuation; null if there is none."""
-    found = F.regexp_replace(F.regexp_extract(url, "(?i)" + DOI, 0), r"[.,;:)\]]+$", "")
+    found = F.regexp_replace(F.regexp_extract(url, "(?i)" + DOI, 0), r"[).,;:\] }]+$", "")
     return F.nullif(found, F.lit(""))
 
 
 def doi_route(url: Column) -> Column:
     """A-21: struct of how a DOI is found and by what: in the address itself, by journal, volume, issue and page, by an article number, or by a title in the path; null if nothing leads to one."""
     path = part(url, 3)
-    journal = F.regexp_extract(path, r"(?i)^/(\d{4}-\d{3}[\dX])/(\d+)/(\d+)/([^/]+)/?$", 0)
-    parts = [F.regexp_extract(path, r"(?i)^/(\d{4}-\d{3}[\dX])/(\d+)/(\d+)/([^/]+)/?$", k) for k in (1, 2, 3, 4)]
+    journal, *parts = [F.regexp_extract(path, JOURNAL, k) for k in range(5)]
     number = F.regexp_extract(path, r"(?i)S\d{15,17}", 0)
     title = F.regexp_extract(_decoded(path), r"(?i)/publication/\d+_([^/?#]+)", 1)
     made = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))

@@ -27,7 +27,7 @@ DOCUMENT_TYPES = [
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 ]
 DOCUMENT_PREFIXES = ["audio/", "image/"]
-HTML_SUFFIXES = [".html", ".htm"]
+HTML_SUFFIXES = [".html", ".htm", ".xhtml"]
 
 
 def document_kind(url: Column, content_type: Column) -> Column:

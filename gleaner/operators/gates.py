@@ -48,7 +48,10 @@ def gate_claims(x: Column, source_required: bool = True) -> Column:
 #: Statuses of sessions whose answer is committed, verdicts of judges, reasons.
 COMMITTED = ["complete", "weak_sources", "insufficient_evidence"]
 VERDICTS, RELEVANCE = ["sufficient", "partial", "insufficient"], ["relevant", "irrelevant"]
-PARTIAL_CAP = 0.5
+PARTIAL_CAP, SAME_SHARE = 0.5, 0.8
+#: What is still asked after an answer that is held back, or capped.
+STILL_ASKED = "Which independent, on-topic sources directly answer this question?"
+UNCHECKED, PARTLY = "sufficiency checker unavailable", "source sufficiency is partial"
 STOPS = ["sufficient", "no_retriever", "max_recovery_iterations", "reformulation_failed", "reformulation_repeated", "same_items"]
 
 
@@ -77,6 +80,48 @@ def evidence_gate(kind: Column, status: Column, answer: Column, confidence: Colu
     )
 
 
+def still_missing(route: Column, missing: Column, why: Column) -> Column:
+    """G-16: what is asked on after a partial verdict: that no checker answered, or what is missing, else why."""
+    lacks = F.array_join(F.filter(F.coalesce(missing, F.array().cast("array<string>")), lambda m: F.trim(m) != ""), "; ")
+    detail = F.coalesce(F.nullif(lacks, F.lit("")), F.nullif(F.trim(F.coalesce(why, F.lit(""))), F.lit("")))
+    return text.squash(F.when(F.coalesce(route == "failed-closed", F.lit(False)), UNCHECKED).otherwise(F.concat_ws(": ", F.lit(PARTLY), detail)))
+
+
+def gate_outcome(sessions: DataFrame) -> DataFrame:
+    """G-16: sessions with all that the gate changes: kind, status, answer, confidence, answer_confidence, open, chunks, passed, failed, disagreements and verifications, and ``reason``.
+
+    Beside the columns of :func:`evidence_gate` a session has answer_confidence,
+    open array<string>, chunks array<bigint>, passed, failed, disagreements array<struct<a, b: array<bigint>>>,
+    verifications array<array<bigint>>, and of its judge route, missing array<string> and why.
+
+    Sufficient: all chunks pass.  Partial: both confidences are capped (an unmeasured one of the answer is the session's),
+    and what is missing is asked on, once.  Abstaining: no chunks, all of them failed, confidences 0, and a fixed question if none
+    was open.  What refers to chunks that are gone is pruned in all three.
+    """
+    cols = ["kind", "status", "answer", "confidence", "judged", "sources"]
+    own = [c for c in sessions.columns if c not in ("kind", "status", "answer", "confidence", "answer_confidence", "open", "chunks", "passed", "failed", "disagreements", "verifications")]
+    g, reason = F.col("_gate"), F.col("_gate.reason")
+    away, none, total = reason.isin("empty_evidence_pool", "sufficiency_exhausted"), F.array().cast("array<bigint>"), F.size(F.coalesce("chunks", F.array().cast("array<bigint>"))).cast("long")
+    opened = F.coalesce("open", F.array().cast("array<string>"))
+    asked = still_missing(F.col("route"), F.col("missing"), F.col("why"))
+    answered = F.least(F.coalesce(F.col("answer_confidence"), g["confidence"]), F.lit(PARTIAL_CAP))
+    chunks = F.when(away, none).otherwise(F.col("chunks"))
+    left = lambda refs: F.forall(refs, lambda i: F.array_contains(chunks, i))
+    pruned = lambda c, keep: F.when(reason == "not_applicable", F.col(c)).otherwise(F.filter(c, keep))
+    return sessions.withColumn("_gate", evidence_gate(*[F.col(c) for c in cols])).select(
+        *[F.col(f"`{c}`") for c in own],
+        *[g[c].alias(c) for c in ("kind", "status", "answer", "confidence")],
+        F.when(away, 0.0).when(reason == "partial", answered).otherwise(F.col("answer_confidence")).alias("answer_confidence"),
+        F.when(away & (F.size(opened) == 0), F.array(F.lit(STILL_ASKED))).when((reason == "partial") & ~F.array_contains(opened, asked), F.concat(opened, F.array(asked))).otherwise(opened).alias("open"),
+        chunks.alias("chunks"),
+        F.when(away, 0).when(reason == "passed", total).otherwise(F.col("passed")).cast("long").alias("passed"),
+        F.when(away, total).when(reason == "passed", 0).otherwise(F.col("failed")).cast("long").alias("failed"),
+        pruned("disagreements", lambda d: left(d["a"]) & left(d["b"])).alias("disagreements"),
+        pruned("verifications", left).alias("verifications"),
+        reason.alias("reason"),
+    )
+
+
 def judge_findings(chunks: Column, gated: Column) -> Column:
     """G-41: struct of kept and dropped chunk ids and the reason, from the gate's result: all are dropped if it abstains, all kept otherwise."""
     rejected = gated["reason"].isin("empty_evidence_pool", "sufficiency_exhausted")
@@ -104,7 +149,8 @@ def terminal(attempts: DataFrame, key: str, most: int = 2) -> DataFrame:
 
     It stops at the first sufficient verdict; at an attempt without query (the
     reformulation failed), with one met before, or whose sources are those of an
-    earlier attempt (none of these is judged); after ``most`` recoveries; and
+    earlier attempt or, where there is a column ``items`` (array<string>, a source's :func:`.evidence.source_key` each), share
+    SAME_SHARE of the larger set with those of the attempt before (none of these is judged); after ``most`` recoveries; and
     where the attempts end because nothing retrieves more.  What was judged last says whether the end is partial or exhausted.
     """
     w = Window.partitionBy(key).orderBy("pos")
@@ -113,7 +159,12 @@ def terminal(attempts: DataFrame, key: str, most: int = 2) -> DataFrame:
     # A loop has most + 1 attempts at most, so its windows are short.
     rows = attempts.filter(F.col("pos") <= most)
     later = F.col("pos") > 0
-    blocked = F.when(later & (F.coalesce(F.trim("query"), F.lit("")) == ""), "reformulation_failed").when(later & seen("query"), "reformulation_repeated").when(later & seen("fingerprint"), "same_items")
+    alike = F.lit(False)
+    if "items" in attempts.columns:
+        now, before = F.array_distinct("items"), F.array_distinct(F.lag("items").over(w))
+        larger = F.greatest(F.size(now), F.size(before))
+        alike = F.coalesce(F.when(larger == 0, True).otherwise(F.size(F.array_intersect(now, before)) / larger >= SAME_SHARE), F.lit(False))
+    blocked = F.when(later & (F.coalesce(F.trim("query"), F.lit("")) == ""), "reformulation_failed").when(later & seen("query"), "reformulation_repeated").when(later & (seen("fingerprint") | alike), "same_items")
     stop = F.coalesce(blocked, F.when(F.col("verdict") == "sufficient", "sufficient"), F.when(F.col("pos") >= most, "max_recovery_iterations"))
     rows = rows.withColumn("_blocked", blocked.isNotNull()).withColumn("_stop", stop).withColumn("_end", F.min(F.when(F.col("_stop").isNotNull(), F.col("pos"))).over(Window.partitionBy(key)))
     live = rows.filter(F.col("_end").isNull() | (F.col("pos") <= F.col("_end")))

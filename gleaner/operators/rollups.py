@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import Folder
+
 
 def calls_by_lane(calls: DataFrame) -> DataFrame:
     """H-01, H-02: (lane, ok, duration) to calls, ok, failed, mean duration and success rate; lanes without name are left out, bad durations are 0."""
@@ -32,13 +34,53 @@ def top_domains(log: DataFrame, domain: str, n: int = 5) -> DataFrame:
     return log.groupBy(F.coalesce(domain, F.lit("unknown")).alias("domain")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(n)
 
 
-def scorecard(runs: DataFrame, method: str, ok: str, elapsed: str, chars: str) -> DataFrame:
-    """H-06: attempts, success in percent, medians and verdict by method.
+#: Values of one key that may meet in one buffer; keys with more are selected from by histograms.
+MEDIAN_BUFFER, MEDIAN_BINS = 1 << 18, 1024
+
+
+def medians(rows: DataFrame, key: str, value: str, buffer: int = MEDIAN_BUFFER, bins: int = MEDIAN_BINS) -> DataFrame:
+    """(key, median): the exact median of each key's values that are not null, NaN being the largest.
 
-    The medians are exact, from counts of distinct values that are combined
-    before they meet: a method's values are its distinct milliseconds and sizes, not its rows.
+    Where no key has more than ``buffer`` values they are sorted in a buffer.
+    Otherwise the one or two values in the middle are searched for in rounds: the
+    values between the ends known so far are counted in ``bins`` bins, combined in
+    each task, and the bin with the wanted rank gives the next ends, its own
+    smallest and largest value.  No task sees a key's values, whatever their number.
     """
-    out = runs.groupBy(F.col(method).alias("method")).agg(F.count("*").alias("attempts"), (F.count_if(ok) / F.count("*") * 100).alias("success_pct"), F.median(elapsed).alias("median_ms"), F.median(chars).alias("median_chars"))
+    x = F.col(value).cast("double")
+    rows = rows.select(key, F.nanvl(x, F.lit(float("inf"))).alias("_v")).filter("_v is not null")
+    span = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if (span.agg(F.max("_n")).first()[0] or 0) <= buffer:
+        return rows.groupBy(key).agg(F.median("_v").alias("median"))
+    folder = Folder(rows.sparkSession, "medians")
+    ranks = F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
+    want = folder.save(span.select(key, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below")), "0")
+    step = 0
+    while not (ahead := want.filter("_lo < _hi")).isEmpty():
+        # Even bins by magnitude and by value in turn: values may lie anywhere between the smallest and the largest doubles.
+        scale = (lambda c: F.signum(c) * (F.log(F.abs(c)) + 800)) if step % 2 == 0 else (lambda c: c / 2)
+        lo, hi, at = (F.coalesce(scale(F.col(c)), F.lit(0.0)) for c in ("_lo", "_hi", "_v"))
+        share = F.nanvl(F.try_divide(at - lo, hi - lo), F.lit(0.0))
+        part = F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * bins), F.lit(0))
+        # The ends have bins of their own, so each round leaves fewer different values.
+        place = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), bins + 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(bins), part.cast("int") + 1)))
+        # NULL keys are a key like others.
+        met = rows.withColumnRenamed(key, "_k").join(ahead, F.col("_k").eqNullSafe(F.col(key))).filter("_v between _lo and _hi")
+        bin_ = met.groupBy(key, "_rank", "_below", place.alias("_place")).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        start = F.sum("_n").over(Window.partitionBy(key, "_rank").orderBy("_place")) - F.col("_n") + F.col("_below")
+        found = bin_.withColumn("_start", start).filter("_start <= _rank and _rank < _start + _n").select(key, "_rank", "_lo", "_hi", F.col("_start").alias("_below"))
+        step += 1
+        want = folder.save(want.filter("_lo >= _hi").unionByName(found), str(step))
+    return want.groupBy(key).agg(F.avg("_lo").alias("median"))
+
+
+def scorecard(runs: DataFrame, method: str, ok: str, elapsed: str, chars: str, buffer: int = MEDIAN_BUFFER) -> DataFrame:
+    """H-06: attempts, success in percent, exact medians and verdict by method."""
+    rows = runs.withColumn("method", F.col(method))
+    out = rows.groupBy("method").agg(F.count("*").alias("attempts"), (F.count_if(ok) / F.count("*") * 100).alias("success_pct"))
+    for value, name in ((elapsed, "median_ms"), (chars, "median_chars")):
+        found = medians(rows, "method", value, buffer).withColumnsRenamed({"method": "_m", "median": name})
+        out = out.join(found, F.col("method").eqNullSafe(F.col("_m")), "left").drop("_m")
     v = F.when(F.col("success_pct") >= 50, "KEEP").when((F.col("success_pct") >= 25) & (F.col("median_ms") > 15000), "SLOW-LOW-YIELD").when(F.col("success_pct") < 25, "DROP-CANDIDATE").otherwise("LOW-YIELD")
     return out.withColumn("verdict", v)
 

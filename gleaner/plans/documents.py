@@ -131,6 +131,33 @@ def evidence_gate_apply(spark, sf_dir):
     return sessions.gated(_sessions(spark, sf_dir)).select("doc_id", "kind", "status", "answer", "confidence", "gate.reason")
 
 
+@R.query(f"""WITH {_SESSIONS}, x AS (SELECT g.doc_id, reason, CASE WHEN g.doc_id % 8 <> 7 THEN (g.doc_id % 8) / 8 END::DOUBLE AS ac, g.confidence, length(d.text) % 5 AS n, d.lang, coalesce(d.source, '') AS why, g.doc_id % 9 = 0 AS dead FROM g JOIN documents d USING (doc_id)),
+ y AS (SELECT *, CASE WHEN dead THEN 'sufficiency checker unavailable' WHEN n > 2 THEN 'source sufficiency is partial: ' || lang || '; ' || n ELSE 'source sufficiency is partial' || CASE WHEN why = '' THEN '' ELSE ': ' || why END END AS asked, reason IN ('empty_evidence_pool', 'sufficiency_exhausted') AS away FROM x)
+ SELECT doc_id, CASE WHEN away THEN 0.0 WHEN reason = 'partial' THEN least(coalesce(ac, confidence), 0.5) ELSE ac END::DOUBLE AS answer_confidence,
+  CASE WHEN away THEN CASE WHEN n = 0 THEN 'Which independent, on-topic sources directly answer this question?' ELSE 'open' END WHEN reason = 'partial' THEN CASE WHEN n = 0 THEN asked ELSE 'open|' || asked END ELSE CASE WHEN n = 0 THEN '' ELSE 'open' END END AS open,
+  CASE WHEN away THEN 0 ELSE n END AS chunks, CASE WHEN away THEN 0 WHEN reason = 'passed' THEN n ELSE 1 END AS passed, CASE WHEN away THEN n WHEN reason = 'passed' THEN 0 ELSE 2 END AS failed,
+  CASE WHEN reason = 'not_applicable' THEN 2 WHEN away THEN 0 WHEN n >= 2 THEN 2 WHEN n = 1 THEN 0 ELSE 0 END::INT AS disagreements, CASE WHEN reason = 'not_applicable' THEN 2 WHEN away OR n < 3 THEN 1 ELSE 2 END::INT AS verifications, reason FROM y""")
+def gate_outcomes(spark, sf_dir):
+    """G-16: confidences, open questions, chunk counts and references as the gate leaves them; a document's length numbers its chunks."""
+    n = (F.length("text") % 5).cast("int")
+    own = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 8 != 7, (F.col("doc_id") % 8) / 8).alias("answer_confidence"),
+        F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("open"))).alias("open"),
+        F.transform(F.slice(F.array(*map(F.lit, range(1, 6))), F.lit(1), n), lambda i: i.cast("long")).alias("chunks"),
+        F.lit(1).alias("passed"),
+        F.lit(2).alias("failed"),
+        F.expr("array(named_struct('a', array(1L), 'b', array(2L)), named_struct('a', array(2L), 'b', array(2L)))").alias("disagreements"),
+        F.expr("array(array(3L), cast(array() as array<bigint>))").alias("verifications"),
+        F.when(F.col("doc_id") % 9 == 0, "failed-closed").alias("route"),
+        F.when(n > 2, F.array(F.col("lang"), F.lit(" "), n.cast("string"))).alias("missing"),
+        F.col("source").alias("why"),
+    )
+    out = gates.gate_outcome(_sessions(spark, sf_dir).join(own, "doc_id"))
+    size = lambda c: F.size(c).alias(c)
+    return out.select("doc_id", "answer_confidence", F.array_join("open", "|").alias("open"), F.size("chunks").cast("long").alias("chunks"), "passed", "failed", size("disagreements"), size("verifications"), "reason")
+
+
 @R.query(f"WITH {_SESSIONS} SELECT doc_id, reason, kind_before, status_before, reason IN ('empty_evidence_pool', 'sufficiency_exhausted') AS overridden FROM g WHERE reason <> 'not_applicable'")
 def gate_decisions(spark, sf_dir):
     """B-04."""

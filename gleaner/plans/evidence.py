@@ -251,3 +251,16 @@ def sufficiency_terminal(spark, sf_dir):
     verdict = F.when(F.col("l_returnflag") == "A", "sufficient").when(F.col("l_returnflag") == "R", "partial").otherwise("insufficient")
     attempts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("pos")).agg(F.min(verdict).alias("verdict"), F.min(F.when(F.col("l_partkey") % 7 == 0, "").otherwise(F.concat(F.lit("q"), F.col("l_partkey") % 9))).alias("query"), F.min(F.col("l_suppkey") % 40).alias("fingerprint"))
     return gates.terminal(attempts, "k")
+
+
+@R.query(f"""WITH {_ATTEMPTS}, i AS (SELECT l_orderkey AS k, l_linenumber - 1 AS pos, min(l_suppkey % 6) AS first FROM lineitem GROUP BY ALL), r AS (SELECT a.k, pos, verdict, pos > 0 AND coalesce(abs(first - lag(first) OVER (PARTITION BY k ORDER BY pos)) <= 2, false) AS same FROM a JOIN i USING (k, pos) WHERE pos <= 2),
+ s AS (SELECT *, CASE WHEN same THEN 'same_items' WHEN verdict = 'sufficient' THEN 'sufficient' WHEN pos >= 2 THEN 'max_recovery_iterations' END AS stop FROM r), e AS (SELECT k, min(pos) FILTER (stop IS NOT NULL) AS fin FROM s GROUP BY k),
+ o AS (SELECT k, arg_max(verdict, pos) FILTER (NOT same) AS verdict, coalesce(arg_max(stop, pos) FILTER (stop IS NOT NULL), 'no_retriever') AS stopped, max(pos) AS "at" FROM s JOIN e USING (k) WHERE fin IS NULL OR pos <= fin GROUP BY k)
+ SELECT k, CASE WHEN stopped = 'sufficient' THEN 'sufficient' WHEN verdict = 'partial' THEN 'partial' ELSE 'exhausted' END AS terminal, stopped, "at" FROM o""")
+def sufficiency_same_items(spark, sf_dir):
+    """G-15: ten sources an attempt, neighbours in a row; eight of them in common are substantially the same."""
+    verdict = F.when(F.col("l_returnflag") == "A", "sufficient").when(F.col("l_returnflag") == "R", "partial").otherwise("insufficient")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") - 1).alias("pos")).agg(F.min(verdict).alias("verdict"), F.min(F.col("l_suppkey") % 6).alias("_first"))
+    rows = rows.withColumn("items", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.concat(F.lit("s"), F.col("_first") + j)))
+    # Queries and fingerprints are all different here, so that the sources decide.
+    return gates.terminal(rows.withColumn("query", F.concat(F.lit("q"), "pos")).withColumn("fingerprint", F.col("pos")), "k")

@@ -345,11 +345,11 @@ def memory_results(spark, sf_dir):
     return payloads.memory_results(d, q).select("question_id", "id", F.round("score", 9).alias("score"))
 
 
-@R.query("SELECT page_id, ['doi', 'journal', 'number', 'title', 'doi', NULL][1 + page_id % 6] AS kind, CASE page_id % 6 WHEN 0 THEN '10.1234/p' || page_id WHEN 1 THEN '2072-666X 9 3 ' || page_id WHEN 2 THEN 'S0123456789012345' WHEN 3 THEN 'A title here' WHEN 4 THEN '10.5555/q' || page_id END AS value FROM pages")
+@R.query("SELECT page_id, ['doi', 'journal', 'number', 'title', 'doi', NULL, 'journal'][1 + page_id % 7] AS kind, CASE page_id % 7 WHEN 0 THEN '10.1234/p' || page_id WHEN 1 THEN '2072-666X 9 3 ' || page_id WHEN 2 THEN 'S0123456789012345' WHEN 3 THEN 'A title here' WHEN 4 THEN '10.5555/q' || page_id WHEN 6 THEN 'micromachines 9 3 ' || page_id END AS value FROM pages")
 def doi_routes(spark, sf_dir):
     """A-21: addresses of all kinds."""
-    i, n = F.col("page_id").cast("string"), F.col("page_id") % 6
-    made = F.when(n == 0, F.concat(F.lit("https://doi.org/10.1234/p"), i, F.lit(")."))).when(n == 1, F.concat(F.lit("https://www.mdpi.com/2072-666X/9/3/"), i)).when(n == 2, "https://x.com/science/article/pii/S0123456789012345").when(n == 3, F.concat(F.lit("https://www.researchgate.net/publication/"), i, F.lit("_A_title%20here"))).when(n == 4, F.concat(F.lit("https://x.org/?d=10.5555%2Fq"), i)).otherwise(F.col("url"))
+    i, n = F.col("page_id").cast("string"), F.col("page_id") % 7
+    made = F.when(n == 0, F.concat(F.lit("https://doi.org/10.1234/p"), i, F.lit("})."))).when(n == 6, F.concat(F.lit("https://www.mdpi.com/micromachines/9/3/"), i, F.lit("/pdf"))).when(n == 1, F.concat(F.lit("https://www.mdpi.com/2072-666X/9/3/"), i)).when(n == 2, "https://x.com/science/article/pii/S0123456789012345").when(n == 3, F.concat(F.lit("https://www.researchgate.net/publication/"), i, F.lit("_A_title%20here"))).when(n == 4, F.concat(F.lit("https://x.org/?d=10.5555%2Fq"), i)).otherwise(F.concat(F.lit("https://www.mdpi.com/2072-666X/9/3/s"), i))
     return table(spark, sf_dir, "pages").select("page_id", urls.doi_route(made).alias("d")).select("page_id", "d.kind", "d.value")
 
 

@@ -240,6 +240,39 @@ def test_recovery_loop(spark):
     assert got == {1: ("sufficient", "sufficient", 1), 2: ("partial", "reformulation_repeated", 1), 3: ("exhausted", "same_items", 1), 4: ("partial", "no_retriever", 0), 5: ("exhausted", "max_recovery_iterations", 2), 6: ("partial", "reformulation_failed", 1)}
 
 
+def test_recovery_stops_at_much_the_same_sources(spark):
+    old = [f"s{i}" for i in range(10)]
+    rows = [(k, pos, "partial", f"q{pos}", f"f{pos}", items) for k, new in enumerate([old[:8] + ["x", "y"], old[:7] + ["x", "y", "z"], [], old + ["x", "y"], old + old]) for pos, items in ((0, old), (1, new))]
+    rows += [(9, 0, "partial", "q", "f", []), (9, 1, "sufficient", "r", "g", [])]
+    df = spark.createDataFrame(rows, "k int, pos int, verdict string, query string, fingerprint string, items array<string>")
+    got = {r.k: r.stopped for r in gates.terminal(df, "k").collect()}
+    assert got == {0: "same_items", 1: "no_retriever", 2: "no_retriever", 3: "same_items", 4: "same_items", 9: "same_items"}
+
+
+@pytest.mark.parametrize(("n", "buffer"), [(0, 0), (2, 0), (999, 0), (1000, 0), (1000, 1 << 18)])
+def test_medians(spark, n, buffer):
+    rng = random.Random(n)
+    pick = [lambda: rng.gauss(0, 1), lambda: rng.choice([1.0, 2.0]), lambda: 10.0 ** rng.randrange(-300, 300), lambda: rng.choice([float("inf"), float("-inf"), 0.0, 5.0, float("nan")]), lambda: rng.randrange(10**15)]
+    rows = [(k if k else None, float(pick[k]())) for k in range(5) for _ in range(n)] + [(1, None)] * 3
+    got = {r.k: r.median for r in rollups.medians(spark.createDataFrame(rows, "k int, v double"), "k", "v", buffer, 64).collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        vs = sorted(float("inf") if v != v else v for q, v in rows if q == k and v is not None)
+        want[k] = (vs[(len(vs) - 1) // 2] + vs[len(vs) // 2]) / 2
+    assert got == pytest.approx(want, rel=1e-15)
+
+
+def test_journal_paths_and_page_suffixes(spark):
+    from gleaner.functions import urls
+    from gleaner.operators import assembly
+
+    asked = {"https://www.mdpi.com/2072-666X/9/3/125/pdf": ("journal", "2072-666X 9 3 125"), "https://www.mdpi.com/2072-666X/9/3/s125": None, "https://doi.org/10.1234/ab}": ("doi", "10.1234/ab")}
+    df = spark.createDataFrame([(u,) for u in asked], "u string").select("u", urls.doi_route(F.col("u")).alias("d"))
+    assert {r.u: r.d and tuple(r.d) for r in df.collect()} == asked
+    engines = spark.createDataFrame([(s,) for s in (".xhtml", ".HTM", ".md")], "s string").select("s", assembly.document_engines(F.lit(None).cast("string"), F.col("s"), F.lit(False)).alias("e"))
+    assert {r.s: r.e for r in engines.collect()} == {".xhtml": [], ".HTM": [], ".md": ["unstructured"]}
+
+
 def test_similar_pairs(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
