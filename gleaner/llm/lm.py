@@ -8,21 +8,23 @@ Classes: exchange clustering.  It starts on the ``core`` most frequent words,
 one after the other: from classes dealt by frequency, each word moves to the
 class in which the bigram likelihood of the training text is largest, until a
 round moves nothing or ``rounds`` are over.  The exchange then goes on over all
-words in blocks of documents' tasks: a sweep counts, for each word, the classes
+words in blocks of documents' tasks: a pass counts, for each word, the classes
 before and after it, and moves it to the class with the largest gain in the same
-likelihood, its own bigrams taken out of its old class first.  The first sweep
+likelihood, its own bigrams taken out of its old class first.  The first pass
 places the words that have no class yet; each of ``sweeps`` more moves all words
-that gain by it, against the counts from before the sweep.  The core's size, like the number of classes, is where the clustering
-starts and no bound on the words that are clustered.
+that gain by it, against the counts from before.  The likelihood of the class
+bigrams is measured after each sweep, and one that has not raised it is taken back.  The core's size, like the number of
+classes, is where the clustering starts and no bound on the words that are clustered.
+
+A token's probability is ``MIX`` times that of the class model and the rest times
+that of its word alone (the base), so little text does not make the model worse than the base.
 
 What moves: word counts and (word, class beside it) counts, combined in each
-task before they are shuffled.  At most ``lexicon`` words (all that are met often
-enough, 17 bytes each) are broadcast and reach the driver; a smaller vocabulary
-does as a whole.  Words below stay a table keyed by word: they get count and
-class by the same gain, and the tokens of documents that are such words go to
-that table by a join, as rows (document, word, class before it).  As history
-they count as one class of their own.  All counts are of all training documents
-and grow with them; nothing on the driver does.
+task before they are shuffled and keyed by word.  Words met often enough to be
+among ``lexicon`` (17 bytes each, and the core at least) are broadcast for lookups; the classes of
+all others are a table keyed by word, and a document's own words of that
+table are joined to it before a pass.  A word's class, and so every score, is the same
+wherever the word is looked up.  All counts are of all training documents and grow with them; nothing on the driver does.
 
 Defined results: null and empty texts are one end token.  A null doc_id is in
 training (its checksum is of the empty text).  Rows that repeat count again.
@@ -49,7 +51,7 @@ from .workspace import Workspace
 CORE, CLASSES, ROUNDS, SWEEPS, LEXICON = 2048, 48, 8, 1, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x454E440000000001)
-SMOOTHING = 0.01
+SMOOTHING, MIX = 0.01, 0.8
 
 
 def held_out(ids: pa.Array) -> np.ndarray:
@@ -119,12 +121,11 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Sorted hashes of the broadcast words with their counts; ``whole``: no training word is missing."""
+    """Sorted hashes of the broadcast words with their counts."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, whole: bool):
-        order = np.argsort(words)
-        self.words, self.counts, self.whole = words[order], counts[order], whole
-        self.size = len(words)
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, first = np.unique(words, return_index=True)
+        self.counts, self.size = counts[first], len(self.words)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Index of each word, ``size`` for words outside."""
@@ -139,6 +140,36 @@ class Lexicon:
         return self.ids(distinct)[back]
 
 
+EXTRA = "array<struct<word:long,class:long,n:long>>"
+
+
+class Lookup:
+    """Classes and counts of words: those of the lexicon, and those that a batch's documents bring along in its third column."""
+
+    def __init__(self, lexicon: Lexicon, classes: np.ndarray, never: int):
+        self.lexicon = lexicon
+        self.of, self.counts = np.append(classes, never).astype(np.int64), np.append(lexicon.counts, 0).astype(np.int64)
+        self.word = self.k = self.n = np.zeros(0, np.int64)
+
+    def bring(self, batch: pa.RecordBatch) -> None:
+        if batch.num_columns > 2:
+            rows = batch.column(2).flatten()
+            word, first = np.unique(rows.field("word").to_numpy(zero_copy_only=False), return_index=True)
+            self.word, self.k, self.n = word, *(rows.field(c).to_numpy(zero_copy_only=False)[first] for c in ("class", "n"))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the lexicon, class, count) of each word; the place is the lexicon's size and the count 0 for words not known."""
+        distinct, back = np.unique(h, return_inverse=True)
+        ids = self.lexicon.ids(distinct)
+        k, n = self.of[ids], self.counts[ids]
+        out = np.flatnonzero(ids == self.lexicon.size) if len(self.word) else ()
+        if len(out):
+            at = np.minimum(np.searchsorted(self.word, distinct[out]), len(self.word) - 1)
+            met = self.word[at] == distinct[out]
+            k[out[met]], n[out[met]] = self.k[at[met]], self.n[at[met]]
+        return ids[back], k[back], n[back]
+
+
 def _core_pairs(shared, shared_rank, core: int):
     """(pair, n) of neighbouring training tokens that both are among the first ``core`` words; words go by rank."""
 
@@ -255,64 +286,89 @@ def gains(v: np.ndarray, old: np.ndarray, N: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(shared, shared_classes, classes: int, inside: bool, new: bool = False):
-    """(word, context, n) of the training text: the classes before and, further up, after words of the lexicon (``inside``; ``new``: only those without class) or others.
+def _contexts(shared, shared_classes, classes: int, new: bool | None):
+    """(word, context, n, class) of the training text: the classes before and, further up, after each word, beside the class it has.
 
-    Rows without word are the class bigrams: context = first * (2 * classes + 1) +
-    second, where a second word met once counts ``classes`` higher, and 2 * classes
-    is that of words outside the lexicon.
+    ``new``: only words without class; None: no words.  Rows without word are the class bigrams: context =
+    first * (2 * classes + 1) + second, where a second word met once counts ``classes`` higher, and 2 * classes is that of words without class.
     """
     side = classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, of = shared.value, np.append(shared_classes.value, classes).astype(np.int64)
-        once = np.append(lexicon.counts == 1, False)
+        lexicon = shared.value
+        look = Lookup(lexicon, shared_classes.value, classes)
         table = np.zeros(side * (2 * classes + 1), np.int64)
         sums, outside = _Sums(), []
 
-        def made() -> pa.RecordBatch:
-            if inside:
-                keys, n = sums.get()
-                word, context = lexicon.words[keys // (2 * side)], keys % (2 * side)
-            else:
-                h, context, n = (np.concatenate(x) for x in zip(*outside, strict=True)) if outside else (np.zeros(0, np.int64),) * 3
+        def made() -> Iterator[pa.RecordBatch]:
+            keys, n = sums.get()
+            at = keys // (2 * side)
+            yield rows(lexicon.words[at], keys % (2 * side), n, look.of[at])
+            if outside:
+                h, context, n, k = (np.concatenate(x) for x in zip(*outside, strict=True))
                 order = np.lexsort((context, h))
-                h, context, n = h[order], context[order], n[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])])) if len(h) else np.zeros(0, np.int64)
-                word, context, n = h[first], context[first], np.add.reduceat(n, first) if len(first) else n
-            return pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(context, pa.int64()), pa.array(n, pa.int64())], ["word", "context", "n"])
+                h, context, n, k = h[order], context[order], n[order], k[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])]))
+                yield rows(h[first], context[first], np.add.reduceat(n, first), k[first])
+
+        def rows(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["word", "context", "n", "class"])
 
         held_rows = 0
         for batch in batches:
             held = held_out(batch.column(0))
+            look.bring(batch)
             for c in kernel.chunks(batch.column(1)):
                 h, first = _training(c, held)
                 if not len(h):
                     continue
                 h = h.view(np.int64)
-                ids = lexicon.of(h)
-                k, starts = of[ids], np.flatnonzero(first)
+                ids, k, n = look(h)
+                starts = np.flatnonzero(first)
                 before = _before(k, starts)
-                second = np.where(ids == lexicon.size, 2 * classes, np.where(once[ids] & (k < classes), k + classes, np.where(k < classes, k, 2 * classes)))
+                second = np.where(k == classes, 2 * classes, np.where(n == 1, k + classes, k))
                 table += np.bincount(before * (2 * classes + 1) + second, minlength=len(table))
+                if new is None:
+                    continue
                 after = np.empty_like(k)
                 after[:-1] = k[1:]
                 after[np.append(starts[1:], len(k)) - 1] = k[starts]
-                if inside:
-                    use = (ids < lexicon.size) & (k == classes) if new else ids < lexicon.size
-                    base = ids[use] * (2 * side)
-                    sums.add(*np.unique(np.concatenate([base + before[use], base + side + after[use]]), return_counts=True))
-                    held_rows = sums.held
-                else:
-                    use = ids == lexicon.size
-                    outside.append((np.concatenate([h[use], h[use]]), np.concatenate([before[use], side + after[use]]), np.ones(2 * int(use.sum()), np.int64)))
-                    held_rows += 2 * int(use.sum())
-                if held_rows > FLUSH:
-                    yield made()
+                use = k == classes if new else np.ones(len(k), bool)
+                near = use & (ids < lexicon.size)
+                base = ids[near] * (2 * side)
+                sums.add(*np.unique(np.concatenate([base + before[near], base + side + after[near]]), return_counts=True))
+                far = use & (ids == lexicon.size)
+                if far.any():
+                    outside.append((np.tile(h[far], 2), np.concatenate([before[far], side + after[far]]), np.ones(2 * int(far.sum()), np.int64), np.tile(k[far], 2)))
+                    held_rows += 2 * int(far.sum())
+                if sums.held + held_rows > FLUSH:
+                    yield from made()
                     sums, outside, held_rows = _Sums(), [], 0
-        yield made()
+        if new is not None:
+            yield from made()
         met = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.int64()), pa.array(met), pa.array(table[met])], ["word", "context", "n"])
+        none = pa.nulls(len(met), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(met), pa.array(table[met]), none], ["word", "context", "n", "class"])
+
+    return run
+
+
+def _outside(shared):
+    """(row, word) of the words of each document that are not in the lexicon."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        for batch in batches:
+            row = batch.column(2).to_numpy()
+            for c in kernel.chunks(batch.column(1)):
+                h, at = tokens(c)
+                h = h.view(np.int64)
+                doc = np.repeat(np.arange(c.n), np.diff(at))
+                out = np.flatnonzero(lexicon.of(h) == lexicon.size)
+                order = np.lexsort((h[out], doc[out]))
+                doc, word = doc[out][order], h[out][order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row[c.first + doc[first]], pa.int64()), pa.array(word[first], pa.int64())], ["row", "word"])
 
     return run
 
@@ -330,63 +386,44 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def _words_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, counts by context) of rows (word, context, n) in order of word; a word's rows may go on in the next batch."""
-    last, row = np.zeros(0, np.int64), np.zeros((0, width))
+def _words_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, counts by context, classes) of rows (word, context, n, class) in order of word; a word's rows may go on in the next batch."""
+    last, row, old = np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0, np.int64)
     for table in _gathered(batches):
-        word, context, n = (table.column(k).to_numpy() for k in range(3))
+        word, context, n, k = (table.column(c).to_numpy() for c in range(4))
         new = np.concatenate([[True], word[1:] != word[:-1]])
-        words = word[new]
+        words, kinds = word[new], k[new]
         v = np.bincount((np.cumsum(new) - 1) * width + context, n, len(words) * width).reshape(-1, width)
         if len(last) and last[0] == words[0]:
             v[0] += row[0]
         elif len(last):
-            words, v = np.concatenate([last, words]), np.concatenate([row, v])
-        last, row = words[-1:], v[-1:]
-        yield words[:-1], v[:-1]
-    yield last, row
+            words, v, kinds = np.concatenate([last, words]), np.concatenate([row, v]), np.concatenate([old, kinds])
+        last, row, old = words[-1:], v[-1:], kinds[-1:]
+        yield words[:-1], v[:-1], kinds[:-1]
+    yield last, row, old
 
 
-def _moves(shared, shared_classes, N: np.ndarray):
-    """(word, class) of the words of the lexicon that move: those without class and those that gain by it."""
+def _moves(shared, N: np.ndarray):
+    """(word, class, inside) of the words that move, those without class and those that gain by it; ``inside``: in the lexicon."""
     classes = len(N) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, of = shared.value, shared_classes.value.astype(np.int64)
-        for words, v in _words_of(batches, 2 * (classes + 1)):
+        lexicon = shared.value
+        for words, v, old in _words_of(batches, 2 * (classes + 1)):
             if not len(words):
                 continue
-            old = of[lexicon.ids(words)]
             gain = np.round(gains(v, old, N), 6)
             new = np.argmax(gain, axis=1)
             here = gain[np.arange(len(old)), np.minimum(old, classes - 1)]
             move = (old == classes) | (gain[np.arange(len(old)), new] > here + 1e-6)
-            yield pa.RecordBatch.from_arrays([pa.array(words[move]), pa.array(new[move])], ["word", "class"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[move]), pa.array(new[move]), pa.array(lexicon.ids(words[move]) < lexicon.size)], ["word", "class", "inside"])
 
     return run
 
 
-def _others(N: np.ndarray):
-    """(word, n, class, context) of the words outside the lexicon; rows without word are class bigrams, as in :func:`_contexts`, that lead to them."""
-    classes = len(N) - 1
-    side = classes + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(side * (2 * classes + 1), np.int64)
-        for words, v in _words_of(batches, 2 * side):
-            if not len(words):
-                continue
-            k = np.argmax(np.round(gains(v, np.full(len(words), classes), N), 6), axis=1)
-            n = v[:, :side].sum(1).astype(np.int64)
-            second = np.where(n == 1, k + classes, k)
-            word, before = np.nonzero(v[:, :side])
-            table += np.bincount(before * (2 * classes + 1) + second[word], v[word, before], len(table)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(k), pa.nulls(len(words), pa.int64())], ["word", "n", "class", "context"])
-        met = np.flatnonzero(table)
-        none = pa.nulls(len(met), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(table[met]), none, pa.array(met)], ["word", "n", "class", "context"])
-
-    return run
+def likelihood(N: np.ndarray) -> float:
+    """What the exchange raises, of class bigrams."""
+    return float(_xlogx(N).sum() - _xlogx(N.sum(0)).sum() - _xlogx(N.sum(1)).sum())
 
 
 class Model:
@@ -408,41 +445,29 @@ class Model:
         return np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(tokens, 1)), -np.log10(self.n_words + 1))
 
 
-def _score(shared, shared_classes, shared_model, n_total: int):
-    """SCORED and ``rest``: the tokens whose words are not in the lexicon, by word and class before it."""
-    rest_type = pa.list_(pa.struct([("word", pa.int64()), ("before", pa.int64()), ("n", pa.int64())]))
-
+def _score(shared, shared_classes, shared_model, n_total: int, mix: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, model = shared.value, shared_model.value
-        classes = model.classes
-        of = np.append(shared_classes.value, classes).astype(np.int64)
-        counts = np.append(lexicon.counts, 0)
-        emit = model.emission(of, counts)
-        base = np.log10(counts + 1.0) - np.log10(n_total + model.n_words + 1)
+        model = shared_model.value
+        look = Lookup(shared.value, shared_classes.value, model.classes)
+        scale = np.log10(n_total + model.n_words + 1)
         for batch in batches:
             held = held_out(batch.column(0))
+            look.bring(batch)
             for c in kernel.chunks(batch.column(1)):
                 h, at = tokens(c)
-                h = h.view(np.int64)
-                ids = lexicon.of(h)
-                k = of[ids]
+                _, k, n = look(h.view(np.int64))
                 before = _before(k, at[:-1])
-                here = (ids < lexicon.size) | lexicon.whole
-                sums = lambda x: pa.array(np.add.reduceat(np.where(here, x, 0), at[:-1]))  # noqa: B023, E731  each document has its end token
-                out = np.flatnonzero(~here)
-                doc = np.repeat(np.arange(c.n), np.diff(at))[out]
-                order = np.lexsort((before[out], h[out], doc))
-                doc, word, ctx = doc[order], h[out][order], before[out][order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]) | (ctx[1:] != ctx[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(doc)))
-                rows = pa.StructArray.from_arrays([pa.array(word[first]), pa.array(ctx[first]), pa.array(n, pa.int64())], ["word", "before", "n"])
-                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(c.n + 1)).astype(np.int32)), rows).cast(rest_type)
-                score = emit[ids] + model.transition[before, k]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(held[c.first : c.last]), pa.array(np.diff(at)), sums((counts[ids] > 0).astype(np.int64)), pa.array(np.full(c.n, n_total)), sums(base[ids]), sums(score), rest], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "rest"])
+                base = np.log10(n + 1.0) - scale
+                log = model.emission(k, n) + model.transition[before, k]
+                if mix < 1:
+                    log = np.logaddexp((log + np.log10(mix)) * _LN, (base + np.log10(1 - mix)) * _LN) / _LN
+                sums = lambda x: pa.array(np.add.reduceat(x, at[:-1]))  # noqa: B023, E731  each document has its end token
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(held[c.first : c.last]), pa.array(np.diff(at)), sums((n > 0).astype(np.int64)), pa.array(np.full(c.n, n_total)), sums(base), sums(log)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+_LN = np.log(10.0)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -460,33 +485,49 @@ def _cut(counts: DataFrame, n_words: int, most: int) -> int:
     return cut
 
 
+class Classes:
+    """Classes of all words: of the lexicon's as an array beside it, of the others as a table (word, class, n) or None; ``docs``: the documents with what they need of that table."""
+
+    def __init__(self, of: np.ndarray, tail: DataFrame | None, docs: DataFrame):
+        self.of, self.tail, self.docs = of, tail, docs
+
+
 class Fitted:
-    """A model with the classes of the lexicon (an array beside it) and of all other words (a table: word, n, class)."""
+    def __init__(self, lexicon: Lexicon, classes: Classes, model: Model, n_total: int):
+        self.lexicon, self.classes, self.model, self.n_total = lexicon, classes, model, n_total
 
-    def __init__(self, lexicon: Lexicon, classes: np.ndarray, others: DataFrame, model: Model, n_total: int):
-        self.lexicon, self.classes, self.others, self.model, self.n_total = lexicon, classes, others, model, n_total
+
+def _with_tail(docs: DataFrame, tail: DataFrame, shared, ws: Workspace) -> DataFrame:
+    """``docs(doc_id, text, row)`` as (doc_id, text, extra): the classes and counts of each document's own words of ``tail``."""
+    met = docs.mapInArrow(_outside(shared), "row long, word long").join(tail, "word")
+    extra = met.groupBy("row").agg(F.collect_list(F.struct("word", "class", "n")).alias("extra"))
+    return ws.save(docs.join(extra, "row", "left").select("doc_id", "text", F.coalesce("extra", F.array().cast(EXTRA)).cast(EXTRA).alias("extra")), "known")
 
 
 def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sweeps: int, lexicon: int) -> Fitted:
     """Counts, classes and class bigrams of the training part of ``docs(doc_id, text)``."""
-    share = docs.sparkSession.sparkContext.broadcast
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     counts = ws.save(docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     n_words, n_total = (int(x or 0) for x in counts.agg(F.count("*"), F.sum("n")).first())
-    known = counts.filter(F.col("n") >= _cut(counts, n_words, lexicon)).toArrow()
-    words = Lexicon(known.column("word").to_numpy(), known.column("n").to_numpy(), len(known) == n_words)
-    shared = share(words)
-
-    order = np.lexsort((words.words, -words.counts))
-    core = min(core, words.size)
+    top = counts.orderBy(F.desc("n"), "word").limit(core).toArrow()
+    least = _cut(counts, n_words, lexicon)
+    known = counts.filter(F.col("n") >= least).toArrow()
+    words = Lexicon(*(np.concatenate([t.column(c).to_numpy() for t in (top, known)]) for c in ("word", "n")))
+    shared, whole = share(words), words.size == n_words
+
+    core = len(top)
+    first = words.ids(top.column("word").to_numpy())
     rank = np.full(words.size, core, np.int32)
-    rank[order[:core]] = np.arange(core)
+    rank[first] = np.arange(core)
     pairs = docs.mapInArrow(_core_pairs(shared, share(rank), core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").toArrow()
     pair, n = pairs.column("pair").to_numpy(), pairs.column("n").to_numpy()
     of = np.full(words.size, classes, np.int16)
     if core:
-        of[order[:core]] = exchange(pair // core, pair % core, n, core, min(classes, core), rounds)
+        of[first] = exchange(pair // core, pair % core, n, core, min(classes, core), rounds)
 
     side, width = classes + 1, 2 * classes + 1
+    rows_of = "word long, context long, n long, class long"
 
     def table_of(rows: DataFrame) -> np.ndarray:
         got = rows.filter("word is null").groupBy("context").agg(F.sum("n").alias("n")).toArrow()
@@ -497,53 +538,55 @@ def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sw
     def bigrams(table: np.ndarray) -> np.ndarray:
         return np.concatenate([table[:, :classes] + table[:, classes : 2 * classes], table[:, 2 * classes :]], axis=1).astype(np.float64)
 
-    def by_word(rows: DataFrame) -> DataFrame:
-        return rows.filter("word is not null").repartition("word").sortWithinPartitions("word")
-
-    for new in [True] * bool((of == classes).any()) + [False] * (sweeps if words.size else 0):
-        shared_of = share(of)
-        met = ws.save(docs.mapInArrow(_contexts(shared, shared_of, classes, True, new), "word long, context long, n long"), "contexts")
-        moved = by_word(met).mapInArrow(_moves(shared, shared_of, bigrams(table_of(met))), "word long, class long").toArrow()
-        ws.drop(met)
-        of = of.copy()
-        of[words.ids(moved.column("word").to_numpy())] = moved.column("class").to_numpy()
-
-    met = ws.save(docs.mapInArrow(_contexts(shared, share(of), classes, False), "word long, context long, n long"), "contexts")
-    table = table_of(met)
-    others = ws.save(by_word(met).mapInArrow(_others(bigrams(table)), "word long, n long, class long, context long"), "others")
-    table[:, : 2 * classes] += table_of(others)[:, : 2 * classes]
-    ws.drop(met, counts)
-    return Fitted(words, of, others.filter("word is not null").select("word", F.col("n").alias("count"), "class"), Model(table, n_words), n_total)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS, lexicon: int = LEXICON) -> DataFrame:
+    # The words outside the lexicon have a table; documents that are read with it have a number, which their written table fixes.
+    numbered = docs if whole else ws.save(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+    def moved_by(met: DataFrame, table: np.ndarray, now: Classes) -> Classes:
+        """The classes after the words of ``met`` have moved."""
+        rows = met.filter("word is not null").repartition("word").sortWithinPartitions("word")
+        moved = ws.save(rows.mapInArrow(_moves(shared, bigrams(table)), "word long, class long, inside boolean"), "moved")
+        near = moved.filter("inside").toArrow()
+        of, tail, read = now.of.copy(), None, docs
+        of[words.ids(near.column("word").to_numpy())] = near.column("class").to_numpy()
+        if not whole:
+            far = moved.filter("not inside").select("word", F.col("class").alias("new"))
+            known = now.tail.join(far, "word", "left").select("word", F.coalesce("new", "class").alias("class"), "n") if now.tail else far.join(counts, "word").select("word", F.col("new").alias("class"), "n")
+            tail = ws.save(known, "tail")
+            read = _with_tail(numbered, tail, shared, ws)
+        ws.drop(moved)
+        return Classes(of, tail, read)
+
+    now = Classes(of, None, docs)
+    best: tuple[float, Classes, np.ndarray] | None = None
+    for step in range(-1, sweeps + 1):
+        # The first pass places words without class, the last one only counts.
+        new = step < 0 or None if step in (-1, sweeps) else False
+        met = now.docs.mapInArrow(_contexts(shared, share(now.of), classes, new), rows_of)
+        met = ws.save(met, "contexts") if new is not None else met
+        table = table_of(met)
+        if step >= 0:
+            value = likelihood(bigrams(table))
+            if best and value <= best[0]:
+                break
+            if best:
+                ws.drop(best[1].docs)
+            best = value, now, table
+        if new is not None:
+            now = moved_by(met, table, now)
+            ws.drop(met)
+    ws.drop(counts)
+    return Fitted(words, best[1], Model(best[2], n_words), n_total)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS, lexicon: int = LEXICON, mix: float = MIX) -> DataFrame:
     """One row per row of ``docs``: SCORED."""
     spark = docs.sparkSession
     ship(spark)
-    ws = Workspace(spark, "lm")
     share = spark.sparkContext.broadcast
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    fitted = fit(docs, ws, core, classes, rounds, sweeps, lexicon)
-    model = fitted.model
-    run = _score(share(fitted.lexicon), share(fitted.classes), share(model), fitted.n_total)
-    part = docs.mapInArrow(run, SCORED + ", rest array<struct<word:long,before:long,n:long>>")
-    if fitted.lexicon.whole:
-        return part.drop("rest")
-    # A row's number is fixed by its table, so it can be found again.
-    part = ws.save(part.withColumn("row", F.monotonically_increasing_id()), "scored")
-    never, scale = model.classes, float(np.log10(fitted.n_total + model.n_words + 1))
-    tokens_of = np.log10(np.maximum(model.class_tokens, 1))
-    steps = spark.createDataFrame([(b, k, float(model.transition[b, k]), float(tokens_of[k]) if k < never else float(np.log10(model.n_words + 1))) for b in range(never + 1) for k in range(never + 1)], "before long, class long, step double, tokens double")
-    rest = part.select("row", F.explode("rest").alias("t")).select("row", "t.*").join(fitted.others, "word", "left")
-    rest = rest.withColumn("class", F.coalesce("class", F.lit(never))).join(F.broadcast(steps), ["before", "class"])
-    count = F.coalesce("count", F.lit(0))
-    added = rest.groupBy("row").agg(
-        F.sum(F.when(count > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * (F.log10(count + 1.0) - scale)).alias("base"),
-        F.sum(F.col("n") * (F.col("step") - F.col("tokens") + F.when(count > 0, F.log10(count.cast("double"))).otherwise(0.0))).alias("log"),
-    )
-    plus = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0))).alias(x)
-    return part.join(added, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), "train_tokens", plus("base_score", "base"), plus("score", "log"))
+    fitted = fit(docs, Workspace(spark, "lm"), core, classes, rounds, sweeps, lexicon)
+    run = _score(share(fitted.lexicon), share(fitted.classes.of), share(fitted.model), fitted.n_total, mix)
+    return fitted.classes.docs.mapInArrow(run, SCORED)
 
 
 def op7_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

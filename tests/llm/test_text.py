@@ -232,22 +232,21 @@ def test_lm_against_a_plain_model(spark, most):
     rows = [*two_sides(150), (2000, "l1 never r2 never"), (2001, None), (2002, "l39 l39")]
     docs = spark.createDataFrame(rows, DOCS)
     how = {"core": 13, "classes": 4, "rounds": 4, "sweeps": 2, "lexicon": most}
-    got = {r.doc_id: r.score for r in lm.score(docs, **how).collect()}
+    got = {r.doc_id: r.score for r in lm.score(docs, mix=0.7, **how).collect()}
     fitted = lm.fit(docs, Workspace(spark, "lm"), **how)
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     key = lambda w: np.array([lm.END if w is None else kernel.word_hash(w)], np.uint64).view(np.int64)[0]
-    inside = dict(zip(fitted.lexicon.words.tolist(), fitted.classes.tolist(), strict=True))
-    outside = {r.word: r["class"] for r in fitted.others.collect()}
-    assert bool(outside) == (most == 30) and not set(inside) & set(outside)
-    of = lambda w: inside.get(key(w), outside.get(key(w)))
-    history = lambda w: inside.get(key(w), 4)
+    known = dict(zip(fitted.lexicon.words.tolist(), fitted.classes.of.tolist(), strict=True))
+    outside = {r.word: r["class"] for r in fitted.classes.tail.collect()} if fitted.classes.tail else {}
+    assert bool(outside) == (most == 30) and not set(known) & set(outside)
+    of = lambda w: (known | outside).get(key(w), 4)
     c = unigram_counts(rows, held)
     assert all(of(w) in range(4) for w in c)
     moves = Counter()
     for i, t in rows:
         if not held(i):
             seq = [None, *words(t), None]
-            moves.update((history(a), of(b), c[b] == 1) for a, b in zip(seq, seq[1:]))
+            moves.update((of(a), of(b), c[b] == 1) for a, b in zip(seq, seq[1:]))
     weight = lambda a, k: sum(n * (0.5 if once and k < 4 else 1) for (x, y, once), n in moves.items() if x == a and y == k) if k < 4 else sum(n / 2 for (x, y, once), n in moves.items() if x == a and once)
     size = Counter()
     for w, n in c.items():
@@ -257,11 +256,38 @@ def test_lm_against_a_plain_model(spark, most):
         k = of(b) if c[b] else 4
         total = sum(weight(a, x) for x in range(5))
         emit = c[b] / size[k] if c[b] else 1 / (len(c) + 1)
-        return math.log10((weight(a, k) + 0.01) / (total + 0.05)) + math.log10(emit)
+        own = (weight(a, k) + 0.01) / (total + 0.05) * emit
+        return math.log10(0.7 * own + 0.3 * (c[b] + 1) / (sum(c.values()) + len(c) + 1))
 
     for i, t in rows:
         seq = [None, *words(t), None]
-        assert got[i] == pytest.approx(sum(log(history(a), b) for a, b in zip(seq, seq[1:])))
+        assert got[i] == pytest.approx(sum(log(of(a), b) for a, b in zip(seq, seq[1:])))
+
+
+def test_lm_scores_do_not_depend_on_the_lexicon(spark, prose):
+    """What is broadcast and what is joined changes no score."""
+    rows = [*two_sides(200), *((3000 + i, prose(i, 50)) for i in range(40)), (None, "l1 r1"), (4000, None), (4001, "l1 once r1"), (2, "l1 r2 l3")]
+    docs, how = spark.createDataFrame(rows, DOCS), {"core": 20, "classes": 5}
+    whole, *others = [sorted((str(r.doc_id), r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(docs, lexicon=most, **how).collect()) for most in (1_000_000, 60, 1)]
+    assert others == [whole, whole]
+
+
+def test_lm_sweeps_raise_the_likelihood(spark):
+    docs = spark.createDataFrame(two_sides(200), DOCS)
+    values = []
+    for sweeps in range(4):
+        fitted = lm.fit(docs, Workspace(spark, "lm"), 13, 4, 4, sweeps, 1_000_000)
+        moves = Counter()
+        of = dict(zip(fitted.lexicon.words.tolist(), fitted.classes.of.tolist(), strict=True))
+        for i, t in docs.collect():
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                seq = [of[np.array([lm.END if w is None else kernel.word_hash(w)], np.uint64).view(np.int64)[0]] for w in [None, *words(t), None]]
+                moves.update(zip(seq, seq[1:]))
+        N = np.zeros((5, 5))
+        for (a, b), n in moves.items():
+            N[a, b] = n
+        values.append(lm.likelihood(N))
+    assert all(b >= a - 1e-6 for a, b in zip(values, values[1:])) and values[-1] > values[0]
 
 
 def test_lm_gains_are_those_of_the_exchange():
