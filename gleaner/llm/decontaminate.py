@@ -22,7 +22,7 @@ each diagonal), not pairs of places.
 Defined results: null or empty texts and items have no words; an item with
 fewer than ``min_match`` words matches nothing; an empty benchmark
 contaminates nothing, and an empty table gives an empty one.  Of items covered
-alike the one with the smallest item_id is named.  Each input row gives one row,
+alike the one with the smallest item_id is named; one without item_id counts like others and is named, by null, after all that have one.  Each input row gives one row,
 repeated rows included; items that repeat count once.  The input's other columns
 stay, but for one with the name of the added column, which is replaced.
 """
@@ -57,7 +57,7 @@ def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]
 class Items:
     """Benchmark items with their seeds in order of hash."""
 
-    def __init__(self, ids: list[int], texts: list[str], min_match: int):
+    def __init__(self, ids: list[int | None], texts: list[str], min_match: int):
         self.ids, self.min_match = ids, min_match
         hashes, items, starts, self.words, self.bytes = [], [], [], [], []
         for k, text in enumerate(texts):
@@ -136,7 +136,7 @@ def _measure(items: Items, threshold: float, at: int, name: str, carried: int |
             n = batch.num_rows
             best: list[tuple[float, int, int] | None] = [None] * n
             if carried is not None:
-                best = [x["item_id"] is not None and (x["coverage"], x["item_id"], x["tiles"]) or None for x in batch.column(carried).to_pylist()]
+                best = [x["tiles"] > 0 and (x["coverage"], x["item_id"], x["tiles"]) or None for x in batch.column(carried).to_pylist()]
             for c in kernel.chunks(batch.column(at)):
                 w = kernel.words(c)
                 if len(w.hash) < items.min_match or not len(items.hash):
@@ -165,7 +165,7 @@ def _measure(items: Items, threshold: float, at: int, name: str, carried: int |
                         covered, tiles = tile(item, words, i[x:y], j[x:y], n_seeds[x:y] + items.min_match - 1, items.min_match)
                         share, who = covered / len(item), items.ids[k[x]]
                         old = best[c.first + row]
-                        if covered and (old is None or (-share, who) < (-old[0], old[1])):
+                        if covered and (old is None or (-share, who is None, who or 0) < (-old[0], old[1] is None, old[1] or 0)):
                             best[c.first + row] = (share, who, tiles)
             out = [{"item_id": b[1], "coverage": b[0], "tiles": b[2], "contaminated": b[0] >= threshold} if b else {"item_id": None, "coverage": 0.0, "tiles": 0, "contaminated": False} for b in best]
             kind = pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("contaminated", pa.bool_())])
@@ -180,13 +180,13 @@ def measure(docs: DataFrame, benchmark: DataFrame, into: str = "contamination",
     """``docs`` with a struct column ``into``: item_id, coverage, tiles, contaminated."""
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
     words = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-words // block_words))
     docs = docs.drop(into)
     out, carried = docs, None
     for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).distinct().orderBy("i", "t").collect()
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).distinct().orderBy("i", "t").collect()
         shared = spark.sparkContext.broadcast(Items([r["i"] for r in part], [r["t"] for r in part], min_match))
         at = docs.columns.index(text_col)
 
