@@ -19,7 +19,8 @@ All is DataFrame functions and the JVM's forest; nothing is shuffled but word
 counts and the training rows.  Candidates of a document are never gathered.
 
 Defined results: null and empty texts have no candidates and give no rows; a
-repeated row gives its candidates again; an empty table gives no rows.  Offsets
+repeated row gives its candidates again; an empty table gives no rows.  A value
+has no greatest length.  Offsets
 are code points, the end exclusive.  Other columns are not read, so their names
 cannot clash.
 """
@@ -44,7 +45,7 @@ _NAME = "[A-Za-z0-9_-]"
 _KEYWORD = "token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|credential|auth|bearer|private"
 _PREFIX = "AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ|AIza|glpat-"
 _ASSIGN = rf"(?<!{_NAME}){_NAME}{{0,24}}?(?i:{_KEYWORD}){_NAME}{{0,12}}[\"']?\s{{0,2}}[=:]\s{{0,2}}"
-_GIVEN = [r"\"([^\"\s]{6,128})", r"'([^'\s]{6,128})", r"([^\s\"'<>,;()]{6,128})"]
+_GIVEN = [r"\"([^\"\s]{6,}+)", r"'([^'\s]{6,}+)", r"([^\s\"'<>,;()]{6,}+)"]
 #: A match ends where the value ends; the closing quote is looked at in the text and missing in the match.
 ASSIGNED = rf"{_ASSIGN}(?:{_GIVEN[0]}(?=\")|{_GIVEN[1]}(?=')|{_GIVEN[2]})"
 _MATCHED = rf"^{_ASSIGN}(?:{'|'.join(_GIVEN)})$"

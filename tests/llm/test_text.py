@@ -155,6 +155,14 @@ def test_secret_candidates_and_features(spark):
     assert len(rows) > 300
 
 
+def test_secret_values_of_any_length(spark):
+    word = "aZ3!#" * 4000
+    texts = ["token = " + "k9" * 121 + "x", f'password: "{word}" end', f"secret='{word[:200]}'", "token=" + "q" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).select("doc_id", F.explode(secrets.candidates(F.col("text"))).alias("c"))
+    got = {r.doc_id: (r.start, r.end) for r in df.select("doc_id", "c.start", "c.end").collect()}
+    assert got == {0: (8, 251), 1: (11, 20_011), 2: (8, 208), 3: (6, 100_006)}
+
+
 def test_secret_forest(spark):
     rows = secrets.labelled(spark).withColumn("part", F.pmod(F.xxhash64("value"), F.lit(4)))
     model = secrets.fit(rows.filter("part > 0"))
@@ -456,6 +464,14 @@ def test_decontamination(spark, prose):
     assert decontaminate.measure(df, benchmark.limit(0)).filter("contamination.contaminated").count() == 0
 
 
+def test_decontamination_by_items_without_id(spark, prose):
+    items = [(None, prose(900, 40)), (None, prose(901, 40)), (5, prose(902, 40)), (-1, prose(902, 40))]
+    docs = [(k, t) for k, (_, t) in enumerate(items)] + [(9, items[0][1] + " " + items[2][1]), (10, prose(3, 60))]
+    for block in (2_000_000, 20):
+        got = {r.doc_id: tuple(r.contamination) for r in decontaminate.measure(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()}
+        assert got == {0: (None, 1.0, 1, True), 1: (None, 1.0, 1, True), 2: (-1, 1.0, 1, True), 3: (-1, 1.0, 1, True), 9: (-1, 1.0, 1, True), 10: (None, 0.0, 0, False)}
+
+
 def test_pipeline(spark, table, prose):
     item = prose(900, 40)
     rows = [(i, prose(i, 60) + f"\nown last line of number {i}", "en", "s", 0) for i in range(40)]
