@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, gaps, queries, rollups, routing, sessions
+from ..operators import assembly, caches, gaps, queries, rollups, routing, sessions
 from .registry import Registry, table
 
 R = Registry()
@@ -137,6 +137,15 @@ def cache_hits(spark, sf_dir):
     return rollups.cache_hits(_events(spark, sf_dir), "user_id", "ts", "event_id", "6 HOURS").select("event_id", "hit")
 
 
+@R.query("""WITH e AS (SELECT event_id, user_id || ':' || event_type AS key, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events), p AS (SELECT *, lag(pos) OVER w AS before, us - lag(us) OVER w AS gap FROM e WINDOW w AS (PARTITION BY key ORDER BY pos)),
+ d AS (SELECT p.event_id, count(DISTINCT e.key) AS others FROM p LEFT JOIN e ON e.pos > p.before AND e.pos < p.pos WHERE gap <= 21600000000 GROUP BY p.event_id)
+ SELECT p.event_id, p.key, coalesce(others < 50, false) AS hit FROM p LEFT JOIN d USING (event_id)""")
+def cache_evictions(spark, sf_dir):
+    """L-03: a cache of fifty that forgets after six hours and drops what was not read for longest; keys are users' kinds of events."""
+    log = _events(spark, sf_dir).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
+    return caches.lru_hits(log, "key", "ts", "event_id", 50).select(F.col("order").alias("event_id"), "key", "hit")
+
+
 @R.query("SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id ORDER BY ts DESC, user_id DESC LIMIT 500")
 def cache_newest(spark, sf_dir):
     """L-03: what stays when the cache is pruned; the limit is the cache's."""
