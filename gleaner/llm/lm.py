@@ -22,9 +22,9 @@ that of its word alone (the base), so little text does not make the model worse
 What moves: word counts and (word, class beside it) counts, combined in each
 task before they are shuffled and keyed by word.  Words met often enough to be
 among ``lexicon`` (17 bytes each, and the core at least) are broadcast for lookups; the classes of
-all others are a table keyed by word, and a document's own words of that
-table are joined to it before a pass.  A word's class, and so every score, is the same
-wherever the word is looked up.  All counts are of all training documents and grow with them; nothing on the driver does.
+all others are a table keyed by word.  Neighbours of which one is such a word leave
+a pass as a row of their own, by word, and meet that table by joins: texts never move.  A word's class, and so every score,
+is the same wherever the word is looked up.  All counts are of all training documents and grow with them; nothing on the driver does.
 
 Defined results: null and empty texts are one end token.  A null doc_id is in
 training (its checksum is of the empty text).  Rows that repeat count again.
@@ -140,36 +140,6 @@ class Lexicon:
         return self.ids(distinct)[back]
 
 
-EXTRA = "array<struct<word:long,class:long,n:long>>"
-
-
-class Lookup:
-    """Classes and counts of words: those of the lexicon, and those that a batch's documents bring along in its third column."""
-
-    def __init__(self, lexicon: Lexicon, classes: np.ndarray, never: int):
-        self.lexicon = lexicon
-        self.of, self.counts = np.append(classes, never).astype(np.int64), np.append(lexicon.counts, 0).astype(np.int64)
-        self.word = self.k = self.n = np.zeros(0, np.int64)
-
-    def bring(self, batch: pa.RecordBatch) -> None:
-        if batch.num_columns > 2:
-            rows = batch.column(2).flatten()
-            word, first = np.unique(rows.field("word").to_numpy(zero_copy_only=False), return_index=True)
-            self.word, self.k, self.n = word, *(rows.field(c).to_numpy(zero_copy_only=False)[first] for c in ("class", "n"))
-
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the lexicon, class, count) of each word; the place is the lexicon's size and the count 0 for words not known."""
-        distinct, back = np.unique(h, return_inverse=True)
-        ids = self.lexicon.ids(distinct)
-        k, n = self.of[ids], self.counts[ids]
-        out = np.flatnonzero(ids == self.lexicon.size) if len(self.word) else ()
-        if len(out):
-            at = np.minimum(np.searchsorted(self.word, distinct[out]), len(self.word) - 1)
-            met = self.word[at] == distinct[out]
-            k[out[met]], n[out[met]] = self.k[at[met]], self.n[at[met]]
-        return ids[back], k[back], n[back]
-
-
 def _core_pairs(shared, shared_rank, core: int):
     """(pair, n) of neighbouring training tokens that both are among the first ``core`` words; words go by rank."""
 
@@ -286,91 +256,95 @@ def gains(v: np.ndarray, old: np.ndarray, N: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(shared, shared_classes, classes: int, new: bool | None):
-    """(word, context, n, class) of the training text: the classes before and, further up, after each word, beside the class it has.
+CONTEXTS = "word long, context long, n long, class long, once boolean, beside long"
+
+
+def _contexts(shared, shared_classes, classes: int, new: bool | None, tail: bool):
+    """CONTEXTS of the training text: how often the classes before and, ``classes + 1`` further up, after each word stand there, with the word's own class and whether it is met once.
 
-    ``new``: only words without class; None: no words.  Rows without word are the class bigrams: context =
+    ``new``: only words without class; None: none but for the class bigrams.  Those are the rows without word: context =
     first * (2 * classes + 1) + second, where a second word met once counts ``classes`` higher, and 2 * classes is that of words without class.
+
+    With ``tail`` words outside the lexicon have classes that are not known here: their own is -1, and where one stands beside
+    a word, the row names it in ``beside`` and its context lacks the class.  Such neighbours are no part of the class bigrams.
     """
-    side = classes + 1
+    side, width = classes + 1, 2 * classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        look = Lookup(lexicon, shared_classes.value, classes)
-        table = np.zeros(side * (2 * classes + 1), np.int64)
-        sums, outside = _Sums(), []
+        lexicon, of = shared.value, np.append(shared_classes.value, classes).astype(np.int64)
+        single = np.append(lexicon.counts == 1, False)
+        table = np.zeros(side * width, np.int64)
+        sums, far, held_rows = _Sums(), [], 0
+
+        def rows(word, context, n, k, once, beside) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (word, context, n, k)), pa.array(once, pa.bool_()), pa.array(beside, pa.int64())], [x.split()[0] for x in CONTEXTS.split(", ")])
 
         def made() -> Iterator[pa.RecordBatch]:
             keys, n = sums.get()
             at = keys // (2 * side)
-            yield rows(lexicon.words[at], keys % (2 * side), n, look.of[at])
-            if outside:
-                h, context, n, k = (np.concatenate(x) for x in zip(*outside, strict=True))
-                order = np.lexsort((context, h))
-                h, context, n, k = h[order], context[order], n[order], k[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1])]))
-                yield rows(h[first], context[first], np.add.reduceat(n, first), k[first])
-
-        def rows(*columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["word", "context", "n", "class"])
-
-        held_rows = 0
+            yield rows(lexicon.words[at], keys % (2 * side), n, of[at], single[at], pa.nulls(len(at), pa.int64()))
+            if far:
+                h, context, k, once, named, beside = (np.concatenate(x) for x in zip(*far, strict=True))
+                order = np.lexsort((beside, named, context, h))
+                h, context, k, once, named, beside = (x[order] for x in (h, context, k, once, named, beside))
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (named[1:] != named[:-1]) | (beside[1:] != beside[:-1])
+                first = np.flatnonzero(fresh)
+                yield rows(h[first], context[first], np.diff(np.append(first, len(h))), k[first], once[first], pa.array(beside[first], mask=~named[first]))
+
         for batch in batches:
             held = held_out(batch.column(0))
-            look.bring(batch)
             for c in kernel.chunks(batch.column(1)):
                 h, first = _training(c, held)
                 if not len(h):
                     continue
                 h = h.view(np.int64)
-                ids, k, n = look(h)
+                ids = lexicon.of(h)
+                out, k, once = ids == lexicon.size, of[ids], single[ids]
                 starts = np.flatnonzero(first)
-                before = _before(k, starts)
-                second = np.where(k == classes, 2 * classes, np.where(n == 1, k + classes, k))
-                table += np.bincount(before * (2 * classes + 1) + second, minlength=len(table))
-                if new is None:
-                    continue
-                after = np.empty_like(k)
-                after[:-1] = k[1:]
-                after[np.append(starts[1:], len(k)) - 1] = k[starts]
-                use = k == classes if new else np.ones(len(k), bool)
-                near = use & (ids < lexicon.size)
-                base = ids[near] * (2 * side)
-                sums.add(*np.unique(np.concatenate([base + before[near], base + side + after[near]]), return_counts=True))
-                far = use & (ids == lexicon.size)
-                if far.any():
-                    outside.append((np.tile(h[far], 2), np.concatenate([before[far], side + after[far]]), np.ones(2 * int(far.sum()), np.int64), np.tile(k[far], 2)))
-                    held_rows += 2 * int(far.sum())
+                after = np.arange(1, len(h) + 1)
+                after[np.append(starts[1:], len(h)) - 1] = starts
+                before = np.empty_like(after)
+                before[after] = np.arange(len(h))
+                second = np.where(k == classes, 2 * classes, np.where(once, k + classes, k))
+                own = ~(out | out[before]) if tail else np.ones(len(h), bool)
+                table += np.bincount((k[before] * width + second)[own], minlength=len(table))
+                for shift, other in ((0, before), (side, after)):
+                    if new is None and (shift or not tail):
+                        continue
+                    use = k == classes if new else np.ones(len(h), bool)
+                    lost = out[other] if tail else np.zeros(len(h), bool)
+                    near = np.flatnonzero(use & ~out & ~lost) if new is not None else ()
+                    if len(near):
+                        sums.add(*np.unique(ids[near] * (2 * side) + shift + k[other[near]], return_counts=True))
+                    x = np.flatnonzero(use & (out | lost))
+                    if len(x):
+                        named = lost[x]
+                        far.append((h[x], shift + np.where(named, 0, k[other[x]]), np.where(out[x] & tail, -1, k[x]), once[x], named, np.where(named, h[other[x]], 0)))
+                        held_rows += len(x)
                 if sums.held + held_rows > FLUSH:
                     yield from made()
-                    sums, outside, held_rows = _Sums(), [], 0
-        if new is not None:
-            yield from made()
+                    sums, far, held_rows = _Sums(), [], 0
+        yield from made()
         met = np.flatnonzero(table)
         none = pa.nulls(len(met), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(met), pa.array(table[met]), none], ["word", "context", "n", "class"])
+        yield rows(none, met, table[met], none, pa.nulls(len(met), pa.bool_()), none)
 
     return run
 
 
-def _outside(shared):
-    """(row, word) of the words of each document that are not in the lexicon."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        for batch in batches:
-            row = batch.column(2).to_numpy()
-            for c in kernel.chunks(batch.column(1)):
-                h, at = tokens(c)
-                h = h.view(np.int64)
-                doc = np.repeat(np.arange(c.n), np.diff(at))
-                out = np.flatnonzero(lexicon.of(h) == lexicon.size)
-                order = np.lexsort((h[out], doc[out]))
-                doc, word = doc[out][order], h[out][order]
-                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row[c.first + doc[first]], pa.int64()), pa.array(word[first], pa.int64())], ["row", "word"])
-
-    return run
+def _resolved(met: DataFrame, tail: DataFrame | None, classes: int) -> DataFrame:
+    """CONTEXTS with all classes known, the class bigrams complete.  Words of the tail are rare, so no key is hot."""
+    if tail is None:
+        return met
+    whole = met.filter("beside is null and (word is null or class >= 0)")
+    part = met.filter("word is not null and (beside is not null or class < 0)")
+    mine = part.filter("class < 0").drop("class", "once").join(tail.select("word", "class", (F.col("n") == 1).alias("once"), F.lit(True).alias("_t")), "word").drop("_t")
+    part = part.filter("class >= 0").unionByName(mine)
+    named = part.filter("beside is not null").join(tail.select(F.col("word").alias("beside"), F.col("class").alias("_k")), "beside").withColumn("context", F.col("context") + F.col("_k")).drop("_k")
+    part = part.filter("beside is null").unionByName(named)
+    pairs = part.filter(F.col("context") <= classes).select(F.lit(None).cast("long").alias("word"), (F.col("context") * (2 * classes + 1) + F.col("class") + F.when(F.col("once"), classes).otherwise(0)).alias("context"), "n", F.lit(None).cast("long").alias("class"), F.lit(None).cast("boolean").alias("once"), F.lit(None).cast("long").alias("beside"))
+    return whole.unionByName(part).unionByName(pairs)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.Table]:
@@ -445,28 +419,44 @@ class Model:
         return np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(tokens, 1)), -np.log10(self.n_words + 1))
 
 
-def _score(shared, shared_classes, shared_model, n_total: int, mix: float):
+REST = "rest array<struct<a:long,ak:long,b:long,bk:long,bn:long>>"
+
+
+def _score(shared, shared_classes, shared_model, n_total: int, mix: float, whole: bool):
+    """SCORED and REST: neighbours (a, b) of which one is not in the lexicon: its word, or the class, and b's count.  They are no part of the sums."""
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "ak", "b", "bk", "bn")]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared_model.value
-        look = Lookup(shared.value, shared_classes.value, model.classes)
+        lexicon, model = shared.value, shared_model.value
+        of = np.append(shared_classes.value, model.classes).astype(np.int64)
+        counts = np.append(lexicon.counts, 0)
         scale = np.log10(n_total + model.n_words + 1)
         for batch in batches:
             held = held_out(batch.column(0))
-            look.bring(batch)
             for c in kernel.chunks(batch.column(1)):
                 h, at = tokens(c)
-                _, k, n = look(h.view(np.int64))
-                before = _before(k, at[:-1])
+                h = h.view(np.int64)
+                ids = lexicon.of(h)
+                k, n = of[ids], counts[ids]
+                out = (ids == lexicon.size) & (not whole)
+                before, lost = _before(k, at[:-1]), _before(out, at[:-1])
                 base = np.log10(n + 1.0) - scale
-                log = model.emission(k, n) + model.transition[before, k]
-                if mix < 1:
-                    log = np.logaddexp((log + np.log10(mix)) * _LN, (base + np.log10(1 - mix)) * _LN) / _LN
-                sums = lambda x: pa.array(np.add.reduceat(x, at[:-1]))  # noqa: B023, E731  each document has its end token
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(held[c.first : c.last]), pa.array(np.diff(at)), sums((n > 0).astype(np.int64)), pa.array(np.full(c.n, n_total)), sums(base), sums(log)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                log = _mixed(model.emission(k, n) + model.transition[before, k], base, mix)
+                here = ~(out | lost)
+                sums = lambda x, use: pa.array(np.add.reduceat(np.where(use, x, 0), at[:-1]))  # noqa: B023, E731  each document has its end token
+                x = np.flatnonzero(~here)
+                word = _before(h, at[:-1])
+                rows = pa.StructArray.from_arrays([pa.array(word[x], mask=~lost[x]), pa.array(before[x], pa.int64()), pa.array(h[x], mask=~out[x]), pa.array(k[x], pa.int64()), pa.array(n[x], pa.int64())], ["a", "ak", "b", "bk", "bn"])
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(x, at).astype(np.int32)), rows).cast(kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(held[c.first : c.last]), pa.array(np.diff(at)), sums((n > 0).astype(np.int64), ~out), pa.array(np.full(c.n, n_total)), sums(base, ~out), sums(log, here), rest], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "rest"])
 
     return run
 
 
+def _mixed(log: np.ndarray, base: np.ndarray, mix: float) -> np.ndarray:
+    return np.logaddexp((log + np.log10(mix)) * _LN, (base + np.log10(1 - mix)) * _LN) / _LN if mix < 1 else log
+
+
 _LN = np.log(10.0)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -485,23 +475,11 @@ def _cut(counts: DataFrame, n_words: int, most: int) -> int:
     return cut
 
 
-class Classes:
-    """Classes of all words: of the lexicon's as an array beside it, of the others as a table (word, class, n) or None; ``docs``: the documents with what they need of that table."""
-
-    def __init__(self, of: np.ndarray, tail: DataFrame | None, docs: DataFrame):
-        self.of, self.tail, self.docs = of, tail, docs
-
-
 class Fitted:
-    def __init__(self, lexicon: Lexicon, classes: Classes, model: Model, n_total: int):
-        self.lexicon, self.classes, self.model, self.n_total = lexicon, classes, model, n_total
+    """A model with the classes of the lexicon (an array beside it) and of all other words (a table: word, class, n; None if there are none)."""
 
-
-def _with_tail(docs: DataFrame, tail: DataFrame, shared, ws: Workspace) -> DataFrame:
-    """``docs(doc_id, text, row)`` as (doc_id, text, extra): the classes and counts of each document's own words of ``tail``."""
-    met = docs.mapInArrow(_outside(shared), "row long, word long").join(tail, "word")
-    extra = met.groupBy("row").agg(F.collect_list(F.struct("word", "class", "n")).alias("extra"))
-    return ws.save(docs.join(extra, "row", "left").select("doc_id", "text", F.coalesce("extra", F.array().cast(EXTRA)).cast(EXTRA).alias("extra")), "known")
+    def __init__(self, lexicon: Lexicon, classes: np.ndarray, tail: DataFrame | None, model: Model, n_total: int):
+        self.lexicon, self.classes, self.tail, self.model, self.n_total = lexicon, classes, tail, model, n_total
 
 
 def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sweeps: int, lexicon: int) -> Fitted:
@@ -527,7 +505,6 @@ def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sw
         of[first] = exchange(pair // core, pair % core, n, core, min(classes, core), rounds)
 
     side, width = classes + 1, 2 * classes + 1
-    rows_of = "word long, context long, n long, class long"
 
     def table_of(rows: DataFrame) -> np.ndarray:
         got = rows.filter("word is null").groupBy("context").agg(F.sum("n").alias("n")).toArrow()
@@ -538,44 +515,38 @@ def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sw
     def bigrams(table: np.ndarray) -> np.ndarray:
         return np.concatenate([table[:, :classes] + table[:, classes : 2 * classes], table[:, 2 * classes :]], axis=1).astype(np.float64)
 
-    # The words outside the lexicon have a table; documents that are read with it have a number, which their written table fixes.
-    numbered = docs if whole else ws.save(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
-
-    def moved_by(met: DataFrame, table: np.ndarray, now: Classes) -> Classes:
-        """The classes after the words of ``met`` have moved."""
-        rows = met.filter("word is not null").repartition("word").sortWithinPartitions("word")
+    def moved_by(rows: DataFrame, table: np.ndarray, of: np.ndarray, tail: DataFrame | None) -> tuple[np.ndarray, DataFrame | None]:
+        """The classes after the words of ``rows`` have moved."""
+        rows = rows.filter("word is not null").select("word", "context", "n", "class").repartition("word").sortWithinPartitions("word")
         moved = ws.save(rows.mapInArrow(_moves(shared, bigrams(table)), "word long, class long, inside boolean"), "moved")
         near = moved.filter("inside").toArrow()
-        of, tail, read = now.of.copy(), None, docs
+        of = of.copy()
         of[words.ids(near.column("word").to_numpy())] = near.column("class").to_numpy()
         if not whole:
             far = moved.filter("not inside").select("word", F.col("class").alias("new"))
-            known = now.tail.join(far, "word", "left").select("word", F.coalesce("new", "class").alias("class"), "n") if now.tail else far.join(counts, "word").select("word", F.col("new").alias("class"), "n")
+            known = tail.join(far, "word", "left").select("word", F.coalesce("new", "class").alias("class"), "n") if tail else far.join(counts, "word").select("word", F.col("new").alias("class"), "n")
             tail = ws.save(known, "tail")
-            read = _with_tail(numbered, tail, shared, ws)
         ws.drop(moved)
-        return Classes(of, tail, read)
+        return of, tail
 
-    now = Classes(of, None, docs)
-    best: tuple[float, Classes, np.ndarray] | None = None
+    tail: DataFrame | None = None
+    best: tuple[float, np.ndarray, DataFrame | None, np.ndarray] | None = None
     for step in range(-1, sweeps + 1):
         # The first pass places words without class, the last one only counts.
-        new = step < 0 or None if step in (-1, sweeps) else False
-        met = now.docs.mapInArrow(_contexts(shared, share(now.of), classes, new), rows_of)
-        met = ws.save(met, "contexts") if new is not None else met
-        table = table_of(met)
+        new = True if step < 0 else None if step == sweeps else False
+        met = ws.save(docs.mapInArrow(_contexts(shared, share(of), classes, new, tail is not None), CONTEXTS), "contexts")
+        rows = _resolved(met, tail, classes)
+        table = table_of(rows)
         if step >= 0:
             value = likelihood(bigrams(table))
             if best and value <= best[0]:
                 break
-            if best:
-                ws.drop(best[1].docs)
-            best = value, now, table
+            best = value, of, tail, table
         if new is not None:
-            now = moved_by(met, table, now)
-            ws.drop(met)
+            of, tail = moved_by(rows, table, of, tail)
+        ws.drop(met)
     ws.drop(counts)
-    return Fitted(words, best[1], Model(best[2], n_words), n_total)
+    return Fitted(words, best[1], best[2], Model(best[3], n_words), n_total)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core: int = CORE, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS, lexicon: int = LEXICON, mix: float = MIX) -> DataFrame:
@@ -584,9 +555,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", core:
     ship(spark)
     share = spark.sparkContext.broadcast
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    fitted = fit(docs, Workspace(spark, "lm"), core, classes, rounds, sweeps, lexicon)
-    run = _score(share(fitted.lexicon), share(fitted.classes.of), share(fitted.model), fitted.n_total, mix)
-    return fitted.classes.docs.mapInArrow(run, SCORED)
+    ws = Workspace(spark, "lm")
+    fitted = fit(docs, ws, core, classes, rounds, sweeps, lexicon)
+    model, tail = fitted.model, fitted.tail
+    run = _score(share(fitted.lexicon), share(fitted.classes), share(model), fitted.n_total, mix, tail is None)
+    part = docs.mapInArrow(run, f"{SCORED}, {REST}")
+    if tail is None:
+        return part.drop("rest")
+    # A row's number is fixed by its table, so it can be found again.
+    part = ws.save(part.withColumn("row", F.monotonically_increasing_id()), "scored")
+    never = model.classes
+    tokens_of = np.log10(np.maximum(model.class_tokens, 1))
+    steps = spark.createDataFrame([(b, k, float(model.transition[b, k]), float(tokens_of[k]) if k < never else float(np.log10(model.n_words + 1))) for b in range(never + 1) for k in range(never + 1)], "ak long, bk long, step double, tokens double")
+    rest = part.select("row", F.explode("rest").alias("t")).select("row", "t.*").withColumn("far", F.col("b").isNotNull())
+
+    def joined(rows: DataFrame, word: str, made: dict) -> DataFrame:
+        """Rows with a word get what is known of it, others stay; a null key would be a hot one."""
+        known = tail.select(F.col("word").alias(word), F.col("class").alias("_k"), F.col("n").alias("_n"))
+        got = rows.filter(F.col(word).isNotNull()).join(known, word, "left").withColumns(made).drop("_k", "_n")
+        return rows.filter(F.col(word).isNull()).unionByName(got)
+
+    rest = joined(rest, "a", {"ak": F.coalesce("_k", F.lit(never))})
+    rest = joined(rest, "b", {"bk": F.coalesce("_k", F.lit(never)), "bn": F.coalesce("_n", F.lit(0))}).join(F.broadcast(steps), ["ak", "bk"])
+    base = F.log10(F.col("bn") + 1.0) - float(np.log10(fitted.n_total + model.n_words + 1))
+    log = F.col("step") - F.col("tokens") + F.when(F.col("bn") > 0, F.log10(F.col("bn").cast("double"))).otherwise(0.0)
+    log = F.log10(mix * F.pow(F.lit(10.0), log) + (1 - mix) * F.pow(F.lit(10.0), base)) if mix < 1 else log
+    far = F.col("far")
+    added = rest.groupBy("row").agg(F.count_if(far & (F.col("bn") > 0)).alias("known"), F.sum(F.when(far, base)).alias("base"), F.sum(log).alias("log"))
+    plus = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0))).alias(x)
+    return part.join(added, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), "train_tokens", plus("base_score", "base"), plus("score", "log"))
 
 
 def op7_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
