@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .occurrences import occurring
 
 # Patterns of the claim gate and of verbatim checks, marker phrases.
 HEDGE = r"(?iU)\b(probably|i think|likely|seems|might)\b"
@@ -239,14 +240,11 @@ def verbatim_tokens(x: Column) -> Column:
 def verbatim_check(answers: DataFrame, sources: DataFrame, key: str, answer: str, body: str) -> DataFrame:
     """G-19: per key checked and supported tokens, the unsupported ones and the pass rate.
 
-    The tokens of the answers are exploded and meet their key's sources, which
-    are few and are compared where they stand; no text is gathered.
+    The tokens of the answers are exploded; each source is read once for all of its key's tokens (see :mod:`.occurrences`).
     """
     tokens = answers.select(key, F.explode(verbatim_tokens(F.coalesce(answer, F.lit("")))).alias("t")).select(key, "t.*")
     numbered = tokens.withColumn("_c", comparable(F.col("token")))
-    # Which distinct tokens of a key a source holds: each source looks for all of its key's tokens at once.
-    asked = numbered.groupBy(key).agg(F.collect_set("_c").alias("_asked"))
-    held = sources.join(asked, key).select(key, F.explode(F.filter("_asked", lambda t: (t != "") & F.contains(comparable(F.coalesce(F.col(body), F.lit(""))), t))).alias("_c")).distinct()
+    held = occurring(numbered.select(key, F.col("_c").alias("token")), sources.select(key, comparable(F.col(body)).alias("text")), key).withColumnRenamed("token", "_c")
     judged = numbered.join(held.withColumn("_held", F.lit(True)), [key, "_c"], "left")
     out = judged.groupBy(key).agg(F.count("*").alias("checked"), F.count_if(F.col("_held").isNotNull()).alias("supported"), F.array_sort(F.collect_list(F.when(F.col("_held").isNull(), F.struct("type", "token", "context")))).alias("unsupported"))
     out = answers.select(key).join(out, key, "left").withColumn("checked", F.coalesce("checked", F.lit(0).cast("long"))).withColumn("supported", F.coalesce("supported", F.lit(0).cast("long")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evidence, gaps, gates, queries, rollups, routing
+from ..operators.occurrences import occurring
 from .documents import SQL_SQUASH
 from .registry import Registry, table
 
@@ -317,25 +318,33 @@ def request_queries(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     """Answers with a quote, dates, numbers, list numbers and an uncertain section; sources that hold some of them."""
-    c = table(spark, sf_dir, "conversations").filter("turn = 0")
+    c = table(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id") * 100 + F.col("turn"))
     plain = F.regexp_replace("text", "[0-9\"“”‘’']", "")
     answer = F.concat(F.lit('It had 42 looms and "ten long years" of work (3) on June 2, 2021.\n1. It cost $1,200.\nCaveats:\nPerhaps 77 of them.\n## So\n'), F.replace(plain, F.lit(":"), F.lit(";")))
     body = F.concat(F.lit("the 42  looms, TEN LONG\nyears"), F.when(F.col("conv_id") % 2 == 0, " cost $1,200 on june 2, 2021").otherwise(""))
     return c.select("conv_id", answer.alias("answer")), c.select("conv_id", body.alias("body"))
 
 
-@R.query("SELECT conv_id, 6 AS checked, CASE WHEN conv_id % 2 = 0 THEN 6 ELSE 3 END AS supported, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'date June 2, 2021; number $1,200; number 2021' END AS unsupported, CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS pass_rate FROM conversations WHERE turn = 0")
+@R.query("""WITH t AS (SELECT DISTINCT conv_id % 50 AS k, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS token FROM conversations), d AS (SELECT doc_id % 50 AS k, lower(text) AS text FROM documents)
+ SELECT t.k, t.token FROM t WHERE EXISTS (SELECT 1 FROM d WHERE d.k = t.k AND contains(d.text, t.token))""")
+def tokens_in_sources(spark, sf_dir):
+    """G-19: the words of conversations that are in a document of their pool, as words or within others; fifty pools."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("k"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("token"))
+    return occurring(c, table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("k"), F.lower("text").alias("text")), "k")
+
+
+@R.query("SELECT conv_id, 6 AS checked, CASE WHEN conv_id % 2 = 0 THEN 6 ELSE 3 END AS supported, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'date June 2, 2021; number $1,200; number 2021' END AS unsupported, CASE WHEN conv_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS pass_rate FROM (SELECT conv_id * 100 + turn AS conv_id FROM conversations)")
 def verbatim_pass_rate(spark, sf_dir):
     """G-19."""
     out = gates.verbatim_check(*_checked(spark, sf_dir), "conv_id", "answer", "body")
     return out.select("conv_id", "checked", "supported", F.array_join(F.transform("unsupported", lambda u: F.concat_ws(" ", u["type"], u["token"])), "; ").alias("unsupported"), "pass_rate")
 
 
-@R.query("SELECT conv_id, conv_id % 2 <> 0 AS flagged, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'June 2, 2021|$1,200|2021' END AS claims, CASE WHEN conv_id % 2 <> 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'm' ELSE 'unknown' END END AS model FROM conversations WHERE turn = 0")
+@R.query("SELECT conv_id, conv_id % 2 <> 0 AS flagged, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'June 2, 2021|$1,200|2021' END AS claims, CASE WHEN conv_id % 2 <> 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'm' ELSE 'unknown' END END AS model FROM (SELECT conv_id * 100 + turn AS conv_id FROM conversations)")
 def audit_flags(spark, sf_dir):
     """G-20: a third of the answers is one model's."""
     checked = gates.verbatim_check(*_checked(spark, sf_dir), "conv_id", "answer", "body")
-    models = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.explode(F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("m"), F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("n")))).alias("model"))
+    models = table(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id") * 100 + F.col("turn")).select("conv_id", F.explode(F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("m"), F.lit("m"))).otherwise(F.array(F.lit("m"), F.lit("n")))).alias("model"))
     a = gates.audit(checked, models, "conv_id", "model")
     return a.select("conv_id", "flagged", F.array_join(F.transform("claims", lambda c: c["claim"]), "|").alias("claims"), F.get("claims", F.lit(0))["model"].alias("model"))
 
@@ -343,12 +352,14 @@ def audit_flags(spark, sf_dir):
 _FIRSTS = "[text || ' named examples', text || ' list of examples', text || ' real named cases', text || ' real-world instances', text || ' documented examples', text || ' specific cases with names']"
 
 
-@R.query(f"""WITH q AS (SELECT conv_id, turn, list_concat(['which firms' || turn], {_FIRSTS}) AS direct, text FROM conversations WHERE NOT regexp_matches(text, '["''“”‘’]'))
- SELECT conv_id, turn, array_to_string(list_concat(direct, [text || ' named examples evidence source 8', text || ' named examples evidence source 9']), '|') AS questions FROM q""")
+@R.query(f"""WITH p AS (SELECT conv_id, turn, text, translate(text, '“”‘’', '""' || chr(39) || chr(39)) AS plain FROM conversations),
+ f AS (SELECT *, trim(coalesce(nullif(regexp_extract(plain, '"([^"]+)"|\\x27([^\\x27]+)\\x27', 1), ''), regexp_extract(plain, '"([^"]+)"|\\x27([^\\x27]+)\\x27', 2))) AS phrase FROM p),
+ q AS (SELECT conv_id, turn, text, list_concat(['which firms' || turn], {_FIRSTS}[1:4], CASE WHEN phrase = '' THEN {_FIRSTS}[5:6] ELSE ['"' || phrase || '" examples', '"' || phrase || '" list', '"' || phrase || '" named cases', '"' || phrase || '" real-world instances'] END) AS direct FROM f)
+ SELECT conv_id, turn, array_to_string(list_concat(direct, [text || ' named examples evidence source ' || i FOR i IN range(len(direct) + 1, 10)]), '|') AS questions FROM q""")
 def subquestions(spark, sf_dir):
-    """C-10, C-12: one of two candidates is about the question; nine in all."""
-    c = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[\"'“”‘’]"))
+    """C-10, C-12: one of two candidates is about the question; nine in all; around a quoted phrase where there is one."""
     offered = F.array(F.concat(F.lit("which firms"), F.col("turn")), F.lit("What does it mean"))
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.array_join(routing.fill_subquestions(F.col("text"), offered, 9), "|").alias("questions"))
 
 
