@@ -127,14 +127,42 @@ def similar_pairs(questions: DataFrame, key: str, id_col: str, text_col: str, le
     """G-39: (key, a, b, similarity) of the pairs of a key's questions from ``least`` on.
 
     Such pairs share that part of the larger one's tokens, so they meet over the
-    first few of each in a fixed order; the rest of the key's pairs are never formed.
+    rarest few tokens of each; what meets are ids and sizes, and only pairs whose
+    sizes allow it get their tokens.  The rest of the key's pairs are never formed.
     """
-    tokens = questions.select(key, F.col(id_col).alias("i"), text.similarity_tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
-    head = F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * F.lit(least)).cast("int") + 1)
-    met = tokens.select(key, "i", "t", F.explode(head).alias("w"))
-    pairs = met.select(key, "w", F.col("i").alias("a"), F.col("t").alias("x")).join(met.select(key, "w", F.col("i").alias("b"), F.col("t").alias("y")), [key, "w"]).filter("a < b")
-    scored = pairs.select(key, "a", "b", text.similarity(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= least)
-    return scored.distinct()
+    sets = questions.select(key, F.col(id_col).alias("i"), text.similarity_tokens(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
+    sets = sets.filter(F.col(key).isNotNull()).withColumn("n", F.size("t"))
+    each = sets.select(key, "i", "n", F.explode("t").alias("w"))
+    placed = each.join(each.groupBy("w").agg(F.count("*").alias("_df")), "w").withColumn("_place", F.row_number().over(Window.partitionBy(key, "i").orderBy("_df", "w")))
+    head = placed.filter(F.col("_place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    met = head.select(key, "w", F.col("i").alias("a"), F.col("n").alias("x")).join(head.select(key, "w", F.col("i").alias("b"), F.col("n").alias("y")), [key, "w"]).filter("a < b")
+    near = met.filter(F.least("x", "y") >= F.greatest("x", "y") * least - 1e-9).select(key, "a", "b").distinct()
+    full = near.join(sets.select(key, F.col("i").alias("a"), F.col("t").alias("s")), [key, "a"]).join(sets.select(key, F.col("i").alias("b"), "t"), [key, "b"])
+    return full.select(key, "a", "b", text.similarity(F.col("s"), F.col("t")).alias("similarity")).filter(F.col("similarity") >= least).distinct()
+
+
+def keep_first(questions: DataFrame, key: str, id_col: str, text_col: str, least: float = 0.86) -> DataFrame:
+    """G-39 over any number of questions: (key, id) of those that the ordered walk keeps: each that is not similar to one kept before it, in the order of ``id_col``, which tells a key's questions apart.
+
+    What is kept is the first independent set of the graph of similar pairs.  In a round every question without an
+    earlier one that is still open is kept and the ones similar to it are dropped; the pairs that touch neither stay for the
+    next round.  No task sees a key's questions.  A chain of questions each similar to the next takes a round for every second of them.
+    """
+    folder = Folder(questions.sparkSession, "kept")
+    open_ = folder.save(similar_pairs(questions, key, id_col, text_col, least).select(key, "a", "b"), "0")
+    gone, step = [], 0
+    while not open_.isEmpty():
+        later = open_.select(key, F.col("b").alias("a")).distinct()
+        kept = open_.select(key, "a").distinct().join(later, [key, "a"], "left_anti")
+        step += 1
+        dropped = folder.save(open_.join(kept, [key, "a"], "left_semi").select(key, "b").distinct(), f"dropped{step}")
+        gone.append(dropped)
+        closed = dropped.withColumnRenamed("b", "a").unionByName(kept)
+        open_ = folder.save(open_.join(closed, [key, "a"], "left_anti").join(dropped, [key, "b"], "left_anti"), str(step))
+    every = questions.select(key, F.col(id_col).alias("id")).distinct()
+    for part in gone:
+        every = every.join(part.withColumnRenamed("b", "id"), [key, "id"], "left_anti")
+    return every
 
 
 _ASKED = "array<struct<q:string,t:array<string>>>"

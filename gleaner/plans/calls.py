@@ -105,11 +105,11 @@ def status_counts(spark, sf_dir):
     return rollups.status_counts(_events(spark, sf_dir).withColumnRenamed("event_type", "status"), "status")
 
 
-@R.query("SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE value > 45)")
+@R.query("SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE value > 300)")
 def still_dead_keys(spark, sf_dir):
     """F-12."""
     e = _events(spark, sf_dir)
-    return rollups.still_dead(e.filter("event_type = 'error'").select("user_id").distinct(), e.filter("value > 45"), "user_id")
+    return rollups.still_dead(e.filter("event_type = 'error'").select("user_id").distinct(), e.filter("value > 300"), "user_id")
 
 
 @R.query("""WITH r AS (SELECT user_id, event_id AS pos, 'e' || event_id % 9 AS engine FROM events), g AS (SELECT 'e' || i AS engine, i % 3 <> 0 AS enabled FROM range(6) t(i)), m AS (SELECT r.*, enabled FROM r LEFT JOIN g USING (engine))
@@ -121,11 +121,11 @@ def engine_details(spark, sf_dir):
     return rollups.engine_detail(asked, known, "user_id")
 
 
-@R.query("SELECT event_type, arg_min(account, (n, t, account)) AS account FROM (SELECT event_type, 'a' || user_id AS account, sum(value) / 1000 AS used, max(ts) FILTER (value > 5) IS NOT NULL AS n, max(ts) FILTER (value > 5) AS t FROM events GROUP BY event_type, user_id) WHERE round(used, 9) < 0.09 GROUP BY event_type")
+@R.query("SELECT event_type, arg_min(account, (n, t, account)) AS account FROM (SELECT event_type, 'a' || user_id AS account, sum(value) / 1000 AS used, max(ts) FILTER (value > 5) IS NOT NULL AS n, max(ts) FILTER (value > 5) AS t FROM events GROUP BY event_type, user_id) WHERE round(used, 9) < 0.4 GROUP BY event_type")
 def least_used_accounts(spark, sf_dir):
     """A-23: users as accounts of a kind of event."""
     by = _events(spark, sf_dir).groupBy("event_type", F.concat(F.lit("a"), F.col("user_id")).alias("account")).agg(F.round(F.sum("value") / 1000, 9).alias("used"), F.max(F.when(F.col("value") > 5, F.col("ts"))).alias("last"))
-    return rollups.least_used(by, "event_type", "used", "last", 0.09)
+    return rollups.least_used(by, "event_type", "used", "last", 0.4)
 
 
 SQL_CACHE = "h AS (SELECT event_id, user_id, coalesce(ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR, false) AS hit FROM events)"

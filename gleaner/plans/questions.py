@@ -206,10 +206,10 @@ _RATIO = "CASE WHEN least(len({x}), len({y})) = 0 THEN 0 WHEN len(list_intersect
 
 
 @R.query(f"""WITH q AS (SELECT conv_id, turn, {_SIM} AS t FROM conversations), p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, {_RATIO.format(x='a.t', y='b.t')} AS similarity FROM q a JOIN q b ON a.conv_id = b.conv_id AND a.turn < b.turn)
- SELECT conv_id, a, b, round(similarity, 9)::DOUBLE AS similarity FROM p WHERE similarity >= 0.2""")
+ SELECT conv_id, a, b, round(similarity, 9)::DOUBLE AS similarity FROM p WHERE similarity >= 0.05""")
 def question_jaccard(spark, sf_dir):
-    """Turns of one conversation that are alike to a fifth or more."""
-    return gaps.similar_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.2).withColumn("similarity", F.round("similarity", 9))
+    """Turns of one conversation that are alike to a twentieth or more."""
+    return gaps.similar_pairs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.05).withColumn("similarity", F.round("similarity", 9))
 
 
 @R.query(f"""WITH q AS (SELECT conv_id, list(struct_pack(q := text, t := {_SIM}) ORDER BY turn) AS qs FROM conversations GROUP BY conv_id)
@@ -219,6 +219,14 @@ def question_dedupe_greedy(spark, sf_dir):
     return q.select("conv_id", F.array_join(gaps.dedupe_questions(F.transform("q", lambda x: x["text"]), least=0.2), "\n").alias("kept"))
 
 
+@R.query(f"""WITH q AS (SELECT lang, list(struct_pack(i := item_id, t := {_SIM}) ORDER BY item_id) AS qs FROM (SELECT item_id, item_id % 4 AS lang, text FROM benchmark) GROUP BY lang)
+ SELECT lang, unnest(list_transform(list_reduce(qs, lambda kept, q: CASE WHEN len(list_filter(kept, lambda k: {_RATIO.format(x='k.t', y='q.t')} >= 0.02)) > 0 THEN kept ELSE list_append(kept, q) END, []::STRUCT(i BIGINT, t VARCHAR[])[]), lambda k: k.i)) AS id FROM q""")
+def questions_kept_first(spark, sf_dir):
+    """G-39 by rounds over the graph of similar pairs: benchmark items, in four sets, alike to a fiftieth or more."""
+    q = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("lang"), "item_id", "text")
+    return gaps.keep_first(q, "lang", "item_id", "text", 0.02)
+
+
 _FAILED = "CASE turn % 5 WHEN 0 THEN 'Error: ' || text WHEN 1 THEN '  ' WHEN 2 THEN text || ' No response received.' WHEN 3 THEN 'The study failed. ' || text ELSE text END"
 
 

@@ -109,3 +109,22 @@ def test_guards(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 def test_conversations(spark):
     assert compare(*questions.recursion_inputs(spark, DATA)) >= 2
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.86])
+def test_keep_first_is_the_ordered_walk(spark, least):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(12)] + ["the", "ab"]
+    rows = [(k % 3, k, " ".join(rng.choices(words, k=rng.randrange(0, 7)))) for k in range(150)] + [(5, 0, None), (5, 1, "")]
+    # A chain in which each is similar to the next alone.
+    rows += [(7, k, " ".join(f"link{j}" for j in range(k, k + 12))) for k in range(9)]
+    df = spark.createDataFrame(rows, "k int, i int, q string")
+    got = {tuple(r) for r in gaps.keep_first(df, "k", "i", "q", least).collect()}
+    pairs = {(r.k, r.a, r.b) for r in gaps.similar_pairs(df, "k", "i", "q", least).collect()}
+    assert pairs == {(k, i, j) for k, i, q in rows for k2, j, p in rows if k == k2 and i < j and q and p and similar(q, p) >= least}
+    want, kept = set(), defaultdict(list)
+    for k, i, q in rows:
+        if not any(similar(q or "", p) >= least for p in kept[k]):
+            kept[k].append(q or "")
+            want.add((k, i))
+    assert got == want
