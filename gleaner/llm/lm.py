@@ -48,7 +48,7 @@ from ..shipping import ship
 from . import kernel
 from .workspace import Workspace
 
-CORE, CLASSES, ROUNDS, SWEEPS, LEXICON = 2048, 48, 8, 1, 1_000_000
+CORE, CLASSES, ROUNDS, SWEEPS, LEXICON = 2048, 48, 8, 1, 4_000_000
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x454E440000000001)
 SMOOTHING, MIX = 0.01, 0.8
@@ -492,6 +492,7 @@ def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sw
     least = _cut(counts, n_words, lexicon)
     known = counts.filter(F.col("n") >= least).toArrow()
     words = Lexicon(*(np.concatenate([t.column(c).to_numpy() for t in (top, known)]) for c in ("word", "n")))
+    del known
     shared, whole = share(words), words.size == n_words
 
     core = len(top)
@@ -515,13 +516,14 @@ def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sw
     def bigrams(table: np.ndarray) -> np.ndarray:
         return np.concatenate([table[:, :classes] + table[:, classes : 2 * classes], table[:, 2 * classes :]], axis=1).astype(np.float64)
 
-    def moved_by(rows: DataFrame, table: np.ndarray, of: np.ndarray, tail: DataFrame | None) -> tuple[np.ndarray, DataFrame | None]:
+    def moved_by(rows: DataFrame, N: np.ndarray, of: np.ndarray, tail: DataFrame | None) -> tuple[np.ndarray, DataFrame | None]:
         """The classes after the words of ``rows`` have moved."""
         rows = rows.filter("word is not null").select("word", "context", "n", "class").repartition("word").sortWithinPartitions("word")
-        moved = ws.save(rows.mapInArrow(_moves(shared, bigrams(table)), "word long, class long, inside boolean"), "moved")
-        near = moved.filter("inside").toArrow()
+        moved = ws.save(rows.mapInArrow(_moves(shared, N), "word long, class long, inside boolean"), "moved")
+        near = moved.filter("inside").select("word", F.col("class").cast("short")).toArrow()
         of = of.copy()
         of[words.ids(near.column("word").to_numpy())] = near.column("class").to_numpy()
+        del near
         if not whole:
             far = moved.filter("not inside").select("word", F.col("class").alias("new"))
             known = tail.join(far, "word", "left").select("word", F.coalesce("new", "class").alias("class"), "n") if tail else far.join(counts, "word").select("word", F.col("new").alias("class"), "n")
@@ -529,21 +531,28 @@ def fit(docs: DataFrame, ws: Workspace, core: int, classes: int, rounds: int, sw
         ws.drop(moved)
         return of, tail
 
-    tail: DataFrame | None = None
+    # Of the core's classes all bigrams are known, and each token has one token before and one after it: so the first pass needs no count of its own.
+    N = np.zeros((side, side))
+    if core:
+        kinds = of[first]
+        np.add.at(N, (kinds[pair // core], kinds[pair % core]), n)
+        size = np.bincount(kinds, words.counts[first], classes)
+        N[:classes, classes], N[classes, :classes] = size - N[:classes, :classes].sum(1), size - N[:classes, :classes].sum(0)
+        N[classes, classes] = n_total - N.sum()
+    of, tail = moved_by(docs.mapInArrow(_contexts(shared, share(of), classes, True, False), CONTEXTS), N, of, None)
     best: tuple[float, np.ndarray, DataFrame | None, np.ndarray] | None = None
-    for step in range(-1, sweeps + 1):
-        # The first pass places words without class, the last one only counts.
-        new = True if step < 0 else None if step == sweeps else False
+    for step in range(sweeps + 1):
+        # The last pass only counts.
+        new = None if step == sweeps else False
         met = ws.save(docs.mapInArrow(_contexts(shared, share(of), classes, new, tail is not None), CONTEXTS), "contexts")
         rows = _resolved(met, tail, classes)
         table = table_of(rows)
-        if step >= 0:
-            value = likelihood(bigrams(table))
-            if best and value <= best[0]:
-                break
-            best = value, of, tail, table
+        value = likelihood(bigrams(table))
+        if best and value <= best[0]:
+            break
+        best = value, of, tail, table
         if new is not None:
-            of, tail = moved_by(rows, table, of, tail)
+            of, tail = moved_by(rows, bigrams(table), of, tail)
         ws.drop(met)
     ws.drop(counts)
     return Fitted(words, best[1], best[2], Model(best[3], n_words), n_total)
