@@ -275,12 +275,19 @@ def item_addresses(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", payloads.item_url(item, lane).alias("url"), text.result_count(body).alias("results"))
 
 
-@R.query("""WITH p AS (SELECT page_id, unnest([0, 1]) AS n FROM pages) SELECT page_id, CASE n WHEN 0 THEN 'A & ' || page_id ELSE 'C' END AS title, 'http://x/' || page_id || '/' || n AS url, CASE n WHEN 1 THEN 'me' END AS author FROM p""")
+@R.query("""WITH p AS (SELECT page_id, url, unnest([0, 1]) AS n FROM pages) SELECT page_id, CASE n WHEN 0 THEN 'A & <i>' || page_id || '</i>' ELSE 'CD' END AS title, CASE WHEN n = 0 THEN url ELSE 'http://x/' || page_id END AS url, CASE n WHEN 1 THEN 'me' END AS author FROM p""")
 def feed_entries(spark, sf_dir):
-    """A-07: an entry without author, one without link, one with both."""
-    i = F.col("page_id")
-    link = lambda n: F.concat(F.lit("<link rel='self' href='http://x/"), i, F.lit(f"/{n}'/>"))
-    feed = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><title>F</title><entry><title>A &amp; "), i, F.lit("</title>"), link(0), F.lit("</entry><entry><title>B</title><author><name>/u/you</name></author></entry><entry><author><name>/u/me</name></author><title>C</title>"), link(1), F.lit("</entry></feed>"))
+    """A-07: pages as entries of feeds with and without a prefix: one without author, one without link, one with both, one in a comment."""
+    i, p = F.col("page_id"), F.when(F.col("page_id") % 2 == 0, "").otherwise("a:")
+    el = lambda name, inner, attrs="": F.concat(F.lit("<"), p, F.lit(name + attrs + ">"), inner, F.lit("</"), p, F.lit(name + ">"))
+    link = lambda address: F.concat(F.lit("<"), p, F.lit("link rel='self' href='"), F.replace(address, F.lit("&"), F.lit("&amp;")), F.lit("'/>"))
+    name = lambda x: el("author", el("name", F.lit(x)))
+    one = el("entry", F.concat(F.lit("<m:title>no</m:title>"), el("title", F.concat(F.lit("A &amp; <![CDATA[<i>"), i, F.lit("</i>]]>")), " type='html'"), link(F.col("url")), link(F.lit("http://second"))))
+    two = el("entry", F.concat(el("title", F.lit("B")), name("/u/you")))
+    three = el("entry", F.concat(name("/u/me"), el("title", F.lit("C<!-- c -->D")), link(F.concat(F.lit("http://x/"), i))))
+    hidden = F.concat(F.lit("<!--"), el("entry", F.concat(el("title", F.lit("E")), link(F.lit("http://e")))), F.lit("-->"))
+    space = F.when(p == "", f" xmlns='{payloads.ATOM}' xmlns:m='urn:m'").otherwise(f" xmlns:m='urn:m' xmlns:a='{payloads.ATOM}'")
+    feed = F.concat(F.lit("<"), p, F.lit("feed"), space, F.lit(">"), el("title", F.lit("F")), one, two, three, hidden, F.lit("</"), p, F.lit("feed>"))
     return table(spark, sf_dir, "pages").select("page_id", F.explode(payloads.atom(feed)).alias("e")).select("page_id", "e.*")
 
 

@@ -91,22 +91,32 @@ def compact_results(items_: DataFrame, key: str, pos: str, item: str = "item", n
     return newest(made.filter(F.col("url").isNotNull() & F.col("title").isNotNull()), [F.col(pos)], n, [key])
 
 
+#: Fixed value: the namespace of the feeds that are read.
+ATOM = "http://www.w3.org/2005/Atom"
+_FEED = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,author:array<struct<name:string>>>>"
+
+
 def atom(xml: Column) -> Column:
-    """A-07: array of title, url and author of a feed's entries that have title and address, each from its own entry."""
-    parts = F.slice(F.split(xml, r"(?i)<(?:\w+:)?entry\b"), F.lit(2), F.greatest(F.size(F.split(xml, r"(?i)<(?:\w+:)?entry\b")) - 1, F.lit(0)))
-    inner = lambda e, tag: _plain(F.regexp_extract(e, rf"(?is)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}>", 1))
-    link = lambda e: _plain(F.regexp_extract(e, r"(?is)<(?:\w+:)?link\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)", 1))
-    author = lambda e: F.regexp_replace(inner(F.regexp_extract(e, r"(?is)<(?:\w+:)?author\b[^>]*>(.*?)</(?:\w+:)?author>", 1), "name"), "^/u/", "")
-    made = F.transform(parts, lambda e: F.struct(inner(e, "title").alias("title"), link(e).alias("url"), F.nullif(author(e), F.lit("")).alias("author")))
-    return F.filter(made, lambda r: (r["title"] != "") & (r["url"] != ""))
-
-
-def _plain(x: Column) -> Column:
-    """Text of an XML element: CDATA opened, basic entities undone, trimmed."""
-    x = F.regexp_replace(x, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return F.trim(x)
+    """A-07: array of title, url and author of a feed's entries that have title and address, each from its own entry.
+
+    The XML reader takes the elements of the Atom namespace, be it the default one or bound to a prefix, with entities and CDATA
+    undone and comments left out; the first link counts, and the first author with a name.  What is no XML, or no Atom feed, has no entries.
+    """
+    bound = rf"xmlns(?::([\w.-]+))?\s*=\s*[\"']{ATOM}[\"']"
+    prefix = F.regexp_extract(xml, bound, 1)
+    plain = F.when(prefix == "", xml).otherwise(F.regexp_replace(xml, F.concat(F.lit("<(/?)"), prefix, F.lit(":")), F.lit("<$1")))
+    entries = F.from_xml(F.when(xml.rlike(bound), plain), F.lit(_FEED))["entry"]
+    text_ = lambda x: F.trim(F.coalesce(x, F.lit("")), F.lit(" \t\r\n"))
+    names = lambda e: F.filter(F.transform(F.coalesce(e["author"], F.array()), lambda a: text_(a["name"])), lambda n: n != "")
+    made = F.transform(
+        entries,
+        lambda e: F.struct(
+            text_(e["title"]).alias("title"),
+            text_(F.get(e["link"], F.lit(0))["_href"]).alias("url"),
+            F.nullif(F.regexp_replace(F.coalesce(F.get(names(e), F.lit(0)), F.lit("")), "^/u/", ""), F.lit("")).alias("author"),
+        ),
+    )
+    return F.coalesce(F.filter(made, lambda r: (r["title"] != "") & (r["url"] != "")), F.array().cast("array<struct<title:string,url:string,author:string>>"))
 
 
 def memory_results(records: DataFrame, questions: DataFrame, scan: int = 200, n: int = 5) -> DataFrame:

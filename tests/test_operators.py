@@ -326,7 +326,7 @@ def test_payloads(spark):
     assert get(payloads.item_url(F.lit('{"objectID": "9"}'), F.lit("hn_algolia"))) == "https://news.ycombinator.com/item?id=9"
     feed = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>T</title><link href='http://x'/><author><name>/u/me</name></author></entry></feed>"
     assert [tuple(r) for r in get(payloads.atom(F.lit(feed)))] == [("T", "http://x", "me")]
-    mixed = "<feed><entry><title>A</title><link href='a'/></entry><entry><title>B</title></entry><entry><title>C</title><link rel='x' href='c'/><author><name>/u/you</name></author></entry></feed>"
+    mixed = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>A</title><link href='a'/></entry><entry><title>B</title></entry><entry><title>C</title><link rel='x' href='c'/><author><name>/u/you</name></author></entry></feed>"
     assert [tuple(r) for r in get(payloads.atom(F.lit(mixed)))] == [("A", "a", None), ("C", "c", "you")]
     assert get(payloads.auth_kind(F.lit("env:KEY"))) == "env"
 
