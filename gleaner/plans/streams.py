@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import streams
+from ..streaming import sinks, streams
 from .calls import SQL_BREAKER, SQL_CACHE
 from .registry import Registry
 
@@ -87,3 +87,12 @@ def stream_reaper(spark, sf_dir):
     log = _stream(spark, sf_dir).withColumn("lock", F.expr("event_type = 'view'"))
     out = streams.run(streams.reaper(log, "ts", "event_id", "10 minutes", "user_id", "lock", 6 * 3600, 12 * 3600), "reaper")
     return out.select("user_id", F.col("requested").cast("timestamp_ntz").alias("requested"), F.col("reaped").cast("timestamp_ntz").alias("reaped"))
+
+
+@R.query("SELECT DISTINCT 'https://x.org/' || user_id || '?b=' || event_type AS canonical FROM events")
+def stream_claims(spark, sf_dir):
+    """L-01, L-10: each canonical address once, through a sink that takes a batch once; the log is shorter than the time for which addresses are held."""
+    i = F.col("user_id").cast("string")
+    url = F.concat(F.lit("HTTPS://X.org/"), i, F.lit("/?utm_source="), F.col("event_id").cast("string"), F.lit("&b="), F.col("event_type"), F.lit("#f"))
+    log = _stream(spark, sf_dir).withColumn("url", url)
+    return sinks.run(sinks.claimed(log, F.col("url"), "ts", "40 days").select("canonical"), "claims")
