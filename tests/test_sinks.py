@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.sources.stages import shared_folder
 from gleaner.streaming import sinks
 
 
@@ -38,3 +39,11 @@ def test_a_failing_path_loses_nothing(spark, tmp_path):
     # Where nothing can be written, the query fails and keeps its place.
     with pytest.raises(Exception):  # noqa: B017
         sinks.once(out, str(tmp_path / "file" / "kept"))(batch, 9)
+
+
+def test_no_local_folder_on_a_cluster():
+    assert shared_folder("yarn", "hdfs://x/c/", "file:/w") == "hdfs://x/c" and shared_folder("local[4]", None, "file:/w") is None
+    assert shared_folder("yarn", None, "hdfs://x/w/") == "hdfs://x/w/_gleaner"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder("spark://m:7077", None, warehouse)
