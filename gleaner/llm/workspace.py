@@ -3,7 +3,7 @@
 They go below ``spark.checkpoint.dir``, the folder that driver and executors
 share, so a lost executor costs a reread and never a recomputation of the
 whole lineage.  Where that setting is unset, tables go below the session's
-warehouse, which is shared as well; only a local master (tests, a laptop), whose
+warehouse, if it is shared; only a local master (tests, a laptop), whose
 executors are the driver, uses a temporary folder of this machine.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from ..sources.stages import shared_folder
 
 
 def _local() -> str:
@@ -26,10 +27,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = shared_folder(spark.sparkContext.master, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"))
         if not base:
-            base = getattr(spark, "_gleaner_checkpoint_dir", None) or (_local() if spark.sparkContext.master.split("[")[0] == "local" else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_gleaner")
-            spark._gleaner_checkpoint_dir = base
+            base = spark._gleaner_checkpoint_dir = getattr(spark, "_gleaner_checkpoint_dir", None) or _local()
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         self.made: dict[int, str] = {}
         # Held, so that no other frame gets the id of a table's frame.
