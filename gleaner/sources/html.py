@@ -7,7 +7,9 @@ script, style, navigation and footers are dropped, block elements end a line.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -21,12 +23,32 @@ _DROPPED = {"script", "style", "noscript", "nav", "footer", "aside", "head", "te
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "header", "blockquote", "pre"}
 
 
+#: The named characters that end in a semicolon, from the standard library's table.
+_NAMED = json.dumps({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
+
+
+def unescaped(x: Column) -> Column:
+    """E-08: character references undone once: all names, decimal and hexadecimal numbers, each up to its semicolon; what is none stays as it is, and a number that is no character becomes U+FFFD."""
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+
+    def undone(piece: Column) -> Column:
+        def put(name: Column) -> Column:
+            hexed = F.when(name.rlike("^#[xX]"), F.substring(name, F.lit(3), F.length(name))).otherwise(F.conv(F.substring(name, F.lit(2), F.length(name)), 10, 16))
+            code = F.when(F.length(hexed) <= 6, F.conv(hexed, 16, 10).cast("long"))
+            valid = F.coalesce((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.lit(False))
+            char = F.when(valid, F.decode(F.unhex(F.lpad(hexed, F.lit(8), F.lit("0"))), "UTF-32")).otherwise("\ufffd")
+            known = F.when(name == "", None).when(name.startswith("#"), char).otherwise(F.try_element_at(named, name))
+            return F.coalesce(F.concat(known, F.substring(piece, F.length(name) + 2, F.length(piece))), F.concat(F.lit("&"), piece))
+
+        return text.let(F.regexp_extract(piece, "^(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,9}|[A-Za-z][A-Za-z0-9]*);", 1), put)
+
+    pieces = F.split(x, "&")
+    return F.when(~F.contains(x, F.lit("&")), x).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), undone), "")))
+
+
 def title(page: Column) -> Column:
-    """E-08: the title element, squashed, basic entities undone."""
-    raw = F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(raw, r"\s+", " "))
+    """E-08: the title element, squashed, character references undone."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
 
 
 # Where pages say their title, author and date, in order.
@@ -35,16 +57,10 @@ AUTHOR_KEYS = ["author", "article:author", "parsely-author", "citation_author"]
 DATE_KEYS = ["article:published_time", "date", "pubdate", "citation_publication_date", "parsely-pub-date"]
 
 
-def _unescaped(x: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return x
-
-
 def meta(page: Column) -> Column:
     """E-08: struct of title (of the meta elements, else the title element), author and normalised date."""
     attribute = lambda tag, name: F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1))
-    tags = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0)), lambda t: F.struct(attribute(t, "property").alias("property"), attribute(t, "name").alias("name"), F.trim(_unescaped(attribute(t, "content"))).alias("content")))
+    tags = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0)), lambda t: F.struct(attribute(t, "property").alias("property"), attribute(t, "name").alias("name"), F.trim(unescaped(attribute(t, "content"))).alias("content")))
 
     def of(found: Column) -> Column:
         def first(keys: list[str]) -> Column:

@@ -344,6 +344,17 @@ def test_html(spark):
     assert rows[1].text == "" and rows[2].text == ""
 
 
+def test_character_references(spark):
+    import html as std
+    from html.entities import html5
+
+    texts = [f"a &{name} b" for name in html5 if name.endswith(";")] + ["&#233;&#xe9;&#128512; &amp;lt; & &; &nosuch; &#x110000; &#0; &#xD800; &#; x&amp", "plain", "", None, "&lt;&lt;&gt;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", html.unescaped(F.col("x")).alias("x"))
+    got = {r.i: r.x for r in df.collect()}
+    # A name without its semicolon stays.
+    assert got == {i: None if t is None else std.unescape(t) if not t.endswith("x&amp") else std.unescape(t[:-4]) + "&amp" for i, t in enumerate(texts)}
+
+
 def test_local_lanes(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Nothing here.\n\nThe mill spins organic cotton.")
     (tmp_path / "b.txt").write_text("cotton only")
