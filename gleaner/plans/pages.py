@@ -352,6 +352,16 @@ def memory_results(spark, sf_dir):
     return payloads.memory_results(d, q).select("question_id", "id", F.round("score", 9).alias("score"))
 
 
+@R.query(f"""WITH RECURSIVE f AS (SELECT doc_id, left(text, 4000) AS text FROM documents WHERE trim(text) <> ''), {SQL_WINDOWS.replace('FROM documents', 'FROM f')}, q AS (SELECT item_id, {SQL_TOKENS.format(x='text')} AS of_ FROM benchmark),
+ w AS (SELECT doc_id, {SQL_TOKENS.format(x='paragraph')} AS t FROM windows), s AS (SELECT item_id, doc_id, max(len(list_intersect(t, of_)) / len(of_)) AS score FROM w, q WHERE list_has_any(t, of_) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s)
+ SELECT item_id AS question_id, doc_id AS path, round(score, 9)::DOUBLE AS score FROM r WHERE n <= 5""")
+def file_results(spark, sf_dir):
+    """A-12: documents as files, of which the lane reads 4,000 characters; five files a question."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.left("text", F.lit(4000)).alias("content"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return payloads.file_results(files, q).select("question_id", "path", F.round("score", 9).alias("score"))
+
+
 @R.query("SELECT page_id, ['doi', 'journal', 'number', 'title', 'doi', NULL, 'journal'][1 + page_id % 7] AS kind, CASE page_id % 7 WHEN 0 THEN '10.1234/p' || page_id WHEN 1 THEN '2072-666X 9 3 ' || page_id WHEN 2 THEN 'S0123456789012345' WHEN 3 THEN 'A title here' WHEN 4 THEN '10.5555/q' || page_id WHEN 6 THEN 'micromachines 9 3 ' || page_id END AS value FROM pages")
 def doi_routes(spark, sf_dir):
     """A-21: addresses of all kinds."""

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evidence, gaps, gates, queries, rollups, routing
+from ..operators import evidence, gaps, gates, queries, rollups, routing, sessions
 from ..operators.occurrences import occurring
+from ..sources import payloads
+from ..sources.stages import Folder
 from .documents import SQL_SQUASH
 from .registry import Registry, table
 
@@ -388,3 +390,42 @@ def recursion_plan(spark, sf_dir):
     """G-40 over conversations; folds that SQL cannot take, held against a plain loop in the tests."""
     plan = gaps.plan_recursion(*recursion_inputs(spark, sf_dir))
     return plan.select("session", "leaves", F.size("dropped").alias("dropped"), F.explode("nodes").alias("n")).select("session", "leaves", "dropped", "n.*")
+
+
+@R.query("SELECT conv_id, min(turn) FILTER (length(text) > 120) AS chosen FROM conversations GROUP BY conv_id")
+def first_successes(spark, sf_dir):
+    """N-09: the first turn of a conversation that is long enough."""
+    c = table(spark, sf_dir, "conversations").withColumn("ok", F.length("text") > 120)
+    return gates.first_success(c, "conv_id", "turn", "ok")
+
+
+@R.query("SELECT conv_id, turn, last_value(CASE WHEN length(text) > 120 THEN sha256(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading FROM conversations")
+def carried_headings(spark, sf_dir):
+    """I-05: the last long turn so far, by its digest."""
+    c = table(spark, sf_dir, "conversations").withColumn("said", F.when(F.length("text") > 120, F.sha2("text", 256)))
+    return gates.carry_last(c, "conv_id", "turn", "said", "heading").select("conv_id", "turn", "heading")
+
+
+@R.query("SELECT conv_id, turn, text FROM conversations WHERE (conv_id + turn) % 6 IN (0, 4)")
+def jsonl_rows(spark, sf_dir):
+    """A-14, B-05: a log of JSON lines, some blank, broken, or no objects, written and read again."""
+    c = table(spark, sf_dir, "conversations")
+    n = (F.col("conv_id") + F.col("turn")) % 6
+    line = F.when(n == 0, F.to_json(F.struct("conv_id", "turn", "text"))).when(n == 1, "").when(n == 2, "{broken").when(n == 3, "[1, 2]").when(n == 4, F.to_json(F.struct("conv_id", "turn", "text", F.lit(1).alias("more")))).otherwise('"text"')
+    folder = Folder(spark, "jsonl")
+    c.select(line.alias("value")).write.text(folder.path("log"))
+    kinds = c.schema
+    rows = payloads.read_jsonl(spark, folder.path("log"), f"conv_id {kinds['conv_id'].dataType.simpleString()}, turn {kinds['turn'].dataType.simpleString()}, text string").filter("conv_id is not null")
+    sessions.append_jsonl(rows, folder.path("copy"))
+    return spark.read.schema(rows.schema).json(folder.path("copy"))
+
+
+@R.query("SELECT conv_id, count(*) AS turns, sha256(string_agg(text, chr(10) ORDER BY turn)) AS said FROM conversations GROUP BY conv_id")
+def session_documents(spark, sf_dir):
+    """A-15, B-01: conversations as session documents, saved by day and read from the tree."""
+    folder = Folder(spark, "documents")
+    c = table(spark, sf_dir, "conversations")
+    made = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns")).withColumn("created", F.make_date(F.lit(2024), F.lit(1), (F.col("conv_id") % 28 + 1).cast("int")))
+    sessions.save(made, folder.path("tree"), "created")
+    read = sessions.load(spark, folder.path("tree"), made.schema)
+    return read.select("conv_id", F.size("turns").cast("long").alias("turns"), F.sha2(F.array_join(F.transform("turns", lambda t: t["text"]), "\n"), 256).alias("said"))
