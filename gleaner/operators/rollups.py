@@ -135,6 +135,43 @@ def session_row(calls: DataFrame, key: str, lane: str, ok: str, model: str) -> D
     return calls.groupBy(key).agg(F.array_sort(F.collect_set(lane)).alias("lanes"), F.array_sort(F.collect_set(F.when(~F.col(ok), F.col(lane)))).alias("failed_lanes"), F.array_sort(F.collect_set(model)).alias("models"), F.count("*").alias("calls"))
 
 
+def telemetry_row(sessions: DataFrame, now: str) -> DataFrame:
+    """H-04: the log's row of each session document, with its 22 fields.
+
+    A session has the scalars of the row and session_file, and sources(domain), queries_run(lane, worker_model, error),
+    territories(assigned_worker_model), gemini_pro_runs(run_type), and of its audit flagged and claims.  Lists are sorted and
+    distinct, without nulls and empty strings; a list that is null has no entries; a question has 200 characters at most.
+    """
+    listed = lambda c, field: F.coalesce(F.transform(c, lambda x: x[field]), F.array().cast("array<string>"))
+    unique = lambda x: F.array_sort(F.array_distinct(F.filter(x, lambda v: F.coalesce(v, F.lit("")) != "")))
+    count = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    failed = F.filter("queries_run", lambda q: F.coalesce(q["error"], F.lit("")) != "")
+    return sessions.select(
+        F.lit(now).alias("ts"),
+        F.coalesce("updated_at", "created_at").alias("run_ts"),
+        "protocol",
+        F.coalesce(F.nullif(F.col("triggered_by"), F.lit("")), F.lit("unknown")).alias("agent"),
+        F.lit("observer").alias("source"),
+        F.left(F.coalesce("question", F.lit("")), F.lit(200)).alias("question"),
+        "final_status",
+        "answer_kind",
+        "confidence",
+        count("sources").alias("n_sources"),
+        unique(listed("sources", "domain")).alias("source_domains"),
+        count("queries_run").alias("n_queries"),
+        unique(listed("queries_run", "lane")).alias("lanes_used"),
+        unique(listed(failed, "lane")).alias("lanes_failed"),
+        unique(F.concat(listed("territories", "assigned_worker_model"), listed("queries_run", "worker_model"), listed("gemini_pro_runs", "run_type"))).alias("models_used"),
+        F.coalesce("flagged", F.lit(False)).alias("flagged"),
+        F.coalesce("claims", F.array().cast(sessions.schema["claims"].dataType)).alias("flagged_claims"),
+        F.col("total_cost_usd_estimate").alias("cost_usd"),
+        F.col("total_duration_ms").alias("duration_ms"),
+        "iteration_count",
+        "session_id",
+        "session_file",
+    )
+
+
 def breaker(log: DataFrame, key: str, ts: str, order: str, ok: str, failures: int = 3, within: str = "1 HOUR") -> DataFrame:
     """L-05: the circuit as each event finds it: open if ``failures`` or more came in a row before it and the last of them less than ``within`` ago; a success resets.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import containment, evidence, gaps, gates, routing, sessions
+from ..operators import containment, evidence, gaps, gates, rollups, routing, sessions
 from ..sources.stages import Folder
 from .documents import SQL_SQUASH, SQL_TOKENS
 from .registry import Registry, table
@@ -264,3 +264,24 @@ def sufficiency_same_items(spark, sf_dir):
     rows = rows.withColumn("items", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.concat(F.lit("s"), F.col("_first") + j)))
     # Queries and fingerprints are all different here, so that the sources decide.
     return gates.terminal(rows.withColumn("query", F.concat(F.lit("q"), "pos")).withColumn("fingerprint", F.col("pos")), "k")
+
+
+@R.query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, list_sort(list(DISTINCT 'd' || l_suppkey % 5)) AS domains, list_sort(list(DISTINCT 'l' || l_partkey % 4)) AS lanes, coalesce(list_sort(list(DISTINCT 'l' || l_partkey % 4) FILTER (l_returnflag = 'R')), []) AS failed, list(DISTINCT l_returnflag) AS a, list(DISTINCT l_linestatus) AS b FROM lineitem GROUP BY 1)
+ SELECT o_orderkey AS session_id, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS VARCHAR) ELSE 'made' END AS run_ts, o_orderpriority AS protocol, CASE WHEN o_custkey % 3 = 0 THEN 'unknown' ELSE 'c' || o_custkey END AS agent, left(repeat(o_orderpriority || ' ', 30), 200) AS question, coalesce(n, 0) AS n_sources, coalesce(n, 0) AS n_queries, coalesce(array_to_string(domains, ','), '') AS source_domains, coalesce(array_to_string(lanes, ','), '') AS lanes_used, coalesce(array_to_string(failed, ','), '') AS lanes_failed,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, []), CASE WHEN o_orderkey % 2 = 0 THEN ['scout'] ELSE [] END))), ',') AS models_used, o_orderkey % 7 = 0 AS flagged, o_totalprice::DOUBLE AS cost_usd FROM orders LEFT JOIN l ON k = o_orderkey""")
+def telemetry_rows(spark, sf_dir):
+    """H-04: orders as session documents, their lines as sources and queries."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_list(F.struct(F.concat(F.lit("d"), F.col("l_suppkey") % 5).alias("domain"))).alias("sources"),
+        F.collect_list(F.struct(F.concat(F.lit("l"), F.col("l_partkey") % 4).alias("lane"), F.col("l_linestatus").alias("worker_model"), F.when(F.col("l_returnflag") == "R", "timeout").otherwise("").alias("error"))).alias("queries_run"),
+        F.collect_list(F.struct(F.col("l_returnflag").alias("assigned_worker_model"))).alias("territories"),
+    )
+    none = F.lit(None)
+    made = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select(
+        "*", F.col("o_orderkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("string")).alias("updated_at"), F.lit("made").alias("created_at"), F.col("o_orderpriority").alias("protocol"),
+        F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("c"), "o_custkey")).when(F.col("o_custkey") % 2 == 0, "").alias("triggered_by"), F.repeat(F.concat("o_orderpriority", F.lit(" ")), F.lit(30)).alias("question"), none.cast("string").alias("final_status"), none.cast("string").alias("answer_kind"), none.cast("double").alias("confidence"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.array(F.struct(F.lit("scout").alias("run_type")))).alias("gemini_pro_runs"), F.when(F.col("o_orderkey") % 7 == 0, True).alias("flagged"), none.cast("array<string>").alias("claims"), F.col("o_totalprice").cast("double").alias("total_cost_usd_estimate"), F.lit(0).alias("total_duration_ms"), F.lit(0).alias("iteration_count"), F.lit("f").alias("session_file"),
+    )
+    row = rollups.telemetry_row(made, NOW)
+    text_ = lambda c: F.array_join(c, ",").alias(c)
+    return row.select("session_id", "run_ts", "protocol", "agent", "question", F.col("n_sources").cast("long").alias("n_sources"), F.col("n_queries").cast("long").alias("n_queries"), text_("source_domains"), text_("lanes_used"), text_("lanes_failed"), text_("models_used"), "flagged", "cost_usd")
