@@ -21,7 +21,7 @@ that of its word alone (the base), so little text does not make the model worse
 
 What moves: word counts and (word, class beside it) counts, combined in each
 task before they are shuffled and keyed by word.  Words met often enough to be
-among ``lexicon`` (17 bytes each, and the core at least) are broadcast for lookups; the classes of
+among ``lexicon`` (14 bytes each, and the core at least) are broadcast for lookups; the classes of
 all others are a table keyed by word.  Neighbours of which one is such a word leave
 a pass as a row of their own, by word, and meet that table by joins: texts never move.  A word's class, and so every score,
 is the same wherever the word is looked up.  All counts are of all training documents and grow with them; nothing on the driver does.
@@ -103,7 +103,7 @@ class _Sums:
 
 
 #: Distinct keys that a worker holds before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +121,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Sorted hashes of the broadcast words with their counts."""
+    """Sorted hashes of the broadcast words with their counts, and at the end of these 0 for words outside."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         self.words, first = np.unique(words, return_index=True)
-        self.counts, self.size = counts[first], len(self.words)
+        self.size = len(self.words)
+        self.counts = np.append(counts[first], 0).astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Index of each word, ``size`` for words outside."""
@@ -271,8 +272,8 @@ def _contexts(shared, shared_classes, classes: int, new: bool | None, tail: bool
     side, width = classes + 1, 2 * classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, of = shared.value, np.append(shared_classes.value, classes).astype(np.int64)
-        single = np.append(lexicon.counts == 1, False)
+        lexicon, of = shared.value, np.append(shared_classes.value, np.int16(classes))
+        single = lexicon.counts == 1
         table = np.zeros(side * width, np.int64)
         sums, far, held_rows = _Sums(), [], 0
 
@@ -300,7 +301,7 @@ def _contexts(shared, shared_classes, classes: int, new: bool | None, tail: bool
                     continue
                 h = h.view(np.int64)
                 ids = lexicon.of(h)
-                out, k, once = ids == lexicon.size, of[ids], single[ids]
+                out, k, once = ids == lexicon.size, of[ids].astype(np.int64), single[ids]
                 starts = np.flatnonzero(first)
                 after = np.arange(1, len(h) + 1)
                 after[np.append(starts[1:], len(h)) - 1] = starts
@@ -428,8 +429,7 @@ def _score(shared, shared_classes, shared_model, n_total: int, mix: float, whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = shared.value, shared_model.value
-        of = np.append(shared_classes.value, model.classes).astype(np.int64)
-        counts = np.append(lexicon.counts, 0)
+        of, counts = np.append(shared_classes.value, np.int16(model.classes)), lexicon.counts
         scale = np.log10(n_total + model.n_words + 1)
         for batch in batches:
             held = held_out(batch.column(0))
@@ -437,7 +437,7 @@ def _score(shared, shared_classes, shared_model, n_total: int, mix: float, whole
                 h, at = tokens(c)
                 h = h.view(np.int64)
                 ids = lexicon.of(h)
-                k, n = of[ids], counts[ids]
+                k, n = of[ids].astype(np.int64), counts[ids].astype(np.int64)
                 out = (ids == lexicon.size) & (not whole)
                 before, lost = _before(k, at[:-1]), _before(out, at[:-1])
                 base = np.log10(n + 1.0) - scale
