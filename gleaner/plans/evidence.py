@@ -79,13 +79,12 @@ def paragraph_windows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
-@R.query(f"WITH {_SOURCES}, t AS (SELECT doc_id, session, {SQL_TOKENS.format(x='text')} AS ts FROM src) SELECT doc_id AS doc, pos AS claim, round(len(list_intersect(ts, of_)) / len(of_), 9)::DOUBLE AS score FROM t JOIN cl USING (session) WHERE list_has_any(ts, of_)")
+@R.query(f"WITH {_SOURCES}, t AS (SELECT doc_id, session, {SQL_TOKENS.format(x='text')} AS ts FROM src) SELECT doc_id AS doc, pos AS claim, round(CASE WHEN len(of_) = 0 OR len(ts) = 0 THEN 0 ELSE len(list_intersect(ts, of_)) / len(of_) END, 9)::DOUBLE AS score FROM t JOIN cl USING (session)")
 def containment_pairs(spark, sf_dir):
-    """Whole documents and the claims of their session that they share a token with."""
+    """Whole documents against each claim of their session, those without a common token too."""
     docs = _sources(spark, sf_dir).select("doc", "session", text.overlap_tokens(F.col("text")).alias("tokens"))
-    sets = containment.claim_tokens(_claims(spark, sf_dir), ["session", "pos"], "claim")
-    pairs = containment.shared(docs, ["doc", "session"], sets, ["session", "pos"], ["session"])
-    return pairs.select("doc", F.col("pos").alias("claim"), F.round(F.col("shared") / F.col("size"), 9).alias("score"))
+    claims = _claims(spark, sf_dir).select("session", F.col("pos").alias("claim"), text.overlap_tokens(F.col("claim")).alias("of"))
+    return docs.join(claims, "session").select("doc", "claim", F.round(text.containment(F.col("tokens"), F.col("of")), 9).alias("score"))
 
 
 @R.query(f"WITH RECURSIVE {_BEST} SELECT doc_id AS doc, para, cpos AS claim, round(score, 9)::DOUBLE AS score FROM sc WHERE score >= 0.45")

@@ -4,10 +4,12 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from gleaner.functions import text
 from gleaner.operators import containment, evidence
+from gleaner.plans import evidence as plans
 
 STOP = set(text.EVIDENCE_STOPWORDS)
 
@@ -76,3 +78,15 @@ def test_no_all_pairs_step(spark):
     df = evidence.best_paragraphs(spark.createDataFrame(sources, "doc int, key int, body string"), spark.createDataFrame(claims, "key int, pos int, claim string"), "key", "body", ["doc"])
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Cartesian" not in plan and "token" in plan
+
+
+def test_all_pairs_of_a_session(spark, tmp_path):
+    """Pairs without a common token are rows too; null texts, equal ids and empty claims as in SQL."""
+    con = duckdb.connect()
+    con.execute("create table documents as select * from (values (1, 'loom mill', 'src1'), (2, 'nothing alike', 'src1'), (2, 'loom', 'src1'), (3, NULL, 'src1'), (4, '', 'src1'), (5, 'loom', 'src2'), (6, 'loom', NULL)) t(doc_id, text, source)")
+    con.execute("create table benchmark as select * from (values (1, 'the loom of a mill'), (21, 'the of'), (41, NULL), (61, 'cotton'), (2, 'wool')) t(item_id, text)")
+    for t in ("documents", "benchmark"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got = [(r.doc, r.claim, r.score) for r in plans.containment_pairs(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(plans.ORACLES["containment_pairs"]).fetchall(), key=repr)
+    assert (2, 1, 0.0) in got and len(got) == 5 * 4 + 1
