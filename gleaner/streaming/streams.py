@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import pickle
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +35,21 @@ def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(folder.path("out"))
 
 
+def run_closed(log: DataFrame, ts: str, walk: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """All of a log that has ended through ``walk``, as a table: :func:`run` to the log's end, then on from there with one more row, at ``OVER``, that lets the watermark pass whatever still waits."""
+    spark = log.sparkSession
+    folder = Folder(spark, name)
+    ends, schema = folder.path("ends"), log.schema
+    row = spark.range(1).select(*[(F.lit(OVER.isoformat(" ")) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    row.limit(0).write.parquet(ends)
+    for step in range(2):
+        if step:
+            row.write.mode("append").parquet(ends)
+        out = walk(log.unionByName(spark.readStream.schema(schema).parquet(ends)))
+        out.writeStream.format("parquet").option("path", folder.path("out")).option("checkpointLocation", folder.path("state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(folder.path("out"))
+
+
 def tumbling(stream: DataFrame, ts: str, size: str, late: str, *keys: str) -> DataFrame:
     """Counts and sums of closed windows."""
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
@@ -52,84 +70,106 @@ def first_seen(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.dropDuplicates(list(keys))
 
 
+#: Keys are dealt to so many buckets; a bucket's keys share one state and one timer.
+BUCKETS = 2048
+#: Rows without time stand here, behind all others; a row at ``OVER`` ends a log.
+LAST, OVER = datetime(9999, 1, 1), datetime(9999, 12, 31)
+LAST_US = (LAST - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+
+
+#: Rows without an order stand behind the others of their moment.
+NO_ORDER = (1 << 63) - 1
+
+
 class Ordered(StatefulProcessor):
     """Walks each key's rows in the order of (time, order), however they were dealt into batches.
 
     Rows wait in list state until the watermark has passed them: whatever comes
     later is late or stands behind them.  An event-time timer stands at the
-    first of them, and behind them at the moment at which the key's state is
+    first of them, and behind them at the moment at which a key's state is
     over, so a state goes with its key.
 
+    Grouped are buckets of keys: what waits is one packed value a batch, and what the keys hold is one packed value, so that the calls
+    between worker and state store are a few a bucket, not some for each key and row.
+
     ``step(held, us, row)`` returns (held, output tuple or None); ``held`` is a tuple or None.  ``due(held)`` is the moment at which
-    ``end(held)``, which returns (held, output tuple or None), must be called, or None: then the state stays, one row a key.
+    ``end(held)``, which returns (held, output tuple or None), must be called, or None: then the state stays, one entry a key.
     """
 
-    def __init__(self, fields: list[str], state: str, schema: T.StructType, names: list[str], step, due, end):
-        self.fields, self.state, self.schema, self.names = fields, state, schema, names
+    def __init__(self, fields: list[str], names: list[str], step, due, end):
+        self.fields, self.names = fields, names
         self.step, self.due, self.end = step, due, end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.held = handle.getValueState("held", self.state)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.held = handle.getValueState("held", "keys binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for frame in rows for r in frame[self.fields].itertuples(index=False, name=None)]
+        new = []
+        for frame in rows:
+            columns = [frame[f].astype(object) for f in self.fields]
+            new += zip(*(c.where(c.notna(), None).tolist() for c in columns), strict=True)
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue((pickle.dumps(new),))
             self.handle.registerTimer(min(r[0] for r in new) // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
-        ready = [r for r in rows if r[0] < now]
-        before = tuple(self.held.get()) if self.held.exists() else None
-        held, made = before, []
-
-        def until(us: int) -> None:
-            nonlocal held
-            while held is not None and (over := self.due(held)) is not None and over < us:
-                held, out = self.end(held)
+        rows = [r for (packed,) in self.waiting.get() for r in pickle.loads(packed)] if self.waiting.exists() else []
+        rows.sort(key=lambda r: r[:2])
+        ready = bisect.bisect_left(rows, now, key=lambda r: r[0])
+        before = self.held.get()[0] if self.held.exists() else None
+        held, made = {} if before is None else pickle.loads(before), []
+
+        def until(name, us: int) -> tuple | None:
+            now_held = held.get(name)
+            while now_held is not None and (over := self.due(now_held)) is not None and over < us:
+                now_held, out = self.end(now_held)
                 if out is not None:
-                    made.append(out)
+                    made.append((name, *out))
+            return now_held
 
-        for us, order, *row in ready:
-            until(us)
-            held, out = self.step(held, us, row)
+        for us, order, name, *row in rows[:ready]:
+            held[name], out = self.step(until(name, us), us, row)
             if out is not None:
-                made.append((order, *out))
-        until(now)
+                made.append((name, None if order == NO_ORDER else order, *out))
+        held = {name: left for name in list(held) if (left := until(name, now)) is not None}
+        ahead = rows[ready:]
         if ready:
-            self.waiting.put(rows[len(ready) :]) if len(ready) < len(rows) else self.waiting.clear()
-        if held is None:
+            self.waiting.put([(pickle.dumps(ahead),)]) if ahead else self.waiting.clear()
+        if not held:
             self.held.clear()
-        elif held != before:
-            self.held.update(held)
-        ahead = [rows[len(ready)][0]] if len(ready) < len(rows) else []
-        over = None if held is None else self.due(held)
-        for us in ahead + ([] if over is None else [over]):
+        elif (after := pickle.dumps(held)) != before:
+            self.held.update((after,))
+        overs = [over for h in held.values() if (over := self.due(h)) is not None]
+        for us in [r[0] for r in ahead[:1]] + ([min(overs)] if overs else []):
             self.handle.registerTimer(us // 1000)
         if made:
-            yield pd.DataFrame([(*key, *m) for m in made], columns=self.names, dtype=object)
+            yield pd.DataFrame(made, columns=self.names, dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def _ordered(stream: DataFrame, ts: str, order: str, late: str, key: str, columns: dict[str, Column], state: str, out: str, step, due=lambda held: None, end=lambda held: (None, None)) -> DataFrame:
-    """``stream`` through :class:`Ordered`: (key, out).  The key travels as a string, so that a null is one key like others."""
+def _ordered(stream: DataFrame, ts: str, order: str, late: str, key: str, columns: dict[str, Column], out: str, step, due=lambda held: None, end=lambda held: (None, None), untimed: bool = False) -> DataFrame:
+    """``stream`` through :class:`Ordered`: (key, out).  The key travels as a string, so that a null is one key like others.
+
+    With ``untimed``, rows without time stand behind all others until the log is closed (see :func:`run_closed`); else they are left out.
+    """
     spark = stream.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Workers rename columns that begin with an underscore.
-    rows = stream.withWatermark(ts, late).filter(F.col(ts).isNotNull())
-    rows = rows.select(F.col(key).cast("string").alias("grouped"), F.col(ts).alias("time"), F.unix_micros(ts).alias("us"), F.col(order).cast("long").alias("ordinal"), *[c.alias(n) for n, c in columns.items()])
-    fields = ["us", "ordinal", *columns]
-    waiting = T.StructType([rows.schema[f] for f in fields])
+    rows = stream.withWatermark(ts, late).filter(F.coalesce(F.col(ts) < F.lit(OVER.isoformat(" ")).cast("timestamp"), F.lit(untimed)))
+    us = F.coalesce(F.unix_micros(ts), F.lit(LAST_US)).alias("us")
+    name = F.col(key).cast("string")
+    bucket = F.pmod(F.xxhash64(name), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows = rows.select(bucket, F.col(ts).alias("time"), us, F.coalesce(F.col(order).cast("long"), F.lit(NO_ORDER)).alias("ordinal"), name.alias("name"), *[c.alias(n) for n, c in columns.items()])
     schema = T.StructType([T.StructField(key, T.StringType()), *T._parse_datatype_string(out).fields])
-    walk = Ordered(fields, state, waiting, schema.names, step, due, end)
-    return rows.groupBy("grouped").transformWithStateInPandas(walk, schema, "Append", "EventTime").withColumn(key, F.col(key).cast(stream.schema[key].dataType))
+    walk = Ordered(["us", "ordinal", "name", *columns], schema.names, step, due, end)
+    return rows.groupBy("bucket").transformWithStateInPandas(walk, schema, "Append", "EventTime").withColumn(key, F.col(key).cast(stream.schema[key].dataType))
 
 
 def cache(stream: DataFrame, ts: str, order: str, late: str, key: str, seconds: int, touch: bool = True) -> DataFrame:
@@ -140,20 +180,21 @@ def cache(stream: DataFrame, ts: str, order: str, late: str, key: str, seconds:
         # What is over has been dropped before: whatever is held is still good.
         return (held if held and not touch else (us + life,)), (held is not None,)
 
-    return _ordered(stream, ts, order, late, key, {}, "until long", "event long, hit boolean", step, lambda held: held[0])
+    return _ordered(stream, ts, order, late, key, {}, "event long, hit boolean", step, lambda held: held[0])
 
 
-def breaker(stream: DataFrame, ts: str, order: str, late: str, key: str, ok: str, failures: int = 3, seconds: int = 3600) -> DataFrame:
+def breaker(stream: DataFrame, ts: str, order: str, late: str, key: str, ok: str, failures: int = 3, seconds: int = 3600, untimed: bool = False) -> DataFrame:
     """L-05 as a stream: (key, event, failures before it, open): a circuit that ``failures`` in a row open until ``seconds`` after the last of them; a success resets it.
 
-    Failures in a row may be far apart, so a count stays until a success: one row for each key whose last call failed.
+    Failures in a row may be far apart, so a count stays until a success: one entry for each key whose last call failed.
+    Calls without time, if asked for, come last and find no circuit open.
     """
 
     def step(held: tuple | None, us: int, row: list):
         n, last = held or (0, 0)
-        return (None if row[0] else (n + 1, us)), (n, n >= failures and us < last + seconds * 1_000_000)
+        return (None if row[0] else (n + 1, us)), (n, n >= failures and us < min(LAST_US, last + seconds * 1_000_000))
 
-    return _ordered(stream, ts, order, late, key, {"good": F.coalesce(F.col(ok), F.lit(False))}, "n long, last long", "event long, failures long, open boolean", step)
+    return _ordered(stream, ts, order, late, key, {"good": F.coalesce(F.col(ok), F.lit(False))}, "event long, failures long, open boolean", step, untimed=untimed)
 
 
 def leases(stream: DataFrame, ts: str, order: str, late: str, key: str, kind: str, cap: int, seconds: int = 1800) -> DataFrame:
@@ -191,7 +232,7 @@ def leases(stream: DataFrame, ts: str, order: str, late: str, key: str, kind: st
 
     # A day's counter is over with the day; a corrupt one stays.
     due = lambda held: None if held[3] else (held[0] + 1) * DAY - 1
-    return _ordered(stream, ts, order, late, key, {"kind": F.col(kind)}, "day long, used long, live array<long>, corrupt boolean", "event long, granted boolean, used long, reserved long", step, due)
+    return _ordered(stream, ts, order, late, key, {"kind": F.col(kind)}, "event long, granted boolean, used long, reserved long", step, due)
 
 
 def reaper(stream: DataFrame, ts: str, order: str, late: str, key: str, lock: str, idle: int = 300, fresh: int = 600) -> DataFrame:
@@ -215,11 +256,7 @@ def reaper(stream: DataFrame, ts: str, order: str, late: str, key: str, lock: st
     def end(held: tuple):
         asked, _ = held
         # Behind the last moment at which its lock is fresh, a key without request is forgotten.
-        return None, (None if asked is None else (None, _at(asked), _at(due(held))))
-
-    out = _ordered(stream, ts, order, late, key, {"lock": F.coalesce(F.col(lock), F.lit(False))}, "asked long, locked long", "event long, requested timestamp, reaped timestamp", step, due, end)
-    return out.drop("event")
-
+        return None, (None if asked is None else (None, asked, due(held)))
 
-def _at(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us, unit="us")
+    out = _ordered(stream, ts, order, late, key, {"lock": F.coalesce(F.col(lock), F.lit(False))}, "event long, requested long, reaped long", step, due, end)
+    return out.select(key, F.timestamp_micros("requested").alias("requested"), F.timestamp_micros("reaped").alias("reaped"))
