@@ -5,6 +5,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.streaming import streams
 
@@ -63,6 +64,20 @@ def test_breaker(log):
     assert {r.event: (r.failures, r.open) for r in out.collect()} == {i: want[i] for i in closed(rows, end)}
 
 
+@pytest.mark.parametrize("log", [1, 4], indirect=True)
+def test_breaker_of_a_closed_log(log):
+    """Every row is answered, the last ten minutes of the log and rows without time, which come last, included."""
+    stream, rows, _ = log
+    stream = stream.withColumn("ts", F.when(F.col("i") % 50 != 7, F.col("ts")))
+    n, last, want = {}, {}, {}
+    for i, t, k, ok, _ in sorted(((i, None if i % 50 == 7 else t, *r) for i, t, *r in rows), key=lambda r: (r[1] is None, r[1] or LATE, r[0])):
+        want[i] = (n.get(k, 0), bool(n.get(k, 0) >= 3 and t and t < last[k] + timedelta(hours=1)))
+        n[k], last[k] = (0, t) if ok else (n.get(k, 0) + 1, t)
+    out = streams.run_closed(stream, "ts", lambda s: streams.breaker(s, "ts", "i", "10 minutes", "k", "ok", untimed=True), "breaker").collect()
+    assert {r.event: (r.failures, r.open) for r in out} == want and len(out) == len(rows)
+    assert any(opened for _, opened in want.values())
+
+
 class Counter:
     """A day's budget as a file that is read and written at each call."""
 
