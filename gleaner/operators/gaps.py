@@ -166,6 +166,7 @@ def keep_first(questions: DataFrame, key: str, id_col: str, text_col: str, least
 
 
 _ASKED = "array<struct<q:string,t:array<string>>>"
+_PLAN = ("nodes", "dropped")
 _NODES = "array<struct<node:string,depth:int,question:string,budget:double>>"
 
 
@@ -205,15 +206,20 @@ def plan_recursion(sessions: DataFrame, scout: DataFrame, proposals: DataFrame,
         roots = F.transform(a["new"], lambda k, i: F.struct(i.cast("string").alias("node"), F.lit(1).alias("depth"), k["q"].alias("question"), (F.col("remaining") / F.size(a["new"])).alias("budget")))
         return F.struct(a["new"].alias("asked"), roots.cast(_NODES).alias("nodes"), a["dropped"].alias("dropped"))
 
-    none = F.struct(F.array().cast(_ASKED).alias("asked"), F.array().cast(_NODES).alias("nodes"), F.array().cast("array<string>").alias("dropped"))
-    first = text.let(_accepted(F.array().cast(_ASKED), F.col("_proposed"), F.col("_l.leaves"), least), with_roots)
+    # What has been asked is what the nodes hold, so a plan is kept without it, and without its tokens.
+    kept = lambda p: F.struct(*[p[f].alias(f) for f in _PLAN])
+    none = F.struct(F.array().cast(_NODES).alias("nodes"), F.array().cast("array<string>").alias("dropped"))
+    first = text.let(text.let(_accepted(F.array().cast(_ASKED), F.col("_proposed"), F.col("_l.leaves"), least), with_roots), kept)
     # Each level is written once: the next one reads it for its parents and for the plan.
     folder = Folder(sessions.sparkSession, "recursion")
     plan = folder.save(plan.withColumn("_plan", F.when(F.col("_open"), first).otherwise(none)).drop("_proposed"), "level1")
 
     for depth in range(2, max(d for d, *_ in LIMITS.values()) + 1):
-        parents = plan.filter(F.col("_l.depth") >= depth).select("session", F.explode(F.filter("_plan.nodes", lambda n: n["depth"] == depth - 1)).alias("n"))  # noqa: B023
-        below = _ordered_questions(parents.select("session", "n.node", F.col("n.question").alias("parent")).join(proposals.withColumn("parent", text.squash(F.col("parent"))), ["session", "parent"]), "session", "node")
+        at = F.filter("_plan.nodes", lambda n: n["depth"] == depth - 1)  # noqa: B023
+        # A session's parents, at most as many as the cap on all nodes, meet its proposals by the session alone: proposals that are dealt by session stay where they are, and those of no parent go no further.
+        parents = plan.filter((F.col("_l.depth") >= depth) & (F.size(at) > 0)).select("session", F.transform(at, lambda n: F.struct(n["node"].alias("node"), n["question"].alias("question"))).alias("_parents"))
+        met = proposals.withColumn("parent", text.squash(F.col("parent"))).join(parents.hint("shuffle_hash"), "session")
+        below = _ordered_questions(met.withColumn("n", F.explode(F.filter("_parents", lambda n: n["question"] == F.col("parent")))).select("session", "n.node", "pos", "question"), "session", "node")
         # At most as many lists as the cap on all nodes.
         lists = below.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("node", "_proposed"))).alias("_lists"))
 
@@ -227,7 +233,8 @@ def plan_recursion(sessions: DataFrame, scout: DataFrame, proposals: DataFrame,
 
             return F.when(room <= 0, acc).otherwise(text.let(taken, added))
 
-        grown = F.aggregate(F.filter("_plan.nodes", lambda n: n["depth"] == depth - 1), F.col("_plan"), grow)  # noqa: B023
+        asked = F.transform("_plan.nodes", lambda n: F.struct(n["question"].alias("q"), text.similarity_tokens(n["question"]).alias("t"))).cast(_ASKED)
+        grown = F.aggregate(at, F.struct(asked.alias("asked"), *[F.col(f"_plan.{f}").alias(f) for f in _PLAN]), grow, kept)
         plan = folder.save(plan.join(lists, "session", "left").withColumn("_plan", F.when(F.col("_lists").isNotNull(), grown).otherwise(F.col("_plan"))).drop("_lists"), f"level{depth}")
     return plan.select("session", F.col("_plan.nodes").alias("nodes"), F.size("_plan.nodes").alias("leaves"), F.col("_plan.dropped").alias("dropped"), "remaining")
 

@@ -375,11 +375,17 @@ def subquestions(spark, sf_dir):
 
 def recursion_inputs(spark, sf_dir):
     """Sessions, what their scouts propose, and what is proposed below a question: a conversation's sentences; below each the six that follow, every third for the scout."""
-    c = table(spark, sf_dir, "conversations")
+    return recursion_rows(table(spark, sf_dir, "conversations"))
+
+
+def recursion_rows(c):
     said = c.select(F.col("conv_id").alias("session"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("k", "question"))
-    placed = said.withColumn("i", F.row_number().over(Window.partitionBy("session").orderBy("turn", "k")) - 1)
-    ahead = placed.select("session", F.col("question").alias("parent"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"), "i")
-    below = ahead.select("session", "parent", (F.col("i") * 10 + F.col("step")).alias("pos"), (F.col("i") + F.col("step")).alias("i")).join(placed.select("session", "i", "question"), ["session", "i"]).select("session", "parent", "pos", "question")
+    # The six that follow come along in the same walk: nothing is joined, and no text is dealt twice.
+    order = Window.partitionBy("session").orderBy("turn", "k")
+    placed = said.withColumn("i", F.row_number().over(order) - 1)
+    ahead = placed.withColumn("next", F.array(*[F.lead("question", n).over(order) for n in range(1, 7)]))
+    below = ahead.select("session", F.col("question").alias("parent"), "i", F.posexplode("next").alias("step", "question")).filter("question is not null")
+    below = below.select("session", "parent", (F.col("i") * 10 + F.col("step") + 1).alias("pos"), "question")
     i = F.col("conv_id")
     sessions = c.select("conv_id").distinct().select(i.alias("session"), F.when(i % 5 == 0, "search").when(i % 2 == 0, "research").otherwise("deep_research").alias("protocol"), (i % 7).cast("int").alias("models"), (i % 4 * F.lit(0.2)).alias("cost"))
     return sessions, placed.filter("i % 3 = 0").select("session", F.col("i").alias("pos"), "question"), below

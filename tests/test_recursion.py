@@ -128,3 +128,12 @@ def test_keep_first_is_the_ordered_walk(spark, least):
             kept[k].append(q or "")
             want.add((k, i))
     assert got == want
+
+
+def test_texts_are_dealt_once(spark):
+    """Parents meet proposals where those are: of the plan of a level, no exchange but the one by session carries proposals."""
+    c = spark.range(50).select((F.col("id") % 5).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("What of mill "), F.col("id"), F.lit("? And of its looms? ")).alias("text"))
+    _, _, below = questions.recursion_rows(c)
+    parents = spark.range(5).select(F.col("id").alias("session"), F.lit("x").alias("_parents")).hint("shuffle_hash")
+    plan = below.join(parents, "session").groupBy("session", "parent").count()._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning(") == 2
