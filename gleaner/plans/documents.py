@@ -231,11 +231,16 @@ def normalised_dates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.norm_date(raw).alias("day"), F.left(raw, F.lit(2)).alias("raw"))
 
 
+def _letters(x, n):
+    """The first ``n`` letters and blanks; the pattern stops behind them, where a replacement would rewrite the whole text."""
+    return F.regexp_replace(F.regexp_extract(x, rf"\A(?:[^A-Za-z ]*+[A-Za-z ]){{0,{n}}}", 0), "[^A-Za-z ]", "")
+
+
 _PATHS = "'see /home/me/notes/f' || doc_id || '.txt and https://x.org/a/b/' || doc_id || '.html, ' || left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40)"
 
 
 @R.query(f"SELECT doc_id, 'see <path>/f' || doc_id || '.txt and https://x.org/a/b/' || doc_id || '.html, ' || left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40) AS redacted FROM documents")
 def redacted_paths(spark, sf_dir):
     """E-22: a path and an address in front of a document's first letters."""
-    x = F.concat(F.lit("see /home/me/notes/f"), F.col("doc_id"), F.lit(".txt and https://x.org/a/b/"), F.col("doc_id"), F.lit(".html, "), F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(40)))
+    x = F.concat(F.lit("see /home/me/notes/f"), F.col("doc_id"), F.lit(".txt and https://x.org/a/b/"), F.col("doc_id"), F.lit(".html, "), _letters(F.col("text"), 40))
     return table(spark, sf_dir, "documents").select("doc_id", assembly.redact_paths(x).alias("redacted"))
