@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stages import Folder
 from .occurrences import occurring
 
 # Patterns of the claim gate and of verbatim checks, marker phrases.
@@ -211,14 +212,13 @@ def _placed(x: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Matches as structs of type, token, what stands before them on their line's sentence, and after: the offsets come from the pieces between."""
     found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
 
-    def rows(m: Column) -> Column:
-        between = F.split(x, pattern, -1)
+    def rows(m: Column, between: Column) -> Column:
         sides = F.zip_with(F.slice(between, F.lit(1), F.size(m)), F.slice(between, F.lit(2), F.size(m)), lambda a, b: F.struct(a.alias("before"), b.alias("after")))
         token = (lambda t: F.regexp_extract(t, pattern, group)) if group else (lambda t: t)
         return F.zip_with(m, sides, lambda t, s: F.struct(F.lit(kind).alias("type"), F.trim(token(t)).alias("token"), s["before"].alias("before"), t.alias("match"), s["after"].alias("after")))
 
     none = F.array().cast("array<struct<type:string,token:string,before:string,match:string,after:string>>")
-    return text.let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(rows(m)))
+    return text.let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(text.let(F.split(x, pattern, -1), lambda between: rows(m, between))))
 
 
 def verbatim_tokens(x: Column) -> Column:
@@ -240,10 +240,11 @@ def verbatim_tokens(x: Column) -> Column:
 def verbatim_check(answers: DataFrame, sources: DataFrame, key: str, answer: str, body: str) -> DataFrame:
     """G-19: per key checked and supported tokens, the unsupported ones and the pass rate.
 
-    The tokens of the answers are exploded; each source is read once for all of its key's tokens (see :mod:`.occurrences`).
+    The tokens of the answers are exploded, and written once, as they are both looked up and judged; each source is read once for all
+    of its key's tokens (see :mod:`.occurrences`).
     """
     tokens = answers.select(key, F.explode(verbatim_tokens(F.coalesce(answer, F.lit("")))).alias("t")).select(key, "t.*")
-    numbered = tokens.withColumn("_c", comparable(F.col("token")))
+    numbered = Folder(answers.sparkSession, "verbatim").save(tokens.withColumn("_c", comparable(F.col("token"))), "tokens")
     held = occurring(numbered.select(key, F.col("_c").alias("token")), sources.select(key, comparable(F.col(body)).alias("text")), key).withColumnRenamed("token", "_c")
     judged = numbered.join(held.withColumn("_held", F.lit(True)), [key, "_c"], "left")
     out = judged.groupBy(key).agg(F.count("*").alias("checked"), F.count_if(F.col("_held").isNotNull()).alias("supported"), F.array_sort(F.collect_list(F.when(F.col("_held").isNull(), F.struct("type", "token", "context")))).alias("unsupported"))
