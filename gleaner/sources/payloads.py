@@ -140,7 +140,9 @@ def _supporting(rows: DataFrame, questions: DataFrame, id_col: str, n: int) -> D
     from ..operators import containment
     from ..operators.routing import newest
 
-    pairs = containment.best_pairs(rows, [id_col], "text", questions, ["question_id"], "question", [], ["question_id", id_col])
+    # Texts are dealt by id first: what a text shares with questions is then counted where it is, not dealt again.
+    dealt = rows.repartition(id_col)
+    pairs = containment.best_pairs(dealt, [id_col], "text", questions, ["question_id"], "question", [], ["question_id", id_col])
     best = newest(pairs, [F.desc("score"), F.col(id_col)], n, ["question_id"])
     return best.join(rows, id_col).select("question_id", id_col, F.left(F.get(texts.paragraphs(F.col("text")), F.col("para")), F.lit(300)).alias("snippet"), "score")
 
