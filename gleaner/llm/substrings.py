@@ -52,6 +52,8 @@ from .workspace import Workspace
 LENGTH, GRAM, MOST, BUCKET = 400, 64, 512, 1 << 20
 #: Windows of a cell before a periodic text is cut, windows of the finer cells, and bytes of a stretch.
 PIECE, FINER, STRETCH = 4096, (16, 1), 1 << 15
+#: Bytes of text at a time when anchors are sought: what is made of them stays in the cache.
+TEXTS = 1 << 18
 _FOUND = "g long, d long, e long, id long, h long, lo long, hi long, own boolean"
 
 
@@ -68,6 +70,13 @@ def _range_hash(sums: np.ndarray, inverse: np.uint64, lo: np.ndarray, hi: np.nda
         return kernel.mix((sums[hi] - sums[lo]) * kernel.powers(inverse, len(sums))[lo])
 
 
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of each run of ``gram`` bytes, as :func:`_range_hash` has it."""
+    sums = _sums(data, kernel._BASE)
+    with np.errstate(over="ignore"):
+        return kernel.mix((sums[gram:] - sums[:-gram]) * kernel.powers(kernel._BASE_INV, len(sums) - gram))
+
+
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     """best of x[i : i + width] for each i at which that fits."""
     have = 1
@@ -90,9 +99,7 @@ def anchors(c: kernel.Chunk, length: int, gram: int, piece: int = PIECE) -> tupl
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     if n < length:
         return none
-    sums = _sums(c.data, kernel._BASE)
-    at = np.arange(n - gram + 1)
-    h = _range_hash(sums, kernel._BASE_INV, at, at + gram)
+    h = _grams(c.data, gram)
     low = _slide(h, length - gram + 1, np.minimum)[: n - length + 1]
     end = np.repeat(c.bounds[1:], np.diff(c.bounds))[: n - length + 1]
     s = np.flatnonzero(np.arange(n - length + 1) + length <= end)
@@ -132,7 +139,7 @@ def _anchors(length: int, gram: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for c in kernel.chunks(batch.column(2)):
+            for c in kernel.chunks(batch.column(2), TEXTS):
                 doc, g, d, lo, hi, own = anchors(c, length, gram, piece)
                 row = c.first + doc
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, d[:, 0], d[:, 1], ids[row], hs[row], lo, hi, own)], ["g", "d", "e", "id", "h", "lo", "hi", "own"])
@@ -147,8 +154,7 @@ def finer(segment: bytes, length: int, gram: int, width: int) -> list[tuple]:
     ``width``; with it, the bytes that all windows at such a place share name the cell.
     """
     data = np.frombuffer(segment, np.uint8)
-    at = np.arange(len(data) - gram + 1)
-    h = _range_hash(_sums(data, kernel._BASE), kernel._BASE_INV, at, at + gram)
+    h = _grams(data, gram)
     places = np.flatnonzero(h == h.min())
     s = np.arange(len(data) - length + 1)
     p = places[np.searchsorted(places, s)]
@@ -205,6 +211,15 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield one
 
 
+def _ordered(key: np.ndarray, pos: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``key`` (of ``width`` bits) and ``pos`` (of ``bits``) in the order of key; of keys alike, in the order they had or in that of pos."""
+    if width + bits > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], pos[order]
+    both = np.sort(key << bits | pos)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def suffixes(text: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of ``text`` to ``depth`` symbols or more.
 
@@ -213,33 +228,51 @@ def suffixes(text: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     order of position.
     """
     n = len(text)
-    h = 7
+    bits = n.bit_length()
+    # The symbols that there are, numbered in order: more of them fit into a key.
+    there = np.bincount(text, minlength=257) > 0
+    there[0] = True
+    number = np.cumsum(there) - 1
+    wide = max(1, int(number[-1]).bit_length())
+    h = max(1, (63 - bits) // wide)
+    slot = np.arange(n)
     key = np.zeros(n, dtype=np.int64)
-    wide = np.concatenate([text.astype(np.int64), np.zeros(h, np.int64)])
+    symbols = np.concatenate([number[text], np.zeros(h, np.int64)])
     for k in range(h):
-        key = key << 9 | np.where(k <= stop, wide[k : k + n], 0)
-    sa = np.argsort(key, kind="stable")
+        key <<= wide
+        key |= symbols[k : k + n]
+    # What lies behind an end does not count.
+    tail = np.flatnonzero(stop < h)
+    low = wide * (h - 1 - stop[tail])
+    key[tail] = key[tail] >> low << low
+    key, sa = _ordered(key, slot, wide * h, bits)
     fresh = np.ones(n, dtype=bool)
-    fresh[1:] = (key[sa[1:]] != key[sa[:-1]]) | (stop[sa[1:]] < h)
-    slot = np.arange(n)
+    fresh[1:] = (key[1:] != key[:-1]) | (stop[sa[1:]] < h)
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(fresh, slot, 0))
-    alone = fresh & np.concatenate([fresh[1:], [True]])
-    open_ = slot[~alone]
+    open_ = slot[~(fresh & np.concatenate([fresh[1:], [True]]))]
+    mixed = np.zeros(n, dtype=bool)
     while h < depth and len(open_):
         pos = sa[open_]
-        key = rank[pos] << 32 | rank[pos + h]
-        order = np.argsort(key)
-        pos, key = pos[order], key[order]
-        sa[open_] = pos
-        fresh = np.ones(len(open_), dtype=bool)
-        fresh[1:] = key[1:] != key[:-1]
+        group, key = rank[pos], rank[pos + h]
+        # Groups whose positions all go on alike stay as they are.
+        split = group[1:][(group[1:] == group[:-1]) & (key[1:] != key[:-1])]
+        mixed[split] = True
+        some = np.flatnonzero(mixed[group])
+        mixed[split] = False
         h *= 2
+        if not len(some):
+            continue
+        to = open_[some]
+        key, pos = _ordered(group[some] << bits | key[some], pos[some], 2 * bits, bits)
+        sa[to] = pos
+        fresh = np.ones(len(to), dtype=bool)
         # Positions whose end lies within the new depth differ by their ends.
-        fresh |= stop[pos] < h
-        rank[pos] = np.maximum.accumulate(np.where(fresh, open_, 0))
-        alone = fresh & np.concatenate([fresh[1:], [True]])
-        open_ = open_[~alone]
+        fresh[1:] = (key[1:] != key[:-1]) | (stop[pos[1:]] < h)
+        rank[pos] = np.maximum.accumulate(np.where(fresh, to, 0))
+        left = np.ones(len(open_), dtype=bool)
+        left[some] = ~(fresh & np.concatenate([fresh[1:], [True]]))
+        open_ = open_[left]
     return sa
 
 
@@ -250,15 +283,16 @@ def expand(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     transform: step l finds the places where exactly l symbols are shared.
     """
     n = len(text)
-    before = text[sa - 1].astype(np.int64)
-    ends = np.flatnonzero(before == 0)
+    before = text[sa - 1].astype(np.uint16)
+    turn = np.argsort(before, kind="stable")
     # Ends are symbols of their own, below the others, in order of position.
-    origin = (sa[ends] - 1) % n
-    symbol = before + n
-    symbol[ends] = origin
-    turn = np.argsort(symbol, kind="stable")
+    ends = turn[: np.count_nonzero(before == 0)]
+    ends[:] = ends[np.argsort((sa[ends] - 1) % n)]
     back = np.empty(n, np.int64)
     back[turn] = np.arange(n)
+    column = before[turn]
+    other = np.ones(n, dtype=bool)
+    other[1:] = (column[1:] != column[:-1]) | (column[1:] == 0)
     apart = np.zeros(n + 1, dtype=bool)
     apart[[0, n]] = True
     lo, hi = np.array([0]), np.array([n])
@@ -267,15 +301,22 @@ def expand(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
         total = int(size.sum())
         if not total:
             break
-        where = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
         source = np.repeat(np.arange(len(lo)), size)
-        to = back[where]
-        order = np.argsort(to)
-        to, source, sym = to[order], source[order], symbol[where[order]]
-        first = np.ones(total, dtype=bool)
-        first[1:] = (source[1:] != source[:-1]) | (sym[1:] != sym[:-1]) | (to[1:] != to[:-1] + 1)
+        to = back[np.arange(total) + np.repeat(lo - (np.cumsum(size) - size), size)]
+        if total > n >> 4:
+            at = np.zeros(n, np.int64)
+            at[to] = source + 1
+            to = np.flatnonzero(at)
+            source = at[to]
+        else:
+            order = np.argsort(to)
+            to, source = to[order], source[order]
+        first = other[to]
+        first[0] = True
+        first[1:] |= (source[1:] != source[:-1]) | (to[1:] != to[:-1] + 1)
         start = np.flatnonzero(first)
-        lo, hi = to[start], to[start] + np.diff(np.append(start, total))
+        lo = to[start]
+        hi = lo + np.diff(np.append(start, total))
         new = ~apart[hi]
         lo, hi = lo[new], hi[new]
         apart[hi] = True
@@ -335,8 +376,10 @@ def cuts(c: kernel.Chunk, owner: np.ndarray, at: np.ndarray, length: int, gram:
     start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     place = c.bounds[which] + start
     h = _range_hash(_sums(c.data, kernel._BASE), kernel._BASE_INV, place, place + gram)
-    order = np.argsort(h)
-    group = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    # The upper bits that go with a number into one word; where they are alike by chance, more is left.
+    bits = len(h).bit_length()
+    key, order = _ordered((h >> np.uint64(bits + 1)).view(np.int64), np.arange(len(h)), 63 - bits, bits)
+    group = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     doc = ((owner[which] << np.int64(36)) | (at[which] + start))[order]
     differ = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
     again = np.zeros(len(h) + 2, dtype=np.int8)

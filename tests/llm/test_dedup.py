@@ -127,6 +127,57 @@ def test_interval_expansion_finds_all_borders():
         assert [word(sa[k]) != word(sa[k - 1]) for k in range(1, len(sa))] == apart[1:].tolist()
 
 
+def _ends(parts):
+    """(text, stop) of strings as the suffix array takes them."""
+    text = np.concatenate([np.append(np.frombuffer(p, np.uint8).astype(np.int16) + 1, 0) for p in parts]).astype(np.int16)
+    last = np.flatnonzero(text == 0)
+    return text, last[np.searchsorted(last, np.arange(len(text)))] - np.arange(len(text))
+
+
+@pytest.mark.parametrize("bits", [63, 40])
+def test_suffixes_are_in_order(monkeypatch, bits):
+    """Few and many symbols, empty strings, copies; with and without room for key and place in one word."""
+    pack = substrings._ordered
+    monkeypatch.setattr(substrings, "_ordered", lambda key, pos, width, own: pack(key, pos, width if bits == 63 else 64, own))
+    rng = np.random.default_rng(4)
+    for high in (1, 2, 30, 256):
+        parts = [rng.integers(0, high, rng.integers(0, 90)).astype(np.uint8).tobytes() for _ in range(12)]
+        text, stop = _ends([*parts, *parts[:6], b"", bytes([255]) * 70, bytes(70)])
+        for depth in (8, 64):
+            sa = substrings.suffixes(text, stop, depth).tolist()
+            # Suffixes alike to that depth are in any order; ends differ, by place.
+            word = [(text[i : i + min(depth, stop[i])].tolist(), i if stop[i] < depth else -1) for i in range(len(text))]
+            key = [(w + [0] * (j >= 0), j) for w, j in word]
+            assert sorted(sa) == list(range(len(text)))
+            assert [key[i] for i in sa] == sorted(key)
+
+
+def test_suffixes_sort_copies_once(monkeypatch):
+    """Of texts that are there twice, places that go on alike are not sorted again in each round."""
+    rng = np.random.default_rng(6)
+    part = rng.integers(97, 123, 20_000).astype(np.uint8).tobytes()
+    text, stop = _ends([part, part])
+    done = []
+    for name in ("sort", "argsort"):
+        monkeypatch.setattr(substrings.np, name, lambda x, *a, f=getattr(np, name), **b: (done.append(len(x)), f(x, *a, **b))[1])
+    substrings.suffixes(text, stop, 400)
+    assert sum(done) < 2 * len(text)
+
+
+def test_passages_of_over_fifty_words(spark, prose):
+    """Passages that two documents share are removed, documents without one are left alone; n_bytes is the whole text's either way."""
+    rows, planted = [], {}
+    for i in range(12):
+        passage = prose(700 + i, 130)
+        rows += [(2 * i, prose(i, 40) + " " + passage + " " + prose(20 + i, 30)), (2 * i + 1, prose(40 + i, 30) + " " + passage + " " + prose(60 + i, 40))]
+        planted |= {2 * i: len(passage), 2 * i + 1: len(passage)}
+    rows += [(100 + i, prose(100 + i, 190)) for i in range(12)]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert min(planted.values()) > 400 and planted.keys() == {i for i, r in got.items() if r.n_removed}
+    assert all(got[i].n_removed >= n for i, n in planted.items())
+    assert {i: r.n_bytes for i, r in got.items()} == {i: len(t.encode()) for i, t in rows}
+
+
 def test_lines_against_sql(spark, table):
     rows = [(i, "\n".join([f"Page {i} of {i * 3} printed today", "All rights reserved here.", f"unique line number {i} with own {'x' * (i + 1)} words", "short"])) for i in range(8)]
     rows += [(20, None), (21, ""), (22, "All rights reserved here.\nAll rights reserved here."), (23, "Page x of y printed today")]
