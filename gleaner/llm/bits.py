@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 LEAST, MOST = 1 << 18, 1 << 20
 
 
-def mark(df: DataFrame, column: str, keys: DataFrame, into: str, expected: int | None = None) -> DataFrame:
+def mark(df: DataFrame, column: str, keys: DataFrame, into: str, expected: int | None = None, how: str = "left") -> DataFrame:
     """``df`` and whether its long (or other) ``column`` may be among the one of ``keys``: never false for one that is.
 
     The table has about 16 bits for each of the ``expected`` keys, within LEAST
     and MOST rows; with far more keys it lets more rows pass, and no other size grows.
+    With ``how`` "inner" rows without an entry in the table go in the join.
     """
     rows = LEAST
     while rows < MOST and expected and rows * 4 < expected:
@@ -24,12 +25,12 @@ def mark(df: DataFrame, column: str, keys: DataFrame, into: str, expected: int |
     own = "_" * (1 + max((len(n) for n in [*df.columns, into]), default=0))
     key = keys.columns[0]
     table = keys.groupBy(place(key).alias(f"{own}place")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(key))).alias(f"{own}bits"))
-    joined = df.withColumn(f"{own}place", place(column)).join(F.broadcast(table), f"{own}place", "left")
+    joined = df.withColumn(f"{own}place", place(column)).join(F.broadcast(table), f"{own}place", how)
     found = F.call_function("shiftrightunsigned", F.coalesce(f"{own}bits", F.lit(0).cast("long")), bit(column)).bitwiseAND(1) == 1
     return joined.withColumn(into, found).drop(f"{own}place", f"{own}bits")
 
 
-def near(df: DataFrame, column: str, keys: DataFrame, expected: int | None = None) -> DataFrame:
+def near(df: DataFrame, column: str, keys: DataFrame, expected: int | None = None, how: str = "left") -> DataFrame:
     """The rows of ``df`` that :func:`mark` marks."""
     flag = "_" * (1 + max((len(n) for n in df.columns), default=0))
-    return mark(df, column, keys, flag, expected).filter(F.col(flag)).drop(flag)
+    return mark(df, column, keys, flag, expected, how).filter(F.col(flag)).drop(flag)

@@ -25,6 +25,11 @@
    meet, and one window has one content, so no bucket grows with the corpus.
 5. The spans of a document are joined and cut from its bytes.
 
+Passages.  With ``words`` the same steps run once more over the texts' words
+(``[^\\x20\\x09-\\x0D]+``, case as it is, as 64-bit hashes) in place of their bytes, and
+the words that a run of ``words`` words met at two places covers are counted.  Such
+a run may be shorter than ``length`` bytes, so nothing is removed for it.
+
 Offsets are bytes of the UTF-8 text.  Strings are judged on the input and never
 cross documents; a document may match itself, overlapping.
 
@@ -52,16 +57,27 @@ from .workspace import Workspace
 LENGTH, GRAM, MOST, BUCKET = 400, 64, 512, 1 << 20
 #: Windows of a cell before a periodic text is cut, windows of the finer cells, and bytes of a stretch.
 PIECE, FINER, STRETCH = 4096, (16, 1), 1 << 15
+#: The same of passages of over fifty words, counted in words; the cells of an anchor are some 80 words each.
+WORDS, WORDS_GRAM, WORDS_MOST, WORDS_BUCKET, WORDS_PIECE, WORDS_STRETCH = 51, 8, 4096, 1 << 18, 512, 1 << 12
 #: Bytes of text at a time when anchors are sought: what is made of them stays in the cache.
 TEXTS = 1 << 18
 _FOUND = "g long, d long, e long, id long, h long, lo long, hi long, own boolean"
 
 
+def _symbols(c: kernel.Chunk, kind: type) -> kernel.Chunk:
+    """A chunk's bytes (np.uint8) or the hashes of its words (np.uint64)."""
+    if kind is np.uint8:
+        return c
+    w = kernel.words(c, lower=False)
+    return kernel.Chunk(c.first, c.last, w.hash, w.bounds)
+
+
 def _sums(data: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Sums of bytes or word hashes, each times its power of base."""
     out = np.empty(len(data) + 1, dtype=np.uint64)
     out[0] = 0
     with np.errstate(over="ignore"):
-        np.cumsum(kernel._BYTE[data] * kernel.powers(base, len(data)), out=out[1:])
+        np.cumsum((kernel._BYTE[data] if data.dtype == np.uint8 else data) * kernel.powers(base, len(data)), out=out[1:])
     return out
 
 
@@ -94,7 +110,7 @@ def _digests(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def anchors(c: kernel.Chunk, length: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, ...]:
-    """(document, anchor, digest, start and end, whether it holds the anchor twice) of a chunk's cells; bytes count from the document's start."""
+    """(document, anchor, digest, start and end, whether it holds the anchor twice) of a chunk's cells; symbols count from the document's start."""
     n = len(c.data)
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     if n < length:
@@ -121,7 +137,7 @@ def anchors(c: kernel.Chunk, length: int, gram: int, piece: int = PIECE) -> tupl
     # A cell ends where the next begins, or where its windows end.
     hi = np.minimum(hi, stop[np.searchsorted(stop, lo)]) + length
     doc = np.searchsorted(c.bounds, lo, side="right") - 1
-    d = _digests(c.data.tobytes(), lo, hi)
+    d = _digests(c.data.tobytes(), lo * c.data.itemsize, hi * c.data.itemsize)
     # A cell that holds its anchor twice may repeat itself.
     runs = low[lo]
     some = np.flatnonzero(h <= runs.max())
@@ -133,27 +149,28 @@ def anchors(c: kernel.Chunk, length: int, gram: int, piece: int = PIECE) -> tupl
     return doc, runs.view(np.int64), d, lo - c.bounds[doc], hi - c.bounds[doc], own
 
 
-def _anchors(length: int, gram: int, piece: int):
+def _anchors(length: int, gram: int, piece: int, kind: type):
     """(id, h, text) to _FOUND."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for c in kernel.chunks(batch.column(2), TEXTS):
-                doc, g, d, lo, hi, own = anchors(c, length, gram, piece)
+                doc, g, d, lo, hi, own = anchors(_symbols(c, kind), length, gram, piece)
                 row = c.first + doc
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, d[:, 0], d[:, 1], ids[row], hs[row], lo, hi, own)], ["g", "d", "e", "id", "h", "lo", "hi", "own"])
 
     return run
 
 
-def finer(segment: bytes, length: int, gram: int, width: int) -> list[tuple]:
+def finer(segment: bytes, length: int, gram: int, width: int, kind: type = np.uint8) -> list[tuple]:
     """(g, d, e, start, end, own) of the cells of at most ``width`` windows that a cell is cut into.
 
     A window's place is that of its leftmost anchor in it, counted in steps of
-    ``width``; with it, the bytes that all windows at such a place share name the cell.
+    ``width``; with it, the symbols that all windows at such a place share name the cell.
     """
-    data = np.frombuffer(segment, np.uint8)
+    data = np.frombuffer(segment, kind)
+    unit = data.itemsize
     h = _grams(data, gram)
     places = np.flatnonzero(h == h.min())
     s = np.arange(len(data) - length + 1)
@@ -165,21 +182,21 @@ def finer(segment: bytes, length: int, gram: int, width: int) -> list[tuple]:
     out = []
     for a, b, x, j in zip(first.tolist(), last.tolist(), core.tolist(), step[first].tolist(), strict=True):
         # The windows at this place begin at x - width + 1 up to x; all hold what lies between.
-        g = hashlib.blake2b(segment[x : x - width + 1 + length], digest_size=8, salt=j.to_bytes(8, "little"), person=width.to_bytes(8, "little")).digest()
-        d = np.frombuffer(hashlib.blake2b(segment[a : b + length], digest_size=16).digest(), np.int64)
+        g = hashlib.blake2b(segment[x * unit : (x - width + 1 + length) * unit], digest_size=8, salt=j.to_bytes(8, "little"), person=width.to_bytes(8, "little")).digest()
+        d = np.frombuffer(hashlib.blake2b(segment[a * unit : (b + length) * unit], digest_size=16).digest(), np.int64)
         own = int(np.searchsorted(places, b + length - gram, "right") - np.searchsorted(places, a)) > 1
         out.append((int.from_bytes(g, "little", signed=True), int(d[0]), int(d[1]), a, b + length, own))
     return out
 
 
-def _finer(length: int, gram: int, width: int):
+def _finer(length: int, gram: int, width: int, kind: type):
     """(k, id, h, lo, segment) to _FOUND."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for _, i, h, lo, segment in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                rows += [(g, d, e, i, h, lo + a, lo + b, own) for g, d, e, a, b, own in finer(segment, length, gram, width)]
+                rows += [(g, d, e, i, h, lo + a, lo + b, own) for g, d, e, a, b, own in finer(segment, length, gram, width, kind)]
                 if len(rows) > 50_000:
                     yield _rows(rows)
                     rows = []
@@ -193,22 +210,29 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(8)], ["g", "d", "e", "id", "h", "lo", "hi", "own"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(kind: type):
     """(id, h, text, rows, [(k, lo, hi)]) to (k, id, h, lo, segment); of a row that is there twice, two of each."""
-    for batch in batches:
-        ids, hs, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-        wanted = batch.column(4)
-        ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
-        flat = wanted.flatten()
-        k, lo, hi = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("k", "lo", "hi"))
-        for i, text in enumerate(batch.column(2)):
-            data = text.as_buffer().to_pybytes()
-            for s in range(ends[i], ends[i + 1], 4096):
-                part = np.arange(s, min(s + 4096, ends[i + 1]))
-                cut = [data[a:b] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)]
-                one = pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), hs[i])), pa.array(lo[part]), pa.array(cut, pa.binary())], ["k", "id", "h", "lo", "segment"])
-                for _ in range(min(2, int(rows[i]))):
-                    yield one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = np.dtype(kind).itemsize
+        for batch in batches:
+            ids, hs, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            wanted = batch.column(4)
+            ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
+            flat = wanted.flatten()
+            k, lo, hi = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("k", "lo", "hi"))
+            for i, text in enumerate(batch.column(2)):
+                data = text.as_buffer().to_pybytes()
+                if kind is not np.uint8:
+                    data = _symbols(kernel.Chunk(0, 1, np.frombuffer(data, np.uint8), np.array([0, len(data)])), kind).data.tobytes()
+                for s in range(ends[i], ends[i + 1], 4096):
+                    part = np.arange(s, min(s + 4096, ends[i + 1]))
+                    cut = [data[a * unit : b * unit] for a, b in zip(lo[part].tolist(), hi[part].tolist(), strict=True)]
+                    one = pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), hs[i])), pa.array(lo[part]), pa.array(cut, pa.binary())], ["k", "id", "h", "lo", "segment"])
+                    for _ in range(min(2, int(rows[i]))):
+                        yield one
+
+    return run
 
 
 def _ordered(key: np.ndarray, pos: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +247,7 @@ def _ordered(key: np.ndarray, pos: np.ndarray, width: int, bits: int) -> tuple[n
 def suffixes(text: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of ``text`` to ``depth`` symbols or more.
 
-    ``text`` holds bytes plus one and 0 at the ends of the strings; ``stop`` is the
+    ``text`` holds symbols (bytes or numbers of words) plus one and 0 at the ends of the strings; ``stop`` is the
     distance of each position to the next end.  Ends differ from each other, in
     order of position.
     """
@@ -283,7 +307,8 @@ def expand(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     transform: step l finds the places where exactly l symbols are shared.
     """
     n = len(text)
-    before = text[sa - 1].astype(np.uint16)
+    before = text[sa - 1]
+    before = before.astype(np.uint16) if text.dtype == np.int16 else before
     turn = np.argsort(before, kind="stable")
     # Ends are symbols of their own, below the others, in order of position.
     ends = turn[: np.count_nonzero(before == 0)]
@@ -323,19 +348,19 @@ def expand(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     return apart[:n]
 
 
-def repeated(segments: list[bytes], owner: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(segments: list[np.ndarray], owner: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, start, end) of the spans that windows met at two places or more cover.
 
-    Segment i is from document ``owner[i]``, byte ``at[i]`` on; the same place of
+    Segment i is from document ``owner[i]``, symbol ``at[i]`` on; the same place of
     a document in two segments is one place.
     """
     sizes = np.array([len(s) for s in segments])
     n = int(sizes.sum()) + len(sizes)
     last = np.cumsum(sizes + 1) - 1
-    text = np.zeros(n, dtype=np.int16)
+    text = np.zeros(n, dtype=np.int16 if segments[0].dtype == np.uint8 else np.int32)
     inside = np.ones(n, dtype=bool)
     inside[last] = False
-    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16) + 1
+    text[inside] = np.concatenate(segments).astype(text.dtype) + 1
     which = np.repeat(np.arange(len(sizes)), sizes + 1)
     stop = last[which] - np.arange(n)
     sa = suffixes(text, stop, length)
@@ -398,7 +423,7 @@ def cuts(c: kernel.Chunk, owner: np.ndarray, at: np.ndarray, length: int, gram:
     return which[a], start[a], start[b] + gram
 
 
-def _search(length: int, gram: int):
+def _search(length: int, gram: int, kind: type):
     """Segments (k, id, h, lo, segment) and questions (k, id, h, lo, hi, g, d, e) of a bucket to what is repeated: (id, h, lo, hi, null, null, null) and, of each question whose whole cell is, (null, null, null, null, g, d, e)."""
     kinds = {"id": 0, "h": 0, "lo": 0, "hi": 0, "g": 1, "d": 1, "e": 1}
 
@@ -409,7 +434,11 @@ def _search(length: int, gram: int):
         left = left.combine_chunks()
         k, ids, hs, los = (left.column(name).to_numpy() for name in ("k", "id", "h", "lo"))
         c = next(kernel.chunks(left.column("segment"), 1 << 40), None)
-        if c is None or len(c.data) < length:
+        if c is None:
+            return made({}, 0)
+        data, bounds = c.data.view(kind), c.bounds // np.dtype(kind).itemsize
+        c = kernel.Chunk(c.first, c.last, data, bounds)
+        if len(data) < length:
             return made({}, 0)
         # The same place of a row and of its copy are two places.
         _, copy = _groups(k, ids, hs, los)
@@ -417,7 +446,8 @@ def _search(length: int, gram: int):
         which, a, b = cuts(c, owner, los, length, gram)
         if not len(which):
             return made({}, 0)
-        raw = c.data.tobytes()
+        # Words are numbered within the bucket.
+        raw = data if kind is np.uint8 else np.unique(data, return_inverse=True)[1]
         base = c.bounds[which]
         part, lo, hi = repeated([raw[x:y] for x, y in zip((base + a).tolist(), (base + b).tolist(), strict=True)], owner[which], los[which] + a, length)
         if not len(part):
@@ -446,83 +476,114 @@ def _search(length: int, gram: int):
     return run
 
 
+def _lists(column: pa.Array) -> Iterator[list[tuple[int, int]]]:
+    """The sorted spans of each row."""
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    flat = column.flatten()
+    lo, hi = (flat.field(name).to_numpy(zero_copy_only=False) for name in ("lo", "hi"))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield sorted(zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)) if a < b else []
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for lo, hi in spans:
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        elif lo < hi:
+            merged.append([lo, hi])
+    return merged
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) to the remaining bytes."""
+    """(doc_id, text, spans, passages) to the remaining bytes and the number of passages and of their words."""
     for batch in batches:
         rows: list[tuple] = []
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+        for text, spans, passages in zip(batch.column(1), _lists(batch.column(2)), _lists(batch.column(3)), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            merged: list[list[int]] = []
-            for s in sorted((s["lo"], min(s["hi"], len(data))) for s in (spans.as_py() or ())):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                elif s[0] < s[1]:
-                    merged.append(list(s))
+            merged, words = _merged(spans), _merged(passages)
             edges = [0, *(x for s in merged for x in s), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            rows.append((len(data), len(data) - len(kept), len(merged), kept))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.binary()) for k in range(4))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            rows.append((len(data), len(data) - len(kept), len(merged), kept, len(words), sum(b - a for a, b in words)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.binary() if k == 3 else pa.int64()) for k in range(6))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "n_passage_words"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET, piece: int = PIECE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "substrings")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    own_id = F.col(f"`{id_col}`").cast("long")
-    docs = docs.select(own_id.alias("doc_id"), F.coalesce(own_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    docs = docs.withColumn("key", F.xxhash64("id", "h"))
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(_union(frames[1:]))
+
+
+def repeats(docs: DataFrame, length: int, gram: int, most: int, bucket: int, piece: int, stretch: int, kind: type) -> DataFrame:
+    """(id, h, lo, hi) of the spans of ``docs`` (doc_id, id, h, text, key) that strings of ``length`` symbols met at two places or more cover, in any order."""
+    ws = Workspace(docs.sparkSession, "substrings")
     place = F.struct("id", "h", "lo", "hi")
     key = ["g", "d", "e"]
 
     def take(wanted: DataFrame, name: str) -> DataFrame:
-        """The bytes of wanted (k, id, h, lo, hi)."""
+        """The symbols of wanted (k, id, h, lo, hi)."""
         lists = ws.save(wanted.groupBy("id", "h").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("wanted")), "wanted")
         # Only texts of which something is wanted are shuffled.
-        some = bits.near(docs, "key", lists.select(F.xxhash64("id", "h").alias("key")), lists.count())
+        some = bits.near(docs, "key", lists.select(F.xxhash64("id", "h").alias("key")), lists.count(), "inner")
         rows = some.groupBy("id", "h").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
-        return ws.save(rows.join(lists, ["id", "h"]).select("id", "h", "text", "rows", "wanted").mapInArrow(_segments, "k long, id long, h long, lo long, segment binary"), name)
+        return ws.save(rows.join(lists, ["id", "h"]).select("id", "h", "text", "rows", "wanted").mapInArrow(_segments(kind), "k long, id long, h long, lo long, segment binary"), name)
 
-    found = ws.save(docs.select("id", "h", "text").mapInArrow(_anchors(length, gram, piece), _FOUND), "anchors")
+    every = ws.save(docs.select("id", "h", "text").mapInArrow(_anchors(length, gram, piece, kind), _FOUND), "anchors")
+    # Cells whose anchor is met once are left out by that number alone, before whole cells are counted.
+    again = ws.save(every.groupBy("g").agg(F.count("*").alias("n"), F.max("own").alias("own")).filter("n > 1 or own").select("g"), "again")
+    found = ws.save(bits.near(every, "g", again, again.count()), "found")
+    ws.drop(every, again)
     levels, asks, parts = [found], [], []
     for width in (*(min(w, max(1, length // 2)) for w in FINER), 0):
         cells = found.groupBy(*key).agg(F.count("*").alias("c"), F.min(place).alias("one"), F.max(place).alias("two"), F.max("own").alias("own"))
         groups = cells.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("own").alias("any_own")).filter("n > 1 or any_own")
         cells = ws.save(cells.join(groups, "g").select(*key, "c", "one", "two", "kinds", "own"), "cells")
         pair = [F.col("one.id"), F.col("one.h"), F.col("two.id"), F.col("two.h"), F.col("two.lo") - F.col("one.lo")]
-        asks.append(cells.filter("c > 1").select(F.xxhash64(*pair, F.expr(f"one.lo div {STRETCH}")).alias("k"), "one", "two", *key))
+        asks.append(cells.filter("c > 1").select(F.xxhash64(*pair, F.expr(f"one.lo div {stretch}")).alias("k"), "one", "two", *key))
         several = cells.filter("kinds > 1 or own").select(F.col("g").alias("k"), "one.*", "kinds")
         parts.append(several.filter(F.col("kinds") <= most).drop("kinds") if width else several.drop("kinds"))
         hot = several.filter(F.col("kinds") > most).drop("kinds")
         if not width or hot.isEmpty():
             break
-        found = ws.save(take(hot, "hot").mapInArrow(_finer(length, gram, width), _FOUND), "finer")
+        found = ws.save(take(hot, "hot").mapInArrow(_finer(length, gram, width, kind), _FOUND), "finer")
         levels.append(found)
 
-    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    asked = union(asks)
+    asked = _union(asks)
     stretches = asked.groupBy("k", "one.id", "one.h", F.col("two.id").alias("id2"), F.col("two.h").alias("h2"), (F.col("two.lo") - F.col("one.lo")).alias("by")).agg(F.min("one.lo").alias("lo"), F.max("one.hi").alias("hi"))
     stretches = ws.save(stretches, "stretches")
     second = stretches.filter("id <> id2 or h <> h2 or by <> 0").select("k", F.col("id2").alias("id"), F.col("h2").alias("h"), (F.col("lo") + F.col("by")).alias("lo"), (F.col("hi") + F.col("by")).alias("hi"))
-    segments = take(union([stretches.select("k", "id", "h", "lo", "hi"), second, *parts]), "segments")
+    segments = take(_union([stretches.select("k", "id", "h", "lo", "hi"), second, *parts]), "segments")
 
-    size = segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0
+    size = (segments.agg(F.sum(F.octet_length("segment"))).first()[0] or 0) // np.dtype(kind).itemsize
     dealt = F.pmod(F.xxhash64("k"), F.lit(max(1, -(-size // bucket)))).alias("bucket")
     questions = asked.select("k", "one.id", "one.h", "one.lo", "one.hi", *key, dealt)
-    answers = segments.select("*", dealt).groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(_search(length, gram), "id long, h long, lo long, hi long, g long, d long, e long")
+    answers = segments.select("*", dealt).groupBy("bucket").cogroup(questions.groupBy("bucket")).applyInArrow(_search(length, gram, kind), "id long, h long, lo long, hi long, g long, d long, e long")
     answers = ws.save(answers, "answers")
 
     sure = answers.filter("g is not null").select(*key)
     whole = [level.join(sure, key).select("id", "h", "lo", "hi") for level in levels]
-    spans = ws.save(union([answers.filter("g is null").select("id", "h", "lo", "hi"), *whole]).distinct(), "spans")
+    spans = ws.save(_union([answers.filter("g is null").select("id", "h", "lo", "hi"), *whole]).distinct(), "spans")
     ws.drop_all(but=spans)
-    per_doc = spans.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, bucket: int = BUCKET, piece: int = PIECE, words: int | None = None, words_gram: int = WORDS_GRAM, words_most: int = WORDS_MOST) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary); with ``words`` n_passages and n_passage_words, too."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own_id = F.col(f"`{id_col}`").cast("long")
+    docs = docs.select(own_id.alias("doc_id"), F.coalesce(own_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
+    docs = docs.withColumn("key", F.xxhash64("id", "h"))
+    spans = repeats(docs, length, gram, most, bucket, piece, STRETCH, np.uint8).withColumn("words", F.lit(False))
+    if words:
+        spans = spans.unionByName(repeats(docs, words, words_gram, words_most, WORDS_BUCKET, WORDS_PIECE, WORDS_STRETCH, np.uint64).withColumn("words", F.lit(True)))
+    of = lambda flag: F.collect_list(F.when(flag, F.struct("lo", "hi")))
+    per_doc = spans.groupBy("id", "h").agg(of(~F.col("words")).alias("spans"), of(F.col("words")).alias("passages"))
     flagged = bits.mark(docs, "key", spans.select(F.xxhash64("id", "h").alias("key")), "hit", spans.select("id", "h").distinct().count())
-    out = flagged.filter("hit").join(per_doc, ["id", "h"], "left").select("doc_id", "text", "spans")
-    bare = flagged.filter("not hit").select("doc_id", "text", F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans"))
-    return out.unionByName(bare).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = flagged.filter("hit").join(per_doc, ["id", "h"], "left").select("doc_id", "text", "spans", "passages")
+    none = F.lit(None).cast("array<struct<lo:long,hi:long>>")
+    bare = flagged.filter("not hit").select("doc_id", "text", none.alias("spans"), none.alias("passages"))
+    out = out.unionByName(bare).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_passages long, n_passage_words long")
+    return out if words else out.drop("n_passages", "n_passage_words")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "n_passage_words")

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -178,6 +180,51 @@ def test_passages_of_over_fifty_words(spark, prose):
     assert {i: r.n_bytes for i, r in got.items()} == {i: len(t.encode()) for i, t in rows}
 
 
+def _passages(rows, least):
+    """(maximal runs, words) of each text that runs of ``least`` words met at two places cover."""
+    texts = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    met = Counter(tuple(w[k : k + least]) for w in texts.values() for k in range(len(w) - least + 1))
+    out = {}
+    for i, w in texts.items():
+        cover = np.zeros(len(w) + 2, dtype=np.int8)
+        for k in range(len(w) - least + 1):
+            if met[tuple(w[k : k + least])] > 1:
+                cover[k + 1 : k + 1 + least] = 1
+        out[i] = (int((np.diff(cover) == 1).sum()), int(cover.sum()))
+    return out
+
+
+def test_short_passages_of_over_fifty_words(spark, table, prose):
+    """Passages of 51 words and up that are shorter than 400 bytes: nothing is removed, they are counted."""
+    rows = []
+    for i in range(12):
+        passage = " ".join(w[:5] for w in prose(700 + i, 51 + i % 4).split())
+        rows += [(2 * i, prose(i, 40) + " " + passage + " " + prose(20 + i, 30)), (2 * i + 1, prose(40 + i, 30) + "\n" + passage.replace(" ", "  ", i % 3) + "\t" + prose(60 + i, 40))]
+        assert len(passage.encode()) < 390
+    # One word less is no passage.
+    rows += [(50, prose(90, 9) + " a1 " + prose(91, 50) + " b1"), (51, "c1 " + prose(91, 50) + " d1 " + prose(92, 9))]
+    rows += [(100 + i, prose(100 + i, 190)) for i in range(12)] + [(200, None), (201, "")]
+    got = {r.doc_id: r for r in substrings.op2_suffix_array_dedup(spark, table("documents", rows, DOCS)).collect()}
+    assert {i for i, r in got.items() if r.n_passages} == set(range(24)) and not any(r.n_removed for r in got.values())
+    assert {i: (r.n_passages, r.n_passage_words) for i, r in got.items()} == _passages(rows, 51)
+
+
+@pytest.mark.parametrize("most", [2, 512])
+def test_passages(spark, most):
+    """Few words, copies, periodic texts and common borders against a plain count; what is removed is as without passages."""
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("a b c dd é".split()) for _ in range(rng.randint(10, 60))) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        parts = [" ".join(rng.choice(base).split()[rng.randint(0, 9) :]) if rng.random() < 0.5 else " ".join(rng.choice("a b c dd É f g".split()) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(0, 6))]
+        rows.append((i, rng.choice(" \n").join(parts) if i % 37 else None))
+    rows += [(500, "a " * 300), (501, "a b " * 40), (502, ""), (503, "a b c " * 100 + "x " + "a b c " * 90)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = substrings.remove_repeats(df, length=40, gram=8, most=most, bucket=1 << 12, piece=64, words=12, words_gram=3, words_most=most).collect()
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in got} == _passages(rows, 12)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == repeats(rows, 40)
+
+
 def test_lines_against_sql(spark, table):
     rows = [(i, "\n".join([f"Page {i} of {i * 3} printed today", "All rights reserved here.", f"unique line number {i} with own {'x' * (i + 1)} words", "short"])) for i in range(8)]
     rows += [(20, None), (21, ""), (22, "All rights reserved here.\nAll rights reserved here."), (23, "Page x of y printed today")]
